@@ -1,0 +1,5 @@
+from oracle import corpora as c
+from oracle import rules
+ORACLES={"all_files": f"WITH {c.ALL} SELECT * FROM all_files"}
+for check in dict.fromkeys(r[0] for r in rules.RULES):
+    ORACLES[f"rule_{check}"]=rules.rule_query(check)

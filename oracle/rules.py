@@ -1,0 +1,236 @@
+"""The rule scan in DuckDB's SQL.
+
+RE2 has no lookaround, so guards are tested on the text cut out after each match, and
+repeated-character tests are spelled out. Offsets come from lazily captured prefixes.
+"""
+
+from __future__ import annotations
+
+from oracle.corpora import ALL, lit
+
+WS = "".join(chr(n) for n in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def strip(value: str) -> str:
+    return f"trim({value}, {lit(WS)})"
+
+
+TESTS = (r"(?i)(^|/)(tests?|__tests__|__mocks__|spec|specs|fixtures?|mocks?|examples?|samples?"
+         r"|testdata)/|(^|/)(test_[^/]+|[^/]+_test)\.py$|\.(test|spec)\.[jt]sx?$"
+         r"|(^|/)conftest\.py$")
+TP = ["test", "spec", "__tests__", "fixtures", "mock", ".example"]
+SERVER = ["/api/", "route.ts", "route.js", "server", "actions", "handler", "views.py", "app.py"]
+JS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".svelte", ".vue", ".astro"]
+PY = [".py"]
+CODECFG = JS + PY + [".go", ".rb", ".php", ".java", ".cs", ".rs", ".json", ".yml", ".yaml",
+                     ".toml", ".env", ".ini", ".conf"]
+DOCS = [".md", ".mdx", ".rst", ".txt", ".ipynb", ".adoc"]
+
+
+def ends(suffixes) -> str:
+    return "(" + " OR ".join(f"ends_with(lower(rel), {lit(s)})" for s in suffixes) + ")"
+
+
+def holds(parts) -> str:
+    return "(" + " OR ".join(f"contains(lower(rel), {lit(p)})" for p in parts) + ")"
+
+
+def is_test(rel: str = "rel") -> str:
+    return f"regexp_matches({rel}, {lit(TESTS)})"
+
+
+def re_hit(value: str, pattern: str) -> str:
+    return f"regexp_matches({value}, {lit(pattern)})"
+
+
+# Predicates on a match row; its columns are pre, m, tail, v1, v2, line_text, text.
+EXAMPLE = ("(?i)example|sample|dummy|placeholder|specimen|your[-_]|xxxx|"
+           + "|".join(f"{c}{{6}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_")
+           + "|-{6}")
+LIVE = f"NOT {re_hit('m', EXAMPLE)}"
+CREDENTIAL = " AND ".join([
+    "NOT " + re_hit("v", r"(?i)(your[-_ ]?|example|placeholder|changeme|dummy|sample|fake|"
+                         r"\btest\b|test[-_]?key|not[-_]?real|ci[-_]?only|localhost|"
+                         r"xxxx|\.\.\.|<[^>]+>|process\.env|os\.environ|import\.meta\.env"
+                         r"|\$\{|\{\{)"),
+    "NOT " + re_hit("v", r"^[a-z]{2,}(?:[A-Z][a-z]{2,})+$|^[\w-]+(?:\.[\w-]+){2,}$"
+                         r"|[\[\]<>{}()#]|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|^https?://"
+                         r"|^[\w.+-]+@[\w.-]+\.\w+$"),
+    "NOT " + re_hit("v", r"^[a-z][a-z0-9]*(?:[_-][a-z0-9]+)*$"),
+    "len(list_distinct(string_split(v, ''))) >= 8",
+    "list_entropy(string_split(v, '')) >= 3.5",
+])
+ROLE = ("TRY(json_extract_string(TRY(decode(from_base64(rpad(translate(split_part(v, '.', 2), "
+        "'-_', '+/'), ((length(split_part(v, '.', 2)) + 3) // 4 * 4)::INTEGER, '=')))), "
+        "'$.role'))")
+NOT_ANON = f"coalesce({ROLE} <> 'anon', true)"
+IDENT = (r"\b(?:password|passwd|pwd|secret|api[_-]?key|apikey|access[_-]?token|auth[_-]?token"
+         r"|refresh[_-]?token|token|authorization|ssn|credit[_-]?card)\b")
+
+
+def sensitive(line: str) -> str:
+    """Blank the quotes, then remove each harmless use; what is left leaks."""
+    out = f"regexp_replace({line}, {lit(chr(39) + '[^' + chr(39) + ']*' + chr(39) + '|' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '|`[^`]*`')}, {lit(chr(39) * 2)}, 'g')"
+    for harmless in (rf"(?i)!![\s\S]?{IDENT}", rf"(?i){IDENT}[?]{{0,5}}\.length",
+                     rf"(?i){IDENT}\s{{0,9}}:\s{{0,9}}''"):
+        out = f"regexp_replace({out}, {lit(harmless)}, '#', 'g')"
+    return re_hit(out, "(?i)" + IDENT)
+
+
+SERVICE_LINE = " AND ".join([
+    "NOT " + re_hit("line_text", r"(?i)<[a-z]+>|you need|add the|copy the|paste|set up|configure"),
+    re_hit("line_text", r"process\.env|import\.meta\.env|createClient|eyJ|=|:"),
+    "NOT (contains(line_text, 'process.env.') AND NOT contains(line_text, 'NEXT_PUBLIC'))",
+    "NOT " + re_hit("text", r"[\"']server-only[\"']"),
+])
+VARIABLE = (r"(len(regexp_extract_all(m, '\$\{[^}]{0,80}\}')) = 0 OR "
+            r"len(list_filter(regexp_extract_all(m, '\$\{[^}]{0,80}\}'), "
+            r"lambda p: NOT regexp_matches(p, '^\$\{\s*[A-Z][A-Z0-9_]{2,}\b'))) > 0)")
+
+SQL = (r"(?:select\b[^`\"';]{1,200}?\bfrom\b|insert\s+into\s+[\w.\"`\[]+"
+       r"|update\s+[\w.\"`\[]+\s+set\b|delete\s+from\s+[\w.\"`\[]+)")
+COOKIE = r"(?:res\.cookie|cookies\(\)\.set|setCookie)\("
+
+# Fixed values: (check, pattern, suffixes, skipped path parts, options) of each rule.
+RULES = [
+    ("S1", r"AKIA[0-9A-Z]{16}", [], TP, dict(docs=1, keep=LIVE)),
+    ("S1", r"\b(?:sk|rk)_live_[A-Za-z0-9]{16,}", [], TP, dict(docs=1, keep=LIVE)),
+    ("S1", r"\bsk-[A-Za-z0-9_\-]{20,}", [], TP, dict(docs=1, keep=LIVE)),
+    ("S1", r"\bgh[pousr]_[A-Za-z0-9]{30,}", [], TP, dict(docs=1, keep=LIVE)),
+    ("S1", r"\bxox[baprs]-[A-Za-z0-9\-]{10,}", [], TP, dict(docs=1, keep=LIVE)),
+    ("S1", r"\bAIza[0-9A-Za-z_\-]{35}\b", [], TP, dict(docs=1, keep=LIVE)),
+    ("S1", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", [], TP, dict(docs=1)),
+    ("S1", r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|access[_-]?key|auth)\w*"
+           r"\s*[:=]\s*[\"']([^\"'\s]{12,})[\"']", CODECFG, TP, dict(keep=CREDENTIAL)),
+    ("S1", r"[\"'`](eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)", [], TP,
+     dict(keep=NOT_ANON)),
+    ("S2", r"\b(?:NEXT_PUBLIC|VITE|REACT_APP|EXPO_PUBLIC)_[A-Z0-9_]*"
+           r"(?:SERVICE_ROLE|SECRET|PRIVATE_KEY|PASSWORD|ACCESS_KEY)[A-Z0-9_]*", [], TP, {}),
+    ("D3", r"(?i)service[_-]?role", JS,
+     ["/server/", "server/", "/api/", "api/", "route.ts", "supabase/functions", ".env",
+      "backend/", "scripts/", "script/", "prompt", "/lib/db", "migrations/", "seed"] + TP,
+     dict(keep=SERVICE_LINE)),
+    ("D8", r"(?is)`[^`]{0,400}?" + SQL + r"[^`]{0,300}?\$\{", [], TP, dict(keep=VARIABLE)),
+    ("D8", r"(?is)`[^`]{0,200}?\$\{[^`]{0,300}?" + SQL + r"[^`]{0,200}`", [], TP,
+     dict(keep=VARIABLE)),
+    ("D8", r"(?is)f[\"'][^\"']{0,300}?" + SQL + r"[^\"']{0,200}?\{", PY, TP, {}),
+    ("D8", r"(?is)[\"']" + SQL + r"[^\"']{0,160}[\"']\s*\+\s*\w", [], TP, {}),
+    ("A2", r"(?i)verify\s*[:=]\s*false", [], TP, {}),
+    ("A2", r"(?i)algorithms?\s*[:=]\s*\[?\s*[\"']none[\"']", [], TP, {}),
+    ("A2", r"jwt\.decode\([^)]*\)", PY, [], dict(keep="NOT contains(m, 'verify')")),
+    ("A2", r"jwt\.(?:sign|verify)\(.{0,160}?,\s*[\"'][^\"']{1,24}[\"']", JS, TP, {}),
+    ("A3", COOKIE, [], [], dict(guard=r"(?i)httpOnly\s*:\s*true", window=220)),
+    ("A3", COOKIE, [], [], dict(guard=r"(?i)sameSite", window=220)),
+    ("A3", r"set_cookie\(", PY, TP, dict(guard=r"httponly\s*=\s*True", window=220)),
+    ("A5", r"[\"']Access-Control-Allow-Origin[\"']\s*[:,]\s*[\"']\*[\"']", [], TP, {}),
+    ("A5", r"origin\s*:\s*[\"']\*[\"']", [], TP, {}),
+    ("A5", r"allow_origins\s*=\s*\[\s*[\"']\*[\"']", PY, [], {}),
+    ("A5", r"\bcors\(\s*\)", [], TP, {}),
+    ("A6", r"(?i)(?:md5|sha1)\s*\(\s*\w*(?:pass|pwd)", [], TP, {}),
+    ("A6", r"(?i)createHash\([\"'](?:md5|sha1|sha256)[\"']\)[^;]{0,80}(?:pass|pwd)", [], [], {}),
+    ("R2", r"await\s+fetch\(", JS, TP, dict(guard=r"\.ok\b|\.status\b|statusText", window=200)),
+    ("R3", r"\bfetch\(", JS, TP, dict(guard=r"signal|AbortController|timeout", window=200)),
+    ("R3", r"requests\.(?:get|post|put|delete)\(", PY, TP, dict(guard=r"timeout\s*=", window=160)),
+    ("R5", r"catch\s*\([^)]*\)\s*\{\s*\}", JS, [], {}),
+    ("R5", r"except[^\n:]*:\s*\n\s*pass\b", PY, [], {}),
+    ("R9", r"(?m)^\s*(?:supabase|prisma|db)\.[\w.]+\([^\n]*\)\s*;?\s*$", JS, [], dict(lead=1)),
+    ("C3", r"\.select\(\s*[\"']\*[\"']\s*\)", JS, TP,
+     dict(guard=r"\.limit\(|\.range\(|\.single\(|\.maybeSingle\(", window=160)),
+    ("C3", r"(?i)select\s+\*\s+from\s+\w+", [], [], dict(guard=r"(?i)\blimit\b", window=200)),
+    ("C4", r"while\s*\(\s*true\s*\)", JS, TP, dict(server=1)),
+    ("C4", r"while\s+True\s*:", PY, TP, dict(server=1)),
+    ("C5", r"setInterval\([^,]+,\s*(\d+)\s*\)", JS, TP, dict(keep="TRY_CAST(v AS HUGEINT) < 30000")),
+    ("C6", r"export\s+const\s+dynamic\s*=\s*[\"']force-dynamic[\"']", JS, [], {}),
+    ("C6", r"cache\s*:\s*[\"']no-store[\"']", JS, [], {}),
+    ("O1", r"(?im)^.{0,240}?(?:console\.(?:log|info|warn|error|debug)"
+           r"|logger?\.(?:info|debug|warn|error)|print)\(.*$", [], TP,
+     dict(keep=sensitive("m"))),
+    ("O2", r"(?s)(?:res|response)\.(?:status\(\d+\)\.)?(?:json|send)\([^)]{0,160}"
+           r"(?:err(?:or)?\.(?:stack|message)|traceback|exc_info)", [], TP, {}),
+    ("O2", r"(?s)(?:Response\.json|new\s+Response)\([^;]{0,200}"
+           r"(?:\.stack\b|err(?:or)?\.message|traceback)", JS, TP, {}),
+    ("O3", r"console\.(?:log|debug)\(", JS, TP + ["script", "bin/"], {}),
+    ("H5", r"\b(?:MOCK_[A-Z_]+|mockData|fakeData|dummyData|sampleData)\b", [], [],
+     dict(server=1)),
+    ("H5", r"(?i)//\s*(?:TODO|FIXME|HACK|XXX)\b", [], [], dict(server=1)),
+    ("H5", r"(?i)#\s*(?:TODO|FIXME|HACK|XXX)\b", PY, [], dict(server=1)),
+    ("T2", r"(?:it|test)\(\s*[\"'][^\"']+[\"']\s*,\s*(?:async\s*)?\(\s*\)\s*=>\s*\{", JS, [],
+     dict(guard=r"expect\(|assert", window=400, tests=1)),
+    ("X3", r"redirect\(\s*(?:req|request)\.(?:query|params|body)\.", [], TP, {}),
+    ("X3", r"redirect\(\s*searchParams\.get\(", [], TP, {}),
+]
+
+
+def located(name: str, source: str, pattern: str, where: str, groups: int = 0) -> str:
+    """CTEs giving one row per match: repo, rel, text, idx, m, v (and v2), line, tail start."""
+    wrapped = f"(?s:(.*?))({pattern})"
+    extra = "".join(
+        f", unnest(regexp_extract_all(text, {lit(wrapped)}, {2 + g})) AS v{'' if g == 1 else g}"
+        for g in range(1, groups + 1))
+    return f"""
+{name}_raw AS (
+  SELECT repo, rel, text,
+         generate_subscripts(regexp_extract_all(text, {lit(wrapped)}, 2), 1) AS idx,
+         unnest(regexp_extract_all(text, {lit(wrapped)}, 1)) AS pre,
+         unnest(regexp_extract_all(text, {lit(wrapped)}, 2)) AS m{extra}
+  FROM {source} WHERE {where} AND {re_hit('text', pattern)}),
+{name} AS (
+  SELECT *, sum(length(pre) + length(m)) OVER w AS stop,
+         sum(length(pre) + length(m)) OVER w - length(m) AS start_at
+  FROM {name}_raw WINDOW w AS (PARTITION BY repo, rel ORDER BY idx))"""
+
+
+def line_of(offset: str) -> str:
+    """Line number of a zero-based offset."""
+    head = f"substr(text, 1, ({offset})::BIGINT)"
+    return f"(1 + length({head}) - length(replace({head}, chr(10), '')))::INTEGER"
+
+
+def scope(suffixes, skip, options) -> str:
+    parts = ["true"]
+    if suffixes:
+        parts.append(ends(suffixes))
+    if not options.get("docs"):
+        parts.append(f"NOT {ends(DOCS)}")
+    if not options.get("tests"):
+        parts.append(f"NOT {is_test()}")
+    if skip:
+        parts.append(f"NOT {holds(skip)}")
+    if options.get("server"):
+        parts.append(holds(SERVER))
+    return " AND ".join(parts)
+
+
+def rule_ctes(checks, source: str = "all_files") -> tuple[str, str]:
+    """CTEs of the wanted checks and the select that unites their findings."""
+    ctes, selects = [], []
+    for i, (check, pattern, suffixes, skip, options) in enumerate(RULES):
+        if check not in checks:
+            continue
+        groups = 1 if options.get("keep") in (CREDENTIAL, NOT_ANON) or check == "C5" else 0
+        ctes.append(located(f"r{i}", source, pattern, scope(suffixes, skip, options), groups))
+        keep = options.get("keep", "true")
+        if options.get("guard"):
+            tail = f"substr(text, stop::BIGINT + 1, {options['window']})"
+            keep = f"NOT {re_hit(tail, options['guard'])}"
+        offset = "start_at"
+        if options.get("lead"):
+            offset = r"start_at + length(regexp_extract(m, '^\s*'))"
+        selects.append(
+            f"SELECT repo, '{check}' AS check_id, rel AS file, line, line_text FROM ("
+            f"SELECT *, string_split(text, chr(10))[line] AS line_text FROM ("
+            f"SELECT *, {line_of(offset)} AS line FROM r{i})) WHERE {keep}")
+    return ",".join(ctes), " UNION ".join(selects)
+
+
+def rule_findings(checks, source: str = "all_files") -> str:
+    """CTE chain ending in `rule_findings(repo, check_id, file, line, snippet)`."""
+    ctes, united = rule_ctes(checks, source)
+    return (f"{ctes}, rule_findings AS (SELECT repo, check_id, file, line, "
+            f"substr({strip('line_text')}, 1, 240) AS snippet FROM ({united}))")
+
+
+def rule_query(check: str) -> str:
+    return f"WITH {ALL}, {rule_findings([check])} SELECT * FROM rule_findings"
