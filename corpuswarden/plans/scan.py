@@ -1,20 +1,27 @@
-"""The pattern-rule scan."""
+"""The pattern-rule scan and the findings row."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuswarden.plans.facts import extract, rule_probe
 
 
-def as_findings(facts: DataFrame, confidence: str = "SUSPECTED") -> DataFrame:
-    """Facts that already are findings (`a` holds the check) in the findings schema."""
-    return facts.select(
-        "repo", F.col("a").alias("check_id"), F.col("rel").alias("file"), "line", "snippet",
+def findings_row(check: str, file: str, line: str, snippet: str,
+                 confidence: str) -> list[Column]:
+    """Columns of a finding, from expressions over the current row."""
+    return [
+        F.col("repo"), F.expr(check).alias("check_id"), F.expr(file).alias("file"),
+        F.expr(f"cast({line} as int)").alias("line"), F.expr(snippet).alias("snippet"),
         F.lit(confidence).alias("confidence"), F.lit("").alias("evidence"),
-    )
+    ]
+
+
+def as_findings(facts: DataFrame, confidence: str = "SUSPECTED") -> DataFrame:
+    """Facts that already are findings: `a` holds the check."""
+    return facts.select(*findings_row("a", "rel", "line", "snippet", confidence))
 
 
 def rule_scan(files: DataFrame, checks: Iterable[str] | None = None) -> DataFrame:

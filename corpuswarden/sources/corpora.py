@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuswarden.catalog import severity_of
 from corpuswarden.functions.text import quote
+from corpuswarden.schema import SEVERITIES
 from corpuswarden.session import spread
 from corpuswarden.sources import templates as tpl
 
@@ -40,7 +42,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "md5(cast(event_id as string)) as h",
     )
     line = _fill(
-        _pick(tpl.LINES, f"pmod(event_id * 7 + b * 13, {count})"),
+        _pick(tpl.LINES, f"pmod(event_id * {tpl.STRIDE} + b * 13, {count})"),
         {
             "id": "cast(event_id as string)", "h": "h", "U16": "upper(substring(h, 1, 16))",
             "m3": "cast(event_id % 3 as string)", "m5": "cast(event_id % 5 as string)",
@@ -101,3 +103,148 @@ def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(doc_files(spark, sf_dir))
         .unionByName(page_files(spark, sf_dir))
     )
+
+
+# ---- tables that are not files ----------------------------------------------------------
+
+RAW_PATHS = ["src/d{n}.md", "node_modules/x{n}.js", "a/dist/{n}.js", "img/{n}.PNG",
+             "js/{n}.min.js", "lock{n}/yarn.lock", "lib/{n}.py", "docs/env/{n}.txt"]
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stored bytes: some start with a zero byte, some end in a bad one."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    content = ("case when doc_id % 13 = 0 then concat(X'00', cast(text as binary)) "
+               "when doc_id % 7 = 0 then concat(cast(text as binary), X'FF') "
+               "else cast(text as binary) end")
+    rel = _fill(_pick(RAW_PATHS, f"doc_id % {len(RAW_PATHS)}"), {"n": "cast(doc_id as string)"})
+    return docs.selectExpr("source as repo", f"{rel} as rel", f"{content} as content").selectExpr(
+        "repo", "rel", "octet_length(content) as length", "content")
+
+
+# Names for derived dependencies: popular ones, one-edit variants and others.
+PACKAGES = ["react", "recat", "lodash", "lodahs", "axios", "axois", "requests", "reqeusts",
+            "numpy", "numppy", "zod", "zodd", "uuid", "uid", "express", "expres", "flask",
+            "flasks", "moment", "momnet", "stripe", "strpie", "chalk", "halk", "next", "nest"]
+
+
+def _package(key: str) -> str:
+    listed = ", ".join(quote(p) for p in PACKAGES)
+    return (f"if({key} % 4 = 0, element_at(array({listed}), cast({key} div 4 % {len(PACKAGES)} "
+            f"as int) + 1), concat('lib-', {key}))")
+
+
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repository (supplier) and package (part)."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('d', l_suppkey) as repo", "if(l_partkey % 8 < 4, 'npm', 'pypi') as ecosystem",
+        f"{_package('l_partkey')} as name", "'package.json' as manifest",
+    ).distinct()
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts the registry knows: all but those of one brand."""
+    return table(spark, sf_dir, "part").where("p_brand <> 'Brand#3'").selectExpr(
+        "if(p_partkey % 8 < 4, 'npm', 'pypi') as ecosystem",
+        f"{_package('p_partkey')} as name")
+
+
+def history_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("concat('h', c_custkey) as repo")
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders as commits; every tenth repository is a shallow clone."""
+    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").selectExpr(
+        "concat('h', o_custkey) as repo", "cast(o_orderkey as string) as commit_id",
+        "o_custkey % 10 = 0 as shallow")
+
+
+ADDED = ["src/a{n}.ts", ".env", "certs/a{n}.pem", "vendor/x{n}.pem", "config/.env",
+         "etc/cacert{n}.pem", "credentials.json", ".env/part{n}", "id_rsa"]
+
+
+def added_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fill(_pick(ADDED, f"o_orderkey % {len(ADDED)}"), {"n": "cast(o_orderkey as string)"})
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('h', o_custkey) as repo", f"{path} as path")
+
+
+# Checks that derived findings are spread over, of every severity and domain.
+EVENT_CHECKS = ["S1", "S5", "D1", "D8", "A2", "A3", "R2", "R5", "C3", "C5", "P1", "P3", "O1",
+                "O3", "O5", "H1", "H2", "H8", "X1", "T1", "T2", "S4", "C2"]
+
+
+def event_findings(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Events as findings; keys repeat within a repository."""
+    check = _pick(EVENT_CHECKS, f"(event_id * 5 + user_id) % {len(EVENT_CHECKS)}")
+    return table(spark, sf_dir, "events").where(where).selectExpr(
+        "concat('u', user_id) as repo", f"{check} as check_id",
+        "concat('src/f', event_id % 7, '.ts') as file",
+        "cast(floor(value) % 20 + 1 as int) as line", "event_type as snippet",
+        "if(event_id % 3 = 0, 'CONFIRMED', 'SUSPECTED') as confidence", "'' as evidence")
+
+
+def user_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of the derived findings, and customers as ones without any."""
+    users = table(spark, sf_dir, "events").selectExpr("concat('u', user_id) as repo")
+    quiet = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) as repo")
+    return users.unionByName(quiet).distinct()
+
+
+def findings_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_findings(spark, sf_dir, "ts < timestamp '2024-01-16 00:00:00'")
+
+
+def findings_cur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_findings(spark, sf_dir, "ts >= timestamp '2024-01-11 00:00:00'")
+
+
+def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as rule matches before dedup."""
+    check = _pick(EVENT_CHECKS, f"l_partkey % {len(EVENT_CHECKS)}")
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('s', l_suppkey) as repo", f"{check} as check_id",
+        "concat('f', l_partkey % 5) as file", "cast(l_quantity as int) as line",
+        "l_linenumber as rule", "l_orderkey as offset",
+        "concat(l_returnflag, l_linestatus) as snippet")
+
+
+STACKS = ["nextjs,react,npm", "express,npm", "supabase,react,npm", "python,fastapi",
+          "firebase,react,npm", "", "supabase,nextjs,npm"]
+REASONS = ["clone-failed", "TimeoutExpired", "UnicodeDecodeError"]
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan result per user, and one without findings per supplier."""
+    check = _pick(EVENT_CHECKS, f"(event_id * 5 + user_id) % {len(EVENT_CHECKS)}")
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "user_id", "event_id", "value", f"{check} as check_id")
+    per_user = rows.groupBy("user_id").agg(
+        F.expr("array_sort(collect_set(if(check_id in ('H1', 'S4'), null, check_id)))").alias("checks"),
+        F.struct(*[F.count_if((severity_of(F.col("check_id")) == s)
+                              & ~F.col("check_id").isin("H1", "S4")).alias(s)
+                   for s in SEVERITIES]).alias("severity"),
+        F.count_if(~F.col("check_id").isin("H1", "S4")).alias("total"),
+        F.max(F.expr("event_id % 50 + 1")).alias("files"), F.max("value").alias("seconds"))
+    tags = _pick(STACKS, f"user_id % {len(STACKS)}")
+    noisy = per_user.selectExpr(
+        "user_id % 11 <> 0 as ok",
+        f"if(user_id % 11 <> 0, null, {_pick(REASONS, f'user_id div 11 % {len(REASONS)}')}) as reason",
+        "concat('u', user_id) as id", "checks", "severity", "total", "files",
+        f"filter(split({tags}, ','), t -> t <> '') as stack", "seconds")
+    quiet = table(spark, sf_dir, "supplier").selectExpr(
+        "true as ok", "cast(null as string) as reason", "concat('s', s_suppkey) as id",
+        "cast(array() as array<string>) as checks",
+        "named_struct('P0', 0L, 'P1', 0L, 'P2', 0L, 'P3', 0L) as severity", "0L as total",
+        "s_suppkey % 40 as files", "array('npm') as stack", "s_acctbal as seconds")
+    return noisy.unionByName(quiet)
+
+
+def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as search hits: one marker per priority, names repeat, some are forks."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderpriority as marker", "o_orderkey as position",
+        "case when o_custkey % 17 = 0 then null when o_custkey % 19 = 0 then '  ' "
+        "else concat(' owner', o_custkey % 40, '/app', o_custkey, ' ') end as full_name",
+        "o_orderstatus = 'P' as fork")

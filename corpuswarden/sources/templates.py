@@ -156,8 +156,10 @@ ROOT_FILES = [
     ("src/tool_{g}.py", ['if __name__ == "__main__":\n    run()\n', "x = 1\n"]),
 ]
 
+# Consecutive events step through the lines by a stride that shares no factor with them.
+STRIDE = 11
 LINES_PER_FILE = 32
-FILES_PER_GROUP = 16
+FILES_PER_GROUP = 18
 
 # Paths by block number modulo FILES_PER_GROUP; {b} block, {s} the group's first block + 1.
 PATHS = [
@@ -177,4 +179,6 @@ PATHS = [
     "src/util{b}.ts",
     "src/page{b}.tsx",
     "web{b}/vite.config.ts",
+    "db/seeds/{b}.sql",
+    "db/views/{b}.sql",
 ]

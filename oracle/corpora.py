@@ -21,7 +21,7 @@ REPO = "CASE WHEN g % 3 = 0 THEN 'r0' ELSE 'r' || g END"
 BLOCK, GROUP = tpl.LINES_PER_FILE, tpl.LINES_PER_FILE * tpl.FILES_PER_GROUP
 
 _LINE = _fill(
-    _pick(tpl.LINES, f"(event_id * 7 + (event_id // {BLOCK}) * 13) % {len(tpl.LINES)}"),
+    _pick(tpl.LINES, f"(event_id * {tpl.STRIDE} + (event_id // {BLOCK}) * 13) % {len(tpl.LINES)}"),
     {
         "id": "event_id::VARCHAR", "h": "md5(event_id::VARCHAR)",
         "U16": "upper(substr(md5(event_id::VARCHAR), 1, 16))",
