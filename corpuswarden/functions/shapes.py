@@ -115,17 +115,27 @@ def interpolates_variable(statement: str) -> str:
     return any_of(f"size({parts}) = 0", f"not forall({parts}, p -> {constant})")
 
 
-def osa_is_one(name: str, popular: str) -> str:
-    """One edit apart, a swap of two neighbouring letters counting as one edit."""
-    swaps = {popular[:i] + popular[i + 1] + popular[i] + popular[i + 2:]
-             for i in range(len(popular) - 1)} - {popular}
-    return any_of(
-        f"levenshtein({name}, {quote(popular)}, 1) = 1",
-        f"{name} in ({', '.join(quote(s) for s in sorted(swaps))})",
-    )
+def one_edit_from(name: str, words) -> str:
+    """The first of `words`, in order, one edit away from `name`; null when there is none.
+
+    A swap of two neighbouring letters counts as one edit. Every swap of every word is
+    a key of one literal map, so only plain edits are computed per row.
+    """
+    swaps: dict[str, str] = {}
+    for word in sorted(words):
+        for i in range(len(word) - 1):
+            swapped = word[:i] + word[i + 1] + word[i] + word[i + 2:]
+            if swapped != word:
+                swaps.setdefault(swapped, word)
+    pairs = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in swaps.items())
+    listed = ", ".join(quote(w) for w in sorted(words))
+    edited = (f"array_min(filter(array({listed}), w -> abs(length(w) - length({name})) <= 1 "
+              f"and levenshtein({name}, w, 1) = 1))")
+    return f"least({edited}, try_element_at(map({pairs}), {name}))"
 
 
 def below(digits: str, limit: int) -> str:
     """A run of digits of any length, compared as a number."""
-    number = f"try_cast({digits} as decimal(38, 0))"
-    return f"coalesce({number} < {limit}, {matches_regex(digits, '^0{9}')})"
+    significant = f"ltrim('0', {digits})"
+    number = f"try_cast(concat('0', {significant}) as bigint)"
+    return f"coalesce(length({significant}) <= 18 and {number} < {limit}, false)"

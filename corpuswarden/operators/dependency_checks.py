@@ -122,17 +122,10 @@ def registry_missing(deps: DataFrame, registry: DataFrame) -> DataFrame:
         "concat(name, ' does not exist on the ', ecosystem, ' registry')", "CONFIRMED"))
 
 
-def near_popular(name: str) -> str:
-    """The first popular name one edit away, null when there is none."""
-    options = ", ".join(
-        f"if({name} <> {tx.quote(p)} and {shapes.osa_is_one(name, p)}, {tx.quote(p)}, null)"
-        for p in sorted(POPULAR))
-    return f"coalesce({options})"
-
-
 def typosquat(deps: DataFrame, registry: DataFrame) -> DataFrame:
     """P2: registered names one edit from a popular one; the popular names are literals."""
-    near = deps.withColumn("popular", F.expr(near_popular("name"))).where("popular is not null")
+    near = deps.withColumn("popular", F.expr(shapes.one_edit_from("name", POPULAR))).where(
+        "popular is not null")
     known = (
         near.select("ecosystem", "name").distinct()
         .join(registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")

@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SMALL_CAP = 20_000
-MAX_TEST_LINES = 45
+MAX_TEST_LINES = 36
 
 
 def query(name: str):
@@ -89,7 +89,13 @@ def cap_notes(spark, sf_dir):
     return tree.cap_notes(src.all_files(spark, sf_dir).select("repo", "rel"), limit=30)
 
 
-over_facts("stack_tags", tree.stack_tags, tree.stack_probe, project.file_probe)
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    """Arrays as text, so that every engine prints them alike."""
+    return df.withColumns({c: F.array_join(c, "; ") for c in columns})
+
+
+over_facts("stack_tags", lambda facts: _joined(tree.stack_tags(facts), "stack"),
+           tree.stack_probe, project.file_probe)
 
 
 @query("coverage_summary")
@@ -98,9 +104,9 @@ def coverage_summary(spark, sf_dir):
     listed = tree.path_ignore(raw)
     files = tree.ingest_files(listed, SMALL_CAP)
     facts = write_once(extract(files, *audit.PROBES[1:]))
-    return tree.coverage_summary(
+    return _joined(tree.coverage_summary(
         files.select("repo"), tree.skipped_files(listed, SMALL_CAP),
-        audit.coverage_notes(facts), tree.stack_tags(facts))
+        audit.coverage_notes(facts), tree.stack_tags(facts)), "skipped", "notes", "stack")
 
 
 @query("corpus_list")
@@ -346,7 +352,8 @@ def repo_runs(spark, sf_dir):
     findings = src.event_findings(spark, sf_dir)
     files = src.user_repos(spark, sf_dir).select("repo", F.length("repo").cast("long").alias("files"))
     stack = src.user_repos(spark, sf_dir).selectExpr("repo", "array(left(repo, 1)) as stack")
-    return study.repo_runs(findings, stack, files)
+    runs = study.repo_runs(findings, stack, files).select("*", "severity.*")
+    return _joined(runs, "checks", "stack").drop("severity", "seconds", "reason")
 
 
 @query("exact_median")

@@ -1,5 +1,8 @@
-from oracle import corpora as c
-from oracle import rules
-ORACLES={"all_files": f"WITH {c.ALL} SELECT * FROM all_files"}
-for check in dict.fromkeys(r[0] for r in rules.RULES):
-    ORACLES[f"rule_{check}"]=rules.rule_query(check)
+"""SQL of every registered query that DuckDB can express."""
+
+from oracle import detectors, rules, tables
+
+ORACLES = {f"rule_{check}": rules.rule_query(check)
+           for check in dict.fromkeys(r[0] for r in rules.RULES)}
+ORACLES.update(detectors.QUERIES)
+ORACLES.update(tables.QUERIES)
