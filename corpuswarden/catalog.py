@@ -103,15 +103,15 @@ def checks(spark: SparkSession) -> DataFrame:
     )
 
 
-def _lookup(check_id: Column, position: int) -> Column:
-    pairs = [F.lit(v) for row in CHECKS for v in (row[0], row[position])]
-    return F.create_map(*pairs)[check_id]
+def _lookup(check_id: str, position: int) -> Column:
+    pairs = ", ".join(f"'{row[0]}', '{row[position]}'" for row in CHECKS)
+    return F.expr(f"try_element_at(map({pairs}), {check_id})")
 
 
-def severity_of(check_id: Column) -> Column:
-    """Severity as an expression over 64 literals, for filters that need no join."""
+def severity_of(check_id: str = "check_id") -> Column:
+    """Severity as a literal map of 64 entries, for filters that need no join."""
     return _lookup(check_id, 1)
 
 
-def fix_class_of(check_id: Column) -> Column:
+def fix_class_of(check_id: str = "check_id") -> Column:
     return _lookup(check_id, 2)

@@ -115,6 +115,15 @@ def interpolates_variable(statement: str) -> str:
     return any_of(f"size({parts}) = 0", f"not forall({parts}, p -> {constant})")
 
 
+def may_be_one_edit_from(name: str, words) -> str:
+    """A cheap necessary test: two strings one edit apart share a form with one letter less."""
+    forms = sorted({w[:i] + w[i + 1:] for w in words for i in range(len(w))} | set(words))
+    listed = ", ".join(quote(f) for f in forms)
+    shorter = f"concat(left({name}, i - 1), substring({name}, i + 1))"
+    return (f"({name} in ({listed}) or exists(sequence(1, length({name})), "
+            f"i -> {shorter} in ({listed})))")
+
+
 def one_edit_from(name: str, words) -> str:
     """The first of `words`, in order, one edit away from `name`; null when there is none.
 

@@ -109,26 +109,23 @@ def matching_lines(text: str, pattern: str, lead: str = "",
 
 def match_lines(text: str, pattern: str, lead: str = "") -> str:
     """Line number of every match, in match order, repeats included."""
-    if lead:
-        marked = (f"regexp_replace({text}, {regex(lead + '(' + pattern + ')')}, "
-                  f"{quote('$1' + MARK + '$2')})")
-    else:
-        marked = f"regexp_replace({text}, {regex(pattern)}, {quote(MARK + '$0')})"
-    skeleton = f"regexp_replace({marked}, {quote('[^' + chr(10) + MARK + ']+')}, '')"
-    return (f"flatten(transform({lines(skeleton)}, "
-            f"(l, i) -> array_repeat(i + 1, length(l))))")
+    mark = quote(MARK)
+    repeats = f"length(l) - length(replace(l, {mark}, ''))"
+    return (f"flatten(transform({marked_lines(text, pattern, lead)}, (l, i) -> "
+            f"if(contains(l, {mark}), array_repeat(i + 1, {repeats}), "
+            f"cast(array() as array<int>))))")
 
 
 def matches(text: str, pattern: str, groups: dict[str, int], window: int = 0,
             name: str = "m") -> tuple[str, dict[str, str]]:
     """Array with one struct per match, and the names of its fields for a lambda `name`.
 
-    Fields are `line`, `match`, the named groups and `tail`: the text after the match,
-    `window` characters long. It is taken with a lookahead, so it does not take part
-    in the next match.
+    Fields are `line`, the named groups (group 0 is the match) and, given a `window`,
+    `tail`: that many characters after the match. The tail is taken with a lookahead,
+    so it does not take part in the next match. Every group costs a pass over the text.
     """
     full = pattern
-    wanted = {"match": 0, **groups}
+    wanted = dict(groups)
     if window:
         full = f"(?:{pattern})(?=((?s:.{{0,{window}}})))"
         wanted["tail"] = re.compile(pattern).groups + 1

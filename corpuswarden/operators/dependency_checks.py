@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuswarden.functions import shapes, text as tx
 from corpuswarden.plans.facts import FileColumns, fact, when
 from corpuswarden.plans.scan import as_findings, findings_row
+from corpuswarden.session import sized_join
 
 # Manifests, lockfiles, sections, local references, popular names.
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "Pipfile")
@@ -117,19 +118,22 @@ def registry_missing(deps: DataFrame, registry: DataFrame) -> DataFrame:
         deps.select("ecosystem", "name").distinct()
         .join(registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_anti")
     )
-    return deps.join(unknown, ["ecosystem", "name"], "left_semi").select(*findings_row(
+    return sized_join(deps, unknown, ["ecosystem", "name"], "left_semi").select(*findings_row(
         "'P1'", "manifest", "1",
         "concat(name, ' does not exist on the ', ecosystem, ' registry')", "CONFIRMED"))
 
 
 def typosquat(deps: DataFrame, registry: DataFrame) -> DataFrame:
-    """P2: registered names one edit from a popular one; the popular names are literals."""
-    near = deps.withColumn("popular", F.expr(shapes.one_edit_from("name", POPULAR))).where(
+    """P2: registered names one edit from a popular one.
+
+    Distances are computed once per distinct registered name. The near misses are few
+    and go back to the rows by a size-checked join, as one of them may be a hot key.
+    """
+    likely = shapes.may_be_one_edit_from("name", POPULAR)
+    names = deps.where(f"name <> '' and {likely}").select("ecosystem", "name").distinct().join(
+        registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")
+    near = names.withColumn("popular", F.expr(shapes.one_edit_from("name", POPULAR))).where(
         "popular is not null")
-    known = (
-        near.select("ecosystem", "name").distinct()
-        .join(registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")
-    )
-    return near.join(known, ["ecosystem", "name"], "left_semi").select(*findings_row(
+    return sized_join(deps, near, ["ecosystem", "name"]).select(*findings_row(
         "'P2'", "manifest", "1", "concat(name, ' is one character from ', popular)",
         "SUSPECTED"))

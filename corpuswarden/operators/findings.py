@@ -36,25 +36,25 @@ def _counts(findings: DataFrame, repos: DataFrame | None, column, values) -> Dat
 
 def severity_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Findings per severity, zero-filled; `repos` adds repositories without findings."""
-    return _counts(findings, repos, severity_of(F.col("check_id")), SEVERITIES)
+    return _counts(findings, repos, severity_of(), SEVERITIES)
 
 
 def fix_plan(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    return _counts(findings, repos, fix_class_of(F.col("check_id")), FIX_CLASSES)
+    return _counts(findings, repos, fix_class_of(), FIX_CLASSES)
 
 
 def verdict(findings: DataFrame, repos: DataFrame, confirmed_only: bool = True) -> DataFrame:
     """The release verdict; suspected findings do not count unless asked to."""
     if confirmed_only:
         findings = findings.where("confidence = 'CONFIRMED'")
-    worst = findings.groupBy("repo").agg(F.min(severity_of(F.col("check_id"))).alias("worst"))
+    worst = findings.groupBy("repo").agg(F.min(severity_of()).alias("worst"))
     said = (F.when(F.col("worst") == "P0", "DO NOT SHIP")
             .when(F.col("worst") == "P1", "SHIP WITH CAUTION").otherwise("CLEAR"))
     return repos.select("repo").join(worst, "repo", "left").select("repo", said.alias("verdict"))
 
 
 def _blocks(findings: DataFrame, fail_on: str, only: list[str]) -> DataFrame:
-    severity = severity_of(F.col("check_id"))
+    severity = severity_of()
     blocking = findings.withColumn("severity", severity).where(
         F.col("severity").isNotNull() & (F.col("severity") <= fail_on))
     return blocking.where(F.col("check_id").isin(only)) if only else blocking
@@ -91,7 +91,7 @@ def per_file_collapse(findings: DataFrame) -> DataFrame:
 
 def finding_order(findings: DataFrame) -> DataFrame:
     """Severity, check, file, line; for sinks only."""
-    return findings.withColumn("severity", severity_of(F.col("check_id"))).orderBy(
+    return findings.withColumn("severity", severity_of()).orderBy(
         "severity", "check_id", "file", "line", "repo", "snippet")
 
 
@@ -104,7 +104,7 @@ def _ranked(confirmed: DataFrame, shown: int) -> DataFrame:
 def blocking_top(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
     """The first confirmed P0/P1 findings of each repository and how many more exist."""
     blocking = findings.where("confidence = 'CONFIRMED'").withColumn(
-        "severity", severity_of(F.col("check_id"))).where("severity in ('P0', 'P1')")
+        "severity", severity_of()).where("severity in ('P0', 'P1')")
     totals = blocking.groupBy("repo").agg(F.count("*").alias("total"))
     return _ranked(blocking, shown).join(totals, "repo").select(
         "repo", "place", "severity", "check_id", "file", "line", "snippet",
@@ -116,7 +116,7 @@ def audit_table(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
 
     A key among the blocking rows is not listed again. `part` orders the sections.
     """
-    rated = findings.withColumn("severity", severity_of(F.col("check_id")))
+    rated = findings.withColumn("severity", severity_of())
     confirmed = rated.where("confidence = 'CONFIRMED'")
     columns = ["repo", "check_id", "file", "line", "snippet"]
     lead = _ranked(confirmed, shown).select(*columns, "place")

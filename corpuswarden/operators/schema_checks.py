@@ -37,14 +37,14 @@ def sql_probe(c: FileColumns) -> str:
     secured = (f"transform(array_distinct(regexp_extract_all({c.text}, {tx.regex(ENABLE_RLS)}, 1)),"
                f" t -> {fact('rls', 'lower(t)')})")
 
-    policies, p = tx.matches(c.text, POLICY, {"body": 2}, name="p")
+    policies, p = tx.matches(c.text, POLICY, {"match": 0, "body": 2}, name="p")
     is_open = tx.all_of(tx.matches_regex(p["body"], GRANTS_ALL),
                         tx.matches_regex(p["body"], WRITE_VERB))
     first_line = tx.snippet(f"substring_index({tx.strip(p['match'])}, {tx.quote(chr(10))}, 1)")
     policy_facts = (f"transform(filter({policies}, p -> {is_open}), "
                     f"p -> {fact('gated', tx.quote('D2'), line=p['line'], snippet=first_line)})")
 
-    buckets, b = tx.matches(c.text, PUBLIC_BUCKET, {}, name="b")
+    buckets, b = tx.matches(c.text, PUBLIC_BUCKET, {"match": 0}, name="b")
     bucket = fact("gated", tx.quote("D4"), line=b["line"], snippet=tx.snippet(b["match"], 120))
 
     indexes, i = tx.matches(c.text, CREATE_INDEX, {"table": 1, "columns": 2}, name="i")
@@ -80,7 +80,7 @@ def chain_probe(c: FileColumns) -> str:
     """
     text = f"concat('x', {c.text})"
     pattern = rf"\G{CHAINED_CALL}|{FROM_CALL}"
-    calls, k = tx.matches(text, pattern, {"table": 1}, name="k")
+    calls, k = tx.matches(text, pattern, {"match": 0, "table": 1}, name="k")
     cut = tx.quote(tx.MARK)
     chains = (f"split(array_join(transform(v.calls, k -> if({k['table']} <> '', "
               f"concat({cut}, {k['match']}), {k['match']})), ''), {cut})")

@@ -21,7 +21,7 @@ def pseudonymise(repos: DataFrame) -> DataFrame:
 def repo_runs(findings: DataFrame, stack: DataFrame, file_counts: DataFrame) -> DataFrame:
     """One row per repository from an audit; history checks stay out."""
     counted = findings.where(~F.col("check_id").isin(*HISTORY_CHECKS))
-    per_repo = counted.withColumn("_sev", severity_of(F.col("check_id"))).groupBy("repo").agg(
+    per_repo = counted.withColumn("_sev", severity_of()).groupBy("repo").agg(
         F.array_sort(F.collect_set("check_id")).alias("checks"),
         F.struct(*[F.count_if(F.col("_sev") == s).alias(s) for s in SEVERITIES]).alias("severity"),
         F.count("*").alias("total"))
@@ -57,7 +57,7 @@ def check_prevalence(runs: DataFrame) -> DataFrame:
 
 
 def critical_prevalence(runs: DataFrame) -> DataFrame:
-    return check_prevalence(runs).where(severity_of(F.col("check_id")) == "P0")
+    return check_prevalence(runs).where(severity_of() == "P0")
 
 
 def domain_prevalence(runs: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def segment_report(runs: DataFrame, minimum: int = MIN_SEGMENT, top: int = 10) -
     ).where(f"repos >= {minimum}")
     hits = (
         tagged.select("tag", F.explode(F.array_distinct("checks")).alias("check_id"))
-        .where(severity_of(F.col("check_id")).isin("P0", "P1"))
+        .where(severity_of().isin("P0", "P1"))
         .groupBy("tag", "check_id").agg(F.count("*").alias("n"))
     )
     place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n"), "check_id"))
@@ -174,7 +174,7 @@ def stratified_sample(findings: DataFrame, repos: DataFrame, count: int = 40,
     place = F.row_number().over(Window.partitionBy("check_id").orderBy(
         "draw", "repo", "file", "line", "snippet"))
     return (
-        findings.where(severity_of(F.col("check_id")) == severity)
+        findings.where(severity_of() == severity)
         .join(F.broadcast(chosen), "repo")
         .withColumn("place", place).where(f"place <= {per_check}")
         .select("check_id", "place", "repo", "file", "line",

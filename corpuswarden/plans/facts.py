@@ -101,6 +101,8 @@ def rule_lines(rule: Rule, text: str) -> str:
         return tx.matching_lines(text, rule.pattern, rule.lead, rule.keep_line)
     found, m = tx.matches(text, rule.pattern, rule.groups, rule.window)
     kept = [f"not {tx.matches_regex(m['tail'], guard)}" for guard in rule.guards]
+    if rule.every_guard:
+        kept = [tx.any_of(*kept)]
     if rule.keep_match is not None:
         kept.append(rule.keep_match(m))
     return f"transform(filter({found}, m -> {tx.all_of(*kept)}), m -> {m['line']})"

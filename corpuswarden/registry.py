@@ -122,7 +122,7 @@ SETTING = r"(?:process\.env|os\.getenv\()[.\"']*([A-Z][A-Z0-9_]{2,})"
 @query("rule_matches")
 def rule_matches(spark, sf_dir):
     """Every match with its line, its group and the text after it."""
-    found, m = tx.matches("text", SETTING, {"name": 1}, window=25)
+    found, m = tx.matches("text", SETTING, {"match": 0, "name": 1}, window=25)
     return (
         src.all_files(spark, sf_dir).where(f"text rlike {tx.regex(SETTING)}")
         .select("repo", "rel", F.posexplode(F.expr(found)).alias("place", "m"))

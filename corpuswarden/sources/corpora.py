@@ -36,11 +36,11 @@ REPO = "if(g % 3 = 0, 'r0', concat('r', g))"
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 32 events become files, groups of 16 files become repositories."""
     count = len(tpl.LINES)
-    numbered = table(spark, sf_dir, "events").selectExpr(
+    blocks = table(spark, sf_dir, "events").selectExpr(
         "event_id", f"event_id div {tpl.LINES_PER_FILE} as b",
         f"event_id div {tpl.LINES_PER_FILE * tpl.FILES_PER_GROUP} as g",
-        "md5(cast(event_id as string)) as h",
     )
+    numbered = spread(blocks, "b").withColumn("h", F.expr("md5(cast(event_id as string))"))
     line = _fill(
         _pick(tpl.LINES, f"pmod(event_id * {tpl.STRIDE} + b * 13, {count})"),
         {
@@ -222,7 +222,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_id", "value", f"{check} as check_id")
     per_user = rows.groupBy("user_id").agg(
         F.expr("array_sort(collect_set(if(check_id in ('H1', 'S4'), null, check_id)))").alias("checks"),
-        F.struct(*[F.count_if((severity_of(F.col("check_id")) == s)
+        F.struct(*[F.count_if((severity_of() == s)
                               & ~F.col("check_id").isin("H1", "S4")).alias(s)
                    for s in SEVERITIES]).alias("severity"),
         F.count_if(~F.col("check_id").isin("H1", "S4")).alias("total"),

@@ -65,11 +65,11 @@ F = f"WITH {CATALOG}, {REPOS}, {found('f')}, rated AS (SELECT * FROM f JOIN cata
 TWO = f"WITH {CATALOG}, {found('prev', PREV)}, {found('cur', CUR)}"
 
 SEVERITY_SUMS = ", ".join(
-    f"count_if(severity = '{s}' AND check_id NOT IN ('H1', 'S4')) AS {s.lower()}"
+    f"count(CASE WHEN severity = '{s}' AND check_id NOT IN ('H1', 'S4') THEN 1 END) AS {s.lower()}"
     for s in ("P0", "P1", "P2", "P3"))
 RUNS = f"""WITH {CATALOG},
 per_user AS (SELECT user_id, list_sort(list(DISTINCT check_id) FILTER (WHERE check_id NOT IN ('H1', 'S4'))) AS checks,
-  {SEVERITY_SUMS}, count_if(check_id NOT IN ('H1', 'S4')) AS total,
+  {SEVERITY_SUMS}, count(CASE WHEN check_id NOT IN ('H1', 'S4') THEN 1 END) AS total,
   max(event_id % 50 + 1) AS files, max(value) AS seconds
   FROM (SELECT *, {EVENT_CHECK} AS check_id FROM events) JOIN catalog USING (check_id) GROUP BY user_id),
 runs AS (SELECT user_id % 11 <> 0 AS ok,
@@ -184,7 +184,7 @@ QUERIES = {
     "server_path": f"WITH {ALL} SELECT repo, rel, {holds(SERVER)} AS on_server FROM all_files",
     "rule_scan": f"WITH {ALL}, {rule_findings([r[0] for r in RULES])} SELECT * FROM rule_findings",
     "severity_counts": f"""WITH {ALL}, {CATALOG}, {rule_findings([r[0] for r in RULES])}
-        SELECT repo, {', '.join(f"count_if(severity = '{s}') AS {s}" for s in ('P0', 'P1', 'P2', 'P3'))}
+        SELECT repo, {', '.join(f"count(CASE WHEN severity = '{s}' THEN 1 END) AS {s}" for s in ('P0', 'P1', 'P2', 'P3'))}
         FROM rule_findings JOIN catalog USING (check_id) GROUP BY repo""",
 
     # dependencies and history
@@ -228,9 +228,9 @@ QUERIES = {
           SELECT 's' || l_suppkey AS repo, {_pick(src.EVENT_CHECKS, f'l_partkey % {len(src.EVENT_CHECKS)}')} AS check_id,
                  'f' || (l_partkey % 5) AS file, l_quantity::INTEGER AS line, l_linenumber AS rule,
                  l_orderkey AS off, l_returnflag || l_linestatus AS snippet FROM lineitem)) WHERE k = 1""",
-    "severity_counts_filled": f"""{F} SELECT repo, {', '.join(f"count_if(severity = '{s}') AS {s}" for s in ('P0', 'P1', 'P2', 'P3'))}
+    "severity_counts_filled": f"""{F} SELECT repo, {', '.join(f"count(CASE WHEN severity = '{s}' THEN 1 END) AS {s}" for s in ('P0', 'P1', 'P2', 'P3'))}
         FROM repos LEFT JOIN rated USING (repo) GROUP BY repo""",
-    "fix_plan": f"""{F} SELECT repo, {', '.join(f"count_if(fix_class = '{s}') AS {s}" for s in ('auto', 'assisted', 'manual'))}
+    "fix_plan": f"""{F} SELECT repo, {', '.join(f"count(CASE WHEN fix_class = '{s}' THEN 1 END) AS {s}" for s in ('auto', 'assisted', 'manual'))}
         FROM repos LEFT JOIN rated USING (repo) GROUP BY repo""",
     "verdict": f"""{F} SELECT repo, CASE min(severity) WHEN 'P0' THEN 'DO NOT SHIP' WHEN 'P1' THEN 'SHIP WITH CAUTION'
           ELSE 'CLEAR' END AS verdict
@@ -269,14 +269,14 @@ QUERIES = {
         FROM o FULL JOIN n USING (repo, check_id, file, line)""",
     "diff_counts": f"""{TWO}, o AS (SELECT DISTINCT repo, check_id, file, line, 1 AS p FROM prev),
         n AS (SELECT DISTINCT repo, check_id, file, line, 1 AS c FROM cur)
-        SELECT repo, count_if(p IS NULL) AS new, count_if(c IS NULL) AS fixed,
-               count_if(p = 1 AND c = 1) AS unchanged
+        SELECT repo, count(CASE WHEN p IS NULL THEN 1 END) AS new, count(CASE WHEN c IS NULL THEN 1 END) AS fixed,
+               count(CASE WHEN p = 1 AND c = 1 THEN 1 END) AS unchanged
         FROM o FULL JOIN n USING (repo, check_id, file, line) GROUP BY repo""",
     "recall_precision": f"""{TWO}, w AS (SELECT DISTINCT repo, check_id, true AS w FROM prev),
         h AS (SELECT DISTINCT repo, check_id, true AS h FROM cur WHERE check_id NOT IN ('O3', 'T2', 'H8'))
-        SELECT repo, count(w) AS expected, count_if(w AND h) AS hit, count_if(w AND h IS NULL) AS missed,
-               count_if(w IS NULL) AS unexpected,
-               CASE WHEN count(w) > 0 THEN count_if(w AND h)::DOUBLE / count(w) END AS recall
+        SELECT repo, count(w) AS expected, count(CASE WHEN w AND h THEN 1 END) AS hit, count(CASE WHEN w AND h IS NULL THEN 1 END) AS missed,
+               count(CASE WHEN w IS NULL THEN 1 END) AS unexpected,
+               CASE WHEN count(w) > 0 THEN count(CASE WHEN w AND h THEN 1 END)::DOUBLE / count(w) END AS recall
         FROM w FULL JOIN h USING (repo, check_id) GROUP BY repo""",
     "site_recall": f"""{TWO} SELECT repo, check_id, bool_or(hit IS NOT NULL) AS on_site
         FROM (SELECT DISTINCT repo, check_id, file FROM prev)
@@ -290,16 +290,16 @@ QUERIES = {
     "domain_prevalence": f"""{RUNS} SELECT domain, repos, 100.0::DOUBLE * repos / n AS pct FROM (
         SELECT domain, count(*) AS repos FROM (SELECT DISTINCT id, left(check_id, 1) AS domain
           FROM (SELECT id, unnest(checks) AS check_id FROM done)) GROUP BY 1), n""",
-    "corpus_summary": f"""{RUNS} SELECT count(*) AS repos_attempted, count_if(ok) AS repos_scanned,
-        count_if(NOT ok) AS repos_failed, (sum(files) FILTER (WHERE ok))::BIGINT AS files_scanned,
+    "corpus_summary": f"""{RUNS} SELECT count(*) AS repos_attempted, count(CASE WHEN ok THEN 1 END) AS repos_scanned,
+        count(CASE WHEN NOT ok THEN 1 END) AS repos_failed, (sum(files) FILTER (WHERE ok))::BIGINT AS files_scanned,
         avg(total) FILTER (WHERE ok) AS mean_findings,
-        100.0::DOUBLE * count_if(ok AND p0 > 0) / count_if(ok) AS pct_with_p0,
+        100.0::DOUBLE * count(CASE WHEN ok AND p0 > 0 THEN 1 END) / count(CASE WHEN ok THEN 1 END) AS pct_with_p0,
         {', '.join(f'(sum({s}) FILTER (WHERE ok))::BIGINT AS total_{s}' for s in ('p0', 'p1', 'p2', 'p3'))},
         median(total) FILTER (WHERE ok) AS median_findings, median(p0) FILTER (WHERE ok) AS median_p0,
         median(seconds) FILTER (WHERE ok) AS median_seconds FROM runs""",
     "stack_counts": f"{RUNS} SELECT * FROM tags",
     "segment_report": f"""{RUNS}, seg AS (SELECT unnest(stack) AS tag, p0, checks FROM done),
-        sized AS (SELECT tag, count(*) AS repos, count_if(p0 > 0) AS critical FROM seg
+        sized AS (SELECT tag, count(*) AS repos, count(CASE WHEN p0 > 0 THEN 1 END) AS critical FROM seg
                   WHERE tag IN ('supabase', 'firebase', 'nextjs', 'express') GROUP BY tag HAVING count(*) >= 10),
         seg_hits AS (SELECT tag, check_id, count(*) AS n FROM (SELECT tag, unnest(checks) AS check_id FROM seg)
                      JOIN catalog USING (check_id) WHERE severity IN ('P0', 'P1') GROUP BY 1, 2)
@@ -311,8 +311,8 @@ QUERIES = {
     "most_common_checks": f"""{RUNS}
         SELECT 'check' AS list, check_id AS name, repos FROM (SELECT * FROM hits ORDER BY repos DESC, check_id LIMIT 25)
         UNION ALL SELECT 'stack', tag, repos FROM (SELECT * FROM tags ORDER BY repos DESC, tag LIMIT 12)""",
-    "sample_accounting": f"""{RUNS} SELECT 40 AS requested, count(*) AS attempted, count_if(ok) AS scanned,
-        count_if(NOT ok) AS failed FROM (SELECT * FROM runs ORDER BY md5('99:' || id), id LIMIT 40)""",
+    "sample_accounting": f"""{RUNS} SELECT 40 AS requested, count(*) AS attempted, count(CASE WHEN ok THEN 1 END) AS scanned,
+        count(CASE WHEN NOT ok THEN 1 END) AS failed FROM (SELECT * FROM runs ORDER BY md5('99:' || id), id LIMIT 40)""",
     "pseudonymise": f"WITH {REPOS} SELECT left(sha256(repo), 12) AS repo FROM repos",
     "stratified_sample": f"""{F}, chosen AS (SELECT repo, {SAMPLE_DRAW} AS draw FROM repos ORDER BY draw, repo LIMIT 400)
         SELECT check_id, place::INTEGER AS place, repo, file, line, left(snippet, 160) AS snippet FROM (
@@ -320,8 +320,8 @@ QUERIES = {
           FROM rated JOIN chosen USING (repo) WHERE severity = 'P0') WHERE place <= 10""",
     "repo_runs": f"""{F} SELECT true AS ok, left(sha256(repo), 12) AS id,
         coalesce(string_agg(DISTINCT check_id, '; ' ORDER BY check_id) FILTER (WHERE counted), '') AS checks,
-        {', '.join(f"count_if(counted AND severity = '{s}') AS {s}" for s in ('P0', 'P1', 'P2', 'P3'))},
-        count_if(counted) AS total, any_value(length(repo)) AS files, left(repo, 1) AS stack
+        {', '.join(f"count(CASE WHEN counted AND severity = '{s}' THEN 1 END) AS {s}" for s in ('P0', 'P1', 'P2', 'P3'))},
+        count(CASE WHEN counted THEN 1 END) AS total, any_value(length(repo)) AS files, left(repo, 1) AS stack
         FROM (SELECT *, check_id NOT IN ('H1', 'S4') AS counted FROM repos LEFT JOIN rated USING (repo)) GROUP BY repo""",
     "exact_median": "SELECT median(l_extendedprice) AS median FROM lineitem",
     "stream_rule_scan": f"""WITH {CODE}, {rule_findings([r[0] for r in RULES], 'code_files')}
