@@ -120,8 +120,8 @@ def may_be_one_edit_from(name: str, words) -> str:
     forms = sorted({w[:i] + w[i + 1:] for w in words for i in range(len(w))} | set(words))
     listed = ", ".join(quote(f) for f in forms)
     shorter = f"concat(left({name}, i - 1), substring({name}, i + 1))"
-    return (f"({name} in ({listed}) or exists(sequence(1, length({name})), "
-            f"i -> {shorter} in ({listed})))")
+    return (f"({name} in ({listed}) or ({name} <> '' and exists(sequence(1, length({name})), "
+            f"i -> {shorter} in ({listed}))))")
 
 
 def one_edit_from(name: str, words) -> str:

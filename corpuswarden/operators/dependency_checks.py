@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuswarden.functions import shapes, text as tx
 from corpuswarden.plans.facts import FileColumns, fact, when
 from corpuswarden.plans.scan import as_findings, findings_row
-from corpuswarden.session import sized_join
+from corpuswarden.session import sized_join, write_once
 
 # Manifests, lockfiles, sections, local references, popular names.
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "Pipfile")
@@ -126,11 +126,14 @@ def registry_missing(deps: DataFrame, registry: DataFrame) -> DataFrame:
 def typosquat(deps: DataFrame, registry: DataFrame) -> DataFrame:
     """P2: registered names one edit from a popular one.
 
-    Distances are computed once per distinct registered name. The near misses are few
-    and go back to the rows by a size-checked join, as one of them may be a hot key.
+    Distances are computed once per distinct registered name; the names are written
+    first, as Catalyst would move the test back below the distinct and run it per row.
+    The near misses are few and go back to the rows by a size-checked join, as one of
+    them may be a hot key.
     """
     likely = shapes.may_be_one_edit_from("name", POPULAR)
-    names = deps.where(f"name <> '' and {likely}").select("ecosystem", "name").distinct().join(
+    declared = write_once(deps.select("ecosystem", "name").distinct())
+    names = declared.where(likely).join(
         registry.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")
     near = names.withColumn("popular", F.expr(shapes.one_edit_from("name", POPULAR))).where(
         "popular is not null")

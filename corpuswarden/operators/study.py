@@ -133,7 +133,7 @@ def segment_report(runs: DataFrame, minimum: int = MIN_SEGMENT, top: int = 10) -
     ).where(f"repos >= {minimum}")
     hits = (
         tagged.select("tag", F.explode(F.array_distinct("checks")).alias("check_id"))
-        .where(severity_of().isin("P0", "P1"))
+        .where(severity_of().isin("P0", "P1") & ~F.col("check_id").isin(*HISTORY_CHECKS))
         .groupBy("tag", "check_id").agg(F.count("*").alias("n"))
     )
     place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n"), "check_id"))

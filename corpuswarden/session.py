@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def build_session(cores: str = "*", shuffle_partitions: int = 8, **settings) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own settings."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corpus-audit")
         .config("spark.ui.enabled", "false")
@@ -22,20 +22,31 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
+
+
+_OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables that must outlive a lost executor."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for intermediate tables that must outlive a lost executor.
+
+    It is the one the cluster names in `spark.checkpoint.dir`. Only a local session
+    that names none gets a folder of its own.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
+        "spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="corpus-audit-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="corpus-audit-")
+    return _OWN_DIRS[context.applicationId]
 
 
 def write_once(df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -43,14 +54,16 @@ def write_once(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
     The result is read many times by the relational checks. A written table keeps
     the costly text pass from running again, survives lost executors, and gives
-    Catalyst true sizes for its join choices.
+    Catalyst true sizes for its join choices. Before a partitioned write the rows are
+    rebalanced on the partition column: AQE sizes the files and splits a hot value, so
+    there are not as many files as tasks times values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

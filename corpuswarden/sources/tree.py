@@ -72,7 +72,7 @@ def skipped_files(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return classify(raw, max_bytes).where("reason is not null").select("repo", "rel", "reason")
 
 
-def file_cap(files: DataFrame, limit: int = MAX_FILES, salts: int = 64) -> DataFrame:
+def file_cap(files: DataFrame, limit: int = MAX_FILES, salts: int = 256) -> DataFrame:
     """The first `limit` paths of each repository.
 
     Only repositories over the limit are ranked, on their paths alone. Each of a
