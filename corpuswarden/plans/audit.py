@@ -51,8 +51,15 @@ def corpus_facts(files: DataFrame) -> DataFrame:
     return write_once(extract(files, *PROBES), partition_by="kind")
 
 
-def detector_findings(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings of all checks that look at more than one line."""
+def detector_findings(facts: DataFrame, files: DataFrame,
+                      paths: DataFrame | None = None) -> DataFrame:
+    """Findings of all checks that look at more than one line.
+
+    `paths` is every (repo, rel), ignored files included; without it the scanned files
+    stand for the tree.
+    """
+    if paths is None:
+        paths = facts.where("kind = 'file'").select("repo", "rel")
     flags = project_checks.repo_flags(facts)
     local = facts.where("kind = 'local'")
     confirmed = F.col("a").isin(*CONFIRMED_LOCAL)
@@ -64,7 +71,7 @@ def detector_findings(facts: DataFrame, files: DataFrame) -> DataFrame:
         schema_checks.permissive_policy(facts),
         schema_checks.public_bucket(facts),
         schema_checks.unindexed_filter(facts),
-        dependency_checks.no_lockfile(facts.where("kind = 'file'").select("repo", "rel")),
+        dependency_checks.no_lockfile(paths),
         project_checks.no_error_boundary(flags),
         project_checks.no_headers(flags),
         project_checks.no_tracker(flags),
@@ -80,7 +87,8 @@ def detector_findings(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 def findings_all(files: DataFrame, facts: DataFrame | None = None,
                  commits: DataFrame | None = None,
-                 added_paths: DataFrame | None = None) -> DataFrame:
+                 added_paths: DataFrame | None = None,
+                 paths: DataFrame | None = None) -> DataFrame:
     """Rule findings, with O3 collapsed per file, united with detector findings.
 
     History checks take part when the history tables are given.
@@ -89,7 +97,7 @@ def findings_all(files: DataFrame, facts: DataFrame | None = None,
     rules = as_findings(facts.where("kind = 'rule'"))
     parts = [
         rules.where("check_id <> 'O3'"), per_file_collapse(rules),
-        config_checks.env_undocumented(facts), detector_findings(facts, files),
+        config_checks.env_undocumented(facts), detector_findings(facts, files, paths),
     ]
     if commits is not None:
         repos = facts.where("kind = 'file'").select("repo")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuswarden.catalog import CHECK_IDS
 from corpuswarden.functions import text as tx
 from corpuswarden.operators.findings import catalog_enrich
-from corpuswarden.schema import CONFIDENCES, FINDINGS, SCHEMA_VERSION
+from corpuswarden.schema import CONFIDENCES, FINDINGS, REPO_RUNS, SCHEMA_VERSION
 
 
 def findings_sink(findings: DataFrame) -> DataFrame:
@@ -56,3 +56,34 @@ def notes_append(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(added, "repo", "full").select(
         "repo", F.array_distinct(F.concat(
             F.coalesce("notes", nothing), F.coalesce("added", nothing))).alias("notes"))
+
+
+DOCUMENT = (
+    "schemaVersion int, coverage struct<scanned_files:bigint,skipped:array<string>,"
+    "notes:array<string>,stack:array<string>>, findings array<struct<check_id:string,"
+    "file:string,line:int,snippet:string,confidence:string,evidence:string>>"
+)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Findings documents, one JSON file per repository, named after it."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)[.]json$", 1)
+    return (
+        spark.read.schema(DOCUMENT).option("multiLine", "true").json(path)
+        .withColumn("repo", F.url_decode(name))
+    )
+
+
+def document_findings(documents: DataFrame) -> DataFrame:
+    """The findings of stored documents, with the defaults for what is missing."""
+    rows = documents.select("repo", F.explode("findings").alias("f")).select("repo", "f.*")
+    return findings_load(rows)
+
+
+def document_coverage(documents: DataFrame) -> DataFrame:
+    return documents.select("repo", "coverage.*")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A log of scan results, one JSON line per repository."""
+    return spark.read.schema(REPO_RUNS).json(path)

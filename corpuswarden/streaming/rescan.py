@@ -37,15 +37,15 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def stream_rule_scan(files: DataFrame, out: str, state: str, checks=None) -> StreamingQuery:
     """Scan every arriving file once and add its findings to `out`.
 
-    The rules look at one file at a time, so the stream keeps no state at all: each
-    micro-batch is scanned and written under its batch number.
+    The rules look at one file at a time, so the scan is a projection of the stream and
+    keeps no state. Each micro-batch is written under its batch number.
     """
     def add(batch: DataFrame, number: int) -> None:
-        rule_scan(batch, checks).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
-        files.writeStream.foreachBatch(add).option("checkpointLocation", state)
-        .trigger(availableNow=True).start()
+        rule_scan(files, checks).writeStream.foreachBatch(add)
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
 
 
@@ -55,6 +55,6 @@ def replay(files: DataFrame, checks=None) -> DataFrame:
     base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     files.write.parquet(f"{base}/in")
     running = stream_rule_scan(
-        read_batches(spark, f"{base}/in", 4), f"{base}/out", f"{base}/state", checks)
+        read_batches(spark, f"{base}/in", 8), f"{base}/out", f"{base}/state", checks)
     running.awaitTermination()
     return stored(spark, f"{base}/out")

@@ -197,6 +197,24 @@ def test_sink_and_load(spark, findings, tmp_path):
         io.findings_sink(findings(("a", "Q9", "x", 1))).collect()
 
 
+def test_stored_documents_and_logs(spark, tmp_path):
+    import json
+    (tmp_path / "docs").mkdir()
+    document = {"schemaVersion": 1, "coverage": {"scanned_files": 3, "skipped": [], "notes": ["n"],
+                                                 "stack": ["npm"]},
+                "findings": [{"check_id": "S1", "file": "x", "line": 2, "snippet": "s",
+                              "severity": "P0", "title": "t"}]}
+    (tmp_path / "docs" / "app.json").write_text(json.dumps(document, indent=2))
+    docs = io.read_documents(spark, str(tmp_path / "docs"))
+    assert tuple(io.document_findings(docs).first()) == ("app", "S1", "x", 2, "s", "SUSPECTED", "")
+    assert io.document_coverage(docs).first().scanned_files == 3
+    (tmp_path / "log.jsonl").write_text(
+        '{"ok": true, "id": "a", "checks": ["S1"], "severity": {"P0": 1, "P1": 0, "P2": 0, "P3": 0},'
+        ' "total": 1, "files": 2, "stack": [], "seconds": 1.5}\n{"ok": false, "reason": "clone-failed"}\n')
+    row = study.corpus_summary(io.read_runs(spark, str(tmp_path / "log.jsonl"))).first()
+    assert (row.repos_scanned, row.repos_failed, row.median_seconds) == (1, 1, 1.5)
+
+
 def test_notes_are_added_once(spark):
     old = spark.createDataFrame([("a", ["x", "y"])], "repo string, notes array<string>")
     new = spark.createDataFrame([("a", "y"), ("a", "z"), ("b", "w")], "repo string, note string")
