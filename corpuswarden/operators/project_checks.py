@@ -82,33 +82,48 @@ def repo_flags(facts: DataFrame) -> DataFrame:
           for f in FLAGS])
 
 
-def _absence(flags: DataFrame, condition: str, check: str, file: str, text: str) -> DataFrame:
-    return flags.where(condition).select(
-        *findings_row(f"'{check}'", file, "1", tx.quote(text), "CONFIRMED"))
+# What each missing property is reported as.
+ABSENCE = {
+    "R1": ("react and not boundary", "'src'",
+           "no error boundary, error.tsx, or errorElement anywhere in the tree"),
+    "X2": ("web and not headers", "if(next_config, 'next.config.js', '.')",
+           "no CSP, HSTS, or X-Frame-Options configured anywhere"),
+    "O4": ("web and not tracker", "'.'", "no error tracking integration found"),
+    "O5": ("web and not health", "'.'", "no health check endpoint found"),
+    "T3": ("not ci", "'.'", "no CI workflow found"),
+}
+
+
+def absence_findings(flags: DataFrame, *wanted: str) -> DataFrame:
+    """Properties a repository lacks, all from one row of flags."""
+    missing = []
+    for check in wanted or ABSENCE:
+        condition, file, text = ABSENCE[check]
+        missing.append(f"if({condition}, named_struct('check', '{check}', 'file', {file}, "
+                       f"'text', {tx.quote(text)}), null)")
+    listed = f"filter(array({', '.join(missing)}), m -> m is not null)"
+    return flags.select("repo", F.explode(F.expr(listed)).alias("m")).select(
+        *findings_row("m.check", "m.file", "1", "m.text", "CONFIRMED"))
 
 
 def no_error_boundary(flags: DataFrame) -> DataFrame:
-    return _absence(flags, "react and not boundary", "R1", "'src'",
-                    "no error boundary, error.tsx, or errorElement anywhere in the tree")
+    return absence_findings(flags, "R1")
 
 
 def no_headers(flags: DataFrame) -> DataFrame:
-    return _absence(flags, "web and not headers", "X2",
-                    "if(next_config, 'next.config.js', '.')",
-                    "no CSP, HSTS, or X-Frame-Options configured anywhere")
+    return absence_findings(flags, "X2")
 
 
 def no_tracker(flags: DataFrame) -> DataFrame:
-    return _absence(flags, "web and not tracker", "O4", "'.'",
-                    "no error tracking integration found")
+    return absence_findings(flags, "O4")
 
 
 def no_health(flags: DataFrame) -> DataFrame:
-    return _absence(flags, "web and not health", "O5", "'.'", "no health check endpoint found")
+    return absence_findings(flags, "O5")
 
 
 def no_ci(flags: DataFrame) -> DataFrame:
-    return _absence(flags, "not ci", "T3", "'.'", "no CI workflow found")
+    return absence_findings(flags, "T3")
 
 
 def _quoted(value: str) -> str:

@@ -117,9 +117,9 @@ def rls_missing(facts: DataFrame) -> DataFrame:
         "concat('create table ', a, ' ... (row level security never enabled)')", "CONFIRMED"))
 
 
-def gated(facts: DataFrame, check: str) -> DataFrame:
-    """D2 or D4 findings of the repositories the checks apply to."""
-    found = facts.where(F.col("kind").eqNullSafe("gated") & (F.col("a") == check))
+def gated(facts: DataFrame, *checks: str) -> DataFrame:
+    """Findings of the named checks in the repositories they apply to."""
+    found = facts.where((F.col("kind") == "gated") & F.col("a").isin(*checks))
     return as_findings(found.join(uses_supabase(facts), "repo", "left_semi"), "CONFIRMED")
 
 

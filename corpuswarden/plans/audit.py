@@ -61,28 +61,26 @@ def detector_findings(facts: DataFrame, files: DataFrame,
     if paths is None:
         paths = facts.where("kind = 'file'").select("repo", "rel")
     flags = project_checks.repo_flags(facts)
-    local = facts.where("kind = 'local'")
-    confirmed = F.col("a").isin(*CONFIRMED_LOCAL)
-    parts = [
-        as_findings(local.where(confirmed), "CONFIRMED"),
-        as_findings(local.where(~confirmed), "SUSPECTED"),
+    return _union([
+        local_findings(facts),
         config_checks.secret_file_unignored(facts),
         schema_checks.rls_missing(facts),
-        schema_checks.permissive_policy(facts),
-        schema_checks.public_bucket(facts),
+        schema_checks.gated(facts, "D2", "D4"),
         schema_checks.unindexed_filter(facts),
         dependency_checks.no_lockfile(paths),
-        project_checks.no_error_boundary(flags),
-        project_checks.no_headers(flags),
-        project_checks.no_tracker(flags),
-        project_checks.no_health(flags),
+        project_checks.absence_findings(flags),
         project_checks.no_tests(flags, facts),
-        project_checks.no_ci(flags),
         structure.name_families(facts),
         structure.orphan_modules(facts),
         structure.clone_blocks(files),
-    ]
-    return _union(parts)
+    ])
+
+
+def local_findings(facts: DataFrame) -> DataFrame:
+    """Findings that one file settles by itself."""
+    confirmed = F.col("check_id").isin(*CONFIRMED_LOCAL)
+    return as_findings(facts.where("kind = 'local'")).withColumn(
+        "confidence", F.when(confirmed, "CONFIRMED").otherwise("SUSPECTED"))
 
 
 def findings_all(files: DataFrame, facts: DataFrame | None = None,
