@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.corpora import ALL, CODE, lit
-from oracle.rules import (
+from corpuswarden.duck.corpora import ALL, CODE, lit
+from corpuswarden.duck.rules import (
     JS, PY, RULES, ends, is_test, line_of, located, re_hit, rule_findings, strip,
 )
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from corpuswarden.catalog import CHECKS
 from corpuswarden.sources import corpora as src
-from oracle.corpora import ALL, CODE, DOCS, _fill, _pick, lit
-from oracle.detectors import LINES, WEB, flags, names
-from oracle.rules import (
+from corpuswarden.duck.corpora import ALL, CODE, DOCS, _fill, _pick, lit
+from corpuswarden.duck.detectors import LINES, WEB, flags, names
+from corpuswarden.duck.rules import (
     CREDENTIAL, CODECFG, DOCS as DOC_SUFFIXES, EXAMPLE, JS, PY, ROLE, RULES, SERVER, TP, VARIABLE,
     ends, holds, is_test, line_of, located, re_hit, rule_findings, sensitive, strip,
 )
