@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuswarden.llm import decontaminate, license_scan, simhash
+from corpuswarden.llm import decontaminate, license_scan, prefix_bpe, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.report(table(spark, sf_dir, "documents"),
+                             public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
+
+
 QUERIES = {query.__name__: query for query in (
-    op1_decontamination, op3_license_scan, op8_simhash)}
+    op1_decontamination, op3_license_scan, op8_simhash, op9_secrets, op10_prefix_bpe)}
 
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
