@@ -7,6 +7,15 @@ from collections.abc import Callable
 import regex
 
 LIMIT = 400_000  # pieces a cache holds at most
+# White space other than the plain space and the line break.
+ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def _plain(text: str) -> bool:
+    """Whether words are separated by single spaces or line breaks and by nothing else."""
+    return bool(text) and not (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text
+        or "\n\n" in text or any(space in text for space in ODD_SPACES))
 
 
 class Pieces(dict):
@@ -46,7 +55,7 @@ class TextEncoder:
         return b"".join(map(self.matches.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
-        if text.replace("\n", " ").split(" ") != text.split():
+        if not _plain(text):
             return b"".join(map(self.matches.__getitem__, self.find(text)))
         rest, out = self.rest.__getitem__, []
         for line in text.split("\n"):

@@ -54,7 +54,7 @@ CANDIDATE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+
 ALLOWED = (
     re.compile(rb"[^0-9]*"),
     re.compile(rb"[0-9+/_=-]*"),
-    re.compile(rb"[A-Za-z]+[0-9]{0,4}([-_=][A-Za-z0-9]{0,11}|[-_=][A-Za-z]+)+"),
+    re.compile(rb"[A-Za-z]+[0-9]{0,4}([-_=]([A-Za-z]+[0-9]{0,4}|[0-9]{0,8}))+"),
     re.compile(rb"/?([a-z0-9_=-]*/)+[a-z0-9_=-]*"),
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(rb"sha(1|256|384|512)-.*"),
