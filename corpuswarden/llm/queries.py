@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuswarden.llm import (
-    decontaminate, license_scan, prefix_bpe, secrets, simhash, token_files)
+    chunk_dedup, decontaminate, license_scan, prefix_bpe, secrets, simhash, token_files)
 from corpuswarden.session import shared_dir
 
 
@@ -31,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(spark, target)
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_decontamination, op3_license_scan, op4_token_files, op8_simhash, op9_secrets, op10_prefix_bpe)}
+    op1_decontamination, op3_license_scan, op4_token_files, op5_chunk_dedup, op8_simhash, op9_secrets, op10_prefix_bpe)}
 
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
