@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuswarden.llm import (
-    chunk_dedup, decontaminate, license_scan, prefix_bpe, secrets, simhash, token_files)
+    chunk_dedup, decontaminate, license_scan, prefix_bpe, quality, secrets, simhash,
+    token_files, toxicity)
 from corpuswarden.session import shared_dir
 
 
@@ -20,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,10 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +59,6 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_decontamination, op3_license_scan, op4_token_files, op5_chunk_dedup, op8_simhash, op9_secrets, op10_prefix_bpe)}
+    op1_decontamination, op2_toxicity, op3_license_scan, op4_token_files, op5_chunk_dedup, op6_quality, op8_simhash, op9_secrets, op10_prefix_bpe)}
 
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
