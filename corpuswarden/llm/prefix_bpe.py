@@ -217,32 +217,38 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): a text is encoded and its ids decoded.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, ids): a text is encoded and its ids decoded.
 
-    Ids and decoded bytes stay in the task that made them.
+    The decoded bytes, and without `with_ids` the ids, stay in the task that made them.
     """
     rows = _rows(docs, id_col, text_col)
 
     def run(batches):
         encoder, coder = encoder_of(path, pattern), coder_of(path)
         for batch in batches:
-            n, ids_sha, decoded_sha = [], [], []
+            n, ids_sha, decoded_sha, kept = [], [], [], []
             for text in batch.column("text"):
                 packed = encoder.encode(text.as_py())
                 n.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 decoded = coder.decode(np.frombuffer(packed, "<u4").tolist())
                 decoded_sha.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                kept.append(packed)
+            columns = {"id": batch.column("id"), "n_tokens": pa.array(n, pa.int64()),
+                       "ids_sha256": pa.array(ids_sha, pa.string()),
+                       "decoded_sha256": pa.array(decoded_sha, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(n)), pa.int32()),
+                    pa.array(np.frombuffer(b"".join(kept), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                           + ", ids array<int>" * with_ids)
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return digests(docs, path, pattern).withColumnRenamed("id", "doc_id")
+    return round_trip(docs, path, pattern, with_ids=False).withColumnRenamed("id", "doc_id")

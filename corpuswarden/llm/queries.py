@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuswarden.llm import (
-    chunk_dedup, decontaminate, license_scan, prefix_bpe, quality, secrets, simhash,
+    chunk_dedup, decontaminate, license_scan, nn_graph, prefix_bpe, quality, secrets, simhash,
     token_files, toxicity)
 from corpuswarden.session import shared_dir
 
@@ -44,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_graph.report(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,6 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_decontamination, op2_toxicity, op3_license_scan, op4_token_files, op5_chunk_dedup, op6_quality, op8_simhash, op9_secrets, op10_prefix_bpe)}
+    op1_decontamination, op2_toxicity, op3_license_scan, op4_token_files, op5_chunk_dedup, op6_quality, op7_neighbours, op8_simhash, op9_secrets, op10_prefix_bpe)}
 
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE}
