@@ -49,6 +49,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
     symbols = np.insert(ids.astype(dtype), ends, border)
     rules = np.zeros((0, 2), dtype=dtype)
     wide, shift = (np.uint32, 16) if dtype == np.uint16 else (np.uint64, 32)
+    size = (1 << HASH_BITS) + 1  # the last cell takes the pairs across an end
     for _ in range(ROUNDS):
         room = min(RULES_A_ROUND, border - vocabulary - len(rules))
         if room <= 0 or len(symbols) < 2:
@@ -56,17 +57,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
         pairs = symbols[:-1].astype(wide) << wide(shift) | symbols[1:]
         cells = (pairs.astype(np.uint32) ^ (pairs >> wide(shift)).astype(np.uint32)
                  ) * np.uint32(MULTIPLIER) >> np.uint32(32 - HASH_BITS)
-        cells[(symbols[:-1] == border) | (symbols[1:] == border)] = 0
-        kept = np.zeros(1 << HASH_BITS, dtype=wide)
+        cells[(symbols[:-1] == border) | (symbols[1:] == border)] = size - 1
+        kept = np.zeros(size, dtype=wide)
         kept[cells] = pairs
         same = np.flatnonzero(kept[cells] == pairs)
-        counts = np.bincount(cells[same], minlength=1 << HASH_BITS)
-        counts[0] = 0
+        counts = np.bincount(cells[same], minlength=size)
+        counts[-1] = 0
         best = np.flatnonzero(counts >= LEAST_COUNT)
         best = best[np.argsort(-counts[best], kind="stable")][:room]
         if not len(best):
             break
-        made = np.zeros(1 << HASH_BITS, dtype=dtype)
+        made = np.zeros(size, dtype=dtype)
         made[best] = vocabulary + len(rules) + np.arange(len(best))
         first = made[cells[same]]
         at, new = same[first > 0], first[first > 0]
