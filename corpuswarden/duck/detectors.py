@@ -68,13 +68,13 @@ flags AS (SELECT repo, bool_or({SUPABASE}) AS supabase, bool_or({WEB}) AS web,
 
 ABSENCE = {
     "no_error_boundary": ("R1", "react AND NOT boundary", "'src'",
-                          "no error boundary, error.tsx, or errorElement anywhere in the tree"),
+                          "rendering errors are caught nowhere"),
     "no_headers": ("X2", "web AND NOT headers",
                    "CASE WHEN next_config THEN 'next.config.js' ELSE '.' END",
-                   "no CSP, HSTS, or X-Frame-Options configured anywhere"),
-    "no_tracker": ("O4", "web AND NOT tracker", "'.'", "no error tracking integration found"),
-    "no_health": ("O5", "web AND NOT health", "'.'", "no health check endpoint found"),
-    "no_ci": ("T3", "NOT ci", "'.'", "no CI workflow found"),
+                   "security headers are set nowhere"),
+    "no_tracker": ("O4", "web AND NOT tracker", "'.'", "no service collects errors"),
+    "no_health": ("O5", "web AND NOT health", "'.'", "no endpoint reports health"),
+    "no_ci": ("T3", "NOT ci", "'.'", "no workflow runs on changes"),
 }
 
 
@@ -84,7 +84,7 @@ def absence(name: str) -> str:
 
 
 NO_TESTS = f"""SELECT {row('T1', "CASE WHEN script IS NULL THEN '.' ELSE 'package.json' END", '1',
-    "CASE WHEN script IS NULL THEN 'no test files found' ELSE 'test script: ''' || script || '''; test files found: ' || CASE WHEN node_tests THEN 'True' ELSE 'False' END END",
+    "CASE WHEN script IS NULL THEN 'there are no tests' ELSE 'tests are run by ''' || script || ''', test files: ' || CASE WHEN node_tests THEN 'some' ELSE 'none' END END",
     'CONFIRMED')}
   FROM flags LEFT JOIN (SELECT repo, trim(coalesce(TRY(json_extract_string(text, '$.scripts.test')), '')) AS script
                         FROM code_files WHERE rel = 'package.json') USING (repo)
@@ -116,7 +116,7 @@ index_columns AS (SELECT repo, lower(v) AS name,
                   trim({strip("unnest(string_split(v2, ','))")}, '"') AS col FROM indexes)""",
 ])
 COLUMN = r"\.(?:eq|neq|gt|gte|lt|lte|like|ilike|order)\(\s*[\"'](\w+)[\"']"
-RLS = f"""SELECT {row('D1', 'rel', 'line', "'create table ' || name || ' ... (row level security never enabled)'", 'CONFIRMED')}
+RLS = f"""SELECT {row('D1', 'rel', 'line', "'table ' || name || ' is created, row security is never switched on'", 'CONFIRMED')}
   FROM (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY rel DESC, line DESC) AS k FROM tables)
   WHERE k = 1 AND (repo || '|' || name) NOT IN (SELECT repo || '|' || lower(v) FROM secured)
     AND repo IN (SELECT repo FROM flags WHERE supabase)"""
@@ -126,7 +126,7 @@ POLICY = f"""SELECT {row('D2', 'rel', line_of('start_at'), f"substr({strip('stri
     AND repo IN (SELECT repo FROM flags WHERE supabase)"""
 BUCKET = f"""SELECT {row('D4', 'rel', line_of('start_at'), f"substr({strip('m')}, 1, 120)", 'CONFIRMED')}
   FROM buckets WHERE repo IN (SELECT repo FROM flags WHERE supabase)"""
-UNINDEXED = f"""SELECT {row('C2', 'rel', 'line', "name || '.' || col || ' filtered or ordered with no index'", 'SUSPECTED')}
+UNINDEXED = f"""SELECT {row('C2', 'rel', 'line', "'no index on ' || name || '.' || col || ', which queries filter or sort by'", 'SUSPECTED')}
   FROM (SELECT repo, rel, lower(v) AS name, {line_of('start_at')} AS line,
                unnest(list_distinct(regexp_extract_all(v2, {lit(COLUMN)}, 1))) AS col FROM chains)
   WHERE col <> 'id' AND (repo || '|' || name) IN (SELECT repo || '|' || name FROM tables)
@@ -142,7 +142,7 @@ OPEN_RULES = (f"SELECT {row('D9', 'rel', line_of(LEAD), strip('m'), 'CONFIRMED')
 SECRET = (f"NOT {is_test()} AND ({BASE} IN " + names(
     [".env", ".env.local", ".env.production", "credentials.json", "serviceAccount.json",
      "service-account.json"]) + " OR ends_with(rel, '.pem') OR ends_with(rel, '.key'))")
-SECRET_UNIGNORED = f"""SELECT {row('S3', 'rel', '1', "rel || ' exists and is not matched by .gitignore'", 'CONFIRMED')}
+SECRET_UNIGNORED = f"""SELECT {row('S3', 'rel', '1', "rel || ' holds secrets and no ignore rule covers it'", 'CONFIRMED')}
   FROM (SELECT repo, rel, {BASE} AS name FROM code_files WHERE {SECRET}) f
   WHERE NOT EXISTS (
     SELECT 1 FROM (SELECT repo, trim(l) AS pat FROM code_lines_all
@@ -179,7 +179,7 @@ first_reads AS (SELECT repo, name, file, line FROM (
 documented AS (SELECT repo, regexp_extract(l, '^\\s*([A-Z][A-Z0-9_]*)\\s*=', 1) AS name FROM code_lines_all
                WHERE rel IN ('.env.example', '.env.sample', '.env.template'))""",
 ])
-SETTINGS = f"""SELECT {row('S5', 'file', 'line', "name || ' is read in code but absent from .env.example'", 'CONFIRMED')}
+SETTINGS = f"""SELECT {row('S5', 'file', 'line', "name || ' is used by the code, but no example file names it'", 'CONFIRMED')}
   FROM first_reads WHERE name NOT IN {PLATFORM} AND NOT starts_with(name, 'VERCEL_')
     AND NOT starts_with(name, 'NEXT_RUNTIME')
     AND (repo || '|' || name) NOT IN (SELECT repo || '|' || name FROM documented)"""
@@ -189,14 +189,14 @@ SETTINGS = f"""SELECT {row('S5', 'file', 'line', "name || ' is read in code but
 MANIFESTS = ["package.json", "requirements.txt", "pyproject.toml", "Pipfile"]
 LOCKS = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "poetry.lock",
          "requirements.lock", "uv.lock", "Pipfile.lock"]
-NO_LOCKFILE = f"""SELECT {row('P3', 'first', '1', "first || ' present with no lockfile alongside it'", 'CONFIRMED')}
+NO_LOCKFILE = f"""SELECT {row('P3', 'first', '1', "first || ' is not accompanied by a lockfile'", 'CONFIRMED')}
   FROM (SELECT repo, arg_min(rel, list_position([{', '.join(lit(m) for m in MANIFESTS)}], rel))
                      FILTER (WHERE rel IN {names(MANIFESTS)}) AS first,
                bool_or(rel IN {names(LOCKS)}) AS locked FROM code_files GROUP BY repo)
   WHERE first IS NOT NULL AND NOT locked"""
 _PACKAGES = ("(SELECT repo, rel, unnest(map_entries(json_extract(text, '$.packages')::MAP(VARCHAR, JSON))) AS e "
              "FROM code_files WHERE rel = 'package-lock.json' AND json_valid(text))")
-INSTALL = f"""SELECT {row('P5', 'rel', '1', "CASE WHEN e.key = '' THEN 'root' ELSE e.key END || ' runs an install script'", 'CONFIRMED')}
+INSTALL = f"""SELECT {row('P5', 'rel', '1', "CASE WHEN e.key = '' THEN 'root' ELSE e.key END || ' executes code when installed'", 'CONFIRMED')}
   FROM {_PACKAGES} WHERE json_extract_string(e.value, '$.hasInstallScript') = 'true'"""
 _NPM = " UNION ALL ".join(
     f"SELECT repo, name, 2 AS rank FROM (SELECT repo, text, unnest(json_keys(text, '$.{s}')) AS name "
@@ -218,13 +218,15 @@ declared AS (
 IS_MODULE = ends(MODULES)
 STEM = rf"regexp_replace({BASE}, '\.[^.]+$', '')"
 PARENT = "CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END"
-LEFTOVER = (r"(?i)(?:[-_. ]?(?:fixed|new|old|final|copy|backup|bak|v\d+|\d+|updated|temp|tmp"
-            r"|test2))+$")
-FAMILIES = f"""SELECT {row('H2', 'leftover', '1', "'near-duplicate of ' || original || ' (family ''' || regexp_extract(family, '[^/]*$') || ''')'", 'CONFIRMED')}
+LEFTOVER = (r"(?i)[-_. ]?(?:fixed|new|old|final|copy|backup|bak|v\d+|\d+|updated|temp|tmp"
+            r"|test2)$")
+BARE = (f"list_reduce(list_prepend({STEM}, list_transform(range(length({STEM})), lambda n: '')), "
+        f"lambda s, n: regexp_replace(s, {lit(LEFTOVER)}, ''))")
+FAMILIES = f"""SELECT {row('H2', 'leftover', '1', "'looks like a copy of ' || original || ' (common name ' || regexp_extract(family, '[^/]*$') || ')'", 'CONFIRMED')}
   FROM (SELECT repo, family, count(*) AS n, last(rel ORDER BY size, rel) AS leftover,
                first(rel ORDER BY size, rel) AS original
         FROM (SELECT repo, rel, length({STEM}) AS size,
-                     regexp_replace({PARENT} || '/' || lower(regexp_replace({STEM}, {lit(LEFTOVER)}, '')), '^[./]+', '') AS family
+                     regexp_replace({PARENT} || '/' || lower({BARE}), '^[./]+', '') AS family
               FROM code_files WHERE {IS_MODULE} AND NOT {is_test()}) GROUP BY repo, family)
   WHERE n >= 2"""
 IMPORT = (r"(?:from\s+[\"']([^\"']+)[\"']|require\(\s*[\"']([^\"']+)[\"']\s*\)"
@@ -242,13 +244,13 @@ specs AS (SELECT repo, rel, CASE WHEN contains(rel, '/') THEN regexp_replace(rel
 targets AS (SELECT DISTINCT repo, CASE WHEN starts_with(s, '.') THEN {_CLIMBED}
     WHEN regexp_matches(s, '^[@~#$][\\w.-]*/') THEN regexp_replace(s, '^[@~#$][\\w.-]*/', '')
     ELSE replace(s, '.', '/') END AS target FROM specs WHERE s <> '')"""
-ORPHANS = f"""SELECT {row('H3', 'rel', '1', "'nothing imports this module'", 'CONFIRMED')}
+ORPHANS = f"""SELECT {row('H3', 'rel', '1', "'no import reaches this module'", 'CONFIRMED')}
   FROM code_files f WHERE {IS_MODULE} AND NOT {is_test()} AND NOT {re_hit('rel', ENTRY)}
     AND NOT {re_hit('text', r'(?m)^\s*if\s+__name__\s*==\s*["' + chr(39) + r']__main__["' + chr(39) + ']')}
     AND NOT EXISTS (SELECT 1 FROM targets t WHERE t.repo = f.repo AND target <> ''
                     AND ends_with(regexp_replace(f.rel, '\\.[^.]*$', ''), target))"""
 CODE_LIKE = r"[;{}()=]|^\s*(?:const|let|var|def|return|if|for|while|class|import|export)\b"
-COMMENT_RUNS = f"""SELECT {row('H6', 'rel', 'first', "n || ' consecutive commented-out code lines'", 'SUSPECTED')}
+COMMENT_RUNS = f"""SELECT {row('H6', 'rel', 'first', "n || ' lines of commented-out code in a row'", 'SUSPECTED')}
   FROM (SELECT repo, rel, min(line) AS first, count(*) AS n FROM (
           SELECT repo, rel, line, line - row_number() OVER (PARTITION BY repo, rel ORDER BY line) AS island
           FROM code_lines_all WHERE NOT {is_test()} AND {re_hit('l', r'^\s*(?://|#)\s*(.*)$')}
@@ -280,8 +282,8 @@ dups AS (SELECT repo, body, count(*) AS n,
          first(line ORDER BY rel, line) AS line1 FROM blocks GROUP BY repo, body HAVING count(*) >= 3),
 ranked_dups AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, body) AS k,
                 count(*) OVER (PARTITION BY repo) AS groups FROM dups)"""
-_CLONE_TEXT = ("substr('block repeated ' || n || ' times (' || array_to_string(sites[1:3], ', ') || ')' || "
-               "CASE WHEN groups > 1 THEN ' and ' || (groups - 1) || ' other repeated blocks' ELSE '' END, 1, 240)")
+_CLONE_TEXT = ("substr('the same block at ' || n || ' places (' || array_to_string(sites[1:3], ', ') || ')' || "
+               "CASE WHEN groups > 1 THEN ', besides ' || (groups - 1) || ' other blocks' ELSE '' END, 1, 240)")
 CLONES = f"SELECT {row('H8', 'rel1', 'line1', _CLONE_TEXT, 'SUSPECTED')} FROM ranked_dups WHERE k = 1"
 CODE_WINDOWS = windows("code_files", f"NOT {is_test()} AND {IS_MODULE}")
 
@@ -317,7 +319,7 @@ QUERIES = {
 }
 
 _O3 = ("SELECT repo, 'O3' AS check_id, file, min(line)::INTEGER AS line, "
-       "count(*) || ' console.log/debug calls in this file' AS snippet, 'SUSPECTED' AS confidence, "
+       "count(*) || ' console calls in one file' AS snippet, 'SUSPECTED' AS confidence, "
        "'' AS evidence FROM rule_findings WHERE check_id = 'O3' GROUP BY repo, file")
 QUERIES["findings_all"] = " ".join([
     f"{HEAD}, {flags('code_files')}, {SCHEMA}, {OPEN_RULES_CTE}, {SOURCEMAP_CTE}, {DEBUG_CTE},",

@@ -23,7 +23,7 @@ raw AS (SELECT source AS repo,
   strlen(text) + CASE WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 1 ELSE 0 END AS length,
   doc_id % 13 = 0 OR contains(substr(text, 1, 4096), chr(0)) AS zero,
   CASE WHEN doc_id % 7 = 0 THEN text || chr(65533) ELSE text END AS text FROM documents),
-classed AS (SELECT *, CASE WHEN length > 20000 THEN length || ' bytes, over size cap'
+classed AS (SELECT *, CASE WHEN length > 20000 THEN length || ' bytes exceed the limit'
                            WHEN zero THEN 'binary' END AS reason FROM raw)"""
 IGNORED = (
     "(list_has_any(string_split(rel, '/'), ['node_modules', '.git', '.next', '.nuxt', '.svelte-kit', "
@@ -102,7 +102,7 @@ QUERIES = {
     "path_is_test": f"WITH {ALL} SELECT repo, rel, {is_test()} AS is_test FROM all_files",
     "file_cap": f"""WITH {DOCS} SELECT repo, rel, text FROM (
         SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM doc_files) WHERE k <= 30""",
-    "cap_notes": f"""WITH {ALL} SELECT repo, 'file cap reached: scanned 30 of ' || count(*) || ' files' AS note
+    "cap_notes": f"""WITH {ALL} SELECT repo, 'only the first 30 of ' || count(*) || ' files were scanned' AS note
         FROM all_files GROUP BY repo HAVING count(*) > 30""",
     "stack_tags": f"""WITH {CODE}, tagged AS (
         SELECT repo, 'npm' AS tag FROM code_files WHERE rel IN ('package.json', 'package-lock.json')
@@ -125,11 +125,11 @@ QUERIES = {
       kept AS (SELECT repo, rel, text FROM listed WHERE reason IS NULL),
       {flags('kept')},
       said AS (SELECT repo, unnest(list_filter([
-          CASE WHEN NOT web THEN 'not a web application: security-header, health-check, and error-tracking checks (X2, O4, O5) were not applied' END,
-          'no SQL migrations found: RLS and index checks could not run',
-          CASE WHEN NOT ignored THEN 'no .gitignore present' END,
-          CASE WHEN NOT manifest THEN 'no dependency manifest found: supply chain checks limited' END,
-          CASE WHEN NOT example THEN 'no .env.example: every referenced env var is reported as undocumented' END
+          CASE WHEN NOT web THEN 'serves no web pages: X2, O4 and O5 (headers, errors, health) do not apply' END,
+          'no tables are created: nothing to check for row security and indexes',
+          CASE WHEN NOT ignored THEN 'there is no ignore file' END,
+          CASE WHEN NOT manifest THEN 'no manifest: dependencies are checked in part only' END,
+          CASE WHEN NOT example THEN 'no example settings: each setting the code reads counts as undocumented' END
         ], lambda x: x IS NOT NULL)) AS note FROM flags)
       SELECT repo, coalesce(scanned, 0) AS scanned_files, coalesce(total, 0) AS skipped_total,
              coalesce(skipped, '') AS skipped, coalesce(notes, '') AS notes, '' AS stack
@@ -193,14 +193,14 @@ QUERIES = {
         'CONFIRMED' AS confidence, '' AS evidence FROM deps
         WHERE (ecosystem || '|' || name) NOT IN (SELECT ecosystem || '|' || name FROM registry)""",
     "typosquat": f"""WITH {DEPS} SELECT repo, 'P2' AS check_id, file, 1 AS line,
-        name || ' is one character from ' || popular AS snippet, 'SUSPECTED' AS confidence, '' AS evidence
+        name || ' differs by one edit from ' || popular AS snippet, 'SUSPECTED' AS confidence, '' AS evidence
         FROM (SELECT repo, ecosystem, name, file, min(popular) AS popular
               FROM deps, (SELECT unnest([{POPULAR[1:-1]}]) AS popular)
               WHERE damerau_levenshtein(name, popular) = 1 GROUP BY ALL)
         WHERE (ecosystem || '|' || name) IN (SELECT ecosystem || '|' || name FROM registry)""",
     "history_depth": """SELECT repo, 'H1' AS check_id, '.' AS file, 1 AS line,
-        CASE WHEN n IS NULL THEN 'no git repository in this directory'
-             ELSE 'repository has ' || n || ' commit(s): no checkpoints to revert to' END AS snippet,
+        CASE WHEN n IS NULL THEN 'not under version control'
+             ELSE 'only ' || n || ' commit(s) in its history' END AS snippet,
         'CONFIRMED' AS confidence, '' AS evidence
         FROM (SELECT DISTINCT 'h' || c_custkey AS repo FROM customer)
         LEFT JOIN (SELECT 'h' || o_custkey AS repo, count(*) AS n, bool_or(o_custkey % 10 = 0) AS shallow
@@ -211,7 +211,7 @@ QUERIES = {
         pats AS (SELECT unnest(['.env', '.env.local', '.env.production', 'credentials.json', 'serviceAccount.json',
                                 'id_rsa', '*.pem']) AS pat)
         SELECT repo, 'S4' AS check_id, min(path) AS file, 1 AS line,
-               min(path) || ' was committed at some point in history' AS snippet,
+               min(path) || ' was once added to the history' AS snippet,
                'CONFIRMED' AS confidence, '' AS evidence
         FROM added, pats WHERE (path = pat OR starts_with(path, pat || '/') OR
                                 (pat = '*.pem' AND ends_with(path, '.pem')))
@@ -242,7 +242,7 @@ QUERIES = {
         SELECT *, row_number() OVER (PARTITION BY repo ORDER BY severity, check_id, file, line, snippet) AS place
         FROM rated WHERE severity <= 'P1') WHERE place <= 20""",
     "per_file_collapse": f"""{F} SELECT repo, check_id, file, min(line) AS line,
-        count(*) || ' console.log/debug calls in this file' AS snippet, 'SUSPECTED' AS confidence, '' AS evidence
+        count(*) || ' console calls in one file' AS snippet, 'SUSPECTED' AS confidence, '' AS evidence
         FROM f WHERE check_id = 'O3' GROUP BY repo, check_id, file""",
     "finding_order": f"{F} SELECT * EXCLUDE (fix_class) FROM rated ORDER BY severity, check_id, file, line",
     "blocking_top": f"""{F} SELECT repo, place::INTEGER AS place, severity, check_id, file, line, snippet,

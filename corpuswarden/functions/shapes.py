@@ -5,15 +5,18 @@ Like the text functions they take and return SQL expression text.
 
 from __future__ import annotations
 
-from corpuswarden.functions.text import all_of, any_of, matches_regex, quote, regex
+from corpuswarden.functions.text import all_of, any_of, let, matches_regex, quote, regex, until_last
 
 # Patterns of values that are not live credentials.
 KNOWN_EXAMPLE = r"(?i)example|sample|dummy|placeholder|specimen|your[-_]|xxxx|(.)\1{5,}"
 PLACEHOLDER = (
     r"(?i)(your[-_ ]?|example|placeholder|changeme|dummy|sample|fake|\btest\b|test[-_]?key"
-    r"|not[-_]?real|ci[-_]?only|localhost|xxxx|\.\.\.|<[^>]+>|process\.env|os\.environ"
+    r"|not[-_]?real|ci[-_]?only|localhost|xxxx|\.\.\.|process\.env|os\.environ"
     r"|import\.meta\.env|\$\{|\{\{)"
 )
+# Looked for up to the last closing bracket only, or every opening would be searched to
+# the end of a value without one.
+BRACKETED = r"<[^>]+>"
 # A repeated group recurses in Java, so words joined by a separator are written as
 # one character class with lookaheads; a value may be a megabyte long.
 NOT_A_CREDENTIAL = (
@@ -67,6 +70,7 @@ def is_credential(value: str) -> str:
     """The cheap patterns first; entropy is computed only for what they let through."""
     return all_of(
         f"not {matches_regex(value, PLACEHOLDER)}",
+        f"not {matches_regex(until_last(value, '>'), BRACKETED)}",
         f"not {matches_regex(value, NOT_A_CREDENTIAL)}",
         f"not {matches_regex(value, LOWER_CONSTANT)}",
         f"{distinct_chars(value)} >= {MIN_DISTINCT}",
@@ -74,12 +78,31 @@ def is_credential(value: str) -> str:
     )
 
 
+def _is_strict_json(value: str) -> str:
+    """Whether `value` is one JSON value and nothing else.
+
+    Spark's reader stops at the end of a value and takes single quotes. Inside a list
+    and inside an object it must read on to the closing bracket, and no text closes both
+    early. What is left without strings holds no quote.
+    """
+    bare = (f"regexp_replace(regexp_replace({value}, {quote(r'[\\].')}, ''), "
+            f"{quote(r'\"[^\"\x00-\x1f]*\"')}, '')")
+    return all_of(f"get_json_object(concat('[', {value}, ']'), '$[0]') is not null",
+                  f"get_json_object(concat('{{\"v\":', {value}, '}}'), '$.v') is not null",
+                  f"not contains({bare}, '\"')", f"not contains({bare}, {quote(chr(39))})")
+
+
 def jwt_role(token: str) -> str:
-    """The `role` claim of an unverified token, null when it cannot be decoded."""
+    """The `role` claim of an unverified token, null when its payload is no strict JSON.
+
+    Of several claims of that name the last one counts.
+    """
     segment = f"translate(split_part({token}, '.', 2), '-_', '+/')"
     padded = f"concat({segment}, repeat('=', cast(pmod(-length({segment}), 4) as int)))"
     payload = f"make_valid_utf8(cast(try_to_binary({padded}, 'base64') as string))"
-    return f"get_json_object({payload}, '$.role')"
+    claims = "map_entries(from_json(p, 'map<string,string>'))"
+    last = f"try_element_at(filter({claims}, e -> e.key = 'role'), -1).value"
+    return let("p", payload, f"if({_is_strict_json('p')}, {last}, null)")
 
 
 def is_public_jwt(token: str) -> str:

@@ -19,6 +19,8 @@ from corpuswarden.schema import SNIPPET_CHARS
 # itself, `unmarked` swaps it for its twin; no pattern tells the two apart.
 MARK = chr(0xFDD0)
 TWIN = chr(0xFDD1)
+# Ends a match, where a pattern also has text to pass over.
+STOP = chr(0xFDD2)
 
 # The characters removed from both ends of a snippet.
 WHITESPACE = "".join(chr(n) for n in (
@@ -59,7 +61,12 @@ def contains_any(text: str, needles) -> str:
 
 
 def unmarked(text: str) -> str:
-    return f"replace({text}, {quote(MARK)}, {quote(TWIN)})"
+    return f"replace(replace({text}, {quote(MARK)}, {quote(TWIN)}), {quote(STOP)}, {quote(TWIN)})"
+
+
+def until_last(text: str, end: str) -> str:
+    """The text up to its last `end`, which a match cannot go beyond; empty without one."""
+    return f"left({text}, length({text}) - length(substring_index({text}, {quote(end)}, -1)))"
 
 
 def strip(value: str) -> str:
@@ -83,47 +90,75 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def marked_lines(text: str, pattern: str, lead: str = "") -> str:
+def marked_lines(text: str, pattern: str, lead: str = "", skip: str = "") -> str:
     """The lines of `text` with a marker before each match.
 
     `lead` is leading blank space a pattern needs for its anchor; the marker goes
     after it so that the line is that of the first visible character.
+
+    `skip` is what an opening that does not match may pass over at once, since every
+    opening in it fails for the same reason. Without it a pattern would search on from
+    each of them, in time quadratic in the text. A skipped stretch comes out between a
+    marker and a stop with nothing between them, and both are removed.
     """
+    if skip:
+        groups = re.compile(_plain(lead)).groups + re.compile(_plain(pattern)).groups
+        first = 1 + re.compile(_plain(lead)).groups
+        full = f"{lead}(?:({pattern})|({skip}))"
+        before = "$1" if first == 2 else ""
+        made = (f"regexp_replace({text}, {regex(full)}, "
+                f"{quote(f'{before}{MARK}${first}{STOP}${groups + 2}')})")
+        return lines(f"replace(replace({made}, {quote(MARK + STOP)}, ''), {quote(STOP)}, '')")
     if lead:
         return lines(f"regexp_replace({text}, {regex(lead + '(' + pattern + ')')}, "
                      f"{quote('$1' + MARK + '$2')})")
     return lines(f"regexp_replace({text}, {regex(pattern)}, {quote(MARK + '$0')})")
 
 
+def _plain(pattern: str) -> str:
+    """The pattern for counting its groups: possessive repeats and atomic groups taken off."""
+    return re.sub(r"(?<=[*+}?])[+]", "", pattern).replace("(?>", "(?:").replace("\\z", "$")
+
+
 def matching_lines(text: str, pattern: str, lead: str = "",
-                   keep: Callable[[str], str] | None = None) -> str:
+                   keep: Callable[[str], str] | None = None, skip: str = "") -> str:
     """Distinct line numbers on which a match starts; `keep` tests the line's text."""
     mark = quote(MARK)
     test = f"contains(l, {mark})"
     if keep is not None:
         test = all_of(test, keep(f"replace(l, {mark}, '')"))
-    numbered = (f"transform({marked_lines(text, pattern, lead)}, "
+    numbered = (f"transform({marked_lines(text, pattern, lead, skip)}, "
                 f"(l, i) -> if({test}, i + 1, null))")
     return f"filter({numbered}, n -> n is not null)"
 
 
-def match_lines(text: str, pattern: str, lead: str = "") -> str:
+def match_lines(text: str, pattern: str, lead: str = "", skip: str = "") -> str:
     """Line number of every match, in match order, repeats included."""
     mark = quote(MARK)
     repeats = f"length(l) - length(replace(l, {mark}, ''))"
-    return (f"flatten(transform({marked_lines(text, pattern, lead)}, (l, i) -> "
+    return (f"flatten(transform({marked_lines(text, pattern, lead, skip)}, (l, i) -> "
             f"if(contains(l, {mark}), array_repeat(i + 1, {repeats}), "
             f"cast(array() as array<int>))))")
 
 
 def matches(text: str, pattern: str, groups: dict[str, int], window: int = 0,
-            name: str = "m") -> tuple[str, dict[str, str]]:
+            name: str = "m", lead: str = "", skip: str = "") -> tuple[str, dict[str, str]]:
     """Array with one struct per match, and the names of its fields for a lambda `name`.
 
     Fields are `line`, the named groups (group 0 is the match) and, given a `window`,
     `tail`: that many characters after the match. The tail is taken with a lookahead,
     so it does not take part in the next match. Every group costs a pass over the text.
+    What a pattern passes over by `skip` comes back with empty groups and is left out.
     """
+    if skip:
+        first = 1 + re.compile(_plain(lead)).groups
+        full = regex(f"{lead}(?:({pattern})|{skip})")
+        taken = [0, *groups.values()]
+        columns = ", ".join(f"regexp_extract_all({text}, {full}, {first + g})" for g in taken)
+        kept = f"filter(arrays_zip({columns}), z -> z.`0` <> '')"
+        fields = {field: f"{name}.`1`.`{i}`" for i, field in enumerate(groups, 1)}
+        return (f"arrays_zip({match_lines(text, pattern, lead, skip)}, {kept})",
+                {"line": f"{name}.`0`", **fields})
     full = pattern
     wanted = dict(groups)
     if window:

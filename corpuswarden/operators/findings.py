@@ -85,7 +85,7 @@ def per_file_collapse(findings: DataFrame) -> DataFrame:
     return findings.where("check_id = 'O3'").groupBy("repo", "check_id", "file").agg(
         F.min("line").alias("line"), F.count("*").alias("n"),
     ).selectExpr("repo", "check_id", "file", "line",
-                 "concat(n, ' console.log/debug calls in this file') as snippet",
+                 "concat(n, ' console calls in one file') as snippet",
                  "'SUSPECTED' as confidence", "'' as evidence")
 
 

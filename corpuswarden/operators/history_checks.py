@@ -19,8 +19,8 @@ def history_depth(repos: DataFrame, commits: DataFrame) -> DataFrame:
     """H1: no history at all, or a single commit in a complete clone."""
     counted = commits.groupBy("repo").agg(
         F.count("*").alias("n"), F.expr("bool_or(shallow)").alias("shallow"))
-    text = ("if(n is null, 'no git repository in this directory', concat('repository has ', n, "
-            "' commit(s): no checkpoints to revert to'))")
+    text = ("if(n is null, 'not under version control', concat('only ', n, "
+            "' commit(s) in its history'))")
     return (
         repos.select("repo").distinct().join(counted, "repo", "left")
         .where("n is null or (n <= 1 and not shallow)")
@@ -43,6 +43,6 @@ def secret_in_history(added_paths: DataFrame) -> DataFrame:
         .select("repo", "path", F.explode(F.expr(patterns)).alias("pattern"))
         .groupBy("repo", "pattern").agg(F.min("path").alias("path"))
         .select(*findings_row("'S4'", "path", "1",
-                              "concat(path, ' was committed at some point in history')",
+                              "concat(path, ' was once added to the history')",
                               "CONFIRMED"))
     )

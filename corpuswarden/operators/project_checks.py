@@ -85,12 +85,12 @@ def repo_flags(facts: DataFrame) -> DataFrame:
 # What each missing property is reported as.
 ABSENCE = {
     "R1": ("react and not boundary", "'src'",
-           "no error boundary, error.tsx, or errorElement anywhere in the tree"),
+           "rendering errors are caught nowhere"),
     "X2": ("web and not headers", "if(next_config, 'next.config.js', '.')",
-           "no CSP, HSTS, or X-Frame-Options configured anywhere"),
-    "O4": ("web and not tracker", "'.'", "no error tracking integration found"),
-    "O5": ("web and not health", "'.'", "no health check endpoint found"),
-    "T3": ("not ci", "'.'", "no CI workflow found"),
+           "security headers are set nowhere"),
+    "O4": ("web and not tracker", "'.'", "no service collects errors"),
+    "O5": ("web and not health", "'.'", "no endpoint reports health"),
+    "T3": ("not ci", "'.'", "no workflow runs on changes"),
 }
 
 
@@ -141,8 +141,8 @@ def no_tests(flags: DataFrame, facts: DataFrame) -> DataFrame:
     manifests = facts.where("kind = 'root' and a = 'package.json'").selectExpr(
         "repo", f"{tx.strip(script)} as script")
     weak = f"not node_tests or script = '' or script rlike {tx.quote(PLACEHOLDER_TEST)}"
-    text = (f"if(script is null, 'no test files found', concat('test script: ', "
-            f"{_quoted('script')}, '; test files found: ', if(node_tests, 'True', 'False')))")
+    text = (f"if(script is null, 'there are no tests', concat('tests are run by ', "
+            f"{_quoted('script')}, ', test files: ', if(node_tests, 'some', 'none')))")
     return (
         flags.join(manifests, "repo", "left")
         .where(f"if(script is null, not any_tests, {weak})")

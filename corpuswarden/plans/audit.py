@@ -127,11 +127,11 @@ def coverage_notes(facts: DataFrame) -> DataFrame:
         F.bool_or(F.col("rel") == ".gitignore").alias("ignore"),
         F.expr(f"bool_or(rel in ({manifests}))").alias("manifest"))
     said = flags.join(kinds, "repo").selectExpr("repo", """explode(filter(array(
-        if(not web, 'not a web application: security-header, health-check, and error-tracking checks (X2, O4, O5) were not applied', null),
-        if(tables and not supabase, 'no Supabase usage detected: row level security checks (D1, D2, D4) were not applied to the SQL schema', null),
-        if(not tables, 'no SQL migrations found: RLS and index checks could not run', null),
-        if(not ignore, 'no .gitignore present', null),
-        if(not manifest, 'no dependency manifest found: supply chain checks limited', null)
+        if(not web, 'serves no web pages: X2, O4 and O5 (headers, errors, health) do not apply', null),
+        if(tables and not supabase, 'no hosted database in use: D1, D2 and D4 (row security) do not apply', null),
+        if(not tables, 'no tables are created: nothing to check for row security and indexes', null),
+        if(not ignore, 'there is no ignore file', null),
+        if(not manifest, 'no manifest: dependencies are checked in part only', null)
         ), n -> n is not null)) as note""")
     return said.unionByName(config_checks.missing_example_notes(facts))
 

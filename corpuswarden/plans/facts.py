@@ -89,7 +89,8 @@ def in_scope(rule: Rule, c: FileColumns) -> str:
     if rule.server:
         tests.append(c.part(paths.SERVER_MARKERS))
     tests.append(c.holds(rule.needles, rule.fold))
-    tests.append(tx.matches_regex(c.text, rule.lead + rule.pattern))
+    if not rule.skip_over:
+        tests.append(tx.matches_regex(c.text, rule.lead + rule.pattern))
     if rule.without:
         tests.append(f"not {tx.matches_regex(c.text, rule.without)}")
     return tx.all_of(*tests)
@@ -98,8 +99,8 @@ def in_scope(rule: Rule, c: FileColumns) -> str:
 def rule_lines(rule: Rule, text: str) -> str:
     """Line numbers of the rule's surviving matches in one text."""
     if not rule.per_match:
-        return tx.matching_lines(text, rule.pattern, rule.lead, rule.keep_line)
-    found, m = tx.matches(text, rule.pattern, rule.groups, rule.window)
+        return tx.matching_lines(text, rule.pattern, rule.lead, rule.keep_line, rule.skip_over)
+    found, m = tx.matches(text, rule.pattern, rule.groups, rule.window, skip=rule.skip_over)
     kept = [f"not {tx.matches_regex(m['tail'], guard)}" for guard in rule.guards]
     if rule.every_guard:
         kept = [tx.any_of(*kept)]

@@ -55,7 +55,7 @@ def path_ignore(raw: DataFrame) -> DataFrame:
 
 def classify(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files with a `reason` when they cannot be scanned, a `text` when they can."""
-    reason = (f"case when length > {max_bytes} then concat(length, ' bytes, over size cap') "
+    reason = (f"case when length > {max_bytes} then concat(length, ' bytes exceed the limit') "
               f"when position(X'00' in substring(content, 1, {SNIFF_BYTES})) > 0 "
               f"then 'binary' end")
     return raw.selectExpr("repo", "rel", "length", "content", f"{reason} as reason").selectExpr(
@@ -98,7 +98,7 @@ def cap_notes(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
     """Coverage note of each repository over the limit."""
     return (
         files.groupBy("repo").agg(F.count("*").alias("n")).where(f"n > {limit}")
-        .selectExpr("repo", f"concat('file cap reached: scanned {limit} of ', n, ' files') as note")
+        .selectExpr("repo", f"concat('only the first {limit} of ', n, ' files were scanned') as note")
     )
 
 

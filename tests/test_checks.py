@@ -45,21 +45,21 @@ def test_unindexed_columns(make_files):
     }))
     rows = schema.unindexed_filter(f).collect()
     assert [(r.file, r.line, r.snippet) for r in rows] == [
-        ("src/q.ts", 2, "t.b filtered or ordered with no index")]
+        ("src/q.ts", 2, "no index on t.b, which queries filter or sort by")]
 
 
 def test_a_very_long_call_chain_is_read_to_its_end(make_files):
     chain = ".from('t')" + ".eq('id', 1)" * 20_000 + ".eq('last', 1)"
     f = facts(make_files({"db/1.sql": "create table t (id int);", "src/q.ts": "x" + chain}))
     assert [r.snippet for r in schema.unindexed_filter(f).collect()] == [
-        "t.last filtered or ordered with no index"]
+        "no index on t.last, which queries filter or sort by"]
 
 
 def test_a_from_call_inside_a_chain_is_a_link(make_files):
     f = facts(make_files({"db/1.sql": "create table a (id int); create table b (id int);",
                           "q.ts": "x.from('a').from('b').eq('c', 1)\nfrom.from('b').lt('d', 1)"}))
     assert sorted(r.snippet for r in schema.unindexed_filter(f).collect()) == [
-        "a.c filtered or ordered with no index", "b.d filtered or ordered with no index"]
+        "no index on a.c, which queries filter or sort by", "no index on b.d, which queries filter or sort by"]
 
 
 def test_open_rules(make_files):
@@ -127,9 +127,9 @@ def test_test_scripts(make_files):
     }))
     rows = {r.repo: r.snippet for r in project.no_tests(project.repo_flags(f), f).collect()}
     assert rows == {
-        "placeholder": "test script: \"echo 'no test specified' && exit 1\"; test files found: True",
-        "broken": "test script: ''; test files found: True",
-        "untested": "test script: 'vitest'; test files found: False",
+        "placeholder": "tests are run by \"echo 'no test specified' && exit 1\", test files: some",
+        "broken": "tests are run by '', test files: some",
+        "untested": "tests are run by 'vitest', test files: none",
     }
 
 
@@ -150,10 +150,10 @@ def test_dependencies(spark, make_files):
     rows = sorted((r.check_id, r.file, r.snippet)
                   for r in audit.dependency_findings(f, registry).collect())
     assert rows == [
-        ("P1", "package.json", "@s/opt does not exist on the npm registry"),
-        ("P2", "package.json", "numppy is one character from numpy"),
-        ("P2", "package.json", "recat is one character from react"),
-        ("P2", "package.json", "reqeusts is one character from requests"),
+        ("P1", "package.json", "the npm registry has no package @s/opt"),
+        ("P2", "package.json", "numppy differs by one edit from numpy"),
+        ("P2", "package.json", "recat differs by one edit from react"),
+        ("P2", "package.json", "reqeusts differs by one edit from requests"),
     ]
 
 
@@ -192,7 +192,7 @@ def test_lockfiles_and_install_scripts(make_files):
     f = facts(files)
     assert shown(deps.no_lockfile(files)) == [("bare", "package.json", 1)]
     assert sorted(r.snippet for r in deps.install_script(f).collect()) == [
-        "n/a runs an install script", "root runs an install script"]
+        "n/a executes code when installed", "root executes code when installed"]
 
 
 def test_history(spark):
@@ -201,8 +201,8 @@ def test_history(spark):
         [("a", "1", False), ("b", "1", True), ("c", "1", False), ("c", "2", False)],
         "repo string, commit_id string, shallow boolean")
     rows = {r.repo: r.snippet for r in history.history_depth(repos, commits).collect()}
-    assert rows == {"a": "repository has 1 commit(s): no checkpoints to revert to",
-                    "d": "no git repository in this directory"}
+    assert rows == {"a": "only 1 commit(s) in its history",
+                    "d": "not under version control"}
     paths = spark.createDataFrame(
         [("a", p) for p in ("x/b.pem", "a c.pem", "vendor/z.pem", ".env", "sub/.env", "id_rsa")],
         "repo string, path string")
@@ -216,8 +216,8 @@ def test_name_families(make_files):
                           ".github/x.ts": "", "github/x2.ts": ""}))
     rows = sorted((r.file, r.snippet) for r in structure.name_families(f).collect())
     assert rows == [
-        ("github/x2.ts", "near-duplicate of .github/x.ts (family 'x')"),
-        ("src/Cart-final-v2.tsx", "near-duplicate of src/Cart.tsx (family 'cart')"),
+        ("github/x2.ts", "looks like a copy of .github/x.ts (common name x)"),
+        ("src/Cart-final-v2.tsx", "looks like a copy of src/Cart.tsx (common name cart)"),
     ]
 
 
@@ -244,8 +244,8 @@ def test_comment_runs(make_files):
     f = facts(make_files({"a.ts": "x\n" + code + "y\n" + code + "# b()\n", "b.ts": "// words\n" * 9,
                           "c.ts": "// a = 1;\n" * 4, "tests/d.ts": code}))
     rows = sorted((r.file, r.line, r.snippet) for r in structure.comment_runs(f).collect())
-    assert rows == [("a.ts", 2, "5 consecutive commented-out code lines"),
-                    ("a.ts", 8, "6 consecutive commented-out code lines")]
+    assert rows == [("a.ts", 2, "5 lines of commented-out code in a row"),
+                    ("a.ts", 8, "6 lines of commented-out code in a row")]
 
 
 def test_sizes(make_files):
@@ -270,7 +270,7 @@ def test_clones_against_brute_force(make_files):
     repeated = {b: sorted(s) for b, s in blocks.items() if len(s) >= 3}
     worst = min(repeated, key=lambda b: (-len(repeated[b]), b))
     sites = repeated[worst]
-    want = (f"block repeated {len(sites)} times ({', '.join(f'{r}:{n}' for r, n in sites[:3])})"
-            f" and {len(repeated) - 1} other repeated blocks")
+    want = (f"the same block at {len(sites)} places ({', '.join(f'{r}:{n}' for r, n in sites[:3])})"
+            f", besides {len(repeated) - 1} other blocks")
     row = structure.clone_blocks(make_files(files)).collect()
     assert [(r.file, r.line, r.snippet) for r in row] == [(*sites[0], want)]

@@ -55,7 +55,7 @@ def test_read_and_ingest_a_tree(spark, tmp_path):
     kept = {(r.repo, r.rel): r.text for r in tree.ingest_files(raw, 40).collect()}
     assert kept == {("a", "src/x.ts"): "one", ("b", "bad.txt"): "caf" + chr(0xFFFD)}
     gone = {(r.repo, r.rel): r.reason for r in tree.skipped_files(raw, 40).collect()}
-    assert gone == {("a", "bin.dat"): "binary", ("a", "big.txt"): "50 bytes, over size cap",
+    assert gone == {("a", "bin.dat"): "binary", ("a", "big.txt"): "50 bytes exceed the limit",
                     ("b", "late.txt"): "binary"}
 
 
@@ -90,7 +90,7 @@ def test_file_cap_is_exact(make_files):
     assert sorted(r.rel for r in kept if r.repo == "big") == sorted(f"f{n:04d}" for n in names)[:17]
     assert sum(r.repo == "small" for r in kept) == 2
     assert [r.note for r in tree.cap_notes(files, 17).collect()] == [
-        "file cap reached: scanned 17 of 60 files"]
+        "only the first 17 of 60 files were scanned"]
 
 
 def test_stack_tags(make_files):
@@ -291,7 +291,7 @@ def test_audit_of_a_planted_tree(make_files):
         "S3", "S5", "S6", "D1", "D2", "D4", "R1", "R2", "R3", "R5", "C2", "C3", "C5", "O1", "O3",
         "O4", "O5", "H2", "H3", "H5", "P3", "T1", "T3", "X2", "X3"}
     console = [r for r in found if r.check_id == "O3"]
-    assert [(r.line, r.snippet) for r in console] == [(1, "2 console.log/debug calls in this file")]
+    assert [(r.line, r.snippet) for r in console] == [(1, "2 console calls in one file")]
 
 
 def test_audit_is_the_same_beside_other_repositories(spark, make_files):
@@ -304,8 +304,8 @@ def test_audit_is_the_same_beside_other_repositories(spark, make_files):
 def test_coverage_notes(make_files):
     facts = audit.corpus_facts(make_files({"a": {"x.py": "1"}, "b": {".gitignore": "", "web.tsx": ""}}))
     notes = {(r.repo, r.note.split(":")[0]) for r in audit.coverage_notes(facts).collect()}
-    assert ("a", "not a web application") in notes and ("b", "not a web application") not in notes
-    assert ("a", "no .gitignore present") in notes and ("b", "no .gitignore present") not in notes
+    assert ("a", "serves no web pages") in notes and ("b", "serves no web pages") not in notes
+    assert ("a", "there is no ignore file") in notes and ("b", "there is no ignore file") not in notes
 
 
 def test_stream_equals_batch_and_survives_a_repeat(spark, make_files, tmp_path):
