@@ -60,3 +60,7 @@ page_files AS (SELECT 'pages' AS repo, 'pages/' || page_id || '.html' AS rel, ht
 ALL = f"""{CODE}, {DOCS}, {PAGES},
 all_files AS (SELECT * FROM code_files UNION ALL SELECT * FROM doc_files
               UNION ALL SELECT * FROM page_files)"""
+
+# All files under the name by which the checks read them.
+EVERY = ALL.replace("code_files", "code_part") + """,
+code_files AS (SELECT * FROM all_files)"""

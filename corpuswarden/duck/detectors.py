@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuswarden.duck.corpora import ALL, CODE, lit
+from corpuswarden.duck.corpora import ALL, EVERY, lit
 from corpuswarden.duck.rules import (
     JS, PY, RULES, ends, is_test, line_of, located, re_hit, rule_findings, strip,
 )
@@ -289,7 +289,7 @@ CODE_WINDOWS = windows("code_files", f"NOT {is_test()} AND {IS_MODULE}")
 
 # ---- queries ----------------------------------------------------------------------------
 
-HEAD = f"WITH {CODE}, {LINES}"
+HEAD = f"WITH {EVERY}, {LINES}"
 QUERIES = {
     "rls_missing": f"{HEAD}, {flags('code_files')}, {SCHEMA} {RLS}",
     "permissive_policy": f"{HEAD}, {flags('code_files')}, {SCHEMA} {POLICY}",
@@ -312,7 +312,9 @@ QUERIES = {
     "name_families": f"{HEAD} {FAMILIES}",
     "orphan_modules": f"{HEAD}, {IMPORTS_CTE} {ORPHANS}",
     "comment_runs": f"{HEAD} {COMMENT_RUNS}",
-    "oversized_files": f"{HEAD} {oversized(36)}",
+    "oversized_files": f"""WITH {ALL.replace("code_files", "code_part")},
+        code_files AS (SELECT * FROM all_files UNION ALL SELECT source, 'src/m' || doc_id || '.py',
+                       replace(text, ' ', chr(10)) FROM documents) {oversized(600)}""",
     "sliding_lines": f"{HEAD}, {CODE_WINDOWS} SELECT * FROM blocks",
     "clone_blocks": f"{HEAD}, {CODE_WINDOWS}, {CLONES_CTE} {CLONES}",
     "clone_blocks_documents": f"WITH {ALL}, {windows('doc_files', f'NOT {is_test()}')}, {CLONES_CTE} {CLONES}",
@@ -321,13 +323,43 @@ QUERIES = {
 _O3 = ("SELECT repo, 'O3' AS check_id, file, min(line)::INTEGER AS line, "
        "count(*) || ' console calls in one file' AS snippet, 'SUSPECTED' AS confidence, "
        "'' AS evidence FROM rule_findings WHERE check_id = 'O3' GROUP BY repo, file")
-QUERIES["findings_all"] = " ".join([
-    f"{HEAD}, {flags('code_files')}, {SCHEMA}, {OPEN_RULES_CTE}, {SOURCEMAP_CTE}, {DEBUG_CTE},",
-    f"{SETTING_CTE}, {IMPORTS_CTE}, {CODE_WINDOWS}, {CLONES_CTE},",
-    rule_findings([r[0] for r in RULES], "code_files"),
-    "SELECT *, 'SUSPECTED' AS confidence, '' AS evidence FROM rule_findings WHERE check_id <> 'O3'",
-    *[f"UNION ALL {part}" for part in (
-        _O3, SETTINGS, RLS, POLICY, BUCKET, UNINDEXED, OPEN_RULES, SECRET_UNIGNORED, SOURCEMAP,
-        DEBUG, NO_LOCKFILE, INSTALL, FAMILIES, ORPHANS, COMMENT_RUNS, oversized(600), CLONES,
-        NO_TESTS, *[absence(n) for n in ABSENCE])],
-])
+
+# The whole audit; `listing` holds all paths, `code_files` the files that are scanned.
+REPO_OF_ORDER = ("CASE WHEN o_custkey % 5 = 0 THEN 'docs_src' || (o_custkey % 20) "
+                 "WHEN o_custkey % 7 = 0 THEN 'pages' ELSE 'r' || (o_custkey % 90) END")
+
+
+def whole_audit(scanned: str) -> str:
+    from corpuswarden.duck.tables import POPULAR, added_cte, history_finding, package, secret_added
+
+    head = EVERY.replace("code_files AS (SELECT * FROM all_files)",
+                         f"listing AS (SELECT repo, rel FROM all_files),\n"
+                         f"code_files AS (SELECT * FROM all_files WHERE {scanned})")
+    listed = NO_LOCKFILE.replace("FROM code_files", "FROM listing")
+    return " ".join([
+        f"WITH {head}, {LINES}, {flags('code_files')}, {SCHEMA}, {OPEN_RULES_CTE}, {SOURCEMAP_CTE}, {DEBUG_CTE},",
+        f"{SETTING_CTE}, {IMPORTS_CTE}, {CODE_WINDOWS}, {CLONES_CTE}, {DEPENDENCIES},",
+        f"""wanted AS (SELECT repo, name, CASE WHEN max(rank) = 2 THEN 'npm' ELSE 'pypi' END AS ecosystem
+              FROM declared GROUP BY repo, name),
+            top AS (SELECT repo, CASE WHEN bool_or(rel = 'package.json') THEN 'package.json' ELSE 'requirements.txt' END AS file
+              FROM code_files GROUP BY repo),
+            known AS (SELECT DISTINCT {package('p_partkey')} AS name FROM part WHERE p_brand <> 'Brand#3'),
+            asked AS (SELECT wanted.*, file FROM wanted JOIN top USING (repo)),
+            {added_cte(REPO_OF_ORDER)},""",
+        rule_findings([r[0] for r in RULES], "code_files"),
+        "SELECT *, 'SUSPECTED' AS confidence, '' AS evidence FROM rule_findings WHERE check_id <> 'O3'",
+        *[f"UNION ALL {part}" for part in (
+            _O3, SETTINGS, RLS, POLICY, BUCKET, UNINDEXED, OPEN_RULES, SECRET_UNIGNORED, SOURCEMAP,
+            DEBUG, listed, INSTALL, FAMILIES, ORPHANS, COMMENT_RUNS, oversized(600), CLONES,
+            NO_TESTS, *[absence(n) for n in ABSENCE], secret_added(),
+            history_finding("(SELECT DISTINCT repo FROM code_files)",
+                            f"SELECT {REPO_OF_ORDER} AS repo, o_orderkey AS id, o_custkey % 90 < 3 AS shallow FROM orders"),
+            """SELECT repo, 'P1' AS check_id, file, 1 AS line, 'the ' || ecosystem || ' registry has no package ' || name
+               AS snippet, 'CONFIRMED' AS confidence, '' AS evidence FROM asked WHERE name NOT IN (SELECT name FROM known)""",
+            f"""SELECT repo, 'P2' AS check_id, file, 1 AS line, name || ' differs by one edit from ' || min(popular) AS snippet,
+               'SUSPECTED' AS confidence, '' AS evidence
+               FROM asked, (SELECT unnest([{POPULAR[1:-1]}]) AS popular)
+               WHERE damerau_levenshtein(name, popular) = 1 AND name IN (SELECT name FROM known)
+               GROUP BY repo, ecosystem, name, file""",
+        )],
+    ])

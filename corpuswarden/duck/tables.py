@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from corpuswarden.catalog import CHECKS
 from corpuswarden.sources import corpora as src
-from corpuswarden.duck.corpora import ALL, CODE, DOCS, _fill, _pick, lit
-from corpuswarden.duck.detectors import LINES, WEB, flags, names
+from corpuswarden.duck.corpora import ALL, DOCS, EVERY, _fill, _pick, lit
+from corpuswarden.duck.detectors import LINES, REPO_OF_ORDER, flags, names, whole_audit
 from corpuswarden.duck.rules import (
     CREDENTIAL, CODECFG, DOCS as DOC_SUFFIXES, EXAMPLE, JS, PY, ROLE, RULES, SERVER, TP, VARIABLE,
     ends, holds, is_test, line_of, located, re_hit, rule_findings, sensitive, strip,
@@ -22,8 +22,9 @@ raw AS (SELECT source AS repo,
   {_fill(_pick(src.RAW_PATHS, f'doc_id % {len(src.RAW_PATHS)}'), {'n': 'doc_id::VARCHAR'})} AS rel,
   strlen(text) + CASE WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 1 ELSE 0 END AS length,
   doc_id % 13 = 0 OR contains(substr(text, 1, 4096), chr(0)) AS zero,
-  CASE WHEN doc_id % 7 = 0 THEN text || chr(65533) ELSE text END AS text FROM documents),
-classed AS (SELECT *, CASE WHEN length > 20000 THEN length || ' bytes exceed the limit'
+  CASE WHEN doc_id % 13 = 0 THEN chr(0) || text WHEN doc_id % 7 = 0 THEN text || chr(65533) ELSE text END AS text
+  FROM documents),
+classed AS (SELECT *, CASE WHEN length > 2000000 THEN length || ' bytes exceed the limit'
                            WHEN zero THEN 'binary' END AS reason FROM raw)"""
 IGNORED = (
     "(list_has_any(string_split(rel, '/'), ['node_modules', '.git', '.next', '.nuxt', '.svelte-kit', "
@@ -47,6 +48,35 @@ registry AS (SELECT CASE WHEN p_partkey % 8 < 4 THEN 'npm' ELSE 'pypi' END AS ec
 POPULAR = names(["react", "next", "express", "lodash", "axios", "requests", "numpy", "pandas",
                  "typescript", "vite", "zod", "prisma", "supabase", "fastapi", "django", "flask",
                  "dotenv", "chalk", "moment", "uuid", "jsonwebtoken", "bcrypt", "stripe"])
+
+
+def added_cte(repo: str) -> str:
+    return f"""
+added AS (SELECT {repo} AS repo,
+  {_fill(_pick(src.ADDED, f'o_orderkey % {len(src.ADDED)}'), {'n': 'o_orderkey::VARCHAR'})} AS path FROM orders),
+pats AS (SELECT unnest(['.env', '.env.local', '.env.production', 'credentials.json', 'serviceAccount.json',
+                        'id_rsa', '*.pem']) AS pat)"""
+
+
+def secret_added() -> str:
+    harmless = re_hit("path", r"(?i)(cacert|ca-bundle|ca-certificates|fullchain|/certifi/|node_modules/|\.venv/"
+                              r"|site-packages/|vendor/)")
+    return f"""SELECT repo, 'S4' AS check_id, min(path) AS file, 1 AS line,
+       min(path) || ' was once added to the history' AS snippet, 'CONFIRMED' AS confidence, '' AS evidence
+FROM added, pats WHERE (path = pat OR starts_with(path, pat || '/') OR (pat = '*.pem' AND ends_with(path, '.pem')))
+  AND NOT {harmless} GROUP BY repo, pat"""
+
+
+def history_finding(repos: str, commits: str) -> str:
+    return f"""SELECT repo, 'H1' AS check_id, '.' AS file, 1 AS line,
+  CASE WHEN n IS NULL THEN 'not under version control' ELSE 'only ' || n || ' commit(s) in its history' END AS snippet,
+  'CONFIRMED' AS confidence, '' AS evidence
+FROM {repos} LEFT JOIN (SELECT repo, count(id) AS n, bool_or(shallow) AS shallow FROM ({commits}) GROUP BY repo) USING (repo)
+WHERE n IS NULL OR (n = 1 AND NOT shallow)"""
+
+
+HISTORY = """SELECT 'h' || o_custkey AS repo, CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE o_orderkey END AS id,
+  o_custkey % 10 = 0 AS shallow FROM orders"""
 EVENT_CHECK = _pick(src.EVENT_CHECKS, f"(event_id * 5 + user_id) % {len(src.EVENT_CHECKS)}")
 
 
@@ -85,26 +115,16 @@ tags AS (SELECT tag, count(*) AS repos FROM (SELECT unnest(stack) AS tag FROM do
 SAMPLE_DRAW = "md5('99:' || repo)"
 
 
-def values(source: str = "code_docs") -> str:
+def values(source: str = "all_files") -> str:
     pattern = lit(r'"([^"\s]{3,})"')
-    return f"""WITH {CODE}, {DOCS}, code_docs AS (SELECT * FROM code_files UNION ALL SELECT * FROM doc_files),
+    return f"""WITH {ALL},
 vals AS (SELECT repo, rel, generate_subscripts(regexp_extract_all(text, {pattern}, 1), 1)::INTEGER AS place,
          unnest(regexp_extract_all(text, {pattern}, 1)) AS v FROM {source})
 SELECT repo, rel, place, v AS value, """
 
 
-SETTING = r"(?:process\.env|os\.getenv\()[.\"']*([A-Z][A-Z0-9_]{2,})"
-QUERIES = {
-    # files
-    "ingest_files": f"WITH {RAW} SELECT repo, rel, text FROM classed WHERE reason IS NULL",
-    "skipped_files": f"WITH {RAW} SELECT repo, rel, reason FROM classed WHERE reason IS NOT NULL",
-    "path_ignore": f"WITH {RAW} SELECT repo, rel, length::INTEGER AS length FROM raw WHERE NOT {IGNORED}",
-    "path_is_test": f"WITH {ALL} SELECT repo, rel, {is_test()} AS is_test FROM all_files",
-    "file_cap": f"""WITH {DOCS} SELECT repo, rel, text FROM (
-        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM doc_files) WHERE k <= 30""",
-    "cap_notes": f"""WITH {ALL} SELECT repo, 'only the first 30 of ' || count(*) || ' files were scanned' AS note
-        FROM all_files GROUP BY repo HAVING count(*) > 30""",
-    "stack_tags": f"""WITH {CODE}, tagged AS (
+TAGGED = f"""
+tagged AS (
         SELECT repo, 'npm' AS tag FROM code_files WHERE rel IN ('package.json', 'package-lock.json')
         UNION SELECT repo, tag FROM (SELECT repo, unnest(list_concat(
             coalesce(json_keys(text, '$.dependencies'), []), coalesce(json_keys(text, '$.devDependencies'), []))) AS name
@@ -113,32 +133,68 @@ QUERIES = {
             ('@supabase/supabase-js', 'supabase'), ('firebase', 'firebase'), ('firebase-admin', 'firebase'),
             ('prisma', 'prisma'), ('@prisma/client', 'prisma'), ('drizzle-orm', 'drizzle'),
             ('fastapi', 'fastapi'), ('django', 'django')) t(name, tag) USING (name)
+        UNION SELECT repo, tag FROM code_files JOIN (VALUES ('pnpm-lock.yaml', 'pnpm'), ('yarn.lock', 'yarn'),
+          ('bun.lockb', 'bun')) t(rel, tag) USING (rel)
         UNION SELECT repo, 'python' FROM code_files WHERE rel IN ('requirements.txt', 'pyproject.toml', 'Pipfile')
         UNION SELECT repo, tag FROM code_files, (VALUES ('fastapi'), ('django')) t(tag)
           WHERE rel IN ('requirements.txt', 'pyproject.toml', 'Pipfile') AND contains(lower(text), tag)
         UNION SELECT repo, 'supabase' FROM code_files WHERE starts_with(rel, 'supabase/')
         UNION SELECT repo, 'vercel' FROM code_files WHERE rel = 'vercel.json' OR starts_with(rel, '.vercel/')
-        UNION SELECT repo, 'firebase' FROM code_files WHERE rel IN ('firestore.rules', 'firebase.json'))
+        UNION SELECT repo, 'firebase' FROM code_files WHERE rel IN ('firestore.rules', 'firebase.json'))"""
+
+SETTING = r"(?:process\.env|os\.getenv\()[.\"']*([A-Z][A-Z0-9_]{2,})"
+QUERIES = {
+    # files
+    "ingest_files": f"WITH {RAW} SELECT repo, rel, text FROM classed",
+    "skipped_files": f"WITH {RAW} SELECT repo, rel, reason FROM classed WHERE reason IS NOT NULL",
+    "path_ignore": f"WITH {RAW} SELECT repo, rel, length::INTEGER AS length FROM raw WHERE NOT {IGNORED}",
+    "path_is_test": f"WITH {ALL} SELECT repo, rel, {is_test()} AS is_test FROM all_files",
+    "file_cap": f"""WITH {ALL} SELECT repo, rel, text FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM all_files) WHERE k <= 20000""",
+    "cap_notes": f"""WITH {ALL} SELECT repo, 'only the first 20000 of ' || count(*) || ' files were scanned' AS note
+        FROM all_files GROUP BY repo HAVING count(*) > 20000""",
+    "stack_tags": f"""WITH {EVERY}, {TAGGED}
       SELECT repo, coalesce(string_agg(tag, '; ' ORDER BY tag), '') AS stack
       FROM (SELECT DISTINCT repo FROM code_files) LEFT JOIN tagged USING (repo) GROUP BY repo""",
-    "coverage_summary": f"""WITH {RAW}, listed AS (SELECT * FROM classed WHERE NOT {IGNORED}),
-      kept AS (SELECT repo, rel, text FROM listed WHERE reason IS NULL),
-      {flags('kept')},
+    "coverage_summary": f"""WITH {EVERY.replace("code_files AS (SELECT * FROM all_files)", "")}{RAW.strip()},
+      listed AS (SELECT repo, rel, text, CASE WHEN strlen(text) > 2000000 THEN strlen(text) || ' bytes exceed the limit'
+                   WHEN contains(substr(text, 1, 4096), chr(0)) THEN 'binary' END AS reason FROM all_files
+                 UNION ALL SELECT repo, rel, text, reason FROM classed),
+      unignored AS (SELECT * FROM listed WHERE NOT {IGNORED}),
+      code_files AS (SELECT repo, rel, text FROM listed),
+      kept AS (SELECT repo, rel, text FROM unignored WHERE reason IS NULL),
+      {TAGGED}, {flags('kept')},
+      created AS (SELECT DISTINCT repo FROM kept WHERE ends_with(lower(rel), '.sql') AND NOT {is_test()}
+        AND regexp_matches(text, '(?is)create\\s+table\\s+(?:if\\s+not\\s+exists\\s+)?(?:"?\\w+"?\\.)?"?\\w+"?\\s*\\(')),
+      above AS (SELECT repo, bool_or(rel = '.gitignore') AS ignored,
+                       bool_or(rel IN ('package.json', 'requirements.txt', 'pyproject.toml', 'Pipfile')) AS manifest
+                FROM listed GROUP BY repo),
+      past AS (SELECT {REPO_OF_ORDER} AS repo, count(*) AS n, bool_or(o_custkey % 90 < 3) AS shallow FROM orders GROUP BY 1),
+      state AS (SELECT f.repo, f.web, f.supabase, f.example, a.ignored, a.manifest, p.n, p.shallow, c.repo IS NOT NULL AS tables,
+                       b.repo IS NOT NULL AS broken
+                FROM flags f LEFT JOIN above a USING (repo) LEFT JOIN past p USING (repo) LEFT JOIN created c USING (repo)
+                LEFT JOIN (SELECT repo FROM kept WHERE rel = 'package-lock.json' AND NOT json_valid(text)) b USING (repo)),
       said AS (SELECT repo, unnest(list_filter([
           CASE WHEN NOT web THEN 'serves no web pages: X2, O4 and O5 (headers, errors, health) do not apply' END,
-          'no tables are created: nothing to check for row security and indexes',
+          CASE WHEN tables AND NOT supabase THEN 'no hosted database in use: D1, D2 and D4 (row security) do not apply' END,
+          CASE WHEN NOT tables THEN 'no tables are created: nothing to check for row security and indexes' END,
           CASE WHEN NOT ignored THEN 'there is no ignore file' END,
           CASE WHEN NOT manifest THEN 'no manifest: dependencies are checked in part only' END,
-          CASE WHEN NOT example THEN 'no example settings: each setting the code reads counts as undocumented' END
-        ], lambda x: x IS NOT NULL)) AS note FROM flags)
+          CASE WHEN NOT example THEN 'no example settings: each setting the code reads counts as undocumented' END,
+          CASE WHEN broken THEN 'package-lock.json cannot be parsed: P5 (install scripts) does not apply' END,
+          CASE WHEN n IS NULL THEN 'not under version control: S4 (history) does not apply' END,
+          CASE WHEN shallow THEN 'shallow copy: the depth of the history (H1) is unknown' END,
+          CASE WHEN n > 0 THEN 'history: only the paths of added files were looked at' END
+        ], lambda x: x IS NOT NULL)) AS note FROM state)
       SELECT repo, coalesce(scanned, 0) AS scanned_files, coalesce(total, 0) AS skipped_total,
-             coalesce(skipped, '') AS skipped, coalesce(notes, '') AS notes, '' AS stack
+             coalesce(skipped, '') AS skipped, coalesce(notes, '') AS notes, coalesce(stack, '') AS stack
       FROM (SELECT repo, count(*) FILTER (WHERE reason IS NULL) AS scanned,
-                   count(*) FILTER (WHERE reason IS NOT NULL) AS total FROM listed GROUP BY repo)
+                   count(*) FILTER (WHERE reason IS NOT NULL) AS total FROM unignored GROUP BY repo)
       LEFT JOIN (SELECT repo, string_agg(rel || ' (' || reason || ')', '; ' ORDER BY rel) AS skipped FROM (
-          SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM listed WHERE reason IS NOT NULL)
+          SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM unignored WHERE reason IS NOT NULL)
           WHERE k <= 5 GROUP BY repo) USING (repo)
-      LEFT JOIN (SELECT repo, string_agg(note, '; ' ORDER BY note) AS notes FROM said GROUP BY repo) USING (repo)""",
+      LEFT JOIN (SELECT repo, string_agg(note, '; ' ORDER BY note) AS notes FROM (SELECT DISTINCT * FROM said) GROUP BY repo) USING (repo)
+      LEFT JOIN (SELECT repo, string_agg(tag, '; ' ORDER BY tag) AS stack FROM tagged GROUP BY repo) USING (repo)""",
     "corpus_list": """SELECT name, marker, position FROM (
         SELECT trim(name) AS name, marker, position,
                row_number() OVER (PARTITION BY trim(name) ORDER BY marker, position) AS k
@@ -161,20 +217,20 @@ QUERIES = {
     "credential_shape": f"{values()} {CREDENTIAL} AS credential FROM vals",
     "known_example": f"{values()} {re_hit('v', EXAMPLE)} AS example FROM vals",
     "jwt_public": f"{values()} coalesce({ROLE} = 'anon', false) AS public FROM vals",
-    "sensitive_log_arg": f"""WITH {CODE}, {LINES} SELECT repo, rel, line AS place, {sensitive('l')} AS leaks
+    "sensitive_log_arg": f"""WITH {EVERY}, {LINES} SELECT repo, rel, line AS place, {sensitive('l')} AS leaks
         FROM code_lines_all""",
-    "service_role_client": f"""WITH {CODE}, {LINES} SELECT repo, rel, line AS place,
+    "service_role_client": f"""WITH {EVERY}, {LINES} SELECT repo, rel, line AS place,
         NOT {re_hit('l', r'(?i)<[a-z]+>|you need|add the|copy the|paste|set up|configure')}
         AND {re_hit('l', r'process\.env|import\.meta\.env|createClient|eyJ|=|:')}
         AND NOT (contains(l, 'process.env.') AND NOT contains(l, 'NEXT_PUBLIC')) AS reachable
-        FROM code_lines_all WHERE lower(l) LIKE '%service%role%'""",
-    "non_constant_interp": f"""WITH {CODE}, {LINES} SELECT repo, rel, line AS place,
+        FROM code_lines_all""",
+    "non_constant_interp": f"""WITH {EVERY}, {LINES} SELECT repo, rel, line AS place,
         {VARIABLE} AS variable FROM (SELECT repo, rel, line, l AS m FROM code_lines_all)""",
-    "numeric_group_threshold": f"""WITH {CODE} SELECT repo, rel, place::INTEGER AS place, digits,
+    "numeric_group_threshold": f"""WITH {EVERY} SELECT repo, rel, place::INTEGER AS place, digits,
         coalesce(TRY_CAST(digits AS HUGEINT) < 30000, false) AS aggressive
         FROM (SELECT repo, rel, generate_subscripts(regexp_extract_all(text, '\\d+'), 1) AS place,
                      unnest(regexp_extract_all(text, '\\d+')) AS digits FROM code_files)""",
-    "guard_absent": f"""WITH {CODE}, {located('s', 'code_files', r'fetch\(', 'true')}
+    "guard_absent": f"""WITH {EVERY}, {located('s', 'code_files', r'fetch\(', 'true')}
         SELECT repo, rel, idx::INTEGER AS place,
                NOT {re_hit('substr(text, stop::BIGINT + 1, 200)', r'\.ok\b|\.status\b|statusText')} AS unguarded
         FROM s""",
@@ -189,7 +245,7 @@ QUERIES = {
 
     # dependencies and history
     "registry_missing": f"""WITH {DEPS} SELECT repo, 'P1' AS check_id, file, 1 AS line,
-        name || ' does not exist on the ' || ecosystem || ' registry' AS snippet,
+        'the ' || ecosystem || ' registry has no package ' || name AS snippet,
         'CONFIRMED' AS confidence, '' AS evidence FROM deps
         WHERE (ecosystem || '|' || name) NOT IN (SELECT ecosystem || '|' || name FROM registry)""",
     "typosquat": f"""WITH {DEPS} SELECT repo, 'P2' AS check_id, file, 1 AS line,
@@ -198,25 +254,16 @@ QUERIES = {
               FROM deps, (SELECT unnest([{POPULAR[1:-1]}]) AS popular)
               WHERE damerau_levenshtein(name, popular) = 1 GROUP BY ALL)
         WHERE (ecosystem || '|' || name) IN (SELECT ecosystem || '|' || name FROM registry)""",
-    "history_depth": """SELECT repo, 'H1' AS check_id, '.' AS file, 1 AS line,
-        CASE WHEN n IS NULL THEN 'not under version control'
-             ELSE 'only ' || n || ' commit(s) in its history' END AS snippet,
-        'CONFIRMED' AS confidence, '' AS evidence
+    "history_depth": history_finding("(SELECT DISTINCT 'h' || c_custkey AS repo FROM customer)", HISTORY),
+    "history_notes": f"""SELECT repo, unnest(list_filter([
+          CASE WHEN n IS NULL THEN 'not under version control: S4 (history) does not apply' END,
+          CASE WHEN n = 0 THEN 'the history cannot be read: H1 and S4 do not apply' END,
+          CASE WHEN n > 0 AND shallow THEN 'shallow copy: the depth of the history (H1) is unknown' END,
+          CASE WHEN n > 0 THEN 'history: only the paths of added files were looked at' END
+        ], lambda x: x IS NOT NULL)) AS note
         FROM (SELECT DISTINCT 'h' || c_custkey AS repo FROM customer)
-        LEFT JOIN (SELECT 'h' || o_custkey AS repo, count(*) AS n, bool_or(o_custkey % 10 = 0) AS shallow
-                   FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) USING (repo)
-        WHERE n IS NULL OR (n <= 1 AND NOT shallow)""",
-    "secret_in_history": f"""WITH added AS (SELECT 'h' || o_custkey AS repo,
-          {_fill(_pick(src.ADDED, f'o_orderkey % {len(src.ADDED)}'), {'n': 'o_orderkey::VARCHAR'})} AS path FROM orders),
-        pats AS (SELECT unnest(['.env', '.env.local', '.env.production', 'credentials.json', 'serviceAccount.json',
-                                'id_rsa', '*.pem']) AS pat)
-        SELECT repo, 'S4' AS check_id, min(path) AS file, 1 AS line,
-               min(path) || ' was once added to the history' AS snippet,
-               'CONFIRMED' AS confidence, '' AS evidence
-        FROM added, pats WHERE (path = pat OR starts_with(path, pat || '/') OR
-                                (pat = '*.pem' AND ends_with(path, '.pem')))
-          AND NOT {re_hit('path', r'(?i)(cacert|ca-bundle|ca-certificates|fullchain|/certifi/|node_modules/|\.venv/|site-packages/|vendor/)')}
-        GROUP BY repo, pat""",
+        LEFT JOIN (SELECT repo, count(id) AS n, bool_or(shallow) AS shallow FROM ({HISTORY}) GROUP BY repo) USING (repo)""",
+    "secret_in_history": f"WITH {added_cte("'h' || o_custkey")} {secret_added()}",
 
     # findings
     "catalog_enrich": f"{F} SELECT *, left(check_id, 1) AS domain FROM rated",
@@ -261,11 +308,21 @@ QUERIES = {
           FROM rated r JOIN domains ON d = left(r.check_id, 1)
           ANTI JOIN lead l ON l.repo = r.repo AND l.check_id = r.check_id AND l.file = r.file AND l.line = r.line
           WHERE r.confidence = 'CONFIRMED'
-        UNION ALL SELECT 3, 'Suspected', repo, check_id, file, line, snippet FROM rated WHERE confidence <> 'CONFIRMED'""",
-    "run_diff": f"""{TWO}, o AS (SELECT repo, check_id, file, line, max(snippet) AS snippet FROM prev GROUP BY ALL),
-        n AS (SELECT repo, check_id, file, line, max(snippet) AS snippet FROM cur GROUP BY ALL)
-        SELECT repo, check_id, file, line, CASE WHEN o.snippet IS NULL THEN 'new' WHEN n.snippet IS NULL THEN 'fixed'
-          ELSE 'unchanged' END AS status, coalesce(n.snippet, o.snippet) AS snippet
+        UNION ALL SELECT 3, 'Suspected', repo, check_id, file, line, snippet FROM rated WHERE confidence <> 'CONFIRMED'
+        UNION ALL SELECT 4, 'Coverage', repo, NULL, NULL, NULL, unnest(list_filter(['1 files and 48 checks',
+            'built with ' || left(repo, 1), CASE WHEN length(repo) % 2 = 0 THEN 'even' ELSE 'odd' END,
+            n || ' files left out: ' || shown || CASE WHEN n > 5 THEN ', ...' ELSE '' END], lambda x: x IS NOT NULL))
+          FROM repos LEFT JOIN (SELECT repo, count(*) AS n,
+                 array_to_string(list_sort(list(rel || ' (binary)'))[1:5], ', ') AS shown
+               FROM (SELECT DISTINCT repo, file || ':' || line || ':' || check_id AS rel FROM f) GROUP BY repo) USING (repo)""",
+    "run_diff": f"""{TWO}, o AS (SELECT * FROM (SELECT *, row_number() OVER (
+            PARTITION BY repo, check_id, file, line ORDER BY snippet DESC, confidence DESC) AS k FROM prev) WHERE k = 1),
+        n AS (SELECT * FROM (SELECT *, row_number() OVER (
+            PARTITION BY repo, check_id, file, line ORDER BY snippet DESC, confidence DESC) AS k FROM cur) WHERE k = 1)
+        SELECT repo, check_id, file, line, CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'fixed'
+          ELSE 'unchanged' END AS status, CASE WHEN n.k = 1 THEN n.snippet ELSE o.snippet END AS snippet,
+          CASE WHEN n.k = 1 THEN n.confidence ELSE o.confidence END AS confidence,
+          CASE WHEN n.k = 1 THEN n.evidence ELSE o.evidence END AS evidence
         FROM o FULL JOIN n USING (repo, check_id, file, line)""",
     "diff_counts": f"""{TWO}, o AS (SELECT DISTINCT repo, check_id, file, line, 1 AS p FROM prev),
         n AS (SELECT DISTINCT repo, check_id, file, line, 1 AS c FROM cur)
@@ -276,7 +333,8 @@ QUERIES = {
         h AS (SELECT DISTINCT repo, check_id, true AS h FROM cur WHERE check_id NOT IN ('O3', 'T2', 'H8'))
         SELECT repo, count(w) AS expected, count(CASE WHEN w AND h THEN 1 END) AS hit, count(CASE WHEN w AND h IS NULL THEN 1 END) AS missed,
                count(CASE WHEN w IS NULL THEN 1 END) AS unexpected,
-               CASE WHEN count(w) > 0 THEN count(CASE WHEN w AND h THEN 1 END)::DOUBLE / count(w) END AS recall
+               CASE WHEN count(w) > 0 THEN count(CASE WHEN w AND h THEN 1 END)::DOUBLE / count(w) END AS recall,
+               CASE WHEN count(h) > 0 THEN count(CASE WHEN w AND h THEN 1 END)::DOUBLE / count(h) END AS precision
         FROM w FULL JOIN h USING (repo, check_id) GROUP BY repo""",
     "site_recall": f"""{TWO} SELECT repo, check_id, bool_or(hit IS NOT NULL) AS on_site
         FROM (SELECT DISTINCT repo, check_id, file FROM prev)
@@ -324,6 +382,8 @@ QUERIES = {
         count(CASE WHEN counted THEN 1 END) AS total, any_value(length(repo)) AS files, left(repo, 1) AS stack
         FROM (SELECT *, check_id NOT IN ('H1', 'S4') AS counted FROM repos LEFT JOIN rated USING (repo)) GROUP BY repo""",
     "exact_median": "SELECT median(l_extendedprice) AS median FROM lineitem",
-    "stream_rule_scan": f"""WITH {CODE}, {rule_findings([r[0] for r in RULES], 'code_files')}
+    "stream_rule_scan": f"""WITH {EVERY}, {rule_findings([r[0] for r in RULES], 'code_files')}
         SELECT *, 'SUSPECTED' AS confidence, '' AS evidence FROM rule_findings""",
 }
+QUERIES["findings_all"] = whole_audit("true")
+QUERIES["audit_from_bytes"] = whole_audit(f"NOT {IGNORED}")

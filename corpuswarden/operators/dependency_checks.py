@@ -74,6 +74,17 @@ def install_script_probe(c: FileColumns) -> str:
     return when(f"{c.rel} = 'package-lock.json' and contains(_text, 'hasInstallScript')", found)
 
 
+def broken_lock_probe(c: FileColumns) -> str:
+    """A root package lock that cannot be read, so that P5 has nothing to look at."""
+    return when(f"{c.rel} = 'package-lock.json' and get_json_object(_text, '$') is null",
+                f"array({fact('broken_lock')})")
+
+
+def broken_lock_notes(facts: DataFrame) -> DataFrame:
+    return facts.where("kind = 'broken_lock'").selectExpr(
+        "repo", "'package-lock.json cannot be parsed: P5 (install scripts) does not apply' as note").distinct()
+
+
 def install_script(facts: DataFrame) -> DataFrame:
     return as_findings(facts.where("kind = 'local' and a = 'P5'"), "CONFIRMED")
 
@@ -84,6 +95,13 @@ def no_lockfile(tree: DataFrame) -> DataFrame:
     `tree` is every path (repo, rel), ignored ones included: a lockfile is not scanned
     but it counts.
     """
+    return root_manifests(tree).where("manifest is not null and not locked").select(
+        *findings_row("'P3'", "manifest", "1",
+                      "concat(manifest, ' is not accompanied by a lockfile')", "CONFIRMED"))
+
+
+def root_manifests(tree: DataFrame) -> DataFrame:
+    """(repo, locked, manifest) of repositories with a manifest or a lockfile at the top."""
     listed = ", ".join(tx.quote(n) for n in MANIFESTS + LOCKFILES)
     locks = ", ".join(tx.quote(n) for n in LOCKFILES)
     order = f"array({', '.join(tx.quote(m) for m in MANIFESTS)})"
@@ -91,20 +109,20 @@ def no_lockfile(tree: DataFrame) -> DataFrame:
         tree.where(f"rel in ({listed})").groupBy("repo")
         .agg(F.expr(f"bool_or(rel in ({locks}))").alias("locked"),
              F.expr(f"min(nullif(array_position({order}, rel), 0))").alias("first"))
-        .where("first is not null and not locked")
-        .selectExpr("repo", f"element_at({order}, cast(first as int)) as manifest")
-        .select(*findings_row("'P3'", "manifest", "1",
-                              "concat(manifest, ' is not accompanied by a lockfile')",
-                              "CONFIRMED"))
+        .selectExpr("repo", "locked", f"get({order}, cast(first as int) - 1) as manifest")
     )
 
 
+# The manifest dependency findings are reported against; `npm`: whether the first one exists.
+MANIFEST = "if(npm, 'package.json', 'requirements.txt')"
+
+
 def manifest_of(facts: DataFrame) -> DataFrame:
     """The manifest dependency findings are reported against."""
     return (
         facts.where("kind = 'file'").groupBy("repo")
         .agg(F.expr("bool_or(rel = 'package.json')").alias("npm"))
-        .selectExpr("repo", "if(npm, 'package.json', 'requirements.txt') as manifest")
+        .selectExpr("repo", f"{MANIFEST} as manifest")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpuswarden.catalog import DOMAINS, checks, fix_class_of, severity_of
+from corpuswarden.catalog import CHECKS, DOMAINS, checks, fix_class_of, severity_of
 from corpuswarden.schema import FIX_CLASSES, SEVERITIES
 
 KEY = ["repo", "check_id", "file", "line"]
@@ -111,10 +111,13 @@ def blocking_top(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
         F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
 
 
-def audit_table(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
-    """The report as rows: blocking, the rest by domain, suspected.
+def audit_table(findings: DataFrame, shown: int = MAX_BLOCKING,
+                coverage: DataFrame | None = None) -> DataFrame:
+    """The report as rows: blocking, the rest by domain, suspected, coverage.
 
     A key among the blocking rows is not listed again. `part` orders the sections.
+    `coverage` is what `coverage_summary` returns; its figures and notes become rows
+    without a check.
     """
     rated = findings.withColumn("severity", severity_of())
     confirmed = rated.where("confidence = 'CONFIRMED'")
@@ -128,20 +131,30 @@ def audit_table(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
     def section(part: int, name, rows: DataFrame) -> DataFrame:
         return rows.select(F.lit(part).alias("part"), name.alias("section"), *columns)
 
-    return (
+    table = (
         section(1, F.lit("Blocking"), lead)
         .unionByName(section(2, domain, rest))
         .unionByName(section(3, F.lit("Suspected"), suspected))
     )
+    if coverage is None:
+        return table
+    said = coverage.selectExpr("repo", f"""explode(concat(
+        array(concat(scanned_files, ' files and {sum(c[4] for c in CHECKS)} checks')),
+        if(size(stack) > 0, array(concat('built with ', array_join(stack, ', '))), array()), notes,
+        if(skipped_total > 0, array(concat(skipped_total, ' files left out: ', array_join(skipped, ', '),
+           if(skipped_total > size(skipped), ', ...', ''))), array()))) as snippet""")
+    return table.unionByName(said.selectExpr(
+        "4 as part", "'Coverage' as section", "repo", "cast(null as string) as check_id",
+        "cast(null as string) as file", "cast(null as int) as line", "snippet"))
 
 
 def run_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Status of each finding key between two runs, with the newer row's text.
+    """Status of each finding key between two runs, with the whole newer row.
 
     Both runs go through one aggregation on the key: duplicates collapse before the
     shuffle and no join is needed.
     """
-    payload = F.struct("snippet", "confidence")
+    payload = F.struct("snippet", "confidence", "evidence")
     both = previous.select(*KEY, F.lit(1).alias("run"), payload.alias("row")).unionByName(
         current.select(*KEY, F.lit(2).alias("run"), payload.alias("row")))
     met = both.groupBy(*KEY).agg(
@@ -149,8 +162,8 @@ def run_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
         F.expr("max(row) filter (where run = 2)").alias("new"))
     status = (F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "fixed")
               .otherwise("unchanged"))
-    return met.select(*KEY, status.alias("status"),
-                      F.coalesce("new.snippet", "old.snippet").alias("snippet"))
+    return met.select(*KEY, status.alias("status"), F.coalesce("new", "old").alias("row")).select(
+        *KEY, "status", "row.*")
 
 
 def diff_counts(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -160,7 +173,10 @@ def diff_counts(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def recall_precision(expected: DataFrame, found: DataFrame,
                      advisory: tuple[str, ...] = ()) -> DataFrame:
-    """Per repository: expected, hit and missed checks, and checks nobody expected."""
+    """Per repository: expected, hit and missed checks, checks nobody expected, and ratios.
+
+    `recall` is null where nothing was expected, `precision` where nothing was found.
+    """
     want = expected.select("repo", "check_id").distinct().withColumn("wanted", F.lit(True))
     have = found.where(~F.col("check_id").isin(*advisory)).select(
         "repo", "check_id").distinct().withColumn("found", F.lit(True))
@@ -170,7 +186,8 @@ def recall_precision(expected: DataFrame, found: DataFrame,
         F.count_if(F.col("wanted") & F.col("found")).alias("hit"),
         F.count_if(F.col("wanted") & ~F.col("found")).alias("missed"),
         F.count_if(~F.col("wanted") & F.col("found")).alias("unexpected"),
-    ).withColumn("recall", F.expr("if(expected > 0, hit / expected, null)"))
+    ).withColumn("recall", F.expr("if(expected > 0, hit / expected, null)")).withColumn(
+        "precision", F.expr("if(hit + unexpected > 0, hit / (hit + unexpected), null)"))
 
 
 def site_recall(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -59,8 +59,7 @@ def flag_probe(c: FileColumns) -> str:
         "next_config": f"{c.rel} = 'next.config.js'",
         "node_tests": tx.matches_regex(c.rel, NODE_TESTS),
         "any_tests": tx.any_of(f"startswith({c.rel}, 'tests/')", f"contains({c.rel}, 'test_')"),
-        "ci": tx.any_of(f"startswith({c.rel}, '.github/workflows/')",
-                        *[f"{c.rel} = {tx.quote(f)}" for f in CI_FILES]),
+        "ci": _is_workflow(c.rel),
     }
     listed = ", ".join(f"if({test}, '{flag}', null)" for flag, test in flags.items())
     return f"transform(filter(array({listed}), f -> f is not null), f -> {fact('flag', 'f')})"
@@ -75,11 +74,41 @@ FLAGS = ("supabase", "web", "react", "boundary", "headers", "tracker", "health",
          "next_config", "node_tests", "any_tests", "ci")
 
 
+def _flag_columns() -> list:
+    return [F.expr(f"coalesce(bool_or(kind = 'flag' and a = '{f}'), false)").alias(f) for f in FLAGS]
+
+
 def repo_flags(facts: DataFrame) -> DataFrame:
     """One row per repository with every flag; partial aggregation keeps it small."""
-    return facts.where("kind in ('file', 'flag')").groupBy("repo").agg(
-        *[F.expr(f"coalesce(bool_or(kind = 'flag' and a = '{f}'), false)").alias(f)
-          for f in FLAGS])
+    return facts.where("kind in ('file', 'flag')").groupBy("repo").agg(*_flag_columns())
+
+
+def repo_state(facts: DataFrame) -> DataFrame:
+    """One row per repository: its flags, the texts of its root files, what it holds."""
+    def root(name: str) -> str:
+        return f"max(if(kind = 'root' and a = '{name}', snippet, null))"
+
+    return facts.where("kind in ('file', 'flag', 'root', 'table')").groupBy("repo").agg(
+        *_flag_columns(), F.expr(root(".gitignore")).alias("ignore_text"),
+        F.expr(root("package.json")).alias("package_text"),
+        F.expr("bool_or(kind = 'file' and rel = 'package.json')").alias("npm"),
+        F.expr("bool_or(kind = 'table')").alias("tables"))
+
+
+def path_flag_probe(c: FileColumns) -> str:
+    """The properties a path establishes whether or not its file is scanned."""
+    flags = {
+        "node_tests": tx.matches_regex(c.rel, NODE_TESTS),
+        "any_tests": tx.any_of(f"startswith({c.rel}, 'tests/')", f"contains({c.rel}, 'test_')"),
+        "ci": _is_workflow(c.rel),
+    }
+    listed = ", ".join(f"if({test}, '{flag}', null)" for flag, test in flags.items())
+    return f"transform(filter(array({listed}), f -> f is not null), f -> {fact('flag', 'f')})"
+
+
+def _is_workflow(rel: str) -> str:
+    return tx.any_of(f"startswith({rel}, '.github/workflows/')",
+                     *[f"{rel} = {tx.quote(f)}" for f in CI_FILES])
 
 
 # What each missing property is reported as.
@@ -94,16 +123,27 @@ ABSENCE = {
 }
 
 
+def lacking(condition: str, check: str, file: str, text: str) -> str:
+    """A finding of a repository's row if the condition holds, else null."""
+    return (f"if({condition}, named_struct('check', '{check}', 'file', {file}, "
+            f"'text', {text}), null)")
+
+
+def repo_findings(state: DataFrame, *made: str) -> DataFrame:
+    """The findings that one row per repository gives, all in one projection."""
+    listed = f"filter(array({', '.join(made)}), m -> m is not null)"
+    return state.select("repo", F.explode(F.expr(listed)).alias("m")).select(
+        *findings_row("m.check", "m.file", "1", "m.text", "CONFIRMED"))
+
+
+def absences(*wanted: str) -> list[str]:
+    return [lacking(condition, check, file, tx.quote(text))
+            for check, (condition, file, text) in ABSENCE.items() if check in (wanted or ABSENCE)]
+
+
 def absence_findings(flags: DataFrame, *wanted: str) -> DataFrame:
     """Properties a repository lacks, all from one row of flags."""
-    missing = []
-    for check in wanted or ABSENCE:
-        condition, file, text = ABSENCE[check]
-        missing.append(f"if({condition}, named_struct('check', '{check}', 'file', {file}, "
-                       f"'text', {tx.quote(text)}), null)")
-    listed = f"filter(array({', '.join(missing)}), m -> m is not null)"
-    return flags.select("repo", F.explode(F.expr(listed)).alias("m")).select(
-        *findings_row("m.check", "m.file", "1", "m.text", "CONFIRMED"))
+    return repo_findings(flags, *absences(*wanted))
 
 
 def no_error_boundary(flags: DataFrame) -> DataFrame:
@@ -135,17 +175,22 @@ def _quoted(value: str) -> str:
             f"concat({single}, replace({safe}, {single}, {tx.quote(chr(92) + chr(39))}), {single}))")
 
 
+def weak_tests(script: str) -> str:
+    """T1 of a repository's row; `script` is its test script, null without a manifest."""
+    weak = f"not node_tests or {script} = '' or {script} rlike {tx.quote(PLACEHOLDER_TEST)}"
+    text = (f"if({script} is null, 'there are no tests', concat('tests are run by ', "
+            f"{_quoted(script)}, ', test files: ', if(node_tests, 'some', 'none')))")
+    return lacking(f"if({script} is null, not any_tests, {weak})", "T1",
+                   f"if({script} is null, '.', 'package.json')", text)
+
+
+def test_script(manifest: str) -> str:
+    """The test script a manifest's text names, empty if it names none."""
+    return tx.strip(f"coalesce(get_json_object({manifest}, '$.scripts.test'), '')")
+
+
 def no_tests(flags: DataFrame, facts: DataFrame) -> DataFrame:
     """T1: a manifest with no tests or only a placeholder script, or no tests at all."""
-    script = "coalesce(get_json_object(snippet, '$.scripts.test'), '')"
     manifests = facts.where("kind = 'root' and a = 'package.json'").selectExpr(
-        "repo", f"{tx.strip(script)} as script")
-    weak = f"not node_tests or script = '' or script rlike {tx.quote(PLACEHOLDER_TEST)}"
-    text = (f"if(script is null, 'there are no tests', concat('tests are run by ', "
-            f"{_quoted('script')}, ', test files: ', if(node_tests, 'some', 'none')))")
-    return (
-        flags.join(manifests, "repo", "left")
-        .where(f"if(script is null, not any_tests, {weak})")
-        .select(*findings_row("'T1'", "if(script is null, '.', 'package.json')", "1", text,
-                              "CONFIRMED"))
-    )
+        "repo", f"{test_script('snippet')} as script")
+    return repo_findings(flags.join(manifests, "repo", "left"), weak_tests("script"))

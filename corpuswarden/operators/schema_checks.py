@@ -103,7 +103,7 @@ def uses_supabase(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'flag' and a = 'supabase'").select("repo").distinct()
 
 
-def rls_missing(facts: DataFrame) -> DataFrame:
+def rls_missing(facts: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """D1: tables for which no statement of the repository enables row security.
 
     Both sides meet in one aggregation on (repo, table), so nothing is joined until
@@ -116,15 +116,17 @@ def rls_missing(facts: DataFrame) -> DataFrame:
              F.expr("bool_or(kind = 'rls')").alias("secured"))
         .where("site is not null and not secured")
     )
-    return tables.join(uses_supabase(facts), "repo", "left_semi").select(*findings_row(
+    users = uses_supabase(facts) if users is None else users
+    return tables.join(users, "repo", "left_semi").select(*findings_row(
         "'D1'", "site.rel", "site.line",
         "concat('table ', a, ' is created, row security is never switched on')", "CONFIRMED"))
 
 
-def gated(facts: DataFrame, *checks: str) -> DataFrame:
+def gated(facts: DataFrame, *checks: str, users: DataFrame | None = None) -> DataFrame:
     """Findings of the named checks in the repositories they apply to."""
     found = facts.where((F.col("kind") == "gated") & F.col("a").isin(*checks))
-    return as_findings(found.join(uses_supabase(facts), "repo", "left_semi"), "CONFIRMED")
+    users = uses_supabase(facts) if users is None else users
+    return as_findings(found.join(users, "repo", "left_semi"), "CONFIRMED")
 
 
 def permissive_policy(facts: DataFrame) -> DataFrame:
@@ -136,13 +138,16 @@ def public_bucket(facts: DataFrame) -> DataFrame:
 
 
 def unindexed_filter(facts: DataFrame) -> DataFrame:
-    """C2: filtered or ordered columns of created tables that no index covers."""
-    created = facts.where("kind = 'table'").select("repo", "a").distinct()
-    indexed = facts.where("kind = 'index'").select("repo", "a", "b").distinct()
+    """C2: filtered or ordered columns of created tables that no index covers.
+
+    Tables and indexes meet in one aggregation; a table's indexed columns stay with it.
+    """
+    tables = facts.where("kind in ('table', 'index')").groupBy("repo", "a").agg(
+        F.bool_or(F.col("kind") == "table").alias("created"),
+        F.collect_set(F.expr("if(kind = 'index', b, null)")).alias("indexed")).where("created")
     return (
-        facts.where("kind = 'chain' and b <> 'id'")
-        .join(created, ["repo", "a"], "left_semi")
-        .join(indexed, ["repo", "a", "b"], "left_anti")
+        facts.where("kind = 'chain' and b <> 'id'").join(tables, ["repo", "a"])
+        .where("not array_contains(indexed, b)")
         .select(*findings_row("'C2'", "rel", "line",
                               "concat('no index on ', a, '.', b, ', which queries filter or sort by')",
                               "SUSPECTED"))

@@ -152,55 +152,76 @@ def oversized_files(facts: DataFrame) -> DataFrame:
 
 # ---- repeated blocks ------------------------------------------------------------------
 
-def sliding_lines(files: DataFrame, suffixes=paths.MODULES, size: int = WINDOW,
-                  min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """Blocks of `size` consecutive lines with blanks collapsed: (repo, rel, line, body).
-
-    A file is one row, so the frame slides inside the row and nothing is shuffled.
-    """
-    scope = f"not {paths.is_test('rel')}"
-    if suffixes:
-        scope += f" and {paths.has_suffix('rel', suffixes)}"
+def _blocks(text: str, size: int, min_chars: int) -> str:
+    """Blocks of `size` lines with blanks collapsed: an array of (line, frame)."""
     newline = tx.quote("\n")
-    ended = f"if(endswith(text, {newline}), left(text, length(text) - 1), text)"
+    ended = f"if(endswith({text}, {newline}), left({text}, length({text}) - 1), {text})"
     one_blank = f"regexp_replace(l, {tx.regex(r'[\s]+')}, ' ')"
     cleaned = f"transform({tx.lines(ended)}, l -> {tx.strip(one_blank)})"
     frames = (f"transform(sequence(1, size(v) - {size - 1}), "
               f"i -> named_struct('line', i, 'frame', slice(v, i, {size})))")
     long_enough = (f"filter({frames}, w -> aggregate(w.frame, 0, (n, l) -> n + length(l)) "
                    f">= {min_chars})")
-    blocks = tx.let("v", cleaned, f"if(size(v) >= {size}, {long_enough}, array())")
+    return tx.let("v", cleaned, f"if(size(v) >= {size}, {long_enough}, array())")
+
+
+def _block_scope(suffixes) -> str:
+    scope = f"not {paths.is_test('rel')}"
+    return f"{scope} and {paths.has_suffix('rel', suffixes)}" if suffixes else scope
+
+
+def sliding_lines(files: DataFrame, suffixes=paths.MODULES, size: int = WINDOW,
+                  min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """Blocks of `size` consecutive lines with blanks collapsed: (repo, rel, line, body).
+
+    A file is one row, so the frame slides inside the row and nothing is shuffled.
+    """
     return (
-        files.where(scope)
-        .select("repo", "rel", F.explode(F.expr(blocks)).alias("w"))
-        .select("repo", "rel", "w.line",
-                F.array_join("w.frame", "\n").alias("body"))
+        files.where(_block_scope(suffixes))
+        .select("repo", "rel", F.explode(F.expr(_blocks("text", size, min_chars))).alias("w"))
+        .select("repo", "rel", "w.line", F.array_join("w.frame", "\n").alias("body"))
     )
 
 
+def block_probe(c: FileColumns) -> str:
+    """H8: the digest and the line of every block of a module."""
+    digest = "md5(array_join(w.frame, '\\n'))"
+    found = _blocks(c.text, WINDOW, MIN_BLOCK_CHARS)
+    return when(f"not {c.test} and {c.suffix(paths.MODULES)}",
+                f"transform({found}, w -> {fact('block', digest, line='w.line')})")
+
+
 def clone_blocks(files: DataFrame, suffixes=paths.MODULES) -> DataFrame:
-    """H8: the most repeated block of each repository, one finding per repository.
+    """H8 of a files table by itself: its blocks are cut here."""
+    blocks = write_once(sliding_lines(files, suffixes).selectExpr(
+        "repo", "rel", "line", "md5(body) as digest"))
+    return most_repeated(blocks, files)
+
 
-    Counting needs only a digest of each block, summed before the shuffle. The texts
-    are read again only for the sites of the winning blocks.
+def most_repeated(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """H8: the most repeated of `blocks` (repo, rel, line, digest), one finding per repository.
+
+    Digests are counted before the shuffle, and those of the winning blocks meet their
+    sites. The texts are read once more, only to fetch the winning blocks: of those
+    repeated equally often the first in order is reported.
     """
-    blocks = sliding_lines(files, suffixes).selectExpr(
-        "repo", "rel", "line", "body", "unhex(sha2(body, 256)) as digest")
     repeated = write_once(
         blocks.groupBy("repo", "digest").agg(F.count("*").alias("n")).where(f"n >= {MIN_SITES}"))
     best = repeated.groupBy("repo").agg(F.max("n").alias("n"), F.count("*").alias("groups"))
     winners = repeated.join(best, ["repo", "n"]).select("repo", "digest", "n", "groups")
-
     sites = sized_join(blocks, winners, ["repo", "digest"])
     first = sites.selectExpr(
-        "*", "row_number() over (partition by repo, body order by rel, line) as place",
+        "*", "row_number() over (partition by repo, digest order by rel, line) as place",
     ).where(f"place <= {MIN_SITES}")
-    listed = first.groupBy("repo", "body", "n", "groups").agg(
-        F.expr("array_sort(collect_list(struct(rel, line)))").alias("sites"))
+    listed = first.groupBy("repo", "digest", "n", "groups").agg(
+        F.expr("array_sort(collect_list(struct(rel, line)))").alias("sites")).selectExpr(
+        "*", "sites[0].rel as rel", "sites[0].line as line")
+    held = sized_join(files.select("repo", "rel", "text"), listed, ["repo", "rel"])
+    body = f"array_join(filter({_blocks('text', WINDOW, MIN_BLOCK_CHARS)}, w -> w.line = line)[0].frame, '\\n')"
     named = "array_join(transform(best.sites, s -> concat(s.rel, ':', s.line)), ', ')"
     more = "if(groups > 1, concat(', besides ', groups - 1, ' other blocks'), '')"
     return (
-        listed.groupBy("repo", "n", "groups")
+        held.withColumn("body", F.expr(body)).groupBy("repo", "n", "groups")
         .agg(F.expr("min(struct(body, sites))").alias("best"))
         .select(*findings_row(
             "'H8'", "best.sites[0].rel", "best.sites[0].line",

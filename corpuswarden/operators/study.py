@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuswarden.catalog import HISTORY_CHECKS, severity_of
 from corpuswarden.schema import SEVERITIES
+from corpuswarden.session import sized_join, write_once
 
 SEGMENTS = ("supabase", "firebase", "nextjs", "express")
 MIN_SEGMENT = 10
-BRACKET = 0.0005
-ACCURACY = 10_000
+BINS = 1024  # counts a pass of the median takes per rank
 
 
 def pseudonymise(repos: DataFrame) -> DataFrame:
@@ -77,45 +77,68 @@ def stack_counts(runs: DataFrame) -> DataFrame:
             .groupBy("tag").agg(F.count("*").alias("repos")))
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """Exact median as one row, without collecting the column in one task.
+def exact_medians(df: DataFrame, columns: dict[str, str]) -> dict[str, float | None]:
+    """Exact medians of expressions over `df`; values that are no finite numbers do not count.
 
-    A sketch brackets the middle ranks, an aggregation counts what lies below the
-    bracket, and only the distinct values inside it are ranked.
+    The values are written once. Every pass then counts, for each middle rank still
+    sought, the values between the bounds known so far in `BINS` equal bins, and takes
+    the bin of the rank with its least and greatest value as the new bounds. It ends
+    when these are equal. A pass is one aggregation; a few thousand counts reach the
+    driver, and no values are collected or sorted.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    ends = values.agg(F.percentile_approx(
-        "v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("ends"))
-    low, high = (ends.select(F.col("ends")[i]).scalar() for i in (0, 1))
-    total = values.agg(F.count("*")).scalar()
-    below = values.where(F.col("v") < low).agg(F.count("*")).scalar()
-    inside = values.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(
-        F.count("*").alias("n"))
-    reached = below + F.sum("n").over(Window.orderBy("v"))
-    ranked = inside.select("v", reached.alias("reached"), total.alias("total"))
-    lower = F.expr("min(v) filter (where reached >= (total + 1) div 2)")
-    upper = F.expr("min(v) filter (where reached >= total div 2 + 1)")
-    return ranked.agg(((lower + upper) / 2).alias("median"))
+    kept = write_once(df.selectExpr(*[f"if(abs(cast({e} as double)) < double('inf'), cast({e} as double), null) as `{n}`"
+                                      for n, e in columns.items()]))
+    stats = kept.selectExpr(*[f"struct(count(`{n}`) as n, min(`{n}`) as low, max(`{n}`) as high) as `{n}`"
+                              for n in columns]).first()
+    # One search per middle rank: its column, the rank among the values within the bounds.
+    sought = [(name, rank, stats[name]["low"], stats[name]["high"]) for name in columns if stats[name]["n"]
+              for rank in {(stats[name]["n"] + 1) // 2, stats[name]["n"] // 2 + 1}]
+    found: dict[str, list[float]] = {}
+    while sought:
+        found_now = [s for s in sought if s[2] == s[3]]
+        for name, _, low, _ in found_now:
+            found.setdefault(name, []).append(low)
+        sought = [s for s in sought if s[2] != s[3]]
+        if not sought:
+            break
+        seen = ", ".join(
+            f"if(`{name}` between double('{low!r}') and double('{high!r}'), named_struct('k', {k}, 'bin', "
+            f"least(cast((`{name}` / 2 - double('{low / 2!r}')) / double('{high / 2 - low / 2!r}') * {BINS} as int), "
+            f"{BINS - 1}), 'v', `{name}`), null)" for k, (name, _, low, high) in enumerate(sought))
+        counted = kept.selectExpr(f"explode(array_compact(array({seen}))) as s").groupBy("s.k", "s.bin").agg(
+            F.count("*").alias("n"), F.min("s.v").alias("low"), F.max("s.v").alias("high")).collect()
+        narrowed = []
+        for k, (name, rank, _, _) in enumerate(sought):
+            for row in sorted((r for r in counted if r["k"] == k), key=lambda r: r["bin"]):
+                if rank <= row["n"]:
+                    narrowed.append((name, rank, row["low"], row["high"]))
+                    break
+                rank -= row["n"]
+        sought = narrowed
+    return {name: (min(found[name]) + max(found[name])) / 2 if name in found else None for name in columns}
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """Exact median of a column as one row."""
+    value = exact_medians(df, {"median": f"`{column}`"})["median"]
+    return df.sparkSession.range(1).select(F.lit(value).cast("double").alias("median"))
 
 
 def corpus_summary(runs: DataFrame) -> DataFrame:
     """The headline figures as one row; repositories without findings count."""
-    done = _scanned(runs)
-    medians = {
-        "median_findings": exact_median(done, "total"),
-        "median_p0": exact_median(done.select(F.col("severity.P0").alias("p0")), "p0"),
-        "median_seconds": exact_median(done, "seconds"),
-    }
-    return runs.agg(
+    narrow = write_once(runs.selectExpr(
+        "ok", "files", "total", "seconds", *[f"severity.{s} as {s.lower()}" for s in SEVERITIES]))
+    medians = exact_medians(narrow.where("ok"), {
+        "median_findings": "total", "median_p0": "p0", "median_seconds": "seconds"})
+    return narrow.agg(
         F.count("*").alias("repos_attempted"),
         F.count_if("ok").alias("repos_scanned"),
         F.count_if(~F.col("ok")).alias("repos_failed"),
         F.expr("sum(files) filter (where ok)").alias("files_scanned"),
         F.expr("avg(total) filter (where ok)").alias("mean_findings"),
-        F.expr("100.0D * count_if(ok and severity.P0 > 0) / count_if(ok)").alias("pct_with_p0"),
-        *[F.expr(f"sum(severity.{s}) filter (where ok)").alias(f"total_{s.lower()}")
-          for s in SEVERITIES],
-    ).select("*", *[m.scalar().alias(name) for name, m in medians.items()])
+        F.expr("100.0D * count_if(ok and p0 > 0) / count_if(ok)").alias("pct_with_p0"),
+        *[F.expr(f"sum({s.lower()}) filter (where ok)").alias(f"total_{s.lower()}") for s in SEVERITIES],
+    ).select("*", *[F.lit(value).cast("double").alias(name) for name, value in medians.items()])
 
 
 def segment_report(runs: DataFrame, minimum: int = MIN_SEGMENT, top: int = 10) -> DataFrame:
@@ -174,8 +197,7 @@ def stratified_sample(findings: DataFrame, repos: DataFrame, count: int = 40,
     place = F.row_number().over(Window.partitionBy("check_id").orderBy(
         "draw", "repo", "file", "line", "snippet"))
     return (
-        findings.where(severity_of() == severity)
-        .join(F.broadcast(chosen), "repo")
+        sized_join(findings.where(severity_of() == severity), chosen, "repo")
         .withColumn("place", place).where(f"place <= {per_check}")
         .select("check_id", "place", "repo", "file", "line",
                 F.substring("snippet", 1, 160).alias("snippet"))
@@ -186,6 +208,6 @@ def sample_accounting(runs: DataFrame, count: int, seed: int) -> DataFrame:
     """Requested, attempted, scanned and failed repositories of a sample."""
     named = runs.withColumnRenamed("id", "repo")
     chosen = sampled_repos(named, count, seed)
-    return named.join(F.broadcast(chosen), "repo").agg(
+    return sized_join(named, chosen, "repo").agg(
         F.lit(count).alias("requested"), F.count("*").alias("attempted"),
         F.count_if("ok").alias("scanned"), F.count_if(~F.col("ok")).alias("failed"))

@@ -21,10 +21,15 @@ def root_texts_probe(c: FileColumns) -> str:
     return config_checks.root_probe(c, ROOT_TEXTS)
 
 
+# What only a path tells; it holds for files that are not scanned too.
+PATH_PROBES = (
+    project_checks.file_probe,
+    project_checks.path_flag_probe,
+    config_checks.secret_file_probe,
+)
 PROBES = (
     rule_probe,
     root_texts_probe,
-    config_checks.secret_file_probe,
     config_checks.sourcemap_probe,
     config_checks.debug_probe,
     config_checks.setting_probe,
@@ -32,13 +37,14 @@ PROBES = (
     schema_checks.open_rules_probe,
     schema_checks.chain_probe,
     project_checks.flag_probe,
-    project_checks.file_probe,
     dependency_checks.dependency_probe,
     dependency_checks.install_script_probe,
+    dependency_checks.broken_lock_probe,
     structure.module_probe,
     structure.import_probe,
     structure.comment_run_probe,
     structure.size_probe,
+    structure.block_probe,
     tree.stack_probe,
 )
 
@@ -46,63 +52,81 @@ PROBES = (
 CONFIRMED_LOCAL = ("S6", "D9", "P5")
 
 
-def corpus_facts(files: DataFrame) -> DataFrame:
-    """Every probe's evidence, written once and partitioned by kind."""
-    return write_once(extract(files, *PROBES), partition_by="kind")
+def corpus_facts(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Every probe's evidence, written once and partitioned by kind.
+
+    `paths` is every (repo, rel) there is; those that are not ignored count as present
+    whether or not their text is among `files`. Without it the files are all there is.
+    """
+    listed = tree.path_ignore(files if paths is None else paths)
+    named = extract(listed.selectExpr("repo", "rel", "'' as text"), *PATH_PROBES)
+    return write_once(extract(files, *PROBES).unionByName(named), partition_by="kind")
 
 
-def detector_findings(facts: DataFrame, files: DataFrame,
-                      paths: DataFrame | None = None) -> DataFrame:
-    """Findings of all checks that look at more than one line.
+def findings_all(files: DataFrame, paths: DataFrame, facts: DataFrame | None = None,
+                 commits: DataFrame | None = None, added_paths: DataFrame | None = None,
+                 registry: DataFrame | None = None) -> DataFrame:
+    """All checks this engine computes, over all of `files` (repo, rel, text).
 
-    `paths` is every (repo, rel), ignored files included; without it the scanned files
-    stand for the tree.
+    `paths` is the raw listing (repo, rel), ignored files included: lockfiles and some
+    folders are never scanned but count. History and registry checks take part when
+    their tables are given. Facts are read once per kind: what one file or one
+    repository settles comes from two projections, and each check over several files
+    is one aggregation or one join with it.
     """
-    if paths is None:
-        paths = facts.where("kind = 'file'").select("repo", "rel")
-    flags = project_checks.repo_flags(facts)
-    return _union([
-        local_findings(facts),
-        config_checks.secret_file_unignored(facts),
-        schema_checks.rls_missing(facts),
-        schema_checks.gated(facts, "D2", "D4"),
+    facts = corpus_facts(files, paths) if facts is None else facts
+    state = repo_state(facts, paths, commits)
+    users = state.where("supabase").select("repo")
+    secrets = facts.where("kind = 'secret'").join(
+        state.selectExpr("repo", f"{config_checks.ignore_rules('ignore_text')} as rules"), "repo", "left")
+    parts = [
+        single_file_findings(facts),
+        per_file_collapse(as_findings(facts.where("kind = 'rule' and a = 'O3'"))),
+        single_repo_findings(state, commits is not None),
+        config_checks.env_undocumented(facts),
+        config_checks.uncovered(secrets),
+        schema_checks.rls_missing(facts, users),
+        schema_checks.gated(facts, "D2", "D4", users=users),
         schema_checks.unindexed_filter(facts),
-        dependency_checks.no_lockfile(paths),
-        project_checks.absence_findings(flags),
-        project_checks.no_tests(flags, facts),
         structure.name_families(facts),
         structure.orphan_modules(facts),
-        structure.clone_blocks(files),
-    ])
+        structure.most_repeated(facts.where("kind = 'block'").selectExpr(
+            "repo", "rel", "line", "a as digest"), files),
+    ]
+    if added_paths is not None:
+        parts.append(history_checks.secret_in_history(added_paths))
+    if registry is not None:
+        parts.append(dependency_findings(facts, registry, state))
+    return _union(parts)
 
 
-def local_findings(facts: DataFrame) -> DataFrame:
-    """Findings that one file settles by itself."""
-    confirmed = F.col("check_id").isin(*CONFIRMED_LOCAL)
-    return as_findings(facts.where("kind = 'local'")).withColumn(
-        "confidence", F.when(confirmed, "CONFIRMED").otherwise("SUSPECTED"))
+def repo_state(facts: DataFrame, paths: DataFrame, commits: DataFrame | None = None) -> DataFrame:
+    """One row per repository with all that whole-repository checks look at, written once."""
+    state = project_checks.repo_state(facts).join(
+        dependency_checks.root_manifests(paths), "repo", "left")
+    if commits is not None:
+        state = state.join(history_checks.history_of(commits), "repo", "left")
+    return write_once(state)
 
 
-def findings_all(files: DataFrame, facts: DataFrame | None = None,
-                 commits: DataFrame | None = None,
-                 added_paths: DataFrame | None = None,
-                 paths: DataFrame | None = None) -> DataFrame:
-    """Rule findings, with O3 collapsed per file, united with detector findings.
+def single_file_findings(facts: DataFrame) -> DataFrame:
+    """Findings that one file settles by itself, but for console calls, which collapse."""
+    found = facts.where("kind = 'local' or (kind = 'rule' and a <> 'O3')")
+    sure = (F.col("kind") == "local") & F.col("a").isin(*CONFIRMED_LOCAL)
+    return as_findings(found.withColumn("sure", sure), "SUSPECTED", "sure")
 
-    History checks take part when the history tables are given.
-    """
-    facts = corpus_facts(files) if facts is None else facts
-    rules = as_findings(facts.where("kind = 'rule'"))
-    parts = [
-        rules.where("check_id <> 'O3'"), per_file_collapse(rules),
-        config_checks.env_undocumented(facts), detector_findings(facts, files, paths),
-    ]
-    if commits is not None:
-        repos = facts.where("kind = 'file'").select("repo")
-        parts.append(history_checks.history_depth(repos, commits))
-    if added_paths is not None:
-        parts.append(history_checks.secret_in_history(added_paths))
-    return _union(parts)
+
+def single_repo_findings(state: DataFrame, history: bool) -> DataFrame:
+    """Findings that one row of `repo_state` settles."""
+    script = f"if(npm, {project_checks.test_script('package_text')}, null)"
+    made = project_checks.absences() + [
+        project_checks.weak_tests("script"),
+        project_checks.lacking("manifest is not null and not locked", "P3", "manifest",
+                               "concat(manifest, ' is not accompanied by a lockfile')")]
+    if history:
+        made.append(project_checks.lacking(
+            history_checks.NO_DEPTH, "H1", "'.'", history_checks.DEPTH_TEXT))
+    return project_checks.repo_findings(state.withColumn("script", F.expr(script)), *made)
 
 
 def declared_dependencies(facts: DataFrame) -> DataFrame:
@@ -111,29 +135,37 @@ def declared_dependencies(facts: DataFrame) -> DataFrame:
         dependency_checks.manifest_of(facts), "repo")
 
 
-def dependency_findings(facts: DataFrame, registry: DataFrame) -> DataFrame:
+def dependency_findings(facts: DataFrame, registry: DataFrame,
+                        state: DataFrame | None = None) -> DataFrame:
     """P1 and P2 against a registry snapshot (ecosystem, name)."""
-    declared = write_once(declared_dependencies(facts))
+    if state is None:
+        declared = declared_dependencies(facts)
+    else:
+        manifests = state.selectExpr("repo", f"{dependency_checks.MANIFEST} as manifest")
+        declared = dependency_checks.dependency_extract(facts).join(manifests, "repo")
+    declared = write_once(declared)
     return dependency_checks.registry_missing(declared, registry).unionByName(
         dependency_checks.typosquat(declared, registry))
 
 
-def coverage_notes(facts: DataFrame) -> DataFrame:
+def coverage_notes(facts: DataFrame, paths: DataFrame,
+                   commits: DataFrame | None = None) -> DataFrame:
     """Why checks did not apply: (repo, note)."""
-    flags = project_checks.repo_flags(facts)
-    manifests = ", ".join(f"'{m}'" for m in dependency_checks.MANIFESTS)
-    kinds = facts.where("kind in ('file', 'table')").groupBy("repo").agg(
-        F.bool_or(F.col("kind") == "table").alias("tables"),
-        F.bool_or(F.col("rel") == ".gitignore").alias("ignore"),
-        F.expr(f"bool_or(rel in ({manifests}))").alias("manifest"))
-    said = flags.join(kinds, "repo").selectExpr("repo", """explode(filter(array(
+    state = project_checks.repo_state(facts).select("repo", "web", "supabase", "tables").join(
+        dependency_checks.root_manifests(paths), "repo", "left").join(
+        paths.where("rel = '.gitignore'").selectExpr("repo", "true as ignored").distinct(), "repo", "left")
+    said = state.selectExpr("repo", """explode(filter(array(
         if(not web, 'serves no web pages: X2, O4 and O5 (headers, errors, health) do not apply', null),
         if(tables and not supabase, 'no hosted database in use: D1, D2 and D4 (row security) do not apply', null),
         if(not tables, 'no tables are created: nothing to check for row security and indexes', null),
-        if(not ignore, 'there is no ignore file', null),
-        if(not manifest, 'no manifest: dependencies are checked in part only', null)
+        if(ignored is null, 'there is no ignore file', null),
+        if(manifest is null, 'no manifest: dependencies are checked in part only', null)
         ), n -> n is not null)) as note""")
-    return said.unionByName(config_checks.missing_example_notes(facts))
+    notes = [said, config_checks.missing_example_notes(facts), dependency_checks.broken_lock_notes(facts)]
+    if commits is not None:
+        repos = facts.where("kind = 'file'").select("repo")
+        notes.append(history_checks.history_notes(repos, commits))
+    return _union(notes)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

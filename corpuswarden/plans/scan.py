@@ -19,9 +19,16 @@ def findings_row(check: str, file: str, line: str, snippet: str,
     ]
 
 
-def as_findings(facts: DataFrame, confidence: str = "SUSPECTED") -> DataFrame:
-    """Facts that already are findings: `a` holds the check."""
-    return facts.select(*findings_row("a", "rel", "line", "snippet", confidence))
+def as_findings(facts: DataFrame, confidence: str = "SUSPECTED",
+                confirmed: str | None = None) -> DataFrame:
+    """Facts that already are findings: `a` holds the check.
+
+    Rows for which the condition `confirmed` holds are confirmed.
+    """
+    columns = findings_row("a", "rel", "line", "snippet", confidence)
+    if confirmed:
+        columns[-2] = F.expr(f"if({confirmed}, 'CONFIRMED', '{confidence}')").alias("confidence")
+    return facts.select(*columns)
 
 
 def rule_scan(files: DataFrame, checks: Iterable[str] | None = None) -> DataFrame:

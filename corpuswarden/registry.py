@@ -23,9 +23,6 @@ from corpuswarden.streaming import rescan
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SMALL_CAP = 20_000
-MAX_TEST_LINES = 36
-
 
 def query(name: str):
     def register(function: Query) -> Query:
@@ -35,9 +32,9 @@ def query(name: str):
 
 
 def over_facts(name: str, operator, *probes) -> None:
-    """An operator over facts of the code corpus; evidence used twice is written once."""
+    """An operator over facts of all files; evidence used twice is written once."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(write_once(extract(src.code_files(spark, sf_dir), *probes)))
+        return operator(write_once(extract(src.all_files(spark, sf_dir), *probes)))
     QUERIES[name] = run
 
 
@@ -60,12 +57,12 @@ def over_runs(name: str, operator) -> None:
 
 @query("ingest_files")
 def ingest_files(spark, sf_dir):
-    return tree.ingest_files(src.raw_files(spark, sf_dir), SMALL_CAP)
+    return tree.ingest_files(src.raw_files(spark, sf_dir))
 
 
 @query("skipped_files")
 def skipped_files(spark, sf_dir):
-    return tree.skipped_files(src.raw_files(spark, sf_dir), SMALL_CAP)
+    return tree.skipped_files(src.raw_files(spark, sf_dir), tree.USUAL_MAX_BYTES, tree.USUAL_SNIFF_BYTES)
 
 
 @query("path_ignore")
@@ -81,12 +78,12 @@ def path_is_test(spark, sf_dir):
 
 @query("file_cap")
 def file_cap(spark, sf_dir):
-    return tree.file_cap(src.doc_files(spark, sf_dir), limit=30, salts=4)
+    return tree.file_cap(src.all_files(spark, sf_dir), tree.USUAL_MAX_FILES)
 
 
 @query("cap_notes")
 def cap_notes(spark, sf_dir):
-    return tree.cap_notes(src.all_files(spark, sf_dir).select("repo", "rel"), limit=30)
+    return tree.cap_notes(src.all_files(spark, sf_dir).select("repo", "rel"), tree.USUAL_MAX_FILES)
 
 
 def _joined(df: DataFrame, *columns: str) -> DataFrame:
@@ -94,19 +91,27 @@ def _joined(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.array_join(c, "; ") for c in columns})
 
 
-over_facts("stack_tags", lambda facts: _joined(tree.stack_tags(facts), "stack"),
-           tree.stack_probe, project.file_probe)
+@query("stack_tags")
+def stack_tags(spark, sf_dir):
+    """Paths come from the raw listing, texts from what is left after the ignore rules."""
+    raw = tree.as_raw(src.repo_bytes(spark, sf_dir))
+    facts = extract(tree.ingest_files(tree.path_ignore(raw)), tree.stack_probe)
+    return _joined(tree.stack_tags(facts, raw.select("repo", "rel")), "stack")
 
 
 @query("coverage_summary")
 def coverage_summary(spark, sf_dir):
-    raw = src.raw_files(spark, sf_dir)
-    listed = tree.path_ignore(raw)
-    files = tree.ingest_files(listed, SMALL_CAP)
-    facts = write_once(extract(files, *audit.PROBES[1:]))
+    """Of the audited files, with the usual limits; documents also come as stored bytes."""
+    stored = tree.as_raw(src.repo_bytes(spark, sf_dir))
+    raw = stored.unionByName(src.raw_files(spark, sf_dir))
+    paths, listed = raw.select("repo", "rel"), tree.path_ignore(raw)
+    limits = (tree.USUAL_MAX_BYTES, tree.USUAL_SNIFF_BYTES)
+    files = tree.ingest_files(listed, *limits)
+    facts = audit.corpus_facts(files, paths)
     return _joined(tree.coverage_summary(
-        files.select("repo"), tree.skipped_files(listed, SMALL_CAP),
-        audit.coverage_notes(facts), tree.stack_tags(facts)), "skipped", "notes", "stack")
+        files.select("repo"), tree.skipped_files(listed, *limits),
+        audit.coverage_notes(facts, paths, src.audit_commits(spark, sf_dir)),
+        tree.stack_tags(facts, paths)), "skipped", "notes", "stack")
 
 
 @query("corpus_list")
@@ -152,13 +157,13 @@ def snippet(spark, sf_dir):
             .selectExpr("repo", "rel", "s.line", "s.snippet"))
 
 
-def over_lines(name: str, columns: list[str], where: str = "true") -> None:
-    """A predicate over every line of the code corpus."""
+def over_lines(name: str, columns: list[str]) -> None:
+    """A predicate over every line of all files."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (
-            src.code_files(spark, sf_dir)
+            src.all_files(spark, sf_dir)
             .select("repo", "rel", F.posexplode(F.expr(tx.lines("text"))).alias("i", "line"))
-            .where(where).selectExpr("repo", "rel", "i + 1 as place", *columns)
+            .selectExpr("repo", "rel", "i + 1 as place", *columns)
         )
     QUERIES[name] = run
 
@@ -167,9 +172,9 @@ QUOTED_VALUE = r'"([^"\s]{3,})"'
 
 
 def over_values(name: str, columns: list[str]) -> None:
-    """A predicate over every quoted value of the code corpus and the documents."""
+    """A predicate over every quoted value of all files."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = src.code_files(spark, sf_dir).unionByName(src.doc_files(spark, sf_dir))
+        files = src.all_files(spark, sf_dir)
         values = F.expr(f"regexp_extract_all(text, {tx.quote(QUOTED_VALUE)}, 1)")
         return (files.select("repo", "rel", F.posexplode(values).alias("i", "value"))
                 .selectExpr("repo", "rel", "i + 1 as place", "value", *columns))
@@ -181,11 +186,10 @@ over_values("credential_shape", [f"{shapes.is_credential('value')} as credential
 over_values("known_example", [f"{shapes.is_known_example('value')} as example"])
 over_values("jwt_public", [f"{shapes.is_public_jwt('value')} as public"])
 over_lines("sensitive_log_arg", [f"{shapes.logs_sensitive('line')} as leaks"])
-over_lines("service_role_client", [f"{shapes.uses_service_key('line')} as reachable"],
-           "lower(line) like '%service%role%'")
+over_lines("service_role_client", [f"{shapes.uses_service_key('line')} as reachable"])
 over_lines("non_constant_interp", [f"{shapes.interpolates_variable('line')} as variable"])
 QUERIES["numeric_group_threshold"] = lambda spark, sf_dir: (
-    src.code_files(spark, sf_dir)
+    src.all_files(spark, sf_dir)
     .select("repo", "rel", F.posexplode(F.expr("regexp_extract_all(text, '(\\\\d+)', 1)"))
             .alias("i", "digits"))
     .selectExpr("repo", "rel", "i + 1 as place", "digits",
@@ -197,7 +201,7 @@ def guard_absent(spark, sf_dir):
     """Each fetch call and whether a status test follows within 200 characters."""
     found, m = tx.matches("text", r"fetch\(", {}, window=200)
     guard = tx.matches_regex(m["tail"], r"\.ok\b|\.status\b|statusText")
-    return (src.code_files(spark, sf_dir)
+    return (src.all_files(spark, sf_dir)
             .select("repo", "rel", F.posexplode(F.expr(found)).alias("i", "m"))
             .selectExpr("repo", "rel", "i + 1 as place", f"not {guard} as unguarded"))
 
@@ -264,7 +268,7 @@ over_flags("no_ci", project.no_ci)
 over_facts("no_tests", lambda facts: project.no_tests(project.repo_flags(facts), facts),
            audit.root_texts_probe, project.flag_probe, project.file_probe)
 QUERIES["no_lockfile"] = lambda spark, sf_dir: deps.no_lockfile(
-    src.code_files(spark, sf_dir).select("repo", "rel"))
+    src.all_files(spark, sf_dir).select("repo", "rel"))
 over_facts("install_script", deps.install_script, deps.install_script_probe)
 over_facts("dependency_extract", deps.dependency_extract, deps.dependency_probe)
 QUERIES["registry_missing"] = lambda spark, sf_dir: deps.registry_missing(
@@ -282,20 +286,37 @@ over_facts("name_families", structure.name_families, structure.module_probe)
 over_facts("orphan_modules", structure.orphan_modules, structure.module_probe,
            structure.import_probe)
 over_facts("comment_runs", structure.comment_runs, structure.comment_run_probe)
-over_facts("oversized_files", structure.oversized_files,
-           lambda c: structure.size_probe(c, MAX_TEST_LINES))
+QUERIES["oversized_files"] = lambda spark, sf_dir: structure.oversized_files(
+    extract(src.modules(spark, sf_dir), structure.size_probe))
 QUERIES["sliding_lines"] = lambda spark, sf_dir: structure.sliding_lines(
-    src.code_files(spark, sf_dir))
+    src.all_files(spark, sf_dir))
 QUERIES["clone_blocks"] = lambda spark, sf_dir: structure.clone_blocks(
-    src.code_files(spark, sf_dir))
+    src.all_files(spark, sf_dir))
 QUERIES["clone_blocks_documents"] = lambda spark, sf_dir: structure.clone_blocks(
     src.doc_files(spark, sf_dir), None)
 
 
 @query("findings_all")
 def findings_all(spark, sf_dir):
-    """The whole audit of the code corpus."""
-    return audit.findings_all(src.code_files(spark, sf_dir))
+    """The whole audit of all files: every check, history and registry included."""
+    files = src.all_files(spark, sf_dir)
+    return audit.findings_all(
+        files, files.select("repo", "rel"), commits=src.audit_commits(spark, sf_dir),
+        added_paths=src.audit_added_paths(spark, sf_dir), registry=src.audit_registry(spark, sf_dir))
+
+
+@query("audit_from_bytes")
+def audit_from_bytes(spark, sf_dir):
+    """From stored bytes to findings: ignore rules, decoding, every check."""
+    raw = tree.as_raw(src.repo_bytes(spark, sf_dir))
+    return audit.findings_all(
+        tree.ingest_files(tree.path_ignore(raw)), raw.select("repo", "rel"),
+        commits=src.audit_commits(spark, sf_dir), added_paths=src.audit_added_paths(spark, sf_dir),
+        registry=src.audit_registry(spark, sf_dir))
+
+
+QUERIES["history_notes"] = lambda spark, sf_dir: history.history_notes(
+    src.history_repos(spark, sf_dir), src.commits(spark, sf_dir))
 
 
 # ---- findings ---------------------------------------------------------------------------
@@ -319,7 +340,21 @@ over_findings("gate_rows", lambda f: fnd.gate_rows(f, "P1"))
 over_findings("per_file_collapse", fnd.per_file_collapse)
 over_findings("finding_order", fnd.finding_order)
 over_findings("blocking_top", fnd.blocking_top)
-over_findings("audit_table", fnd.audit_table)
+
+
+@query("audit_table")
+def audit_table(spark, sf_dir):
+    """The report with its coverage section: a repository's findings as its skipped files."""
+    findings = src.event_findings(spark, sf_dir)
+    users = src.user_repos(spark, sf_dir)
+    notes = users.selectExpr("repo", "if(length(repo) % 2 = 0, 'even', 'odd') as note")
+    stack = users.selectExpr("repo", "array(left(repo, 1)) as stack")
+    skipped = findings.selectExpr("repo", "concat(file, ':', line, ':', check_id) as rel",
+                                  "'binary' as reason").distinct()
+    return fnd.audit_table(findings, coverage=tree.coverage_summary(
+        users.select("repo"), skipped, notes, stack))
+
+
 QUERIES["run_diff"] = lambda spark, sf_dir: fnd.run_diff(
     src.findings_prev(spark, sf_dir), src.findings_cur(spark, sf_dir))
 QUERIES["diff_counts"] = lambda spark, sf_dir: fnd.diff_counts(
@@ -367,4 +402,4 @@ def exact_median(spark, sf_dir):
 @query("stream_rule_scan")
 def stream_rule_scan(spark, sf_dir):
     """The rule scan over a stream of file batches, run until the input is used up."""
-    return rescan.replay(src.code_files(spark, sf_dir))
+    return rescan.replay(src.all_files(spark, sf_dir))

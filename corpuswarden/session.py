@@ -29,6 +29,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **settings) ->
 
 
 _OWN_DIRS: dict[str, str] = {}
+_RUNS: dict[str, list[Workspace]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +50,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[context.applicationId]
 
 
+class Workspace:
+    """Owner of the intermediate tables of one run; closing it deletes them.
+
+    Inside `with Workspace(spark):` every intermediate table is written under the run's
+    folder. What a run returns must be stored or collected before it closes.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Workspace:
+        _RUNS.setdefault(self.spark.sparkContext.applicationId, []).append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the folder; the file system may be any that Spark reads."""
+        runs = _RUNS.get(self.spark.sparkContext.applicationId, [])
+        if self in runs:
+            runs.remove(self)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def workspace(spark: SparkSession) -> Workspace:
+    """The innermost open workspace; without any, one that lasts as long as the session."""
+    runs = _RUNS.setdefault(spark.sparkContext.applicationId, [])
+    if not runs:
+        runs.append(Workspace(spark))
+    return runs[-1]
+
+
 def write_once(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+    """Write `df` to the workspace's folder and read it back.
 
     The result is read many times by the relational checks. A written table keeps
     the costly text pass from running again, survives lost executors, and gives
@@ -59,7 +95,7 @@ def write_once(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     there are not as many files as tasks times values.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{workspace(spark).folder}/{uuid.uuid4().hex}"
     if partition_by:
         df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     else:
@@ -76,7 +112,7 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
     splits hot partitions.
     """
     right = write_once(right)
-    if right.limit(max_rows + 1).count() <= max_rows:
+    if right.count() <= max_rows:
         right = F.broadcast(right)
     else:
         right = right.hint("merge")

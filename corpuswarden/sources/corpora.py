@@ -105,6 +105,19 @@ def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repo_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file as stored bytes: (repo, rel, content)."""
+    return all_files(spark, sf_dir).selectExpr("repo", "rel", "cast(text as binary) as content")
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as modules, a word a line, beside all files."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.selectExpr(
+        "source as repo", "concat('src/m', doc_id, '.py') as rel",
+        "replace(text, ' ', '\\n') as text").unionByName(all_files(spark, sf_dir))
+
+
 # ---- tables that are not files ----------------------------------------------------------
 
 RAW_PATHS = ["src/d{n}.md", "node_modules/x{n}.js", "a/dist/{n}.js", "img/{n}.PNG",
@@ -154,12 +167,36 @@ def history_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urgent orders as commits; every tenth repository is a shallow clone."""
-    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").selectExpr(
-        "concat('h', o_custkey) as repo", "cast(o_orderkey as string) as commit_id",
+    """Orders as commits; every tenth repository is a shallow copy, some cannot be read."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('h', o_custkey) as repo",
+        "if(o_custkey % 23 = 0, null, cast(o_orderkey as string)) as commit_id",
         "o_custkey % 10 = 0 as shallow")
 
 
+# The repository of an order in the whole audit: the numbered ones, those of documents,
+# and the pages; repositories without orders have no history.
+AUDITED = ("case when o_custkey % 5 = 0 then concat('docs_src', o_custkey % 20) "
+           "when o_custkey % 7 = 0 then 'pages' else concat('r', o_custkey % 90) end")
+
+
+def audit_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{AUDITED} as repo", "cast(o_orderkey as string) as commit_id", "o_custkey % 90 < 3 as shallow")
+
+
+def audit_added_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fill(_pick(ADDED, f"o_orderkey % {len(ADDED)}"), {"n": "cast(o_orderkey as string)"})
+    return table(spark, sf_dir, "orders").selectExpr(f"{AUDITED} as repo", f"{path} as path")
+
+
+def audit_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with the packages the manifests name, in both ecosystems."""
+    known = registry(spark, sf_dir)
+    names = known.select("name").distinct()
+    return names.select(F.explode(F.array(F.lit("npm"), F.lit("pypi"))).alias("ecosystem"), "name")
+
+
 ADDED = ["src/a{n}.ts", ".env", "certs/a{n}.pem", "vendor/x{n}.pem", "config/.env",
          "etc/cacert{n}.pem", "credentials.json", ".env/part{n}", "id_rsa"]
 

@@ -16,6 +16,16 @@ def _segment(**claims) -> str:
 
 _HEAD = _segment(alg="HS256", typ="JWT")
 _ANON = _segment(iss="host", role="anon")
+
+
+def _payload(text: str) -> str:
+    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+
+
+# Payloads that are no strict JSON, or name a claim twice: the last one counts.
+_ODD = [_payload(p) for p in (
+    '{"role":"anon"}x', '{"role":"anon","role":"service_role"}', '{"role":"service_role","role":"anon"}',
+    "{'role':'anon'}", '{"a":{"role":"x"},"role":"anon"}', '{"role":"anon"},{}')]
 _SERVICE = _segment(iss="host", role="service_role")
 
 # Credential-shaped text is joined at run time so that no file holds a whole one.
@@ -86,6 +96,7 @@ LINES = [
     'jwt{id} = "' + _HEAD + "." + _SERVICE + '.{h}"',
     'jwt{id} = "' + _HEAD + "." + _ANON + '.{h}"',
     "  const s = process.env.NEXT_PUBLIC_SERVICE_ROLE_KEY;",
+    *[f'jwt{{id}} = "{_HEAD}.{odd}.{{h}}"' for odd in _ODD],
     "  db.orders.insert(v{id});",
     "select * from logs{m3}",
     "select * from logs limit 5",
@@ -153,6 +164,16 @@ ROOT_FILES = [
     ("sentry.server.config.ts", [None, None, 'import * as S from "@sentry/node"\n', None]),
     ("src/app/api/health/route.ts", [None, "export const GET = () => ok\n", None]),
     ("settings.py", ["\n\nDEBUG = True\n", None]),
+    ("yarn.lock", [None, None, "# lock\n", None, None]),
+    ("bun.lockb", [None, None, None, None, None, "lock"]),
+    (".vercel/project.json", [None, "{}", None, None]),
+    ("pkg/__init__.py", ["VERSION = 1\n", None]),
+    ("pages/_app.tsx", [None, None, "export default App\n"]),
+    ("__tests__/a.test.ts", [None, None, None, "it('works', () => {\n  expect(1)\n})\n"]),
+    ("src/test22.ts", ["export {}\n", None]),
+    ("src/test.ts", ["import './test22'\n", None]),
+    ("src/mytest22.ts", ["import './mytest'\n", None, None]),
+    ("src/mytest.ts", ["import './test'\n", None, None]),
     ("src/tool_{g}.py", ['if __name__ == "__main__":\n    run()\n', "x = 1\n"]),
 ]
 

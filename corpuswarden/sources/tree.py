@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpuswarden.functions import paths, text as tx
 from corpuswarden.plans.facts import FileColumns, fact, when
 from corpuswarden.session import sized_join
 
-MAX_BYTES = 2_000_000
-MAX_FILES = 20_000
-SNIFF_BYTES = 4096
+# Limits a caller may ask for; without one nothing is left out.
+USUAL_MAX_BYTES = 2_000_000
+USUAL_MAX_FILES = 20_000
+USUAL_SNIFF_BYTES = 4096
+
+RAW = "repo string, rel string, length long, content binary"
+ARCHIVES = r"[.](zip|tar|tar[.]gz|tgz)$"
+MEMBERS_AT_ONCE = 200
+BYTES_AT_ONCE = 32 << 20
 
 # Stack tags by dependency, lockfile, python marker and root entry.
 DEPENDENCY_TAGS = {
@@ -27,25 +38,59 @@ ROOT_TAGS = {"vercel.json": "vercel", "firestore.rules": "firebase", "firebase.j
 FOLDER_TAGS = {"supabase/": "supabase", ".vercel/": "vercel"}
 
 
-def read_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Raw files under `root/<repo>/<rel>`: (repo, rel, length, content).
+def as_raw(stored: DataFrame) -> DataFrame:
+    """Raw files from a table (repo, rel, content): every name counts, hidden ones too."""
+    return stored.selectExpr("repo", "rel", "cast(octet_length(content) as bigint) as length", "content")
+
 
-    The size filter reaches the file listing, so the bytes of oversized files are
-    never read; their rows come back without content.
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    """Raw files from one archive per repository: `root/<repo>.zip`, `.tar`, `.tar.gz` or `.tgz`.
+
+    Spark's own file listing leaves out names that start with a dot or an underscore,
+    so a repository is kept as an archive and unpacked by the tasks, a few members at a
+    time. A repository may lie in several archives, `root/<repo>/<part>.zip`. Members
+    that are no regular files are left out; an archive that cannot be read comes back as
+    one row without content.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
-    base = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    inner = F.substring_index("path", base, -1)
-    placed = [F.substring_index(inner, "/", 1).alias("repo"),
-              F.expr(f"substring(substring_index(path, {tx.quote(base)}, -1), "
-                     f"length(substring_index(substring_index(path, {tx.quote(base)}, -1), "
-                     f"'/', 1)) + 2)").alias("rel")]
-    small = files.where(F.col("length") <= max_bytes).select(*placed, "length", "content")
-    large = files.where(F.col("length") > max_bytes).select(
-        *placed, "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    name = F.substring("path", len(base.rstrip("/")) + 2, 1 << 30)
+    repo = F.regexp_replace(F.url_decode(F.regexp_replace(name, "[+]", "%2B")), ARCHIVES, "")
+    listed = held.where(F.col("path").rlike(ARCHIVES)).select(
+        F.substring_index(repo, "/", 1).alias("repo"), "content")
+    return listed.mapInPandas(_unpacked, RAW)
+
+
+def _members(content: bytes):
+    """(path, bytes) of every regular file of an archive."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as held:
+            for info in held.infolist():
+                if not info.is_dir():
+                    yield info.filename, held.read(info)
+    else:
+        with tarfile.open(fileobj=io.BytesIO(content)) as held:
+            for info in held:
+                if info.isfile():
+                    yield info.name, held.extractfile(info).read()
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for repo, content in zip(batch["repo"], batch["content"]):
+            rows, size = [], 0
+            try:
+                for path, data in _members(content):
+                    rows.append((repo, path.removeprefix("./"), len(data), data))
+                    size += len(data)
+                    if len(rows) >= MEMBERS_AT_ONCE or size >= BYTES_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=["repo", "rel", "length", "content"])
+                        rows, size = [], 0
+            except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError):
+                rows.append((repo, "", len(content), None))
+            if rows:
+                yield pd.DataFrame(rows, columns=["repo", "rel", "length", "content"])
 
 
 def path_ignore(raw: DataFrame) -> DataFrame:
@@ -53,33 +98,46 @@ def path_ignore(raw: DataFrame) -> DataFrame:
     return raw.where(f"not {paths.is_ignored('rel')}")
 
 
-def classify(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files with a `reason` when they cannot be scanned, a `text` when they can."""
-    reason = (f"case when length > {max_bytes} then concat(length, ' bytes exceed the limit') "
-              f"when position(X'00' in substring(content, 1, {SNIFF_BYTES})) > 0 "
-              f"then 'binary' end")
-    return raw.selectExpr("repo", "rel", "length", "content", f"{reason} as reason").selectExpr(
+def classify(raw: DataFrame, max_bytes: int | None = None,
+             sniff_bytes: int | None = None) -> DataFrame:
+    """Files with a `reason` when they cannot be scanned, a `text` when they can.
+
+    A file is too large beyond `max_bytes`, and binary with a zero among its first
+    `sniff_bytes`; without these limits every file that was read has a text.
+    """
+    reasons = ["when content is null then 'not readable'"]
+    if max_bytes is not None:
+        reasons.append(f"when length > {max_bytes} then concat(length, ' bytes exceed the limit')")
+    if sniff_bytes is not None:
+        reasons.append(f"when position(X'00' in substring(content, 1, {sniff_bytes})) > 0 then 'binary'")
+    return raw.selectExpr("repo", "rel", "length", "content",
+                          f"case {' '.join(reasons)} end as reason").selectExpr(
         "repo", "rel", "cast(length as bigint) as length", "reason",
         "if(reason is null, make_valid_utf8(cast(content as string)), null) as text")
 
 
-def ingest_files(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The files table: bytes within the cap that are not binary, decoded."""
-    return classify(raw, max_bytes).where("reason is null").select("repo", "rel", "text")
+def ingest_files(raw: DataFrame, max_bytes: int | None = None,
+                 sniff_bytes: int | None = None) -> DataFrame:
+    """The files table: bytes decoded, without the files that have a reason not to be."""
+    return classify(raw, max_bytes, sniff_bytes).where("reason is null").select("repo", "rel", "text")
 
 
-def skipped_files(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    return classify(raw, max_bytes).where("reason is not null").select("repo", "rel", "reason")
+def skipped_files(raw: DataFrame, max_bytes: int | None = None,
+                  sniff_bytes: int | None = None) -> DataFrame:
+    return classify(raw, max_bytes, sniff_bytes).where("reason is not null").select("repo", "rel", "reason")
 
 
-def file_cap(files: DataFrame, limit: int = MAX_FILES, salts: int = 256) -> DataFrame:
-    """The first `limit` paths of each repository.
+def file_cap(files: DataFrame, limit: int | None = None, salts: int = 256) -> DataFrame:
+    """The first `limit` paths of each repository, or all without a limit.
 
-    Only repositories over the limit are ranked, on their paths alone. Each of a
+    It counts paths before any file is skipped, so it goes between `path_ignore` and
+    `ingest_files`. Only repositories over the limit are ranked, on their paths alone. Each of a
     repository's `salts` slices keeps its own first paths, so the final ranking of
     the largest repository sees at most `salts * limit` short rows. The texts stay
     where they are: they meet only the last kept path of each ranked repository.
     """
+    if limit is None:
+        return files
     counts = files.groupBy("repo").agg(F.count("*").alias("n")).where(f"n > {limit}")
     narrow = files.select("repo", "rel").join(counts.select("repo"), "repo", "left_semi")
     salted = narrow.withColumn("salt", F.pmod(F.xxhash64("rel"), F.lit(salts)))
@@ -94,7 +152,7 @@ def file_cap(files: DataFrame, limit: int = MAX_FILES, salts: int = 256) -> Data
     return kept.select(*files.columns)
 
 
-def cap_notes(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
+def cap_notes(files: DataFrame, limit: int = USUAL_MAX_FILES) -> DataFrame:
     """Coverage note of each repository over the limit."""
     return (
         files.groupBy("repo").agg(F.count("*").alias("n")).where(f"n > {limit}")
@@ -103,7 +161,7 @@ def cap_notes(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
 
 
 def stack_probe(c: FileColumns) -> str:
-    """Tags one file contributes to its repository's stack."""
+    """Tags that the text of a manifest contributes to its repository's stack."""
     def options(tags: dict[str, str]) -> str:
         return "map(" + ", ".join(f"{tx.quote(k)}, {tx.quote(v)}" for k, v in tags.items()) + ")"
 
@@ -113,22 +171,31 @@ def stack_probe(c: FileColumns) -> str:
         "d", sections,
         "concat(map_keys(coalesce(d.dependencies, map())), "
         "map_keys(coalesce(d.devDependencies, map())))")
-    from_manifest = (f"if(rel = 'package.json', array_append(transform({declared}, "
-                     f"n -> element_at({options(DEPENDENCY_TAGS)}, n)), 'npm'), "
+    from_manifest = (f"if(rel = 'package.json', transform({declared}, "
+                     f"n -> element_at({options(DEPENDENCY_TAGS)}, n)), "
                      f"cast(array() as array<string>))")
     markers = ", ".join(tx.quote(m) for m in PYTHON_MARKERS)
-    python = [f"if(rel in ({markers}), 'python', null)"] + [
-        f"if(rel in ({markers}) and contains(_low, '{t}'), '{t}', null)" for t in PYTHON_TAGS]
-    folders = [f"if(startswith(rel, '{f}'), '{t}', null)" for f, t in FOLDER_TAGS.items()]
-    others = [f"element_at({options({**LOCK_TAGS, **ROOT_TAGS})}, rel)", *python, *folders]
-    tags = f"concat({from_manifest}, array({', '.join(others)}))"
+    python = [f"if(rel in ({markers}) and contains(_low, '{t}'), '{t}', null)" for t in PYTHON_TAGS]
+    tags = f"concat({from_manifest}, array({', '.join(python)}))"
     return f"transform(filter({tags}, t -> t is not null), t -> {fact('stack', 't')})"
 
 
-def stack_tags(facts: DataFrame) -> DataFrame:
-    """Sorted distinct tags per repository; at most a dozen and a half tags exist."""
-    return facts.where("kind in ('file', 'stack')").groupBy("repo").agg(
-        F.array_sort(F.collect_set(F.expr("if(kind = 'stack', a, null)"))).alias("stack"))
+def stack_tags(facts: DataFrame, paths: DataFrame) -> DataFrame:
+    """Sorted distinct tags per repository; at most a dozen and a half tags exist.
+
+    Lockfiles, folders and root files tell by their paths (repo, rel), ignored ones
+    included; manifests tell by their texts.
+    """
+    markers = ", ".join(tx.quote(m) for m in PYTHON_MARKERS)
+    named = ({"package.json": "npm"} | LOCK_TAGS | ROOT_TAGS).items()
+    tests = [f"if(rel = {tx.quote(n)}, '{t}', null)" for n, t in named]
+    tests += [f"if(startswith(rel, '{f}'), '{t}', null)" for f, t in FOLDER_TAGS.items()]
+    tests.append(f"if(rel in ({markers}), 'python', null)")
+    told = paths.select("repo", F.expr(f"array_compact(array({', '.join(tests)}))").alias("tags")).select(
+        "repo", F.explode_outer("tags").alias("tag"))
+    read = facts.where("kind = 'stack'").select("repo", F.col("a").alias("tag"))
+    return told.unionByName(read).groupBy("repo").agg(
+        F.array_sort(F.collect_set("tag")).alias("stack"))
 
 
 def coverage_summary(files: DataFrame, skipped: DataFrame, notes: DataFrame,

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpuswarden.operators.findings import KEY
 from corpuswarden.plans.scan import rule_scan
 from corpuswarden.schema import FILES, FINDINGS
-from corpuswarden.session import shared_dir
+from corpuswarden.session import workspace
 
 
 def read_batches(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,6 +20,11 @@ def read_batches(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     )
 
 
+def all_stored(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*FINDINGS.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """All findings stored so far, one per key.
 
@@ -27,8 +32,7 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
     its own folder, so nothing is stored twice; a key seen in several batches keeps
     the row of the first.
     """
-    schema = T.StructType([*FINDINGS.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(schema).parquet(path)
+    rows = all_stored(spark, path)
     first = F.min(F.struct("batch", "snippet", "confidence", "evidence")).alias("first")
     return rows.groupBy(*KEY).agg(first).select(
         *KEY, "first.snippet", "first.confidence", "first.evidence")
@@ -38,10 +42,15 @@ def stream_rule_scan(files: DataFrame, out: str, state: str, checks=None) -> Str
     """Scan every arriving file once and add its findings to `out`.
 
     The rules look at one file at a time, so the scan is a projection of the stream and
-    keeps no state. Each micro-batch is written under its batch number.
+    keeps no state. Each micro-batch is written under its batch number, without the keys
+    that other batches stored before; a batch that runs again replaces its own folder.
     """
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = batch.dropDuplicates(KEY)
+        if number:
+            earlier = all_stored(batch.sparkSession, out).where(F.col("batch") < number)
+            new = new.join(earlier.select(*KEY), KEY, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
         rule_scan(files, checks).writeStream.foreachBatch(add)
@@ -52,7 +61,7 @@ def stream_rule_scan(files: DataFrame, out: str, state: str, checks=None) -> Str
 def replay(files: DataFrame, checks=None) -> DataFrame:
     """Write a files table as arriving batches and stream it to the end."""
     spark = files.sparkSession
-    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    base = f"{workspace(spark).folder}/{uuid.uuid4().hex}"
     files.write.parquet(f"{base}/in")
     running = stream_rule_scan(
         read_batches(spark, f"{base}/in", 8), f"{base}/out", f"{base}/state", checks)
