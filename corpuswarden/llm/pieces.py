@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import regex
 
-LIMIT = 400_000  # pieces a cache holds at most
+LIMIT = 300_000  # pieces of one generation of a cache
 # White space other than the plain space and the line break.
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -19,16 +19,24 @@ def _plain(text: str) -> bool:
 
 
 class Pieces(dict):
-    """piece -> packed ids; a missing piece is encoded and kept."""
+    """piece -> packed ids; a missing piece is encoded and kept.
+
+    A full cache becomes the old generation, from which a piece that comes again is
+    taken over. So pieces in use stay, and the many that occur once are let go.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], before: str = ""):
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode, self.before, self.old = encode, before, {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(self.before + piece)
         if len(self) >= LIMIT:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = self.encode(self.before + piece)
+        self[piece] = ids
         return ids
 
 
@@ -39,14 +47,16 @@ class TextEncoder:
     are not white space, and makes a single line break a match of its own. So a text
     whose only white space is single spaces and line breaks between words is encoded
     word by word, a word taking the space before it. Any other text is split by the
-    pattern itself.
+    pattern itself. `whole` encodes a word with the marks beside it, if the tokenizer
+    splits it by itself.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[str], bytes]):
+    def __init__(self, pattern: str, encode: Callable[[str], bytes],
+                 whole: Callable[[str], bytes] | None = None):
         self.find = regex.compile(pattern).findall
         self.matches = Pieces(encode)
-        self.first = Pieces(self._split)
-        self.rest = Pieces(self._split, " ")
+        self.first = Pieces(whole or self._split)
+        self.rest = Pieces(whole or self._split, " ")
 
     def _split(self, text: str) -> bytes:
         found = self.find(text)

@@ -20,6 +20,7 @@ file; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,17 @@ ROUNDS = 8
 LEAST_COUNT = 12        # a pair that occurs less often gets no rule
 RULES_A_ROUND = 4096
 HASH_BITS = 18
-MULTIPLIER = 0x9E3779B1  # spreads pairs over the counting table
+MULTIPLIERS = (0x9E3779B1, 0x9E3779B97F4A7C15)  # spread pairs over the counting table
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: itself if it prints."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
@@ -48,28 +59,31 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
     border = np.iinfo(dtype).max
     symbols = np.insert(ids.astype(dtype), ends, border)
     rules = np.zeros((0, 2), dtype=dtype)
-    wide, shift = (np.uint32, 16) if dtype == np.uint16 else (np.uint64, 32)
-    size = (1 << HASH_BITS) + 1  # the last cell takes the pairs across an end
+    wide, shift, factor = (np.uint32, 16, MULTIPLIERS[0]) if dtype == np.uint16 else (
+        np.uint64, 32, MULTIPLIERS[1])
+    size = 1 << HASH_BITS
     for _ in range(ROUNDS):
         room = min(RULES_A_ROUND, border - vocabulary - len(rules))
         if room <= 0 or len(symbols) < 2:
             break
-        pairs = symbols[:-1].astype(wide) << wide(shift) | symbols[1:]
-        cells = (pairs.astype(np.uint32) ^ (pairs >> wide(shift)).astype(np.uint32)
-                 ) * np.uint32(MULTIPLIER) >> np.uint32(32 - HASH_BITS)
-        cells[(symbols[:-1] == border) | (symbols[1:] == border)] = size - 1
+        pairs = symbols[:-1].astype(wide)
+        pairs <<= wide(shift)
+        pairs |= symbols[1:]
+        cells = (pairs * wide(factor) >> wide(2 * shift - HASH_BITS)).astype(np.intp)
         kept = np.zeros(size, dtype=wide)
         kept[cells] = pairs
         same = np.flatnonzero(kept[cells] == pairs)
-        counts = np.bincount(cells[same], minlength=size)
-        counts[-1] = 0
+        met = cells[same]
+        counts = np.bincount(met, minlength=size)
         best = np.flatnonzero(counts >= LEAST_COUNT)
+        inside = (kept[best] >> wide(shift) != border) & (kept[best] & wide(border) != border)
+        best = best[inside]
         best = best[np.argsort(-counts[best], kind="stable")][:room]
         if not len(best):
             break
         made = np.zeros(size, dtype=dtype)
         made[best] = vocabulary + len(rules) + np.arange(len(best))
-        first = made[cells[same]]
+        first = made[met]
         at, new = same[first > 0], first[first > 0]
         # Of pairs that overlap, the first, third, ... of a run are replaced.
         starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
@@ -126,12 +140,24 @@ class Grammar:
 
 @lru_cache(maxsize=2)
 def encoder_of(path: str, pattern: str) -> tuple[TextEncoder, int]:
-    """The library's tokenizer, asked once for each piece while the cache holds it."""
+    """The library's tokenizer, asked once for each piece while the cache holds it.
+
+    Its splitter and its model are called directly, as `encode` does, but without the
+    offsets and masks that `encode` makes. A word of letters is one piece, which only
+    has to be spelled in the tokenizer's characters for bytes.
+    """
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    encode = tokenizer.encode
-    return TextEncoder(pattern, lambda piece: np.array(
-        encode(piece, add_special_tokens=False).ids, "<u4").tobytes()), tokenizer.get_vocab_size()
+    split, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+
+    def encode(text: str) -> bytes:
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            found = tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))
+        else:
+            found = [token for piece, _ in split(text) for token in tokenize(piece)]
+        return array("I", [token.id for token in found]).tobytes()
+
+    return TextEncoder(pattern, encode, encode), tokenizer.get_vocab_size()
 
 
 def _ids_type(docs: DataFrame, id_col: str) -> str:
@@ -227,10 +253,12 @@ def _decoded(stored: DataFrame, of_ids, out: list[tuple[str, str, pa.DataType]])
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                grammar, symbols, ends = _shard(row)
+                grammar, symbols, _ = _shard(row)
                 counts = np.array(row["doc_ids_count"], np.int64)
-                made = [of_ids(grammar.expand(symbols[a:b])) for a, b in zip(ends[:-1], ends[1:])]
-                starts = row["start"] + np.cumsum(counts) - counts
+                first = np.cumsum(counts) - counts
+                everything = grammar.expand(symbols)
+                made = [of_ids(everything[a:a + n]) for a, n in zip(first.tolist(), counts.tolist())]
+                starts = row["start"] + first
                 ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64()),
@@ -272,5 +300,5 @@ def read_range(spark: SparkSession, target: str, start: int, stop: int) -> DataF
 
 def report(spark: SparkSession, target: str) -> DataFrame:
     """What the files hold per document: doc_id, start, n_tokens and the CRC of the ids."""
-    return _decoded(files(spark, target), lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), [
+    return _decoded(files(spark, target), lambda ids: (zlib.crc32(ids),), [
         ("ids_crc32", "long", pa.int64())]).withColumnRenamed("id", "doc_id")
