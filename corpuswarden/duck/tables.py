@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuswarden.catalog import CHECKS
+from corpuswarden.catalog import ADVICE, CHECKS
 from corpuswarden.sources import corpora as src
 from corpuswarden.duck.corpora import ALL, DOCS, EVERY, _fill, _pick, lit
 from corpuswarden.duck.detectors import LINES, REPO_OF_ORDER, flags, names, whole_audit
@@ -297,6 +297,14 @@ QUERIES = {
           SELECT *, row_number() OVER (PARTITION BY repo ORDER BY severity, check_id, file, line, snippet) AS place,
                  count(*) OVER (PARTITION BY repo) AS n
           FROM rated WHERE confidence = 'CONFIRMED' AND severity IN ('P0', 'P1')) WHERE place <= 5""",
+    "blocking_advice": f"""{F}, advice AS (SELECT * FROM (VALUES {", ".join(
+            f"({lit(c)}, {lit(why)}, {lit(fix)})" for c, (why, fix) in ADVICE.items())}) t(check_id, why, fix))
+        SELECT repo, place::INTEGER AS place, severity, check_id, file, line, snippet, greatest(n - 5, 0) AS more,
+               fix_class, why, fix FROM (
+          SELECT *, row_number() OVER (PARTITION BY repo ORDER BY severity, check_id, file, line, snippet) AS place,
+                 count(*) OVER (PARTITION BY repo) AS n
+          FROM rated WHERE confidence = 'CONFIRMED' AND severity IN ('P0', 'P1')) JOIN advice USING (check_id)
+        WHERE place <= 5""",
     "audit_table": f"""{F}, lead AS (SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY repo ORDER BY severity, check_id, file, line, snippet) AS place
           FROM rated WHERE confidence = 'CONFIRMED' AND severity IN ('P0', 'P1')) WHERE place <= 5),

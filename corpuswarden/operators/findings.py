@@ -111,6 +111,12 @@ def blocking_top(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
         F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
 
 
+def blocking_advice(findings: DataFrame, shown: int = MAX_BLOCKING) -> DataFrame:
+    """The rows of `blocking_top` with why they matter and what mends them."""
+    catalog = checks(findings.sparkSession).select("check_id", "title", "fix_class", "why", "fix")
+    return blocking_top(findings, shown).join(F.broadcast(catalog), "check_id")
+
+
 def audit_table(findings: DataFrame, shown: int = MAX_BLOCKING,
                 coverage: DataFrame | None = None) -> DataFrame:
     """The report as rows: blocking, the rest by domain, suspected, coverage.

@@ -340,6 +340,7 @@ over_findings("gate_rows", lambda f: fnd.gate_rows(f, "P1"))
 over_findings("per_file_collapse", fnd.per_file_collapse)
 over_findings("finding_order", fnd.finding_order)
 over_findings("blocking_top", fnd.blocking_top)
+over_findings("blocking_advice", lambda f: fnd.blocking_advice(f).drop("title"))
 
 
 @query("audit_table")

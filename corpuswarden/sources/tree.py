@@ -54,9 +54,9 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
     """
     held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     name = F.substring("path", len(base.rstrip("/")) + 2, 1 << 30)
-    repo = F.regexp_replace(F.url_decode(F.regexp_replace(name, "[+]", "%2B")), ARCHIVES, "")
+    repo = F.regexp_replace(name, ARCHIVES, "")
     listed = held.where(F.col("path").rlike(ARCHIVES)).select(
         F.substring_index(repo, "/", 1).alias("repo"), "content")
     return listed.mapInPandas(_unpacked, RAW)

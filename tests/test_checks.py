@@ -221,6 +221,14 @@ def test_name_families(make_files):
     ]
 
 
+def test_leftover_suffixes_go_one_by_one(make_files):
+    f = facts(make_files({
+        "a": {"src/test22.ts": "", "src/test.ts": ""}, "b": {"src/mytest22.ts": "", "src/mytest.ts": ""},
+        "c": {"src/xtest2.ts": "", "src/x.ts": ""}, "d": {"src/final.ts": "", "src/old-copy.ts": ""}}))
+    assert {r.repo: r.file for r in structure.name_families(f).collect()} == {
+        "a": "src/test22.ts", "b": "src/mytest22.ts", "c": "src/xtest2.ts", "d": "src/old-copy.ts"}
+
+
 def test_orphans(make_files):
     f = facts(make_files({
         "src/app/page.tsx": "import { a } from './used'\nimport b from '@/ui/button'\nimport '@/'",

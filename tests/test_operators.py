@@ -1,7 +1,11 @@
 """Ingest, findings, study, sinks and streaming operators."""
 
+import io
 import random
 import statistics
+import tarfile
+import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +17,8 @@ from corpuswarden.plans import audit
 from corpuswarden.plans.rulebook import RULE_CHECKS
 from corpuswarden.plans.scan import rule_scan
 from corpuswarden.schema import FINDINGS, REPO_RUNS
-from corpuswarden.session import sized_join
-from corpuswarden.sources import findings_io as io, tree
+from corpuswarden.session import Workspace, sized_join, workspace
+from corpuswarden.sources import findings_io, tree
 from corpuswarden.streaming import rescan
 
 
@@ -44,25 +48,52 @@ def test_catalog(spark):
 
 # ---- files ------------------------------------------------------------------------------
 
-def test_read_and_ingest_a_tree(spark, tmp_path):
-    files = {"a/src/x.ts": b"one", "a/bin.dat": b"\x00two", "a/big.txt": b"x" * 50,
-             "b/bad.txt": b"caf\xe9", "b/node_modules/y.js": b"z", "b/late.txt": b"k" * 10 + b"\x00"}
-    for name, data in files.items():
-        target = tmp_path / "corpus" / name
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(data)
-    raw = tree.path_ignore(tree.read_tree(spark, str(tmp_path / "corpus"), max_bytes=40))
-    kept = {(r.repo, r.rel): r.text for r in tree.ingest_files(raw, 40).collect()}
-    assert kept == {("a", "src/x.ts"): "one", ("b", "bad.txt"): "caf" + chr(0xFFFD)}
-    gone = {(r.repo, r.rel): r.reason for r in tree.skipped_files(raw, 40).collect()}
-    assert gone == {("a", "bin.dat"): "binary", ("a", "big.txt"): "50 bytes exceed the limit",
-                    ("b", "late.txt"): "binary"}
-
-
-def test_zero_bytes_past_the_sniffed_head_are_text(spark):
-    raw = spark.createDataFrame([("a", "x", 5000, bytearray(b"y" * 4096 + b"\x00"))],
-                                "repo string, rel string, length long, content binary")
-    assert tree.ingest_files(raw).count() == 1
+HIDDEN = {".env": b"A=1", ".gitignore": b"x", ".github/workflows/ci.yml": b"on: push", "pkg/__init__.py": b"",
+          "pages/_app.tsx": b"x", "__tests__/a.test.ts": b"y", "yarn.lock": b"", "src/a.ts": b"caf\xe9", "b.dat": b"\x00z"}
+
+
+def packed(folder, repo, files, kind):
+    folder.mkdir(parents=True, exist_ok=True)
+    if kind == "zip":
+        with zipfile.ZipFile(folder / f"{repo}.zip", "w") as held:
+            for name, data in files.items():
+                held.writestr(name, data)
+    else:
+        with tarfile.open(folder / f"{repo}.{kind}", "w:gz" if kind == "tgz" else "w") as held:
+            for name, data in files.items():
+                info = tarfile.TarInfo("./" + name)
+                info.size = len(data)
+                held.addfile(info, io.BytesIO(data))
+
+
+def test_archives_keep_every_name(spark, tmp_path, monkeypatch):
+    root = tmp_path / "src" / "my corpus+1"
+    packed(root, "a", HIDDEN, "zip")
+    packed(root, "b.v2", HIDDEN, "tar")
+    packed(root / "src", "part-0", {"src/src/x.ts": b"1"}, "tgz")
+    (root / "broken.zip").write_bytes(b"PK nothing")
+    (root / "notes.txt").write_bytes(b"not an archive")
+    raw = tree.read_archives(spark, str(root))
+    got = {(r.repo, r.rel): (r.length, r.content) for r in raw.collect()}
+    assert {rel for repo, rel in got if repo == "a"} == {rel for repo, rel in got if repo == "b.v2"} == set(HIDDEN)
+    assert got["a", "src/a.ts"] == (4, b"caf\xe9") and got["src", "src/src/x.ts"] == (1, b"1")
+    assert [r.reason for r in tree.skipped_files(raw).collect()] == ["not readable"]
+    texts = {r.rel: r.text for r in tree.ingest_files(raw.where("repo = 'a'")).collect()}
+    assert texts.keys() == HIDDEN.keys() and texts["src/a.ts"] == "caf" + chr(0xFFFD)
+    assert "yarn.lock" not in {r.rel for r in tree.path_ignore(raw).collect()}
+
+
+def test_nothing_is_left_out_without_a_limit(spark, make_files):
+    stored = spark.createDataFrame([("a", k, bytearray(v)) for k, v in {
+        **HIDDEN, "big.txt": b"x" * 50, "late.txt": b"k" * 10 + b"\x00"}.items()],
+        "repo string, rel string, content binary")
+    raw = tree.as_raw(stored)
+    assert tree.ingest_files(raw).count() == raw.count() and tree.skipped_files(raw).count() == 0
+    gone = {r.rel: r.reason for r in tree.skipped_files(raw, 40, 4).collect()}
+    assert gone == {"big.txt": "50 bytes exceed the limit", "b.dat": "binary"}
+    assert tree.skipped_files(raw, None, 11).count() == 2
+    files = make_files({"a": {f"f{i}": "x" for i in range(9)}})
+    assert tree.file_cap(files).count() == 9
 
 
 def test_test_paths(spark):
@@ -94,14 +125,15 @@ def test_file_cap_is_exact(make_files):
 
 
 def test_stack_tags(make_files):
-    facts = audit.corpus_facts(make_files({
+    listed = make_files({
         "web": {"package.json": '{"dependencies": {"next": "1"}, "devDependencies": {"prisma": "1"}}',
                 "yarn.lock": "", "supabase/config.toml": ""},
-        "py": {"requirements.txt": "FastAPI==1", ".vercel/x": ""},
-        "none": {"a.md": ""}, "broken": {"package.json": "{"}}))
-    got = {r.repo: r.stack for r in tree.stack_tags(facts).collect()}
+        "py": {"requirements.txt": "FastAPI==1", ".vercel/x": "", "bun.lockb": ""},
+        "none": {"a.md": ""}, "broken": {"package.json": "{"}})
+    facts = audit.corpus_facts(tree.path_ignore(listed), listed)
+    got = {r.repo: r.stack for r in tree.stack_tags(facts, listed).collect()}
     assert got == {"web": ["nextjs", "npm", "prisma", "supabase", "yarn"],
-                   "py": ["fastapi", "python", "vercel"], "none": [], "broken": ["npm"]}
+                   "py": ["bun", "fastapi", "python", "vercel"], "none": [], "broken": ["npm"]}
 
 
 def test_corpus_list(spark, tmp_path):
@@ -155,6 +187,8 @@ def test_verdict_and_gate_differ_on_suspected_findings(spark, findings):
 def test_diff(findings):
     old = findings(("a", "S1", "x", 1, "old"), ("a", "S2", "x", 1), ("b", "S1", "x", 1))
     new = findings(("a", "S1", "x", 1, "new"), ("a", "S1", "y", 1), ("a", "S1", "y", 1))
+    assert {r.confidence for r in fnd.run_diff(old, new).collect()} == {"CONFIRMED"}
+    assert set(fnd.run_diff(old, new).columns) == {*FINDINGS.names, "status"}
     rows = {(r.repo, r.check_id, r.file): (r.status, r.snippet) for r in fnd.run_diff(old, new).collect()}
     assert rows == {("a", "S1", "x"): ("unchanged", "new"), ("a", "S2", "x"): ("fixed", "s"),
                     ("b", "S1", "x"): ("fixed", "s"), ("a", "S1", "y"): ("new", "s")}
@@ -171,11 +205,22 @@ def test_blocking_and_sections(findings):
     assert fnd.finding_order(f).first().severity == "P0"
 
 
+def test_report_tells_what_was_covered(spark, findings):
+    coverage = spark.createDataFrame([("a", 4, 7, ["x (binary)"], ["n"], ["npm"]), ("b", 0, 0, [], [], [])],
+                                     "repo string, scanned_files long, skipped_total long, skipped array<string>, "
+                                     "notes array<string>, stack array<string>")
+    rows = fnd.audit_table(findings(("a", "S1", "x", 1)), coverage=coverage).where("part = 4").collect()
+    assert {(r.repo, r.snippet) for r in rows} == {
+        ("a", "4 files and 48 checks"), ("a", "built with npm"), ("a", "n"),
+        ("a", "7 files left out: x (binary), ..."), ("b", "0 files and 48 checks")}
+
+
 def test_recall(findings):
     want = findings(("a", "S1", "x", 1), ("a", "S2", "x", 1), ("a", "S3", "x", 1))
     have = findings(("a", "S1", "y", 1), ("a", "S2", "x", 9), ("a", "H7", "x", 1), ("a", "D1", "x", 1))
     row = fnd.recall_precision(want, have, ("H7",)).first()
     assert (row.expected, row.hit, row.missed, row.unexpected) == (3, 2, 1, 1)
+    assert row.recall == row.precision == 2 / 3
     assert {r.check_id: r.on_site for r in fnd.site_recall(want, have).collect()} == {
         "S1": False, "S2": True, "S3": False}
 
@@ -183,18 +228,18 @@ def test_recall(findings):
 def test_sink_and_load(spark, findings, tmp_path):
     f = findings(("a", "S1", "x", 1, "  padded " + "y" * 300))
     for fmt in ("parquet", "json"):
-        io.write_findings(f, str(tmp_path / fmt), fmt)
+        findings_io.write_findings(f, str(tmp_path / fmt), fmt)
         stored = spark.read.format(fmt).load(str(tmp_path / fmt)).first()
         assert (stored.schema_version, stored.severity, stored.fix_class, stored.domain) == (
             1, "P0", "manual", "S")
-        back = io.read_findings(spark, str(tmp_path / fmt), fmt)
+        back = findings_io.read_findings(spark, str(tmp_path / fmt), fmt)
         assert back.columns == FINDINGS.names and len(back.first().snippet) == 240
     bare = spark.createDataFrame([("a", "S1", "x", 1, "s")],
                                  "repo string, check_id string, file string, line int, snippet string")
-    row = io.findings_append(bare, f).where("snippet = 's'").first()
+    row = findings_io.findings_append(bare, f).where("snippet = 's'").first()
     assert (row.confidence, row.evidence) == ("SUSPECTED", "")
     with pytest.raises(Exception, match="unknown check"):
-        io.findings_sink(findings(("a", "Q9", "x", 1))).collect()
+        findings_io.findings_sink(findings(("a", "Q9", "x", 1))).collect()
 
 
 def test_stored_documents_and_logs(spark, tmp_path):
@@ -205,20 +250,20 @@ def test_stored_documents_and_logs(spark, tmp_path):
                 "findings": [{"check_id": "S1", "file": "x", "line": 2, "snippet": "s",
                               "severity": "P0", "title": "t"}]}
     (tmp_path / "docs" / "app.json").write_text(json.dumps(document, indent=2))
-    docs = io.read_documents(spark, str(tmp_path / "docs"))
-    assert tuple(io.document_findings(docs).first()) == ("app", "S1", "x", 2, "s", "SUSPECTED", "")
-    assert io.document_coverage(docs).first().scanned_files == 3
+    docs = findings_io.read_documents(spark, str(tmp_path / "docs"))
+    assert tuple(findings_io.document_findings(docs).first()) == ("app", "S1", "x", 2, "s", "SUSPECTED", "")
+    assert findings_io.document_coverage(docs).first().scanned_files == 3
     (tmp_path / "log.jsonl").write_text(
         '{"ok": true, "id": "a", "checks": ["S1"], "severity": {"P0": 1, "P1": 0, "P2": 0, "P3": 0},'
         ' "total": 1, "files": 2, "stack": [], "seconds": 1.5}\n{"ok": false, "reason": "clone-failed"}\n')
-    row = study.corpus_summary(io.read_runs(spark, str(tmp_path / "log.jsonl"))).first()
+    row = study.corpus_summary(findings_io.read_runs(spark, str(tmp_path / "log.jsonl"))).first()
     assert (row.repos_scanned, row.repos_failed, row.median_seconds) == (1, 1, 1.5)
 
 
 def test_notes_are_added_once(spark):
     old = spark.createDataFrame([("a", ["x", "y"])], "repo string, notes array<string>")
     new = spark.createDataFrame([("a", "y"), ("a", "z"), ("b", "w")], "repo string, note string")
-    assert {r.repo: r.notes for r in io.notes_append(old, new).collect()} == {
+    assert {r.repo: r.notes for r in findings_io.notes_append(old, new).collect()} == {
         "a": ["x", "y", "z"], "b": ["w"]}
 
 
@@ -232,6 +277,20 @@ def test_median_is_exact(spark, size):
     assert study.exact_median(df, "x").first().median == statistics.median(values)
 
 
+def test_medians_of_odd_values(spark):
+    values = [1e-300, -1e300, 1e300, float("nan"), None, 0.0, 5e-324, 3.0, 3.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    kept = [v for v in values if v is not None and abs(v) < 1e308]
+    assert study.exact_median(df, "x").first().median == statistics.median(kept)
+    assert study.exact_median(df.where("x is null"), "x").first().median is None
+
+
+def test_summary_reads_the_runs_a_few_times(spark):
+    runs = spark.createDataFrame([(True, None, "a", [], (1, 0, 0, 0), 3, 2, [], 1.0)], REPO_RUNS)
+    plan = study.corpus_summary(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 6 and "Window" not in plan
+
+
 def test_study_figures(spark):
     def run(name, checks_, p0, total, stack, ok=True):
         return (ok, None if ok else "clone-failed", name, checks_,
@@ -261,6 +320,15 @@ def test_sample_is_repeatable_and_bounded(spark, findings):
         map(tuple, study.stratified_sample(f, every, 10, 7, seed=2).collect()))
 
 
+def test_a_run_leaves_nothing_behind(spark, make_files, tmp_path):
+    files = make_files({"a": {"package.json": "{}", "src/a.ts": "fetch(u)\n" * 40}})
+    with Workspace(spark) as run:
+        found = audit.findings_all(files, files).collect()
+        folder = Path(run.folder.removeprefix("file:"))
+        assert found and any(folder.iterdir())
+    assert not folder.exists() and workspace(spark) is not run
+
+
 # ---- joins, audit, streaming ------------------------------------------------------------
 
 def test_sized_join_has_another_way(spark):
@@ -286,7 +354,8 @@ PLANTED = {
 
 
 def test_audit_of_a_planted_tree(make_files):
-    found = audit.findings_all(make_files(PLANTED)).collect()
+    files = make_files(PLANTED)
+    found = audit.findings_all(files, files).collect()
     assert {r.check_id for r in found} >= {
         "S3", "S5", "S6", "D1", "D2", "D4", "R1", "R2", "R3", "R5", "C2", "C3", "C5", "O1", "O3",
         "O4", "O5", "H2", "H3", "H5", "P3", "T1", "T3", "X2", "X3"}
@@ -296,16 +365,36 @@ def test_audit_of_a_planted_tree(make_files):
 
 def test_audit_is_the_same_beside_other_repositories(spark, make_files):
     noise = {f"n{i}": {f"src/{j}.ts": "fetch(u)\n" for j in range(6)} for i in range(5)}
-    alone = audit.findings_all(make_files({"p": PLANTED}))
-    among = audit.findings_all(make_files({"p": PLANTED, **noise}).repartition(7)).where("repo = 'p'")
+    one, many = make_files({"p": PLANTED}), make_files({"p": PLANTED, **noise}).repartition(7)
+    alone = audit.findings_all(one, one)
+    among = audit.findings_all(many, many).where("repo = 'p'")
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, among.collect()))
 
 
-def test_coverage_notes(make_files):
-    facts = audit.corpus_facts(make_files({"a": {"x.py": "1"}, "b": {".gitignore": "", "web.tsx": ""}}))
-    notes = {(r.repo, r.note.split(":")[0]) for r in audit.coverage_notes(facts).collect()}
+def test_a_lockfile_counts_though_it_is_ignored(make_files):
+    listed = make_files({"a": {"package.json": "{}", "yarn.lock": ""}, "b": {"package.json": "{}"}})
+    found = audit.findings_all(tree.path_ignore(listed), listed).where("check_id = 'P3'").collect()
+    assert [r.repo for r in found] == ["b"]
+
+
+def test_unscanned_files_count_by_their_paths(make_files):
+    listed = make_files({"a": {".github/workflows/ci.yml": "", "keys/x.pem": "", "tests/test_a.py": "", "b.py": "",
+                               "node_modules/y.pem": ""}})
+    found = audit.findings_all(listed.where("rel = 'b.py'"), listed).collect()
+    assert {(r.check_id, r.file) for r in found if r.check_id in ("S3", "T3", "T1")} == {("S3", "keys/x.pem")}
+
+
+def test_coverage_notes(spark, make_files):
+    files = make_files({"a": {"x.py": "1"}, "b": {".gitignore": "", "web.tsx": ""}, "c": {"package-lock.json": "{"}})
+    commits = spark.createDataFrame([("a", "1", True), ("b", None, False)],
+                                    "repo string, commit_id string, shallow boolean")
+    facts = audit.corpus_facts(files)
+    notes = {(r.repo, r.note.split(":")[0]) for r in audit.coverage_notes(facts, files, commits).collect()}
     assert ("a", "serves no web pages") in notes and ("b", "serves no web pages") not in notes
     assert ("a", "there is no ignore file") in notes and ("b", "there is no ignore file") not in notes
+    assert ("c", "package-lock.json cannot be parsed") in notes
+    assert {("a", "shallow copy"), ("a", "history"), ("b", "the history cannot be read"),
+            ("c", "not under version control")} <= notes
 
 
 def test_stream_equals_batch_and_survives_a_repeat(spark, make_files, tmp_path):

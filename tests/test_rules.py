@@ -7,10 +7,14 @@ from corpuswarden.plans.rulebook import RULE_CHECKS, RULES
 from corpuswarden.plans.scan import rule_scan
 
 
+def _token(payload):
+    def part(text):
+        return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+    return ".".join([part('{"alg": "HS256"}'), part(payload), "Zq81kLmPx"])
+
+
 def _jwt(role):
-    def part(claims):
-        return base64.urlsafe_b64encode(json.dumps(claims).encode()).decode().rstrip("=")
-    return ".".join([part({"alg": "HS256"}), part({"iss": "host", "role": role}), "Zq81kLmPx"])
+    return _token(json.dumps({"iss": "host", "role": role}))
 
 
 AWS = "AK" + "IA" + "9QWZ4HTNBV7RPLKD"
@@ -108,6 +112,19 @@ CASES = [
     ("X3", "src/a.ts", "redirect('/home')", False),
 ]
 
+# Payloads of tokens: public only if one strict JSON object whose last role is the public one.
+PAYLOADS = [
+    ('{"role":"anon"}', False), (' {"iss":"host",\n "role" : "anon", "n": [1, {"a": null}]} ', False),
+    ('{"role":"service_role","role":"anon"}', False), ('{"role":"anon","role":"service_role"}', True),
+    ('{"a":{"role":"x"},"name":"O\'Neil \\"x\\"","role":"anon"}', False), ('{"a":{"role":"anon"},"b":1}', True),
+    ('{"role":"anon"}x', True), ('{"role":"anon"},{}', True), ('{"role":"anon"}],[{}', True),
+    ('{"role":"anon"}},{"b":{}', True), ('{"role":"anon","b":\'x\'}', True),
+    ('{"role":"anon","b":"x\ny"}', True), ('{"role":["anon"]}', True),
+    ('{"role":anon}', True), ('{"role":"anon",}', True), ('{"role":"anon"', True),
+]
+CASES += [("S1", f"src/token{i}.ts", f'const t = "{_token(payload)}"', fires)
+          for i, (payload, fires) in enumerate(PAYLOADS)]
+
 
 def test_every_rule_case(spark):
     rows = [(f"case{i}", rel, text) for i, (_, rel, text, _) in enumerate(CASES)]
