@@ -22,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -35,7 +34,7 @@ FIT_PASSAGES = 64
 HIDDEN, GATE = 16, 8
 EPOCHS, STEP, DECAY = 150, 0.02, 1e-4
 THRESHOLD = 0.3
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19  # text described at a time; what it takes is some dozen times as much
 
 CLASSES = ("upper", "lower", "high", "digit", "space", "line", "mark", "bar", "bang", "sign")
 
@@ -197,15 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """The model, or a constant score if the labels don't hold both classes."""
     rows, sizes = training_rows(docs, labels, label, per_class, id_col, text_col)
 
-    @F.pandas_udf(T.BinaryType())
-    def described(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.BinaryType())
+    def described(texts: pa.Array) -> pa.Array:
         out = []
-        for low, high, features, owner in bags(pa.Array.from_pandas(texts, type=pa.large_string())):
+        for low, high, features, owner in bags(texts):
             ends = np.searchsorted(owner, np.arange(high - low + 1))
             for a, b in zip(ends[:-1], ends[1:]):
                 picked = np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(int))
                 out.append(features[picked].tobytes())
-        return pd.Series(out)
+        return pa.array(out, pa.binary())
 
     if len(sizes) == 2:
         # Bounded: `per_class` documents a class, FIT_PASSAGES passages of 72 bytes each.
@@ -222,14 +221,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def scored_text(model: Model | float):
     """A function from texts to scores."""
-    @F.pandas_udf(T.DoubleType())
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def run(texts: pa.Array) -> pa.Array:
         if not isinstance(model, Model):
-            return pd.Series(np.full(len(texts), float(model)))
+            return pa.array(np.full(len(texts), float(model)))
         out = np.zeros(len(texts))
-        for low, high, features, owner in bags(pa.Array.from_pandas(texts, type=pa.large_string())):
+        for low, high, features, owner in bags(texts):
             out[low:high] = model.scores(features, owner, high - low)
-        return pd.Series(out)
+        return pa.array(out)
     return run
 
 

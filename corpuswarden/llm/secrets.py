@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -172,29 +171,32 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
                      T.StructField("end", T.IntegerType()), T.StructField("value", T.IntegerType())])
 
 
-@F.pandas_udf(T.ArrayType(SPAN))
-def secret_spans(texts: pd.Series) -> pd.Series:
+SPAN_ARROW = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32())])
+
+
+@F.arrow_udf(T.ArrayType(SPAN))
+def secret_spans(texts: pa.Array) -> pa.Array:
     """Spans (kind, start, end, value): `value` is where the secret itself starts."""
     out: list[list] = [[] for _ in range(len(texts))]
-    for row, spans in _batch(pa.Array.from_pandas(texts, type=pa.large_string())):
+    for row, spans in _batch(texts):
         out[row] = [dict(kind=KINDS[k], start=s, end=e, value=v) for s, k, e, v in spans]
-    return pd.Series(out)
+    return pa.array(out, pa.list_(SPAN_ARROW))
 
 
-@F.pandas_udf(T.StringType())
-def masked(texts: pd.Series) -> pd.Series:
-    """The text with every secret's value replaced by a mark."""
-    out = texts.astype(object)
-    for row, spans in _batch(pa.Array.from_pandas(texts, type=pa.large_string())):
-        text, parts, done = texts.iloc[row], [], 0
+@F.arrow_udf(T.StringType())
+def masked(texts: pa.Array) -> pa.Array:
+    """The text with every secret's value replaced by a mark; null where nothing changes."""
+    out = [None] * len(texts)
+    for row, spans in _batch(texts):
+        text, parts, done = texts[row].as_py(), [], 0
         for start, end in sorted((v, e) for _, _, e, v in spans):
             if end <= done:
                 continue
             if start >= done:
                 parts += [text[done:start], MASK]
             done = end
-        out.iloc[row] = "".join(parts) + text[done:]
-    return out
+        out[row] = "".join(parts) + text[done:]
+    return pa.array(out, pa.string())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,11 +210,10 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     new = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                       masked(F.col(f"`{text_col}`")).alias("new"))
     old = F.col(f"row.`{text_col}`")
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("new")}
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.coalesce("new", old)}
     if length_col in columns:
         kind = docs.schema[length_col].dataType
-        columns[length_col] = F.when(old.eqNullSafe(F.col("new")), columns[length_col]).otherwise(
-            F.length("new").cast(kind))
+        columns[length_col] = F.coalesce(F.length("new").cast(kind), columns[length_col])
     return new.select(*[c.alias(name) for name, c in columns.items()])
 
 

@@ -20,7 +20,7 @@ other columns are ignored by `groups` and kept by `keep_one`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuswarden.llm import golay
@@ -43,9 +43,10 @@ def _fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def majority(hashes: pd.Series) -> pd.Series:
-    return pd.Series([_fingerprint(h) for h in hashes], dtype="int64")
+@F.arrow_udf(T.LongType())
+def majority(hashes: pa.Array) -> pa.Array:
+    values, ends = np.asarray(hashes.flatten()), np.cumsum([0, *map(len, hashes)])
+    return pa.array([_fingerprint(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -62,10 +63,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return parts.select("id", "digest", majority(hashes).alias("fp"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def fuzzy_keys(fps: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def fuzzy_keys(fps: pa.Array) -> pa.Array:
     """Keys of each fingerprint: block, half, exact block and Golay key, packed."""
-    bits = fps.to_numpy(dtype=np.int64).view(np.uint64)
+    bits = fps.to_numpy(zero_copy_only=False).view(np.uint64)
     blocks = [(bits >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64) for b in range(4)]
     packed = []
     for exact in range(4):
@@ -76,7 +77,9 @@ def fuzzy_keys(fps: pd.Series) -> pd.Series:
             key = (exact * 2 + half) << 28 | blocks[exact] << 12
             packed.append(np.where(code == golay.NONE, golay.NONE, key[:, None] | code))
     rows = np.concatenate(packed, axis=1)
-    return pd.Series([row[row != golay.NONE] for row in rows])
+    used = rows != golay.NONE
+    ends = np.append(0, np.cumsum(used.sum(axis=1)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows[used], pa.int64()))
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

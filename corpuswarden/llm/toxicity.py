@@ -25,6 +25,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuswarden.llm.labelled import held_out, training_rows
@@ -194,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return Model()
     lexicon = Lexicon(learn_stems(rows, min(per_class, sizes[1])))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t, lexicon) for t in texts])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py(), lexicon) for t in texts], pa.list_(pa.float64()))
 
     # At most `per_class` rows of two numbers a class reach the driver, unless ids repeat.
     seen = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(
@@ -215,17 +216,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     lexicon, (bias, dense, whole) = model.lexicon, model.curve
 
-    @F.pandas_udf(kind)
-    def scored(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(kind)
+    def scored(texts: pa.Array) -> pa.Array:
         scores, spans = [], []
-        for text in texts:
+        for text in (t.as_py() for t in texts):
             found = matches(text, lexicon)
             weight = sum(w for _, _, w in found)
             words = text.count(" ") + text.count("\n") + 1
             z = bias + dense * np.log1p(100 * weight / (words + 20)) + whole * np.log1p(weight)
             scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             spans.append([dict(start=s, end=e, weight=w) for s, e, w in sorted(found)])
-        return pd.DataFrame({"score": scores, "spans": spans})
+        listed = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])
+        return pa.StructArray.from_arrays(
+            [pa.array(scores, pa.float64()), pa.array(spans, pa.list_(listed))], ["score", "spans"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").alias("id"), scored(text).alias("s")).select("id", "s.*")
