@@ -32,7 +32,7 @@ RATE = 24        # a byte in so many ends a chunk
 LEAST = 6        # a cut this close to the cut position before is dropped
 MOST = 4096      # a chunk is cut at this length
 WINDOW = 16      # bytes the rolling hash covers, as many as it has bits
-LEAST_RUN = 90   # bytes of neighbouring repeated chunks that make a passage
+LEAST_RUN = 130   # bytes of neighbouring repeated chunks that make a passage
 SLICE_BYTES = 4 << 20
 LENGTH_BITS = 20
 
