@@ -33,11 +33,13 @@ from corpuswarden.llm.labelled import held_out, training_rows
 SAMPLE = 4000       # documents of each class that are learned from, at most
 STEMS = 2000        # learned stems, at most
 STEM_LENGTHS = range(4, 9)
-LEAST_WEIGHT = 2.0  # natural logarithm of how much more frequent a stem is in toxic texts
+LEAST_WEIGHT = 3.0  # natural logarithm of how much more frequent a stem is in toxic texts
+MOST_HITS = 10      # of a stem that count in one document
 LEAST_SHARE = 0.01  # of the toxic documents of the sample that hold a stem
 WORD_WEIGHT = 4.0
-# The curve without labels: bias, and the factors of weight a word and of whole weight.
-DEFAULT_CURVE = (-4.0, 1.5, 1.0)
+# The curve without labels: bias, and the factors of weight a word, of the stems' weight and
+# of the whole words' weight.
+DEFAULT_CURVE = (-4.0, 1.0, 0.5, 3.0)
 
 # General insults, and phrases in which one of them is none.
 WORDS = (
@@ -97,12 +99,12 @@ def automaton(lexicon: Lexicon):
     return machine
 
 
-def matches(text: str, lexicon: Lexicon) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of what counts; of entries that start together the heaviest."""
+def matches(text: str, lexicon: Lexicon) -> list[tuple[int, int, float, bool]]:
+    """(start, end, weight, whole word) of what counts; of entries that start together the heaviest."""
     machine, folded = automaton(lexicon), fold(text)
     if not len(machine):
         return []
-    found: dict[int, tuple[int, float]] = {}
+    found: dict[int, tuple[int, float, bool]] = {}
     spared = []
     for last, (entry, kind, weight) in machine.iter(folded):
         start, end = last + 1 - len(entry), last + 1
@@ -113,16 +115,18 @@ def matches(text: str, lexicon: Lexicon) -> list[tuple[int, int, float]]:
         if kind == "exception":
             spared.append((start, end))
         elif start not in found or found[start][1] < weight:
-            found[start] = (end, weight)
-    return [(start, end, weight) for start, (end, weight) in found.items()
+            found[start] = (end, weight, kind == "word")
+    return [(start, end, weight, whole) for start, (end, weight, whole) in found.items()
             if not any(a <= start and end <= b for a, b in spared)]
 
 
-def features(text: str, lexicon: Lexicon) -> tuple[float, float]:
-    """Weight a word and whole weight, both damped."""
-    weight = sum(w for _, _, w in matches(text, lexicon))
-    words = text.count(" ") + text.count("\n") + 1
-    return float(np.log1p(100 * weight / (words + 20))), float(np.log1p(weight))
+def features(text: str, found) -> tuple[float, float, float]:
+    """Weight a word, and the weights of stems and of whole words, all damped."""
+    stems = sum(w for _, _, w, whole in found if not whole)
+    words = sum(w for _, _, w, whole in found if whole)
+    length = text.count(" ") + text.count("\n") + 1
+    return (float(np.log1p(100 * (stems + words) / (length + 20))), float(np.log1p(stems)),
+            float(np.log1p(words)))
 
 
 def learn_stems(rows: DataFrame, n_toxic: int) -> tuple[tuple[str, float], ...]:
@@ -139,7 +143,7 @@ def learn_stems(rows: DataFrame, n_toxic: int) -> tuple[tuple[str, float], ...]:
                         if len(w) >= length:
                             stems[w[:length]] += n
                 for stem, n in stems.items():
-                    hits[stem, y, "n"] += n
+                    hits[stem, y, "n"] += min(n, MOST_HITS)
                     hits[stem, y, "docs"] += 1
                 hits["", y, "n"] += sum(own.values())
             stems = sorted({stem for stem, _, _ in hits})
@@ -170,7 +174,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> tuple[floa
     full = np.column_stack([np.ones(len(x)), x])
     share = np.array([sizes[v] / max(1, (y == v).sum()) for v in (0, 1)])
     weight = share[y] / share[y].mean()
-    beta, ridge = np.zeros(full.shape[1]), np.diag([1e-3, 0.05, 0.05])
+    beta, ridge = np.zeros(full.shape[1]), np.diag([1e-3] + [0.05] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(full @ beta, -30, 30)))
         gradient = full.T @ (weight * (y - p)) - ridge @ beta
@@ -197,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def measured(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t.as_py(), lexicon) for t in texts], pa.list_(pa.float64()))
+        return pa.array([features(t, matches(t, lexicon)) for t in (x.as_py() for x in texts)],
+                        pa.list_(pa.float64()))
 
     # At most `per_class` rows of two numbers a class reach the driver, unless ids repeat.
     seen = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(
@@ -205,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if len({row["y"] for row in seen}) < 2:
         return Model(lexicon)
     x, y = np.array([row["x"] for row in seen]), np.array([row["y"] for row in seen])
-    order = np.lexsort((x[:, 1], x[:, 0], y))
+    order = np.lexsort((*x.T, y))
     return Model(lexicon, fit_curve(x[order], y[order], sizes))
 
 
@@ -214,18 +219,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                          T.StructField("weight", T.DoubleType())])
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    lexicon, (bias, dense, whole) = model.lexicon, model.curve
+    lexicon, (bias, *factors) = model.lexicon, model.curve
 
     @F.arrow_udf(kind)
     def scored(texts: pa.Array) -> pa.Array:
         scores, spans = [], []
         for text in (t.as_py() for t in texts):
             found = matches(text, lexicon)
-            weight = sum(w for _, _, w in found)
-            words = text.count(" ") + text.count("\n") + 1
-            z = bias + dense * np.log1p(100 * weight / (words + 20)) + whole * np.log1p(weight)
+            z = bias + float(np.dot(factors, features(text, found)))
             scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            spans.append([dict(start=s, end=e, weight=w) for s, e, w in sorted(found)])
+            spans.append([dict(start=s, end=e, weight=w) for s, e, w, _ in sorted(found)])
         listed = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])
         return pa.StructArray.from_arrays(
             [pa.array(scores, pa.float64()), pa.array(spans, pa.list_(listed))], ["score", "spans"])

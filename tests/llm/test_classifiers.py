@@ -42,7 +42,7 @@ def test_folding_keeps_length_and_meaning():
 
 
 def test_boundaries_exceptions_and_weights():
-    found = lambda t, *stems: [(s, e) for s, e, _ in toxicity.matches(t, toxicity.Lexicon(stems))]
+    found = lambda t, *stems: [(s, e) for s, e, *_ in toxicity.matches(t, toxicity.Lexicon(stems))]
     assert found("You idiot, IDIOT!") == [(4, 9), (11, 16)]
     assert found("idiotic unidiot") == [] and found("the trash can is trash") == [(17, 22)]
     assert found("a clown fish and a clown") == [(19, 24)]
