@@ -80,6 +80,25 @@ def test_run_equals_the_operators_by_hand(spark, tables):
         assert rows[k].n_tokens == len(rows[k].ids)
 
 
+def test_odd_rows_and_clashing_columns(spark, tables):
+    folder, texts, _ = tables
+    long = " ".join(f"w{k % 1013}" for k in range(60_000))
+    rows = [(1, texts[1]), (1, texts[1]), (None, texts[2]), (None, None), (2, None), (2, ""), (3, long), (3, long),
+            (4, f"{texts[4]} secret: abcdefgh12345678")]
+    docs = spark.createDataFrame([(k, t, None, None, None if t is None else len(t)) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", "'x' as id", "1 as digest", "2 as row", "'y' as words", "3 as score", "'n' as new", "4 as spans")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    left = sorted(((r.doc_id, r.n_chars == len(r.text or "") if r.n_chars is not None else None)
+                   for r in docs.collect()), key=str)
+    assert len({k for k, _ in left}) == len(left)  # one of each repeated row, one of the empty ones
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == len(left)
+
+
 def test_empty_documents(spark, tables):
     folder, _, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)

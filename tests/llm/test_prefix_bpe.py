@@ -64,10 +64,10 @@ def test_append_computes_only_new_prefixes(coder, monkeypatch):
 
 
 def test_bounded_cache_gives_equal_results(library, monkeypatch):
-    monkeypatch.setattr(pieces, "LIMIT", 7)
     monkeypatch.setattr(pb, "PAIRS", 5)
     coder = pb.PrefixBPE(pb.load_ranks(PATH))
-    encoder = pieces.TextEncoder(PATTERN, lambda p: np.array(coder.encode(p.encode()), "<u4").tobytes())
+    encoder = pieces.TextEncoder(PATTERN, lambda p: np.array(coder.encode(p.encode()), "<u4").tobytes(),
+                                 limit=7)
     for text in random_texts(150, 9):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
