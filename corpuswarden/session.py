@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _OWN_DIRS:
         _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="corpus-audit-")
