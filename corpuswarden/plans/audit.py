@@ -9,7 +9,6 @@ from corpuswarden.operators import (
 )
 from corpuswarden.operators.findings import per_file_collapse
 from corpuswarden.plans.facts import FileColumns, extract, rule_probe
-from corpuswarden.plans.rulebook import RULE_CHECKS
 from corpuswarden.plans.scan import as_findings
 from corpuswarden.session import write_once
 from corpuswarden.sources import tree

@@ -10,7 +10,6 @@ from corpuswarden.operators import schema_checks as schema
 from corpuswarden.plans import audit
 from corpuswarden.plans.facts import extract
 from corpuswarden.plans.rulebook import RULES
-from corpuswarden.sources import tree
 
 SIZE = 2_000_000
 SECONDS = 20
