@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import regex
 
-LIMIT = 300_000  # pieces of one generation of a cache
+LIMIT = 600_000  # pieces of one generation of a cache
+MARKS = string.punctuation
 # White space other than the plain space and the line break.
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -25,21 +27,37 @@ class Pieces(dict):
     taken over. So pieces in use stay, and the many that occur once are let go.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], before: str = ""):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = LIMIT):
         super().__init__()
-        self.encode, self.before, self.old = encode, before, {}
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encode(self.before + piece)
-        if len(self) >= LIMIT:
+            ids = self.encode(piece)
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
 
+class Words(Pieces):
+    """Words between spaces; letters and the run of marks after them are two matches."""
+
+    def __init__(self, letters: Callable[[str], bytes], other: Callable[[str], bytes], marks: Pieces):
+        super().__init__(self._encode, marks.limit)
+        self.letters, self.other, self.marks = letters, other, marks
+
+    def _encode(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.letters(piece)
+        word = piece.rstrip(MARKS)
+        if word.isalpha():
+            return self[word] + self.marks[piece[len(word):]]
+        return self.other(piece)
+
+
 class TextEncoder:
     """Packed ids of whole texts, for tokenizers that split a text by a pattern first.
 
@@ -47,30 +65,31 @@ class TextEncoder:
     are not white space, and makes a single line break a match of its own. So a text
     whose only white space is single spaces and line breaks between words is encoded
     word by word, a word taking the space before it. Any other text is split by the
-    pattern itself. `whole` encodes a word with the marks beside it, if the tokenizer
-    splits it by itself.
+    pattern itself.
+
+    `encode` takes one match. `spaced` takes the letters of a match that begins with a
+    space, and `split` a word with marks inside, if the tokenizer has its own way.
     """
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes],
-                 whole: Callable[[str], bytes] | None = None):
+                 spaced: Callable[[str], bytes] | None = None,
+                 split: Callable[[str], bytes] | None = None, limit: int = LIMIT):
         self.find = regex.compile(pattern).findall
-        self.matches = Pieces(encode)
-        self.first = Pieces(whole or self._split)
-        self.rest = Pieces(whole or self._split, " ")
+        self.matches = Pieces(encode, limit)
+        spaced, split = spaced or (lambda word: encode(" " + word)), split or self._split
+        self.first = Words(encode, split, self.matches)
+        self.rest = Words(spaced, lambda word: split(" " + word), self.matches)
 
     def _split(self, text: str) -> bytes:
-        found = self.find(text)
-        if len(found) == 1:
-            return self.matches.encode(found[0])
-        return b"".join(map(self.matches.__getitem__, found))
+        return b"".join(map(self.matches.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
         if not _plain(text):
-            return b"".join(map(self.matches.__getitem__, self.find(text)))
+            return self._split(text)
         rest, out = self.rest.__getitem__, []
         for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.first[words[0]])
-            out.extend(map(rest, words[1:]))
+            words = iter(line.split(" "))
+            out.append(self.first[next(words)])
+            out.extend(map(rest, words))
             out.append(self.matches["\n"])
         return b"".join(out[:-1])

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuswarden.llm.pieces import TextEncoder
 
-PAIRS = 1 << 20  # remembered pairs of tokens at most
+# What a task remembers at most; a fifth of a GB in all.
+PAIRS = 1 << 18      # pairs of tokens
+PIECES = 200_000     # pieces of one generation of a cache
 
 
 class PrefixBPE:
@@ -60,7 +63,7 @@ class PrefixBPE:
         return True
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether `left` and `right` side by side stay two tokens.
+        """Whether `left` and `right` side by side stay two tokens; the answer is remembered.
 
         The merges are undone from the latest: first the pair itself must not merge,
         then the pair that stood at the border before the later of the two was made,
@@ -68,9 +71,6 @@ class PrefixBPE:
         of equal ranks the one further left comes first.
         """
         key = left << 32 | right
-        known = self._apart.get(key)
-        if known is not None:
-            return known
         before, apart = len(self.ranks) + 1 << 8, True
         while True:
             joined = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
@@ -91,17 +91,22 @@ class PrefixBPE:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Complete `last`, the last token of each prefix of `piece` that is known so far."""
-        ending, apart = self.endings.get, self.apart
+        ending, known, apart = self.endings.get, self._apart.get, self.apart
         for end in range(len(last) + 1, len(piece) + 1):
             start = end - 1
             while True:
                 token = ending(piece[start:end])
                 if token is None:
                     raise ValueError("the vocabulary does not hold every byte")
-                if token >= 0 and (not start or apart(last[start - 1], token)):
-                    last.append(token)
-                    break
+                if token >= 0:
+                    if not start:
+                        break
+                    left = last[start - 1]
+                    fits = known(left << 32 | token)
+                    if fits or (fits is None and apart(left, token)):
+                        break
                 start -= 1
+            last.append(token)
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -181,7 +186,8 @@ def coder_of(path: str) -> PrefixBPE:
 @lru_cache(maxsize=2)
 def encoder_of(path: str, pattern: str) -> TextEncoder:
     coder = coder_of(path)
-    return TextEncoder(pattern, lambda piece: np.array(coder.encode(piece.encode()), "<u4").tobytes())
+    return TextEncoder(pattern, lambda piece: array("I", coder.encode(piece.encode())).tobytes(),
+                       limit=PIECES)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -13,7 +13,7 @@ and a lost task writes its shards again. A shard has about SHARD_IDS ids, or one
 document; nothing larger is ever in one place.
 
 Defined results: a null or empty text has only the end id; documents with equal ids
-stand next to each other, by text; null ids come first; an empty table gives an empty
+stand next to each other, by length and text; null ids come first; an empty table gives an empty
 file; other columns are ignored.
 """
 
@@ -83,13 +83,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
             break
         made = np.zeros(size, dtype=dtype)
         made[best] = vocabulary + len(rules) + np.arange(len(best))
-        first = made[met]
-        at, new = same[first > 0], first[first > 0]
+        new = made[met]
+        picked = np.flatnonzero(new)
+        at, new = same[picked], new[picked]
         # Of pairs that overlap, the first, third, ... of a run are replaced.
-        starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-        run = np.repeat(at[starts], np.diff(starts, append=len(at)))
-        chosen = (at - run) % 2 == 0
-        at, new = at[chosen], new[chosen]
+        close = np.flatnonzero(at[1:] - at[:-1] == 1) + 1
+        if len(close):
+            starts = np.flatnonzero(np.append(True, close[1:] - close[:-1] > 1))
+            run = np.repeat(close[starts], np.append(starts[1:], len(close)) - starts)
+            taken = close[(close - run) % 2 == 0]
+            at, new = np.delete(at, taken), np.delete(new, taken)
         symbols[at] = new
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
@@ -101,11 +104,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
     return np.delete(symbols, marks), marks - np.arange(len(marks)), rules
 
 
+def _blocks(rules: np.ndarray, vocabulary: int):
+    """(start, stop) of runs of rules that use only symbols made before the run: rounds."""
+    latest = rules.max(axis=1).astype(np.int64) - vocabulary if len(rules) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(rules):
+        later = np.flatnonzero(latest[start:] >= start)
+        stop = start + int(later[0]) if len(later) else len(rules)
+        yield start, stop
+        start = stop
+
+
 def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     """How many ids each rule expands to."""
     lengths = np.ones(vocabulary + len(rules), dtype=np.uint32)
-    for symbol, (left, right) in enumerate(rules.tolist(), vocabulary):
-        lengths[symbol] = lengths[left] + lengths[right]
+    for start, stop in _blocks(rules, vocabulary):
+        lengths[vocabulary + start:vocabulary + stop] = lengths[rules[start:stop]].sum(axis=1)
     return lengths[vocabulary:]
 
 
@@ -117,10 +131,10 @@ class Grammar:
         self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths)[:-1]])
         self.ids = np.zeros(int(self.lengths.sum()), dtype=np.uint32)
         self.ids[:vocabulary] = np.arange(vocabulary)
-        for symbol, (left, right) in enumerate(rules.tolist(), vocabulary):
-            at, n, m = self.starts[symbol], self.lengths[left], self.lengths[right]
-            self.ids[at:at + n] = self.ids[self.starts[left]:self.starts[left] + n]
-            self.ids[at + n:at + n + m] = self.ids[self.starts[right]:self.starts[right] + m]
+        for start, stop in _blocks(rules, vocabulary):
+            made = self.expand(rules[start:stop].ravel())
+            at = self.starts[vocabulary + start]
+            self.ids[at:at + len(made)] = made
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         lengths = self.lengths[symbols]
@@ -138,6 +152,11 @@ class Grammar:
         return self.expand(symbols[low:high])[start - before:stop - before]
 
 
+def symbol_type(vocabulary: int):
+    """Two bytes a symbol if they leave room for a few thousand rules, else four."""
+    return np.uint16 if vocabulary + 4096 < 1 << 16 else np.uint32
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str, pattern: str) -> tuple[TextEncoder, int]:
     """The library's tokenizer, asked once for each piece while the cache holds it.
@@ -147,17 +166,26 @@ def encoder_of(path: str, pattern: str) -> tuple[TextEncoder, int]:
     has to be spelled in the tokenizer's characters for bytes.
     """
     tokenizer = Tokenizer.from_file(path)
-    split, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+    cut, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+    vocabulary, space = tokenizer.get_vocab_size(), BYTE_LETTERS[0x20]
+    kind = np.dtype(symbol_type(vocabulary)).char
+
+    def packed(tokens) -> bytes:
+        return array(kind, [token.id for token in tokens]).tobytes()
 
-    def encode(text: str) -> bytes:
-        word = text[1:] if text[0] == " " else text
-        if word.isalpha():
-            found = tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))
-        else:
-            found = [token for piece, _ in split(text) for token in tokenize(piece)]
-        return array("I", [token.id for token in found]).tobytes()
+    def spelled(word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
 
-    return TextEncoder(pattern, encode, encode), tokenizer.get_vocab_size()
+    def split(text: str) -> bytes:
+        return packed([token for piece, _ in cut(text) for token in tokenize(piece)])
+
+    def encode(match: str) -> bytes:
+        return packed(tokenize(spelled(match))) if match.isalpha() else split(match)
+
+    def spaced(word: str) -> bytes:
+        return packed(tokenize(space + spelled(word)))
+
+    return TextEncoder(pattern, encode, spaced, split), vocabulary
 
 
 def _ids_type(docs: DataFrame, id_col: str) -> str:
@@ -170,23 +198,23 @@ def shards(docs: DataFrame, path: str, pattern: str, end_id: int = 2, id_col: st
     kind = _ids_type(docs, id_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     ordered = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).repartitionByRange(
-        F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
-        F.col("id").asc_nulls_first(), "text")
+        F.col("id").asc_nulls_first(), F.octet_length("text")).sortWithinPartitions(
+        F.col("id").asc_nulls_first(), F.octet_length("text"), "text")
     placed = ordered.select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
         encoder, vocabulary = encoder_of(path, pattern)
-        dtype = np.uint16 if vocabulary + 4096 < 1 << 16 else np.uint32
-        end = np.array([end_id], "<u4").tobytes()
+        dtype = np.dtype(symbol_type(vocabulary))
+        end, width = np.array([end_id], dtype).tobytes(), dtype.itemsize
         state = {"ids": [], "packed": [], "n": 0, "shard": 0, "type": None}
 
         def flush(part: int):
-            lengths = np.array([len(p) // 4 for p in state["packed"]], dtype=np.int64)
-            everything = np.frombuffer(b"".join(state["packed"]), "<u4")
-            symbols, ends, rules = compress(everything, np.cumsum(lengths), vocabulary, dtype)
+            lengths = np.array([len(p) // width for p in state["packed"]], dtype=np.int64)
+            everything = np.frombuffer(b"".join(state["packed"]), dtype)
+            symbols, ends, rules = compress(everything, np.cumsum(lengths), vocabulary, dtype.type)
             row = pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([state["shard"]], pa.int32()),
-                pa.array([vocabulary], pa.int32()), pa.array([np.dtype(dtype).itemsize], pa.int32()),
+                pa.array([vocabulary], pa.int32()), pa.array([width], pa.int32()),
                 pa.array([int(lengths.sum())], pa.int64()),
                 pa.array([state["ids"]], pa.list_(state["type"])),
                 pa.array([lengths], pa.list_(pa.int64())),
@@ -204,11 +232,11 @@ def shards(docs: DataFrame, path: str, pattern: str, end_id: int = 2, id_col: st
             part, state["type"] = batch.column("part")[0].as_py() if len(batch) else part, batch.schema.field("id").type
             for one, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 packed = encoder.encode(text.as_py()) + end
-                if state["n"] and state["n"] + len(packed) // 4 > shard_ids:
+                if state["n"] and state["n"] + len(packed) // width > shard_ids:
                     yield flush(part)
                 state["ids"].append(one)
                 state["packed"].append(packed)
-                state["n"] += len(packed) // 4
+                state["n"] += len(packed) // width
         if state["packed"]:
             yield flush(part)
 
@@ -238,12 +266,11 @@ def files(spark: SparkSession, target: str) -> DataFrame:
     return stored.join(starts, ["part", "shard"])
 
 
-def _shard(row: dict) -> tuple[Grammar, np.ndarray, np.ndarray]:
+def _shard(row: dict) -> tuple[Grammar, np.ndarray]:
     dtype = np.uint16 if row["width"] == 2 else np.uint32
     rules = np.frombuffer(row["rules"], dtype).reshape(-1, 2)
     grammar = Grammar(rules, np.frombuffer(row["rule_lengths"], np.uint32), row["vocabulary"])
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.array(row["doc_symbols"], np.int64))])
-    return grammar, np.frombuffer(row["symbols"], dtype), ends
+    return grammar, np.frombuffer(row["symbols"], dtype)
 
 
 def _decoded(stored: DataFrame, of_ids, out: list[tuple[str, str, pa.DataType]]) -> DataFrame:
@@ -252,16 +279,16 @@ def _decoded(stored: DataFrame, of_ids, out: list[tuple[str, str, pa.DataType]])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                grammar, symbols, _ = _shard(row)
-                counts = np.array(row["doc_ids_count"], np.int64)
+            plain = [n for n in batch.schema.names if n not in ("ids", "doc_ids_count", "doc_symbols")]
+            for k, row in enumerate(batch.select(plain).to_pylist()):
+                grammar, symbols = _shard(row)
+                counts = batch.column("doc_ids_count")[k].values.to_numpy()
                 first = np.cumsum(counts) - counts
                 everything = grammar.expand(symbols)
                 made = [of_ids(everything[a:a + n]) for a, n in zip(first.tolist(), counts.tolist())]
-                starts = row["start"] + first
-                ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64()),
+                    [batch.column("ids")[k].values, pa.array(row["start"] + first, pa.int64()),
+                     pa.array(counts, pa.int64()),
                      *[pa.array([m[k] for m in made], t) for k, (_, _, t) in enumerate(out)]],
                     ["id", "start", "n_tokens", *[name for name, _, _ in out]])
 
@@ -287,7 +314,7 @@ def read_range(spark: SparkSession, target: str, start: int, stop: int) -> DataF
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                grammar, symbols, _ = _shard(row)
+                grammar, symbols = _shard(row)
                 low = max(start, row["start"])
                 ids = grammar.ids_between(symbols, low - row["start"],
                                           min(stop, row["start"] + row["n_ids"]) - row["start"])
