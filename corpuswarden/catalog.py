@@ -205,16 +205,16 @@ ADVICE = {
            "Run them on every change."),
 }
 
-# Names of the ten domains, keyed by the first letter of a check id.
+# Names of the ten domains, keyed by the first letter of a check id.
 DOMAINS = {
-    "S": "Secrets and configuration",
-    "D": "Data and access control",
-    "A": "Authentication and session",
-    "R": "Reliability and the unhappy path",
-    "C": "Cost and performance",
-    "P": "Supply chain",
-    "O": "Observability",
-    "H": "AI rot",
+    "S": "Secrets and settings",
+    "D": "Data access",
+    "A": "Sign-in and sessions",
+    "R": "Failures and their handling",
+    "C": "Cost and speed",
+    "P": "Dependencies",
+    "O": "Logs and monitoring",
+    "H": "Leftover code",
     "X": "Deployment",
     "T": "Tests",
 }

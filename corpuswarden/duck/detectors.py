@@ -7,6 +7,7 @@ from corpuswarden.duck.rules import (
     JS, PY, RULES, ends, is_test, line_of, located, re_hit, rule_findings, strip,
 )
 
+# Suffixes of modules.
 MODULES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py"]
 
 
@@ -27,6 +28,7 @@ code_lines_all AS (
 
 # ---- flags ------------------------------------------------------------------------------
 
+# Markers of platforms and web projects.
 SUPABASE = (f"(rel = 'supabase' OR starts_with(rel, 'supabase/') OR (rel = 'package.json' AND "
             f"contains(lower(text), 'supabase')) OR ({ends(['.sql', '.ts', '.js', '.tsx', '.jsx'])}"
             f" AND " + re_hit("text", r"(?i)supabase|auth\.uid\(\)|auth\.role\(\)|storage\.buckets")
@@ -66,6 +68,7 @@ flags AS (SELECT repo, bool_or({SUPABASE}) AS supabase, bool_or({WEB}) AS web,
   FROM {source} GROUP BY repo)"""
 
 
+# What each missing property is reported as, in words of our own.
 ABSENCE = {
     "no_error_boundary": ("R1", "react AND NOT boundary", "'src'",
                           "rendering errors are caught nowhere"),
@@ -94,6 +97,7 @@ NO_TESTS = f"""SELECT {row('T1', "CASE WHEN script IS NULL THEN '.' ELSE 'packag
 # ---- schema -----------------------------------------------------------------------------
 
 IS_SQL = f"ends_with(lower(rel), '.sql') AND NOT {is_test()}"
+# Statement patterns, managed schemas, column calls.
 SCHEMA = ",".join([
     located("created", "code_files",
             r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?(?:\"?(\w+)\"?\.)?\"?(\w+)\"?\s*\(",
@@ -139,6 +143,7 @@ OPEN_RULES = (f"SELECT {row('D9', 'rel', line_of(LEAD), strip('m'), 'CONFIRMED')
 
 # ---- configuration ----------------------------------------------------------------------
 
+# Secret files, source-map and debug switches, platform settings.
 SECRET = (f"NOT {is_test()} AND ({BASE} IN " + names(
     [".env", ".env.local", ".env.production", "credentials.json", "serviceAccount.json",
      "service-account.json"]) + " OR ends_with(rel, '.pem') OR ends_with(rel, '.key'))")
@@ -186,6 +191,7 @@ SETTINGS = f"""SELECT {row('S5', 'file', 'line', "name || ' is used by the code,
 
 # ---- dependencies -----------------------------------------------------------------------
 
+# Manifests, lockfiles, sections, fields that are no packages.
 MANIFESTS = ["package.json", "requirements.txt", "pyproject.toml", "Pipfile"]
 LOCKS = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "poetry.lock",
          "requirements.lock", "uv.lock", "Pipfile.lock"]
@@ -218,6 +224,7 @@ declared AS (
 IS_MODULE = ends(MODULES)
 STEM = rf"regexp_replace({BASE}, '\.[^.]+$', '')"
 PARENT = "CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END"
+# Leftover suffixes, imports, entry points, comments that look like code, limits.
 LEFTOVER = (r"(?i)[-_. ]?(?:fixed|new|old|final|copy|backup|bak|v\d+|\d+|updated|temp|tmp"
             r"|test2)$")
 BARE = (f"list_reduce(list_prepend({STEM}, list_transform(range(length({STEM})), lambda n: '')), "

@@ -308,9 +308,9 @@ QUERIES = {
     "audit_table": f"""{F}, lead AS (SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY repo ORDER BY severity, check_id, file, line, snippet) AS place
           FROM rated WHERE confidence = 'CONFIRMED' AND severity IN ('P0', 'P1')) WHERE place <= 5),
-        domains AS (SELECT * FROM (VALUES ('S', 'Secrets and configuration'), ('D', 'Data and access control'),
-          ('A', 'Authentication and session'), ('R', 'Reliability and the unhappy path'), ('C', 'Cost and performance'),
-          ('P', 'Supply chain'), ('O', 'Observability'), ('H', 'AI rot'), ('X', 'Deployment'), ('T', 'Tests')) t(d, section))
+        domains AS (SELECT * FROM (VALUES ('S', 'Secrets and settings'), ('D', 'Data access'),
+          ('A', 'Sign-in and sessions'), ('R', 'Failures and their handling'), ('C', 'Cost and speed'),
+          ('P', 'Dependencies'), ('O', 'Logs and monitoring'), ('H', 'Leftover code'), ('X', 'Deployment'), ('T', 'Tests')) t(d, section))
         SELECT 1 AS part, 'Blocking' AS section, repo, check_id, file, line, snippet FROM lead
         UNION ALL SELECT 2, section, r.repo, r.check_id, r.file, r.line, r.snippet
           FROM rated r JOIN domains ON d = left(r.check_id, 1)

@@ -48,6 +48,7 @@ def verdict(findings: DataFrame, repos: DataFrame, confirmed_only: bool = True)
     if confirmed_only:
         findings = findings.where("confidence = 'CONFIRMED'")
     worst = findings.groupBy("repo").agg(F.min(severity_of()).alias("worst"))
+    # The three verdicts.
     said = (F.when(F.col("worst") == "P0", "DO NOT SHIP")
             .when(F.col("worst") == "P1", "SHIP WITH CAUTION").otherwise("CLEAR"))
     return repos.select("repo").join(worst, "repo", "left").select("repo", said.alias("verdict"))

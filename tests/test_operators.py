@@ -201,7 +201,7 @@ def test_blocking_and_sections(findings):
     assert len(top) == 5 and {r.more for r in top} == {2}
     table = fnd.audit_table(f).groupBy("part", "section").count().collect()
     assert {(r.part, r.section, r["count"]) for r in table} == {
-        (1, "Blocking", 5), (2, "Secrets and configuration", 2), (2, "Tests", 1), (3, "Suspected", 1)}
+        (1, "Blocking", 5), (2, "Secrets and settings", 2), (2, "Tests", 1), (3, "Suspected", 1)}
     assert fnd.finding_order(f).first().severity == "P0"
 
 
