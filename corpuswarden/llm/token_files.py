@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
+from corpuswarden.llm.common import sized
 from corpuswarden.llm.pieces import TextEncoder
 
 SHARD_IDS = 1 << 20
+BROADCAST_SHARDS = 500_000  # starts of shards, 16 bytes each, that are broadcast at most
 ROUNDS = 8
 LEAST_COUNT = 12        # a pair that occurs less often gets no rule
 RULES_A_ROUND = 4096
@@ -254,7 +256,8 @@ def files(spark: SparkSession, target: str) -> DataFrame:
     """The shards with `start`, the ids before each.
 
     Totals go through one window per part, and one over the parts, of which there are as
-    many as tasks that wrote.
+    many as tasks that wrote. They are sent to the shards, which stay where they are, as
+    long as there are few enough of them.
     """
     stored = spark.read.parquet(target)
     sizes = stored.select("part", "shard", "n_ids")
@@ -263,7 +266,7 @@ def files(spark: SparkSession, target: str) -> DataFrame:
     within = Window.partitionBy("part").orderBy("shard")
     starts = sizes.withColumn("before", F.sum("n_ids").over(within) - F.col("n_ids")).join(
         parts, "part").select("part", "shard", (F.col("before") + F.col("before_part")).alias("start"))
-    return stored.join(starts, ["part", "shard"])
+    return stored.join(sized(starts, BROADCAST_SHARDS)[0], ["part", "shard"])
 
 
 def _shard(row: dict) -> tuple[Grammar, np.ndarray]:
