@@ -72,6 +72,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
         pairs <<= wide(shift)
         pairs |= symbols[1:]
         cells = (pairs * wide(factor) >> wide(2 * shift - HASH_BITS)).astype(np.intp)
+        # Only cells that are full enough can hold a frequent pair.
+        near = np.flatnonzero((np.bincount(cells, minlength=size) >= LEAST_COUNT)[cells])
+        pairs, cells = pairs[near], cells[near]
         kept = np.zeros(size, dtype=wide)
         kept[cells] = pairs
         same = np.flatnonzero(kept[cells] == pairs)
@@ -87,7 +90,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, dtype=np.uint16
         made[best] = vocabulary + len(rules) + np.arange(len(best))
         new = made[met]
         picked = np.flatnonzero(new)
-        at, new = same[picked], new[picked]
+        at, new = near[same[picked]], new[picked]
         # Of pairs that overlap, the first, third, ... of a run are replaced.
         close = np.flatnonzero(at[1:] - at[:-1] == 1) + 1
         if len(close):
