@@ -51,15 +51,25 @@ PROBES = (
 CONFIRMED_LOCAL = ("S6", "D9", "P5")
 
 
-def corpus_facts(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """Every probe's evidence, written once and partitioned by kind.
+# What coverage notes and stack tags need.
+COVERAGE_PROBES = (
+    root_texts_probe,
+    schema_checks.sql_probe,
+    project_checks.flag_probe,
+    dependency_checks.broken_lock_probe,
+    tree.stack_probe,
+)
+
+
+def corpus_facts(files: DataFrame, paths: DataFrame | None = None, probes=PROBES) -> DataFrame:
+    """The probes' evidence, written once and partitioned by kind.
 
     `paths` is every (repo, rel) there is; those that are not ignored count as present
     whether or not their text is among `files`. Without it the files are all there is.
     """
     listed = tree.path_ignore(files if paths is None else paths)
     named = extract(listed.selectExpr("repo", "rel", "'' as text"), *PATH_PROBES)
-    return write_once(extract(files, *PROBES).unionByName(named), partition_by="kind")
+    return write_once(extract(files, *probes).unionByName(named), partition_by="kind")
 
 
 def findings_all(files: DataFrame, paths: DataFrame, facts: DataFrame | None = None,

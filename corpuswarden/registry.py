@@ -107,7 +107,7 @@ def coverage_summary(spark, sf_dir):
     paths, listed = raw.select("repo", "rel"), tree.path_ignore(raw)
     limits = (tree.USUAL_MAX_BYTES, tree.USUAL_SNIFF_BYTES)
     files = tree.ingest_files(listed, *limits)
-    facts = audit.corpus_facts(files, paths)
+    facts = audit.corpus_facts(files, paths, audit.COVERAGE_PROBES)
     return _joined(tree.coverage_summary(
         files.select("repo"), tree.skipped_files(listed, *limits),
         audit.coverage_notes(facts, paths, src.audit_commits(spark, sf_dir)),
