@@ -32,7 +32,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), target,
-                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                      added_tokens=True)
     return token_files.report(spark, target)
 
 

@@ -162,13 +162,27 @@ def symbol_type(vocabulary: int):
     return np.uint16 if vocabulary + 4096 < 1 << 16 else np.uint32
 
 
+class AddedTokens:
+    """Encodes texts that hold an added token by the library itself, all others by `plain`."""
+
+    def __init__(self, tokenizer: Tokenizer, plain: TextEncoder, kind: str):
+        self.tokenizer, self.plain, self.kind = tokenizer, plain, kind
+        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.plain.encode(text)
+
+
 @lru_cache(maxsize=2)
-def encoder_of(path: str, pattern: str) -> tuple[TextEncoder, int]:
+def encoder_of(path: str, pattern: str, added_tokens: bool = False) -> tuple[TextEncoder | AddedTokens, int]:
     """The library's tokenizer, asked once for each piece while the cache holds it.
 
     Its splitter and its model are called directly, as `encode` does, but without the
     offsets and masks that `encode` makes. A word of letters is one piece, which only
-    has to be spelled in the tokenizer's characters for bytes.
+    has to be spelled in the tokenizer's characters for bytes. With `added_tokens` the
+    ids are those of `encode` as the library has it by default.
     """
     tokenizer = Tokenizer.from_file(path)
     cut, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
@@ -190,7 +204,8 @@ def encoder_of(path: str, pattern: str) -> tuple[TextEncoder, int]:
     def spaced(word: str) -> bytes:
         return packed(tokenize(space + spelled(word)))
 
-    return TextEncoder(pattern, encode, spaced, split), vocabulary
+    plain = TextEncoder(pattern, encode, spaced, split)
+    return AddedTokens(tokenizer, plain, kind) if added_tokens else plain, vocabulary
 
 
 def _ids_type(docs: DataFrame, id_col: str) -> str:
@@ -198,8 +213,12 @@ def _ids_type(docs: DataFrame, id_col: str) -> str:
 
 
 def shards(docs: DataFrame, path: str, pattern: str, end_id: int = 2, id_col: str = "doc_id",
-           text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
-    """One row per shard, in the order of (part, shard)."""
+           text_col: str = "text", shard_ids: int = SHARD_IDS, added_tokens: bool = False) -> DataFrame:
+    """One row per shard, in the order of (part, shard).
+
+    The strings of the tokenizer's added tokens are plain text, or with `added_tokens`
+    the tokens themselves, as the library's `encode` takes them by default.
+    """
     kind = _ids_type(docs, id_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     ordered = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).repartitionByRange(
@@ -208,7 +227,7 @@ def shards(docs: DataFrame, path: str, pattern: str, end_id: int = 2, id_col: st
     placed = ordered.select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
-        encoder, vocabulary = encoder_of(path, pattern)
+        encoder, vocabulary = encoder_of(path, pattern, added_tokens)
         dtype = np.dtype(symbol_type(vocabulary))
         end, width = np.array([end_id], dtype).tobytes(), dtype.itemsize
         state = {"ids": [], "packed": [], "n": 0, "shard": 0, "type": None}

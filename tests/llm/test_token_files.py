@@ -73,3 +73,19 @@ def test_repeated_and_null_ids_and_empty_table(spark, docs_of, tmp_path):
     assert [(r.doc_id, r.start) for r in rows] == [(None, 0), (1, 2), (1, 4), (1, 6)]
     tf.write(docs_of([]), f"file://{tmp_path}/b", PATH, PATTERN)
     assert tf.report(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_added_tokens_as_the_library_has_them_by_default(spark, docs_of, tmp_path, monkeypatch):
+    from corpuswarden.llm import queries
+
+    held = texts() + ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext|"]
+    folder = str(tmp_path)
+    docs_of(held).write.parquet(f"file://{folder}/documents.parquet")
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: f"file://{folder}/shared")
+    rows = {r.doc_id: r for r in queries.op4_token_files(spark, f"file://{folder}").collect()}
+    library, at = Tokenizer.from_file(PATH), 0
+    for k, text in enumerate(held):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (rows[k].start, rows[k].n_tokens) == (at, len(ids)), text
+        assert rows[k].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()), text
+        at += len(ids)
