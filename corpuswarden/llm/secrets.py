@@ -2,9 +2,11 @@
 
 Candidates are runs of key characters of at least a window's length. A window slides over
 a candidate and its Shannon entropy is kept by incremental counts: a character that
-enters or leaves changes one term of the sum. Windows over the threshold of the
-candidate's character class are merged to a span. An allow-list suppresses candidates
-that are known not to be secrets.
+enters or leaves changes one term of the sum. Windows over the threshold of their
+character class are merged to a span: a class with fewer characters can reach less
+entropy and has a lower one. The class of a window inside a piece between separators is
+its own, so what stands before a key changes nothing. An allow-list suppresses
+candidates that are known not to be secrets.
 
 A batch of texts is scanned as one byte array, so texts without a keyword or a candidate
 cost no work per row. Rows are independent: nothing is shuffled.
@@ -40,8 +42,10 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 WINDOW = 24
-# Least bits a character of a window, by the class of its candidate.
+# Least bits a character of a window, by its class. Of random windows 99.5 % of hex digits
+# of one case, 99.8 % of letters of one case with digits and 95.7 % of base64 reach them.
 HEX_BITS = 3.0
+CASE_BITS = 3.5
 MIXED_BITS = 4.0
 MASK = "[REDACTED]"
 
@@ -65,6 +69,13 @@ ALPHABETS = (b"abcdefghijklmnopqrstuvwxyz0123456789", b"0123456789abcdefghijklmn
              b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
              b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789abcdef0123456789abcdef")
 IS_HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
+PIECE = re.compile(rb"[A-Za-z0-9]{%d,}" % WINDOW)
+WORD = re.compile(rb"[A-Za-z]+[0-9]{0,4}")
+# The kind of each key character: digit, a-f, g-z, A-F, G-Z, separator.
+DIGIT, LOW_HEX, LOW, HIGH_HEX, HIGH, SEPARATOR = range(6)
+CHARACTER = bytes(
+    DIGIT if b in b"0123456789" else LOW_HEX if b in b"abcdef" else HIGH_HEX if b in b"ABCDEF"
+    else LOW if chr(b).islower() else HIGH if chr(b).isupper() else SEPARATOR for b in range(256))
 
 SLICE_BYTES = 4 << 20  # text scanned at a time
 
@@ -74,28 +85,49 @@ def allowed(candidate: bytes) -> bool:
 
 
 def entropy_spans(candidate: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged (start, end) of the windows whose entropy reaches the class's threshold."""
+    """Merged (start, end) of the windows whose entropy reaches the threshold of their class."""
     if len(candidate) < window or allowed(candidate):
         return []
-    bits = HEX_BITS if IS_HEX.fullmatch(candidate) else MIXED_BITS
+    whole = bool(IS_HEX.fullmatch(candidate))
+    found = _windows(candidate, window, HEX_BITS if whole else MIXED_BITS, False)
+    for m in () if whole else PIECE.finditer(candidate):
+        piece = m.group()
+        if not (WORD.fullmatch(piece) or piece.isdigit() or allowed(piece)):
+            bits = HEX_BITS if IS_HEX.fullmatch(piece) else MIXED_BITS
+            found += [m.start() + at for at in _windows(piece, window, bits, True)]
+    spans: list[tuple[int, int]] = []
+    for start in sorted(found):
+        if spans and start <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], start + window)
+        else:
+            spans.append((start, start + window))
+    return spans
+
+
+def _windows(text: bytes, window: int, bits: float, own: bool) -> list[int]:
+    """Starts of the windows of at least `bits`; with `own`, or of what their own class asks for."""
     # Entropy is log2(window) - sum(c * log2(c)) / window; `weight` is c * log2(c) by count.
     weight = [0.0] + [c * log2(c) for c in range(1, window + 1)]
-    most = (log2(window) - bits) * window + 1e-9
-    counts, total, spans = [0] * 256, 0.0, []
-    for at, byte in enumerate(candidate):
+    most, most_case, most_hex = ((log2(window) - b) * window + 1e-9 for b in (bits, CASE_BITS, HEX_BITS))
+    counts, total, found, last = [0] * 256, 0.0, [], [-1] * 6
+    for at, byte in enumerate(text):
         counts[byte] += 1
         total += weight[counts[byte]] - weight[counts[byte] - 1]
+        last[CHARACTER[byte]] = at
         if at >= window:
-            old = candidate[at - window]
+            old = text[at - window]
             counts[old] -= 1
             total += weight[counts[old]] - weight[counts[old] + 1]
-        if at >= window - 1 and total <= most:
-            start = at - window + 1
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], at + 1)
-            else:
-                spans.append((start, at + 1))
-    return spans
+        start = at - window + 1
+        if start < 0 or total > most_hex:
+            continue
+        if total <= most:
+            found.append(start)
+        elif own and last[DIGIT] >= start:
+            lower, upper = max(last[LOW_HEX], last[LOW]) >= start, max(last[HIGH_HEX], last[HIGH]) >= start
+            if lower != upper and (total <= most_case or max(last[LOW], last[HIGH]) < start):
+                found.append(start)
+    return found
 
 
 def _batch(texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:

@@ -89,3 +89,27 @@ def test_allow_list_is_linear():
 def test_repeated_rows_and_empty_table(docs_of):
     assert sc.scan(docs_of([(1, TEXTS[3]), (1, TEXTS[3]), (None, TEXTS[3])])).count() == 3
     assert sc.scan(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize("prefix", ["", "x-", "sig=", "id_", "a/b+", "0x", "Key9="])
+@pytest.mark.parametrize("alphabet,least", [
+    ("0123456789abcdef", 24), ("0123456789ABCDEF", 24), ("0123456789ABCDEF", 64),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 24), ("abcdefghijklmnopqrstuvwxyz0123456789", 40),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 32),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40)])
+def test_keys_of_every_class_are_found_behind_a_prefix(prefix, alphabet, least):
+    rng, found, trials = random.Random(8), 0, 300
+    for _ in range(trials):
+        key = "".join(rng.choice(alphabet) for _ in range(least))
+        spans = sc.entropy_spans((prefix + key).encode())
+        inside = {x for a, b in spans for x in range(a, b)}
+        # Almost all of the key, as a window at its edge may be one that falls short.
+        covered = sum(x in inside for x in range(len(prefix), len(prefix) + least))
+        found += covered >= 0.9 * least
+    assert found >= (0.9 if len(alphabet) == 62 else 0.95) * trials
+
+
+def test_names_and_numbers_behind_a_prefix_are_no_keys():
+    for name in [b"x-550e8400-e29b-41d4-a716-446655440000", b"id=1234567890123456789012345678901",
+                 b"x9_/donaudampfschifffahrtsgesellschaft12", b"n-123456789012345678901234567"]:
+        assert sc.entropy_spans(name) == [], name
