@@ -2,9 +2,10 @@
 
 Every k-gram of a text is probed against the k-grams of the templates. A match at
 position p with template offset o votes for diagonal p - o. Votes are summed per
-(document, template, diagonal); diagonals close to each other are merged, so that a
-few added or missing words don't split a notice; a merged span counts if it holds
-enough of its template. The base phrases are templates whose 2-grams must all stand on
+(document, template, diagonal); neighbours in the order of diagonals that are close to
+each other are merged, so that a few added or missing words don't split a notice, nor do
+the far diagonals of grams it repeats; a merged span counts if it holds enough of its
+template. The base phrases are templates whose 2-grams must all stand on
 one diagonal.
 
 The templates are constants, so their k-grams (a few hundred rows) are broadcast. Only
@@ -126,15 +127,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.count("*").alias("rows"), F.max("total").alias("total"),
         F.min("pos").alias("low"), F.max("pos").alias("high"),
         F.collect_set("offset").alias("offsets"))
-    key = Window.partitionBy("id", "digest", "template").orderBy("low", "diagonal")
     is_base = F.col("template").startswith("phrase ")
-    apart = (
-        is_base | F.lag("diagonal").over(key).isNull()
-        | (F.abs(F.col("diagonal") - F.lag("diagonal").over(key)) > MAX_SHIFT)
-        | (F.col("low") > F.max("high").over(key.rowsBetween(Window.unboundedPreceding, -1))
-           + MAX_GAP))
-    clusters = diagonals.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
-        "cluster", F.sum("apart").over(key)).groupBy("id", "digest", "template", "cluster").agg(
+    in_order = Window.partitionBy("id", "digest", "template").orderBy("diagonal")
+    far = is_base | (F.col("diagonal") - F.lag("diagonal").over(in_order) > MAX_SHIFT)
+    bands = diagonals.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn(
+        "band", F.sum("far").over(in_order))
+    key = Window.partitionBy("id", "digest", "template", "band").orderBy("low", "diagonal")
+    apart = F.col("low") > F.max("high").over(key.rowsBetween(Window.unboundedPreceding, -1)) + MAX_GAP
+    clusters = bands.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+        "cluster", F.sum("apart").over(key)).groupBy("id", "digest", "template", "band", "cluster").agg(
         F.max("rows").alias("rows"), F.max("total").alias("total"),
         F.min("low").alias("low"), F.max("high").alias("high"),
         F.size(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("matched"))

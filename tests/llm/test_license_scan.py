@@ -47,3 +47,24 @@ def test_repeated_rows_clashes_and_empty_table(spark, docs_of):
 def test_plan_is_native(docs_of):
     plan = ls.report(docs_of(["x"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_every_notice_survives_a_word_added_or_removed_anywhere(docs_of):
+    cases = []
+    for label, text in ls.NOTICES:
+        words = text.split()
+        grams = len(words) - ls.NOTICE_K + 1
+        for at in range(1, len(words)):
+            split = sum(o < at < o + ls.NOTICE_K for o in range(grams))
+            cases.append((label, words[:at] + ["zzz"] + words[at:], (grams - split) / grams))
+        for at in range(len(words)):
+            gone = sum(o <= at < o + ls.NOTICE_K for o in range(grams))
+            cases.append((label, words[:at] + words[at + 1:], (grams - gone) / grams))
+    rows = {r.id: r for r in ls.scan(docs_of(["xx yy " + " ".join(w) + " xx" for _, w, _ in cases])).collect()}
+    lost = []
+    for k, (label, words, least) in enumerate(cases):
+        found = [s.coverage for s in rows[k].spans if s.label == label]
+        if least >= ls.MIN_COVERAGE and not (len(found) == 1 and found[0] >= least - 1e-9):
+            lost.append((label, " ".join(words), least, found))
+    assert not lost, (len(lost), lost[:3])
+    assert sum(least >= ls.MIN_COVERAGE for _, _, least in cases) > 250
