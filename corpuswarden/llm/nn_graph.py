@@ -11,8 +11,9 @@ Search: a query keeps its nearest `beam` nodes seen so far; the unexpanded ones
 expanded together by a join with the graph, until all are expanded.
 
 Every step is a join or a bounded top list per key, on durable tables of ids, distances
-and vectors. Building compares vectors in half precision; search uses the original
-ones in double precision. Equal vectors are one node, so groups of copies cost nothing
+and vectors. Building compares vectors kept in single precision, in units of the median
+of their greatest components, so that a few far vectors don't cost the others their
+precision; search uses the original ones in double precision. Equal vectors are one node, so groups of copies cost nothing
 and are found by their smallest ids.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold
@@ -42,6 +43,7 @@ BEAM = 400
 CELL_SAMPLE = 4096  # vectors that set the borders of the random cells, at most
 PIVOTS = 256        # nodes that queries without a start begin from
 BROADCAST_QUERIES = 50_000
+FARTHEST = 1e30     # components are kept up to here for building, in units of the median
 SEED = 11
 
 
@@ -62,7 +64,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 class Index:
-    """nodes (id, vec, ids, half) and graph (id, near): `ids` are the smallest ids that share a vector."""
+    """nodes (id, vec, ids, single) and graph (id, near): `ids` are the smallest ids that share a vector."""
 
     def __init__(self, nodes: DataFrame, graph: DataFrame, keep: int):
         self.nodes, self.graph, self.keep = nodes, graph, keep
@@ -76,13 +78,16 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(
         F.col("n") <= keep)
     grouped = ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    scale = grouped.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).first()[0] or 1.0
+    greatest = F.array_max(F.transform("vec", lambda x: F.abs(x))).cast("double")
+    scale = grouped.agg(F.percentile_approx(greatest, 0.5)).first()[0] or 1.0
 
     @F.pandas_udf(T.BinaryType())
-    def half(vecs: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(v) / scale).astype(np.float16).tobytes() for v in vecs])
+    def single(vecs: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return pd.Series([np.clip(np.asarray(v, np.float64) / scale, -FARTHEST, FARTHEST).astype(
+                np.float32).tobytes() for v in vecs])
 
-    nodes = durable(grouped.select(F.col("ids")[0].alias("id"), "vec", "ids", half("vec").alias("half")))
+    nodes = durable(grouped.select(F.col("ids")[0].alias("id"), "vec", "ids", single("vec").alias("single")))
     n = nodes.count()
     edges = _top(_cells(nodes, n, min(FIRST, degree)).withColumn("new", F.lit(True)), degree)
     edges = durable(edges)
@@ -110,9 +115,10 @@ def _reverse(edges: DataFrame, most: int) -> DataFrame:
 
 def _pairs(column: str, kind: T.DataType, least_new: bool, first: int):
     """A function for mapInArrow: compares the members of each group in `column`."""
-    def nearest(halves: np.ndarray) -> np.ndarray:
-        own = (halves * halves).sum(axis=1)
-        d = own[:, None] + own[None, :] - 2 * halves @ halves.T
+    def nearest(singles: np.ndarray) -> np.ndarray:
+        vecs = singles.astype(np.float64)
+        own = (vecs * vecs).sum(axis=1)
+        d = own[:, None] + own[None, :] - 2 * vecs @ vecs.T
         np.fill_diagonal(d, np.inf)
         return np.maximum(d, 0)
 
@@ -122,9 +128,9 @@ def _pairs(column: str, kind: T.DataType, least_new: bool, first: int):
             a, b, far = [], [], []
             members = groups.flatten()
             ids = np.asarray(members.field("id"))
-            raw = members.field("half")
-            vecs = np.frombuffer(b"".join(raw.to_pylist()), np.float16).reshape(
-                len(ids), -1).astype(np.float32) if len(ids) else np.zeros((0, 1), np.float32)
+            raw = members.field("single")
+            vecs = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(
+                len(ids), -1) if len(ids) else np.zeros((0, 1), np.float32)
             ends = np.append(0, np.cumsum([len(g) for g in groups]))
             if least_new:
                 new = np.asarray(members.field("new").to_numpy(zero_copy_only=False), bool)
@@ -160,27 +166,27 @@ def _cells(nodes: DataFrame, n: int, first: int) -> DataFrame:
     the median of a bounded sample. Cells larger than a block are dealt to blocks by hash.
     """
     bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(CELL_SAMPLE).select("half").collect()
+    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(CELL_SAMPLE).select("single").collect()
     if not sample:
         return nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d")).limit(0)
-    known = np.stack([np.frombuffer(row["half"], np.float16).astype(np.float32) for row in sample])
+    known = np.stack([np.frombuffer(row["single"], np.float32) for row in sample])
     directions = np.random.default_rng(SEED).normal(size=(known.shape[1], TREES * max(1, bits))).astype(np.float32)
     borders = np.median(known @ directions, axis=0)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def cells(halves: pd.Series) -> pd.Series:
-        x = np.stack([np.frombuffer(h, np.float16) for h in halves]).astype(np.float32)
+    def cells(singles: pd.Series) -> pd.Series:
+        x = np.stack([np.frombuffer(v, np.float32) for v in singles])
         above = (x @ directions > borders).reshape(len(x), TREES, -1)
         codes = (above * (1 << np.arange(above.shape[2]))).sum(axis=2) if bits else np.zeros((len(x), TREES), int)
         return pd.Series(list(codes.astype(np.int64)))
 
-    placed = durable(nodes.select("id", "half", F.posexplode(cells("half")).alias("tree", "cell")))
+    placed = durable(nodes.select("id", "single", F.posexplode(cells("single")).alias("tree", "cell")))
     sizes = placed.groupBy("tree", "cell").count()
     blocks = F.ceil(F.col("count") / BLOCK)
     dealt = placed.join(sizes, ["tree", "cell"]).withColumn(
         "block", F.pmod(F.xxhash64("id", "tree"), blocks))
     groups = dealt.groupBy("tree", "cell", "block").agg(
-        F.collect_list(F.struct("id", "half")).alias("members")).select("members")
+        F.collect_list(F.struct("id", "single")).alias("members")).select("members")
     run, schema = _pairs("members", nodes.schema["id"].dataType, False, first)
     return groups.mapInArrow(run, schema)
 
@@ -188,13 +194,13 @@ def _cells(nodes: DataFrame, n: int, first: int) -> DataFrame:
 def _round(nodes: DataFrame, edges: DataFrame, degree: int) -> DataFrame:
     """Edges after comparing the neighbours of every node with each other."""
     limits = edges.groupBy("a").agg(F.max("d").alias("limit"), F.count("*").alias("n"))
-    known = nodes.join(limits, nodes["id"] == limits["a"], "left").select("id", "half", F.when(
+    known = nodes.join(limits, nodes["id"] == limits["a"], "left").select("id", "single", F.when(
         F.col("n") >= degree, F.col("limit")).otherwise(F.lit(float("inf"))).alias("limit"))
     around = edges.select(F.col("a").alias("center"), F.col("b").alias("id"), "new").union(
         _reverse(edges, REVERSE).select("b", "a", "new")).groupBy("center", "id").agg(
         F.max("new").alias("new"))
     groups = around.join(known, "id").groupBy("center").agg(F.collect_list(
-        F.struct("id", "half", "limit", "new")).alias("members")).where(
+        F.struct("id", "single", "limit", "new")).alias("members")).where(
         F.exists("members", lambda m: m["new"])).select("members")
     run, schema = _pairs("members", nodes.schema["id"].dataType, True, 0)
     # A pair is often found around several centres; each task keeps it once before the shuffle.

@@ -93,3 +93,13 @@ def test_degrees_are_bounded(spark):
     graph = nn.build(spark.createDataFrame(rows, SCHEMA)).graph
     most = graph.agg(F.max(F.size("near"))).first()[0]
     assert most <= nn.DEGREE + 2 * nn.REVERSE
+
+
+@pytest.mark.parametrize("far", [1e8, 3e38])
+def test_recall_beside_a_far_row(spark, far):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(size=16)], 0) for k in range(2500)]
+    rows.append((9001, [far] + [1.0] * 15, 0))
+    got, want = run(spark, rows), brute(rows)
+    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hits >= 0.9 * 10 * len(want)
