@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuswarden.llm import (
-    chunk_dedup, decontaminate, fill_middle, license_scan, nn_graph, prefix_bpe, quality, secrets,
-    simhash, token_files, toxicity, url_filter)
+    chunk_dedup, decontaminate, fill_middle, license_scan, nn_graph, prefix_bpe, prefix_trie, quality,
+    secrets, simhash, token_files, toxicity, url_filter)
 from corpuswarden.session import shared_dir
 
 
@@ -63,6 +63,10 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(table(spark, sf_dir, "pages"))
 
@@ -73,7 +77,9 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in (
     op1_decontamination, op2_toxicity, op3_license_scan, op4_token_files, op5_chunk_dedup, op6_quality,
-    op7_neighbours, op8_simhash, op9_secrets, op10_prefix_bpe, op12_url_filter, op13_fill_middle)}
+    op7_neighbours, op8_simhash, op9_secrets, op10_prefix_bpe, op11_prefix_trie, op12_url_filter,
+    op13_fill_middle)}
 
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": license_scan.ORACLE,
-           "op12_url_filter": url_filter.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+           "op11_prefix_trie": prefix_trie.ORACLE, "op12_url_filter": url_filter.ORACLE,
+           "op13_fill_middle": fill_middle.ORACLE}

@@ -28,7 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuswarden.llm.common import ascii_lower, durable
+from corpuswarden.llm.common import ascii_lower
+from corpuswarden.session import write_once
 
 ORDER = 4  # characters of the longest context
 BROADCAST_GRAMS = 1_000_000  # grams of five characters and a number each
@@ -87,7 +88,7 @@ def model(urls: DataFrame, order: int = ORDER) -> DataFrame:
     `urls` is (url, yes, no): how often a url counts as accepted and as rejected.
     """
     sums = [F.sum("yes").alias("yes"), F.sum("no").alias("no")]
-    longest = durable(_grams(urls, order).groupBy("gram").agg(*sums))
+    longest = write_once(_grams(urls, order).groupBy("gram").agg(*sums))
     below = None
     for k in range(order + 1):
         last = F.substr("gram", F.lit(order + 1 - k))
@@ -154,16 +155,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, order: int = O
     seen = rows.groupBy("url").agg(F.count(F.lit(1)).alias("copies")).withColumn(
         "rule", rule_of(host, path, rules))
     said = _pick(F.col("rule"), [verdict for verdict, _ in rules])
-    seen = durable(seen.select("url", *[
+    seen = write_once(seen.select("url", *[
         F.when(said == word, F.col("copies")).otherwise(0).alias(side)
         for side, word in (("yes", "allow"), ("no", "block"))], _fold(F.col("url")).alias("kept")))
     learned = [F.when(F.col("kept"), 0).otherwise(F.col(side)).alias(side) for side in ("yes", "no")]
-    gains = durable(model(seen.select("url", *learned), order))
+    gains = write_once(model(seen.select("url", *learned), order))
     if gains.count() <= BROADCAST_GRAMS:
         gains = F.broadcast(gains)
     summed = _grams(seen.select("url"), order).join(gains, "gram").groupBy("url").agg(
         F.sum("gain").alias("gain"))
-    scores = durable(summed.select("url", _bin(
+    scores = write_once(summed.select("url", _bin(
         F.col("gain") / 1e6 / (F.length("url") + 1)).alias("score")))
     held = seen.where("kept and (yes > 0 or no > 0)").join(scores, "url")
     least = threshold(held.select(F.col("score").alias("bin"), "yes", "no"))
