@@ -61,6 +61,13 @@ ALL = f"""{CODE}, {DOCS}, {PAGES},
 all_files AS (SELECT * FROM code_files UNION ALL SELECT * FROM doc_files
               UNION ALL SELECT * FROM page_files)"""
 
+# All files and the line items as files.
+LARGE = ALL + """,
+line_files AS (SELECT DISTINCT unnest(['status_' || l_linestatus, 'flag_' || l_returnflag]) AS repo,
+  'src/' || l_orderkey || '/' || l_partkey || '.' || l_linenumber || '.ts' AS rel,
+  'export const n = ' || l_linenumber AS text FROM lineitem),
+large_files AS (SELECT * FROM all_files UNION ALL SELECT * FROM line_files)"""
+
 # All files under the name by which the checks read them.
 EVERY = ALL.replace("code_files", "code_part") + """,
 code_files AS (SELECT * FROM all_files)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpuswarden.catalog import ADVICE, CHECKS
 from corpuswarden.sources import corpora as src
-from corpuswarden.duck.corpora import ALL, DOCS, EVERY, _fill, _pick, lit
+from corpuswarden.duck.corpora import ALL, DOCS, EVERY, LARGE, _fill, _pick, lit
 from corpuswarden.duck.detectors import LINES, REPO_OF_ORDER, flags, names, whole_audit
 from corpuswarden.duck.rules import (
     CREDENTIAL, CODECFG, DOCS as DOC_SUFFIXES, EXAMPLE, JS, PY, ROLE, RULES, SERVER, TP, VARIABLE,
@@ -75,8 +75,10 @@ FROM {repos} LEFT JOIN (SELECT repo, count(id) AS n, bool_or(shallow) AS shallow
 WHERE n IS NULL OR (n = 1 AND NOT shallow)"""
 
 
-HISTORY = """SELECT 'h' || o_custkey AS repo, CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE o_orderkey END AS id,
-  o_custkey % 10 = 0 AS shallow FROM orders"""
+HISTORY = """SELECT kind || n AS repo, CASE WHEN n % 23 = 0 THEN NULL ELSE id END AS id, n % 10 = 0 AS shallow
+  FROM (SELECT 'h' AS kind, o_custkey AS n, o_orderkey AS id FROM orders
+        UNION ALL SELECT 'k', l_orderkey, l_partkey FROM lineitem)"""
+HISTORY_REPOS = """(SELECT 'h' || c_custkey AS repo FROM customer UNION SELECT 'k' || o_orderkey FROM orders)"""
 EVENT_CHECK = _pick(src.EVENT_CHECKS, f"(event_id * 5 + user_id) % {len(src.EVENT_CHECKS)}")
 
 
@@ -149,10 +151,10 @@ QUERIES = {
     "skipped_files": f"WITH {RAW} SELECT repo, rel, reason FROM classed WHERE reason IS NOT NULL",
     "path_ignore": f"WITH {RAW} SELECT repo, rel, length::INTEGER AS length FROM raw WHERE NOT {IGNORED}",
     "path_is_test": f"WITH {ALL} SELECT repo, rel, {is_test()} AS is_test FROM all_files",
-    "file_cap": f"""WITH {ALL} SELECT repo, rel, text FROM (
-        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM all_files) WHERE k <= 20000""",
-    "cap_notes": f"""WITH {ALL} SELECT repo, 'only the first 20000 of ' || count(*) || ' files were scanned' AS note
-        FROM all_files GROUP BY repo HAVING count(*) > 20000""",
+    "file_cap": f"""WITH {LARGE} SELECT repo, rel, text FROM (
+        SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rel) AS k FROM large_files) WHERE k <= 20000""",
+    "cap_notes": f"""WITH {LARGE} SELECT repo, 'only the first 20000 of ' || count(*) || ' files were scanned' AS note
+        FROM large_files GROUP BY repo HAVING count(*) > 20000""",
     "stack_tags": f"""WITH {EVERY}, {TAGGED}
       SELECT repo, coalesce(string_agg(tag, '; ' ORDER BY tag), '') AS stack
       FROM (SELECT DISTINCT repo FROM code_files) LEFT JOIN tagged USING (repo) GROUP BY repo""",
@@ -254,14 +256,14 @@ QUERIES = {
               FROM deps, (SELECT unnest([{POPULAR[1:-1]}]) AS popular)
               WHERE damerau_levenshtein(name, popular) = 1 GROUP BY ALL)
         WHERE (ecosystem || '|' || name) IN (SELECT ecosystem || '|' || name FROM registry)""",
-    "history_depth": history_finding("(SELECT DISTINCT 'h' || c_custkey AS repo FROM customer)", HISTORY),
+    "history_depth": history_finding(HISTORY_REPOS, HISTORY),
     "history_notes": f"""SELECT repo, unnest(list_filter([
           CASE WHEN n IS NULL THEN 'not under version control: S4 (history) does not apply' END,
           CASE WHEN n = 0 THEN 'the history cannot be read: H1 and S4 do not apply' END,
           CASE WHEN n > 0 AND shallow THEN 'shallow copy: the depth of the history (H1) is unknown' END,
           CASE WHEN n > 0 THEN 'history: only the paths of added files were looked at' END
         ], lambda x: x IS NOT NULL)) AS note
-        FROM (SELECT DISTINCT 'h' || c_custkey AS repo FROM customer)
+        FROM {HISTORY_REPOS}
         LEFT JOIN (SELECT repo, count(id) AS n, bool_or(shallow) AS shallow FROM ({HISTORY}) GROUP BY repo) USING (repo)""",
     "secret_in_history": f"WITH {added_cte("'h' || o_custkey")} {secret_added()}",
 

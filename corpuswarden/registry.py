@@ -78,12 +78,14 @@ def path_is_test(spark, sf_dir):
 
 @query("file_cap")
 def file_cap(spark, sf_dir):
-    return tree.file_cap(src.all_files(spark, sf_dir), tree.USUAL_MAX_FILES)
+    return tree.file_cap(src.all_files(spark, sf_dir).unionByName(src.line_files(spark, sf_dir)),
+                         tree.USUAL_MAX_FILES)
 
 
 @query("cap_notes")
 def cap_notes(spark, sf_dir):
-    return tree.cap_notes(src.all_files(spark, sf_dir).select("repo", "rel"), tree.USUAL_MAX_FILES)
+    files = src.all_files(spark, sf_dir).unionByName(src.line_files(spark, sf_dir))
+    return tree.cap_notes(files.select("repo", "rel"), tree.USUAL_MAX_FILES)
 
 
 def _joined(df: DataFrame, *columns: str) -> DataFrame:

@@ -105,6 +105,14 @@ def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as short files of two large repositories each, by status and by return flag."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.explode(F.expr("array(concat('status_', l_linestatus), concat('flag_', l_returnflag))")).alias("repo"),
+        F.expr("concat('src/', l_orderkey, '/', l_partkey, '.', l_linenumber, '.ts')").alias("rel"),
+        F.expr("concat('export const n = ', l_linenumber)").alias("text")).distinct()
+
+
 def repo_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file as stored bytes: (repo, rel, content)."""
     return all_files(spark, sf_dir).selectExpr("repo", "rel", "cast(text as binary) as content")
@@ -163,15 +171,17 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("concat('h', c_custkey) as repo")
+    """A repository per customer, whose orders are its commits, and per order, with line items."""
+    return table(spark, sf_dir, "customer").selectExpr("concat('h', c_custkey) as repo").unionByName(
+        table(spark, sf_dir, "orders").selectExpr("concat('k', o_orderkey) as repo"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as commits; every tenth repository is a shallow copy, some cannot be read."""
-    return table(spark, sf_dir, "orders").selectExpr(
-        "concat('h', o_custkey) as repo",
-        "if(o_custkey % 23 = 0, null, cast(o_orderkey as string)) as commit_id",
-        "o_custkey % 10 = 0 as shallow")
+    """Every tenth repository is a shallow copy, some cannot be read."""
+    orders = table(spark, sf_dir, "orders").selectExpr("'h' as kind", "o_custkey as n", "o_orderkey as id")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("'k' as kind", "l_orderkey as n", "l_partkey as id")
+    return orders.unionByName(lines).selectExpr(
+        "concat(kind, n) as repo", "if(n % 23 = 0, null, cast(id as string)) as commit_id", "n % 10 = 0 as shallow")
 
 
 # The repository of an order in the whole audit: the numbered ones, those of documents,

@@ -115,6 +115,13 @@ LINES = [
     "def helper{id}(): return {id}",
     "from .util{c} import helper",
     '  const g = require("../util{c}")',
+    "  allow get, list: if  true ;",
+    "  allow read: if request.auth != null;",
+    "create table if not exists public.t{m7} (id int, owner uuid);",
+    "create policy w{id} on t{m7} for update with check (true);",
+    "create unique index u{id} on public.t{m5} (created);",
+    '  q.from("t{m7}").order("owner")',
+    "alter table t{m7} disable row level security;",
 ]
 
 # Root-level files of a repository: (path, variants); null means the file is absent.
@@ -177,7 +184,8 @@ ROOT_FILES = [
     ("src/tool_{g}.py", ['if __name__ == "__main__":\n    run()\n', "x = 1\n"]),
 ]
 
-# Consecutive events step through the lines by a stride that shares no factor with them.
+# Consecutive events step through the lines by a stride that shares no factor with them. The
+# number of lines shares none with the number of paths, so each line comes to each path.
 STRIDE = 11
 LINES_PER_FILE = 32
 FILES_PER_GROUP = 18
