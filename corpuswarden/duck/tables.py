@@ -148,6 +148,7 @@ SETTING = r"(?:process\.env|os\.getenv\()[.\"']*([A-Z][A-Z0-9_]{2,})"
 QUERIES = {
     # files
     "ingest_files": f"WITH {RAW} SELECT repo, rel, text FROM classed",
+    "read_archives": f"WITH {ALL} SELECT repo, rel, strlen(text) AS length, md5(text) AS digest FROM all_files",
     "skipped_files": f"WITH {RAW} SELECT repo, rel, reason FROM classed WHERE reason IS NOT NULL",
     "path_ignore": f"WITH {RAW} SELECT repo, rel, length::INTEGER AS length FROM raw WHERE NOT {IGNORED}",
     "path_is_test": f"WITH {ALL} SELECT repo, rel, {is_test()} AS is_test FROM all_files",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,8 +17,8 @@ from corpuswarden.plans import audit
 from corpuswarden.plans.facts import extract
 from corpuswarden.plans.rulebook import RULE_CHECKS
 from corpuswarden.plans.scan import rule_scan
-from corpuswarden.session import write_once
-from corpuswarden.sources import corpora as src, findings_io as io, tree
+from corpuswarden.session import workspace, write_once
+from corpuswarden.sources import archives, corpora as src, findings_io as io, tree
 from corpuswarden.streaming import rescan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,15 @@ def ingest_files(spark, sf_dir):
     return tree.ingest_files(src.raw_files(spark, sf_dir))
 
 
+@query("read_archives")
+def read_archives(spark, sf_dir):
+    """All files written to archives, one folder per repository, and read by ranges of members."""
+    root = f"{workspace(spark).folder}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(src.repo_bytes(spark, sf_dir), root)
+    return archives.read_archives(spark, root).select(
+        "repo", "rel", "length", F.md5("content").alias("digest"))
+
+
 @query("skipped_files")
 def skipped_files(spark, sf_dir):
     return tree.skipped_files(src.raw_files(spark, sf_dir), tree.USUAL_MAX_BYTES, tree.USUAL_SNIFF_BYTES)

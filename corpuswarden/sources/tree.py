@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpuswarden.functions import paths, text as tx
@@ -18,11 +13,6 @@ USUAL_MAX_BYTES = 2_000_000
 USUAL_MAX_FILES = 20_000
 USUAL_SNIFF_BYTES = 4096
 
-RAW = "repo string, rel string, length long, content binary"
-ARCHIVES = r"[.](zip|tar|tar[.]gz|tgz)$"
-MEMBERS_AT_ONCE = 200
-BYTES_AT_ONCE = 32 << 20
-
 # Stack tags by dependency, lockfile, python marker and root entry.
 DEPENDENCY_TAGS = {
     "next": "nextjs", "react": "react", "vite": "vite", "express": "express",
@@ -43,56 +33,6 @@ def as_raw(stored: DataFrame) -> DataFrame:
     return stored.selectExpr("repo", "rel", "cast(octet_length(content) as bigint) as length", "content")
 
 
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """Raw files from one archive per repository: `root/<repo>.zip`, `.tar`, `.tar.gz` or `.tgz`.
-
-    Spark's own file listing leaves out names that start with a dot or an underscore,
-    so a repository is kept as an archive and unpacked by the tasks, a few members at a
-    time. A repository may lie in several archives, `root/<repo>/<part>.zip`. Members
-    that are no regular files are left out; an archive that cannot be read comes back as
-    one row without content.
-    """
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    name = F.substring("path", len(base.rstrip("/")) + 2, 1 << 30)
-    repo = F.regexp_replace(name, ARCHIVES, "")
-    listed = held.where(F.col("path").rlike(ARCHIVES)).select(
-        F.substring_index(repo, "/", 1).alias("repo"), "content")
-    return listed.mapInPandas(_unpacked, RAW)
-
-
-def _members(content: bytes):
-    """(path, bytes) of every regular file of an archive."""
-    if zipfile.is_zipfile(io.BytesIO(content)):
-        with zipfile.ZipFile(io.BytesIO(content)) as held:
-            for info in held.infolist():
-                if not info.is_dir():
-                    yield info.filename, held.read(info)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(content)) as held:
-            for info in held:
-                if info.isfile():
-                    yield info.name, held.extractfile(info).read()
-
-
-def _unpacked(batches):
-    for batch in batches:
-        for repo, content in zip(batch["repo"], batch["content"]):
-            rows, size = [], 0
-            try:
-                for path, data in _members(content):
-                    rows.append((repo, path.removeprefix("./"), len(data), data))
-                    size += len(data)
-                    if len(rows) >= MEMBERS_AT_ONCE or size >= BYTES_AT_ONCE:
-                        yield pd.DataFrame(rows, columns=["repo", "rel", "length", "content"])
-                        rows, size = [], 0
-            except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError):
-                rows.append((repo, "", len(content), None))
-            if rows:
-                yield pd.DataFrame(rows, columns=["repo", "rel", "length", "content"])
-
-
 def path_ignore(raw: DataFrame) -> DataFrame:
     """Drop ignored directories, suffixes and minified files."""
     return raw.where(f"not {paths.is_ignored('rel')}")
@@ -102,12 +42,13 @@ def classify(raw: DataFrame, max_bytes: int | None = None,
              sniff_bytes: int | None = None) -> DataFrame:
     """Files with a `reason` when they cannot be scanned, a `text` when they can.
 
-    A file is too large beyond `max_bytes`, and binary with a zero among its first
-    `sniff_bytes`; without these limits every file that was read has a text.
+    A file is too large beyond `max_bytes`, whether or not it was read, and binary with a
+    zero among its first `sniff_bytes`; without these limits every file that was read
+    has a text.
     """
     reasons = ["when content is null then 'not readable'"]
     if max_bytes is not None:
-        reasons.append(f"when length > {max_bytes} then concat(length, ' bytes exceed the limit')")
+        reasons.insert(0, f"when length > {max_bytes} then concat(length, ' bytes exceed the limit')")
     if sniff_bytes is not None:
         reasons.append(f"when position(X'00' in substring(content, 1, {sniff_bytes})) > 0 then 'binary'")
     return raw.selectExpr("repo", "rel", "length", "content",

@@ -18,7 +18,7 @@ from corpuswarden.plans.rulebook import RULE_CHECKS
 from corpuswarden.plans.scan import rule_scan
 from corpuswarden.schema import FINDINGS, REPO_RUNS
 from corpuswarden.session import Workspace, sized_join, workspace
-from corpuswarden.sources import findings_io, tree
+from corpuswarden.sources import archives, findings_io, tree
 from corpuswarden.streaming import rescan
 
 
@@ -73,7 +73,7 @@ def test_archives_keep_every_name(spark, tmp_path, monkeypatch):
     packed(root / "src", "part-0", {"src/src/x.ts": b"1"}, "tgz")
     (root / "broken.zip").write_bytes(b"PK nothing")
     (root / "notes.txt").write_bytes(b"not an archive")
-    raw = tree.read_archives(spark, str(root))
+    raw = archives.read_archives(spark, str(root))
     got = {(r.repo, r.rel): (r.length, r.content) for r in raw.collect()}
     assert {rel for repo, rel in got if repo == "a"} == {rel for repo, rel in got if repo == "b.v2"} == set(HIDDEN)
     assert got["a", "src/a.ts"] == (4, b"caf\xe9") and got["src", "src/src/x.ts"] == (1, b"1")
