@@ -86,12 +86,22 @@ def import_probe(c: FileColumns) -> str:
         f"transform(filter({found}, t -> t <> ''), t -> {fact('import', 't')})")
 
 
+def endings(stems: DataFrame, targets: DataFrame) -> DataFrame:
+    """(repo, rel, ending): the endings of a stem that are as long as a target of its repository."""
+    lengths = targets.groupBy("repo").agg(F.collect_set(F.length("ending")).alias("lengths"))
+    of_lengths = "transform(filter(lengths, n -> n <= length(stem)), n -> right(stem, n))"
+    return sized_join(stems, lengths, "repo").select(
+        "repo", "rel", F.explode(F.expr(of_lengths)).alias("ending"))
+
+
 def orphan_modules(facts: DataFrame) -> DataFrame:
     """H3: plain modules that no import target of the repository ends.
 
     A target reaches a module when the module's path ends with it, at any character.
     Endings are matched as equal keys: first at path separators, which settles most
-    modules with a few keys each, then at every character for those still unmatched.
+    modules with a few keys each. For those still unmatched an ending is made only of each
+    length that a target of the repository has, so a module has as many keys as there
+    are different lengths, however long its path is.
     """
     targets = facts.where("kind = 'import'").selectExpr("repo", "a as ending").distinct()
     stems = facts.where("kind = 'module' and b = 'plain'").selectExpr(
@@ -104,12 +114,7 @@ def orphan_modules(facts: DataFrame) -> DataFrame:
         .join(targets, ["repo", "ending"], "left_semi")
     )
     unnamed = write_once(stems.join(named, ["repo", "rel"], "left_anti"))
-    at_characters = "transform(sequence(1, length(stem)), n -> right(stem, n))"
-    ended = (
-        unnamed.where("length(stem) > 0")
-        .select("repo", "rel", F.explode(F.expr(at_characters)).alias("ending"))
-        .join(targets, ["repo", "ending"], "left_semi")
-    )
+    ended = endings(unnamed, targets).join(targets, ["repo", "ending"], "left_semi")
     return unnamed.join(ended, ["repo", "rel"], "left_anti").select(*findings_row(
         "'H3'", "rel", "1", "'no import reaches this module'", "CONFIRMED"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A side counted below this many rows is sent to every executor. The rows joined
 # through `sized_join` are narrow (keys and a few numbers), so this stays near 100 MB.
 BROADCAST_ROWS = 1_000_000
+# Keeps the state of streams on disk rather than in executors' memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, **settings) -> SparkSession:
@@ -21,6 +23,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **settings) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.driver.memory", "8g")
     )
     for name, value in settings.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -13,47 +14,62 @@ from corpuswarden.schema import FILES, FINDINGS
 from corpuswarden.session import workspace
 
 
-def read_batches(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Files tables dropped into a folder, as a stream."""
-    return (
-        spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+# How long a key is remembered, so that a file that comes again soon stores nothing new.
+HORIZON = "1 day"
+
 
+def read_batches(spark: SparkSession, path: str, files_per_batch: int = 1000,
+                 oldest: str = "3650d") -> DataFrame:
+    """Files tables dropped into a folder, as a stream.
 
-def all_stored(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*FINDINGS.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).parquet(path)
+    Spark leaves out files that are older than the newest one by more than `oldest`, seven
+    days unless told; a table copied with its old time would be lost. The names of the
+    tables within that age are kept on the driver, one per table of many files.
+    """
+    return (
+        spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", oldest).parquet(path)
+    )
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """All findings stored so far, one per key.
 
-    Batches are folders of their own. A batch that runs again after a failure replaces
-    its own folder, so nothing is stored twice; a key seen in several batches keeps
-    the row of the first.
+    Every batch is a folder of its own, and a batch that runs again after a failure
+    replaces it. A key stored several times, in spans of time further apart than the
+    horizon, keeps the row that was seen first.
     """
-    rows = all_stored(spark, path)
-    first = F.min(F.struct("batch", "snippet", "confidence", "evidence")).alias("first")
-    return rows.groupBy(*KEY).agg(first).select(
+    schema = T.StructType([*FINDINGS.fields, T.StructField("seen_at", T.TimestampType())])
+    first = F.min(F.struct("seen_at", "snippet", "confidence", "evidence")).alias("first")
+    return spark.read.schema(schema).parquet(f"{path}/run=*/batch=*").groupBy(*KEY).agg(first).select(
         *KEY, "first.snippet", "first.confidence", "first.evidence")
 
 
-def stream_rule_scan(files: DataFrame, out: str, state: str, checks=None) -> StreamingQuery:
+def new_findings(files: DataFrame, checks=None, horizon: str = HORIZON) -> DataFrame:
+    """Findings of a stream of files with `seen_at`, one per key within the horizon.
+
+    The clock is the arrival of a batch, not the time of a file: arrivals never go back, so
+    a file that comes late is scanned like any other, where the watermark of a file time
+    would drop it. The state holds the keys of the last `horizon` and no more.
+    """
+    found = rule_scan(files, checks).withColumn("seen_at", F.current_timestamp())
+    return found.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(KEY)
+
+
+def stream_rule_scan(files: DataFrame, out: str, state: str, checks=None,
+                     horizon: str = HORIZON) -> StreamingQuery:
     """Scan every arriving file once and add its findings to `out`.
 
-    The rules look at one file at a time, so the scan is a projection of the stream and
-    keeps no state. Each micro-batch is written under its batch number, without the keys
-    that other batches stored before; a batch that runs again replaces its own folder.
+    A batch reads its own files and the state store; what was stored before is never
+    read. Folders carry the stream, told by its checkpoint, and the number of the batch.
     """
+    run = hashlib.sha256(state.encode()).hexdigest()[:16]
+
     def add(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(KEY)
-        if number:
-            earlier = all_stored(batch.sparkSession, out).where(F.col("batch") < number)
-            new = new.join(earlier.select(*KEY), KEY, "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/run={run}/batch={number}")
 
     return (
-        rule_scan(files, checks).writeStream.foreachBatch(add)
+        new_findings(files, checks, horizon).writeStream.foreachBatch(add)
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
 
@@ -64,6 +80,6 @@ def replay(files: DataFrame, checks=None) -> DataFrame:
     base = f"{workspace(spark).folder}/{uuid.uuid4().hex}"
     files.write.parquet(f"{base}/in")
     running = stream_rule_scan(
-        read_batches(spark, f"{base}/in", 8), f"{base}/out", f"{base}/state", checks)
+        read_batches(spark, f"{base}/in", 24), f"{base}/out", f"{base}/state", checks)
     running.awaitTermination()
     return stored(spark, f"{base}/out")

@@ -229,6 +229,16 @@ def test_leftover_suffixes_go_one_by_one(make_files):
         "a": "src/test22.ts", "b": "src/mytest22.ts", "c": "src/xtest2.ts", "d": "src/old-copy.ts"}
 
 
+def test_endings_are_as_many_as_lengths(spark):
+    stems = spark.createDataFrame([("a", "x", "q" * 5000), ("a", "y", "ab"), ("b", "z", "abc")],
+                                  "repo string, rel string, stem string")
+    targets = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "xyz"), ("a", "k" * 40)],
+                                    "repo string, ending string")
+    rows = structure.endings(stems, targets).collect()
+    assert sorted((r.repo, r.rel, len(r.ending)) for r in rows) == [
+        ("a", "x", 1), ("a", "x", 3), ("a", "x", 40), ("a", "y", 1)]
+
+
 def test_orphans(make_files):
     f = facts(make_files({
         "src/app/page.tsx": "import { a } from './used'\nimport b from '@/ui/button'\nimport '@/'",

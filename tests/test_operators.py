@@ -1,9 +1,11 @@
 """Ingest, findings, study, sinks and streaming operators."""
 
 import io
+import os
 import random
 import statistics
 import tarfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -412,3 +414,52 @@ def test_stream_equals_batch_and_survives_a_repeat(spark, make_files, tmp_path):
     files.where("repo >= 'r5'").repartition(2).write.mode("append").parquet(inbox)
     assert drain("s1") == want
     assert drain("s2") == want
+
+
+def test_stream_state_is_bounded(spark, make_files, tmp_path):
+    """Keys older than the horizon leave the state, and a key that comes back is stored again."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(lo, hi, state, horizon):
+        make_files({f"r{i}": {"a.ts": f"fetch(u{i})\nredirect(req.query.x)"} for i in range(lo, hi)}).coalesce(
+            1).write.mode("append").parquet(inbox)
+        running = rescan.stream_rule_scan(rescan.read_batches(spark, inbox), out, str(tmp_path / state), horizon=horizon)
+        running.awaitTermination()
+        return running.recentProgress[-1].stateOperators[0].numRowsTotal
+
+    short = [arrive(5 * k, 5 * k + 5, "short", "1 millisecond") for k in range(4)]
+    assert max(short) <= 20  # the keys of one or two batches, of 40 in all
+    assert arrive(0, 5, "short", "1 millisecond") <= 20
+    assert rescan.stored(spark, out).count() == 40
+    raw = spark.read.parquet(f"{out}/run=*/batch=*")
+    assert raw.count() == 50  # the last batch was stored once more, and counts once
+    long = arrive(20, 25, "long", "1 day")
+    assert long == 50 and rescan.stored(spark, out).count() == 50
+
+
+def test_stream_repeats_within_the_horizon_store_nothing(spark, make_files, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files = make_files({"a.ts": "fetch(u)\nredirect(req.query.x)"})
+    for _ in range(3):
+        files.write.mode("append").parquet(inbox)
+        rescan.stream_rule_scan(rescan.read_batches(spark, inbox), out, str(tmp_path / "s")).awaitTermination()
+    assert spark.read.parquet(f"{out}/run=*/batch=*").count() == rule_scan(files).count() == 2
+
+
+def test_stream_scans_files_that_come_late(spark, make_files, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    for rel, age in (("new.ts", 0), ("old.ts", 90 * 86_400)):
+        before = set(inbox.glob("*.parquet"))
+        make_files({rel: "fetch(u)"}).coalesce(1).write.mode("append").parquet(str(inbox))
+        for part in set(inbox.glob("*.parquet")) - before:
+            os.utime(part, (time.time() - age, time.time() - age))
+        rescan.stream_rule_scan(rescan.read_batches(spark, str(inbox)), out, str(tmp_path / "s"),
+                                horizon="1 second").awaitTermination()
+    assert {r.file for r in rescan.stored(spark, out).collect()} == {"new.ts", "old.ts"}
+
+
+def test_a_batch_reads_no_stored_findings(spark, make_files, tmp_path):
+    stream = rescan.new_findings(rescan.read_batches(spark, str(tmp_path)))
+    assert stream.isStreaming
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 1 and "Join" not in plan
