@@ -53,6 +53,13 @@ DOCS = """
 doc_files AS (SELECT 'docs_' || source AS repo, 'notes/doc_' || doc_id || '.conf' AS rel, text
               FROM documents)"""
 
+# The documents some time later.
+LATER_DOCS = """
+doc_files AS (SELECT 'docs_' || source AS repo,
+  CASE WHEN doc_id % 77 = 1 THEN 'moved/doc_' ELSE 'notes/doc_' END || doc_id || '.conf' AS rel,
+  CASE WHEN doc_id % 50 = 0 THEN text || chr(10) || 'auth_token = "' || md5(doc_id::VARCHAR) || '"' || chr(10)
+       ELSE text END AS text FROM documents)"""
+
 PAGES = """
 page_files AS (SELECT 'pages' AS repo, 'pages/' || page_id || '.html' AS rel, html AS text
                FROM pages)"""

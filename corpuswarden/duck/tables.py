@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpuswarden.catalog import ADVICE, CHECKS
 from corpuswarden.sources import corpora as src
-from corpuswarden.duck.corpora import ALL, DOCS, EVERY, LARGE, _fill, _pick, lit
+from corpuswarden.duck.corpora import ALL, DOCS, EVERY, LARGE, LATER_DOCS, _fill, _pick, lit
 from corpuswarden.duck.detectors import LINES, REPO_OF_ORDER, flags, names, whole_audit
 from corpuswarden.duck.rules import (
     CREDENTIAL, CODECFG, DOCS as DOC_SUFFIXES, EXAMPLE, JS, PY, ROLE, RULES, SERVER, TP, VARIABLE,
@@ -398,3 +398,4 @@ QUERIES = {
 }
 QUERIES["findings_all"] = whole_audit("true")
 QUERIES["audit_from_bytes"] = whole_audit(f"NOT {IGNORED}")
+QUERIES["audit_of_changes"] = whole_audit("true").replace(DOCS, LATER_DOCS)

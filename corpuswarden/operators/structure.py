@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from corpuswarden.functions import paths, text as tx
@@ -203,12 +205,14 @@ def clone_blocks(files: DataFrame, suffixes=paths.MODULES) -> DataFrame:
     return most_repeated(blocks, files)
 
 
-def most_repeated(blocks: DataFrame, files: DataFrame) -> DataFrame:
+def most_repeated(blocks: DataFrame,
+                  files: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """H8: the most repeated of `blocks` (repo, rel, line, digest), one finding per repository.
 
     Digests are counted before the shuffle, and those of the winning blocks meet their
     sites. The texts are read once more, only to fetch the winning blocks: of those
-    repeated equally often the first in order is reported.
+    repeated equally often the first in order is reported. `files` may be a function from
+    the wanted (repo, rel) to their texts.
     """
     repeated = write_once(
         blocks.groupBy("repo", "digest").agg(F.count("*").alias("n")).where(f"n >= {MIN_SITES}"))
@@ -221,6 +225,9 @@ def most_repeated(blocks: DataFrame, files: DataFrame) -> DataFrame:
     listed = first.groupBy("repo", "digest", "n", "groups").agg(
         F.expr("array_sort(collect_list(struct(rel, line)))").alias("sites")).selectExpr(
         "*", "sites[0].rel as rel", "sites[0].line as line")
+    if callable(files):
+        listed = write_once(listed)
+        files = files(listed.select("repo", "rel").distinct())
     held = sized_join(files.select("repo", "rel", "text"), listed, ["repo", "rel"])
     body = f"array_join(filter({_blocks('text', WINDOW, MIN_BLOCK_CHARS)}, w -> w.line = line)[0].frame, '\\n')"
     named = "array_join(transform(best.sites, s -> concat(s.rel, ':', s.line)), ', ')"

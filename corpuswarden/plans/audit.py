@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from corpuswarden.operators import (
@@ -67,12 +69,17 @@ def corpus_facts(files: DataFrame, paths: DataFrame | None = None, probes=PROBES
     `paths` is every (repo, rel) there is; those that are not ignored count as present
     whether or not their text is among `files`. Without it the files are all there is.
     """
-    listed = tree.path_ignore(files if paths is None else paths)
-    named = extract(listed.selectExpr("repo", "rel", "'' as text"), *PATH_PROBES)
+    named = path_facts(files if paths is None else paths)
     return write_once(extract(files, *probes).unionByName(named), partition_by="kind")
 
 
-def findings_all(files: DataFrame, paths: DataFrame, facts: DataFrame | None = None,
+def path_facts(paths: DataFrame) -> DataFrame:
+    """What the paths alone tell, of those that are not ignored."""
+    listed = tree.path_ignore(paths)
+    return extract(listed.selectExpr("repo", "rel", "'' as text"), *PATH_PROBES)
+
+
+def findings_all(files: DataFrame | Callable[[DataFrame], DataFrame], paths: DataFrame, facts: DataFrame | None = None,
                  commits: DataFrame | None = None, added_paths: DataFrame | None = None,
                  registry: DataFrame | None = None) -> DataFrame:
     """All checks this engine computes, over all of `files` (repo, rel, text).

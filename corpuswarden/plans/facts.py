@@ -61,6 +61,10 @@ class FileColumns:
         self._late[name] = made
         return name
 
+    def made(self) -> list[str]:
+        """What the columns are computed by, besides the text itself."""
+        return [made for _, made in self._flags.values()] + list(self._late.values())
+
     def apply(self, files: DataFrame) -> DataFrame:
         base = files.selectExpr(
             "repo", "rel",

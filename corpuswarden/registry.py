@@ -17,6 +17,7 @@ from corpuswarden.plans import audit
 from corpuswarden.plans.facts import extract
 from corpuswarden.plans.rulebook import RULE_CHECKS
 from corpuswarden.plans.scan import rule_scan
+from corpuswarden.plans.store import FactStore, digests
 from corpuswarden.session import workspace, write_once
 from corpuswarden.sources import archives, corpora as src, findings_io as io, tree
 from corpuswarden.streaming import rescan
@@ -327,6 +328,19 @@ def audit_from_bytes(spark, sf_dir):
         registry=src.audit_registry(spark, sf_dir))
 
 
+@query("audit_of_changes")
+def audit_of_changes(spark, sf_dir):
+    """The whole audit after a second scan, which read only the files that changed since the first."""
+    store = FactStore(spark, f"{workspace(spark).folder}/store-{uuid.uuid4().hex}")
+    for files in (src.all_files(spark, sf_dir), src.later_files(spark, sf_dir)):
+        files = write_once(files)
+        store.update(digests(files), lambda wanted: files.join(wanted, ["repo", "rel"], "left_semi"))
+    return store.findings(
+        files.select("repo", "rel"), lambda wanted: files.join(wanted, ["repo", "rel"], "left_semi"),
+        commits=src.audit_commits(spark, sf_dir), added_paths=src.audit_added_paths(spark, sf_dir),
+        registry=src.audit_registry(spark, sf_dir))
+
+
 QUERIES["history_notes"] = lambda spark, sf_dir: history.history_notes(
     src.history_repos(spark, sf_dir), src.commits(spark, sf_dir))
 

@@ -98,13 +98,14 @@ def open_at(path: str) -> BinaryIO:
 
 
 def list_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, path, length) of every archive below `root`."""
+    """(repo, path, length, changed, content) of every archive below `root`."""
     held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     name = F.substring("path", len(base.rstrip("/")) + 2, 1 << 30)
     repo = F.substring_index(F.regexp_replace(name, SUFFIX, ""), "/", 1)
-    return held.where(F.col("path").rlike(SUFFIX)).select(repo.alias("repo"), "path", "length", "content")
+    return held.where(F.col("path").rlike(SUFFIX)).select(
+        repo.alias("repo"), "path", "length", F.col("modificationTime").alias("changed"), "content")
 
 
 def _whole(data: bytes, length: int) -> bytes:
@@ -167,6 +168,20 @@ def member_index(archives: DataFrame) -> DataFrame:
     return archives.select("repo", "path", "length").mapInPandas(_indexed, INDEX)
 
 
+def listing(index: DataFrame, archives: DataFrame) -> DataFrame:
+    """(repo, rel, digest) of the members, from the index alone.
+
+    In a zip the digest is the sum and the length kept with the member. A tar keeps no sums:
+    there it is the place, the length and the time of the archive, so a new archive counts
+    as changed throughout. Compressed tars and broken archives have no members to list.
+    """
+    times = archives.select("path", "changed")
+    zipped = F.concat_ws("-", F.hex("crc"), "length")
+    placed = F.concat_ws("-", F.unix_micros("changed"), "place", "length")
+    return index.where("kind not in ('stream', 'broken')").join(times, "path").select(
+        "repo", "rel", F.when(F.col("kind") == "zip", zipped).otherwise(placed).alias("digest"))
+
+
 # ---- reading --------------------------------------------------------------------------
 
 def _content(held: BinaryIO, row) -> bytes:

@@ -105,6 +105,15 @@ def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def later_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files some time later: some documents got a line, some moved to another folder."""
+    moved = "if(doc_id % 77 = 1, 'moved/doc_', 'notes/doc_')"
+    text = "if(doc_id % 50 = 0, concat(text, '\\nauth_token = \"', md5(cast(doc_id as string)), '\"\\n'), text)"
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").selectExpr(
+        "concat('docs_', source) as repo", f"concat({moved}, doc_id, '.conf') as rel", f"{text} as text")
+    return code_files(spark, sf_dir).unionByName(docs).unionByName(page_files(spark, sf_dir))
+
+
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as short files of two large repositories each, by status and by return flag."""
     return table(spark, sf_dir, "lineitem").select(
