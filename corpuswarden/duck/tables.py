@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpuswarden.catalog import ADVICE, CHECKS
 from corpuswarden.sources import corpora as src
 from corpuswarden.duck.corpora import ALL, DOCS, EVERY, LARGE, LATER_DOCS, _fill, _pick, lit
-from corpuswarden.duck.detectors import LINES, REPO_OF_ORDER, flags, names, whole_audit
+from corpuswarden.duck.detectors import LINES, REPO_OF_ORDER, SCHEMA, flags, names, whole_audit
 from corpuswarden.duck.rules import (
     CREDENTIAL, CODECFG, DOCS as DOC_SUFFIXES, EXAMPLE, JS, PY, ROLE, RULES, SERVER, TP, VARIABLE,
     ends, holds, is_test, line_of, located, re_hit, rule_findings, sensitive, strip,
@@ -398,4 +398,12 @@ QUERIES = {
 }
 QUERIES["findings_all"] = whole_audit("true")
 QUERIES["audit_from_bytes"] = whole_audit(f"NOT {IGNORED}")
+QUERIES["own_checks"] = f"""WITH {EVERY}, {LINES}, {SCHEMA}
+    SELECT repo, 'Q1' AS check_id, rel AS file, line, substr({strip('l')}, 1, 240) AS snippet,
+           'SUSPECTED' AS confidence, '' AS evidence
+    FROM code_lines_all WHERE regexp_matches(l, 'createHash\\([[:space:]]*["'']md5["''][[:space:]]*\\)')
+      AND {ends(JS)} AND NOT {is_test()} AND NOT {holds(TP)} AND NOT {ends(DOC_SUFFIXES)}
+    UNION ALL SELECT repo, 'Q2', min(rel), arg_min(line, (rel, line)), n || ' files create table ' || name, 'CONFIRMED', ''
+    FROM (SELECT *, (SELECT count(DISTINCT o.rel) FROM tables o WHERE o.repo = t.repo AND o.name = t.name) AS n FROM tables t)
+    WHERE n > 1 GROUP BY repo, name, n"""
 QUERIES["audit_of_changes"] = whole_audit("true").replace(DOCS, LATER_DOCS)

@@ -12,6 +12,7 @@ from corpuswarden.operators import (
 from corpuswarden.operators.findings import per_file_collapse
 from corpuswarden.plans.facts import FileColumns, extract, rule_probe
 from corpuswarden.plans.scan import as_findings
+from corpuswarden.schema import FINDINGS
 from corpuswarden.session import write_once
 from corpuswarden.sources import tree
 
@@ -49,6 +50,10 @@ PROBES = (
     tree.stack_probe,
 )
 
+# What plugins add to the probes and to the checks over all facts.
+OWN_PROBES: list = []
+OWN_OPERATORS: list = []
+
 # Checks computed inside one file and reported as confirmed.
 CONFIRMED_LOCAL = ("S6", "D9", "P5")
 
@@ -63,14 +68,20 @@ COVERAGE_PROBES = (
 )
 
 
-def corpus_facts(files: DataFrame, paths: DataFrame | None = None, probes=PROBES) -> DataFrame:
+def all_probes() -> tuple:
+    """The probes of the whole audit, plugins included."""
+    return (*PROBES, *OWN_PROBES)
+
+
+def corpus_facts(files: DataFrame, paths: DataFrame | None = None, probes=None) -> DataFrame:
     """The probes' evidence, written once and partitioned by kind.
 
     `paths` is every (repo, rel) there is; those that are not ignored count as present
     whether or not their text is among `files`. Without it the files are all there is.
     """
     named = path_facts(files if paths is None else paths)
-    return write_once(extract(files, *probes).unionByName(named), partition_by="kind")
+    found = extract(files, *(all_probes() if probes is None else probes))
+    return write_once(found.unionByName(named), partition_by="kind")
 
 
 def path_facts(paths: DataFrame) -> DataFrame:
@@ -109,6 +120,7 @@ def findings_all(files: DataFrame | Callable[[DataFrame], DataFrame], paths: Dat
         structure.most_repeated(facts.where("kind = 'block'").selectExpr(
             "repo", "rel", "line", "a as digest"), files),
     ]
+    parts += [operator(facts, paths).select(FINDINGS.names) for operator in OWN_OPERATORS]
     if added_paths is not None:
         parts.append(history_checks.secret_in_history(added_paths))
     if registry is not None:

@@ -113,15 +113,16 @@ def rule_lines(rule: Rule, text: str) -> str:
     return f"transform(filter({found}, m -> {tx.all_of(*kept)}), m -> {m['line']})"
 
 
-def rule_probe(c: FileColumns, checks: Iterable[str] | None = None) -> str:
-    """Rule facts of one file, one per (check, line).
+def rule_probe(c: FileColumns, checks: Iterable[str] | None = None,
+               rules: Iterable[Rule] | None = None) -> str:
+    """Rule facts of one file, one per (check, line), of all rules or of those given.
 
     A key packs the check's catalog position above the line number, so duplicates
     fall to a hash set over longs and no shuffle is needed: a file is one row.
     """
     wanted = set(CHECK_IDS if checks is None else checks)
     keys = []
-    for rule in RULES:
+    for rule in RULES if rules is None else rules:
         if rule.check in wanted:
             base = CHECK_IDS.index(rule.check) << LINE_BITS
             packed = f"transform({rule_lines(rule, c.text)}, n -> cast(n as bigint) + {base}L)"

@@ -41,7 +41,8 @@ def digests(files: DataFrame) -> DataFrame:
 class FactStore:
     """Facts of the probes below `path`."""
 
-    def __init__(self, spark: SparkSession, path: str, probes=audit.PROBES):
+    def __init__(self, spark: SparkSession, path: str, probes=None):
+        probes = audit.all_probes() if probes is None else probes
         columns = FileColumns()
         told = "\n".join([*(probe(columns) for probe in probes), *columns.made()])
         self.spark, self.probes = spark, probes

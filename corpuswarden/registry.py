@@ -15,8 +15,9 @@ from corpuswarden.operators import (
 )
 from corpuswarden.plans import audit
 from corpuswarden.plans.facts import extract
-from corpuswarden.plans.rulebook import RULE_CHECKS
-from corpuswarden.plans.scan import rule_scan
+from corpuswarden.plans.plugins import Check, Plugin, plugged
+from corpuswarden.plans.rulebook import RULE_CHECKS, Rule
+from corpuswarden.plans.scan import findings_row, rule_scan
 from corpuswarden.plans.store import FactStore, digests
 from corpuswarden.session import workspace, write_once
 from corpuswarden.sources import archives, corpora as src, findings_io as io, tree
@@ -341,6 +342,32 @@ def audit_of_changes(spark, sf_dir):
         registry=src.audit_registry(spark, sf_dir))
 
 
+# ---- a plugin -----------------------------------------------------------------------------
+
+def created_twice(facts: DataFrame, listing: DataFrame) -> DataFrame:
+    """Tables that more than one file of a repository creates, at the first of them."""
+    return facts.where("kind = 'table'").groupBy("repo", "a").agg(
+        F.count_distinct("rel").alias("n"), F.min(F.struct("rel", "line")).alias("site")).where("n > 1").select(
+        *findings_row("'Q2'", "site.rel", "site.line", "concat(n, ' files create table ', a)", "CONFIRMED"))
+
+
+HOUSE = Plugin(
+    "house",
+    (Check("Q1", "P3", "auto", "Weak digest", domain="House rules"),
+     Check("Q2", "P2", "assisted", "Table created in several files")),
+    rules=(Rule("Q1", r"createHash\(\s*[\"']md5[\"']\s*\)", ("createHash(",), suffixes=paths.JS),),
+    operators=(created_twice,))
+
+
+@query("own_checks")
+def own_checks(spark, sf_dir):
+    """What a caller's own rule and check find in the whole audit of all files."""
+    files = src.all_files(spark, sf_dir)
+    with plugged(spark, HOUSE):
+        found = audit.findings_all(files, files.select("repo", "rel"))
+    return found.where(F.col("check_id").isin("Q1", "Q2"))
+
+
 QUERIES["history_notes"] = lambda spark, sf_dir: history.history_notes(
     src.history_repos(spark, sf_dir), src.commits(spark, sf_dir))
 
