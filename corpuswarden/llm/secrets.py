@@ -6,10 +6,12 @@ enters or leaves changes one term of the sum. Windows over the threshold of thei
 character class are merged to a span: a class with fewer characters can reach less
 entropy and has a lower one. The class of a window inside a piece between separators is
 its own, so what stands before a key changes nothing. An allow-list suppresses
-candidates that are known not to be secrets.
+candidates that are known not to be secrets; a suppressed candidate's long pieces, and
+what follows its leading words, are judged for themselves, so no word beside a key hides it.
 
 A batch of texts is scanned as one byte array, so texts without a keyword or a candidate
-cost no work per row. Rows are independent: nothing is shuffled.
+cost no work per row. Rows are independent: nothing is shuffled. The time grows with the
+length of a text and the number of its spans, a very long text of keys included.
 
 Defined results: a null or empty text has no spans; positions are code points, ends are
 exclusive; spans are ordered by start, then by kind; an entropy span that overlaps a
@@ -21,8 +23,9 @@ repeated rows give repeated results; other columns are ignored by `scan` and kep
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -60,10 +63,14 @@ ALLOWED = (
     re.compile(rb"[A-Za-z]+[0-9]{0,4}([-_=]([A-Za-z]+[0-9]{0,4}|[0-9]{0,8}))+"),
     re.compile(rb"/?([a-z0-9_=-]*/)+[a-z0-9_=-]*"),
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(rb"sha(1|256|384|512)-.*"),
     re.compile(rb".*(example|sample|placeholder).*", re.IGNORECASE),
     re.compile(rb"(.{1,8}?)\1+.{0,7}"),
 )
+# A published digest: its name and a value of its very form, whatever words stand before.
+DIGEST = re.compile(
+    rb"([A-Za-z0-9]+[-_=/]+)*?(sha1-([0-9a-f]{40}|[A-Za-z0-9+/]{27}=)|sha256-([0-9a-f]{64}|[A-Za-z0-9+/]{43}=)"
+    rb"|sha384-([0-9a-f]{96}|[A-Za-z0-9+/]{64})|sha512-([0-9a-f]{128}|[A-Za-z0-9+/]{86}==))")
+LABELS = re.compile(rb"(?:[A-Za-z]+[0-9]{0,4}[-_=/]+)*+")
 ALPHABETS = (b"abcdefghijklmnopqrstuvwxyz0123456789", b"0123456789abcdefghijklmnopqrstuvwxyz",
              b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
              b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
@@ -86,10 +93,16 @@ def allowed(candidate: bytes) -> bool:
 
 def entropy_spans(candidate: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged (start, end) of the windows whose entropy reaches the threshold of their class."""
-    if len(candidate) < window or allowed(candidate):
+    if len(candidate) < window or DIGEST.fullmatch(candidate):
         return []
+    start = 0
+    if allowed(candidate):
+        start = LABELS.match(candidate).end()
+        if start == 0 or allowed(candidate[start:]):
+            start = len(candidate)
+    rest = candidate[start:]
     whole = bool(IS_HEX.fullmatch(candidate))
-    found = _windows(candidate, window, HEX_BITS if whole else MIXED_BITS, False)
+    found = [start + at for at in _windows(rest, window, HEX_BITS if IS_HEX.fullmatch(rest) else MIXED_BITS, False)]
     for m in () if whole else PIECE.finditer(candidate):
         piece = m.group()
         if not (WORD.fullmatch(piece) or piece.isdigit() or allowed(piece)):
@@ -182,20 +195,25 @@ def _row(raw: bytes, low: int, high: int, runs, keyed: bool, access: bool):
     if access:
         spans += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)
                   if m.end() - m.start() >= ACCESS_LEAST]
-    point = lambda at: len(raw[low:at].decode("utf-8", "replace"))
     random = []
     for start, stop in runs:
         run = raw[start:stop]
         for m in HEX.finditer(run.decode("ascii")):
             if m.end() - m.start() >= HEX_LEAST:
-                at = point(start + m.start())
-                spans.append((at, 2, at + m.end() - m.start(), at))
-        random += [(start + a, start + b) for a, b in entropy_spans(run)]
-    base = list(spans)
+                spans.append((start + m.start() - low, 2, start + m.end() - low, start + m.start() - low))
+        random += [(start + a - low, start + b - low) for a, b in entropy_spans(run)]
+    if runs and not raw[low:high].isascii():
+        # Runs are ASCII, so only what stands before one tells bytes and code points apart.
+        before = np.cumsum(np.frombuffer(raw[low:high], np.uint8) & 0xC0 == 0x80)
+        shift = lambda at: at - int(before[at])
+        spans = [(shift(s), k, shift(s) + e - s, shift(s)) if k == 2 else (s, k, e, v) for s, k, e, v in spans]
+        random = [(shift(start), shift(start) + stop - start) for start, stop in random]
+    base = sorted(spans)
+    starts, furthest = [s for s, *_ in base], list(accumulate((e for _, _, e, _ in base), max))
     for start, stop in random:
-        at = point(start)
-        if all(at + stop - start <= s or e <= at for s, _, e, _ in base):
-            spans.append((at, 3, at + stop - start, at))
+        earlier = bisect_left(starts, stop)
+        if not earlier or furthest[earlier - 1] <= start:
+            spans.append((start, 3, stop, start))
     return sorted(spans)
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from math import log2
 
 import pyarrow as pa
@@ -65,13 +66,78 @@ def test_windows_match_entropy_of_each_slice(alphabet):
 
 def test_entropy_kind_and_allow_list(docs_of):
     key = "Zx81kQp0vLr7TnY3wBc5Jm2Hd9Sf4Ga6"
-    allowed = ["550e8400-e29b-41d4-a716-446655440000", "sha256-" + key, "my-long-identifier-name-2-is-fine",
+    allowed = ["550e8400-e29b-41d4-a716-446655440000", "integrity=sha256-" + key + key[:11] + "=", "my-long-identifier-name-2-is-fine",
                "src/long/path/to/some/module_3/file_name", "abcdefghijklmnopqrstuvwxyz0123456789",
                "aB3xaB3xaB3xaB3xaB3xaB3xaB3xaB3x", "Donaudampfschifffahrtsgesellschaft", "1234567890123456789012345"]
     rows = [r.spans for r in sc.report(docs_of([f"é {key}.", *allowed])).orderBy("doc_id").collect()]
     assert rows == [f"entropy:2:{2 + len(key)}"] + [""] * len(allowed)
 
 
+@pytest.mark.parametrize("before", ["example/", "sample_id=", "x-example-", "sha256-", "placeholder=", "a/b/c/",
+                                    "my-long-name-", "sha256-digest/"])
+@pytest.mark.parametrize("after", ["", "-example", "/sample", "=placeholder"])
+def test_words_beside_a_key_hide_nothing(before, after):
+    rng, found = random.Random(3), 0
+    for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789",
+                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        for _ in range(100):
+            key = "".join(rng.choice(alphabet) for _ in range(40))
+            inside = {x for a, b in sc.entropy_spans((before + key + after).encode()) for x in range(a, b)}
+            found += sum(x in inside for x in range(len(before), len(before) + 40)) >= 36
+    assert found >= 285
+
+
+def test_digests_are_no_secrets():
+    rng = random.Random(4)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for name, digits, chars, end in (("sha1", 40, 27, "="), ("sha256", 64, 43, "="), ("sha384", 96, 64, ""), ("sha512", 128, 86, "==")):
+        hexed = "".join(rng.choice("0123456789abcdef") for _ in range(digits))
+        based = "".join(rng.choice(b64) for _ in range(chars)) + end
+        for value in (hexed, based):
+            for before in ("", "integrity=", "a/b-"):
+                assert sc.entropy_spans(f"{before}{name}-{value}".encode()) == [], (name, value)
+
+
+def slow_spans(text):
+    """The spans of one text, every place decoded and every pair compared."""
+    raw, out = text.encode(), [(s, sc.KINDS.index(k), e) for s, k, e in brute(text)]
+    base = list(out)
+    for m in re.finditer(rb"[A-Za-z0-9+/_=-]{24,}", raw):
+        for a, b in sc.entropy_spans(m.group()):
+            s = len(raw[:m.start() + a].decode())
+            if all(s + b - a <= x or y <= s for x, _, y in base):
+                out.append((s, 3, s + b - a))
+    return sorted(out)
+
+
+def test_many_spans_match_pair_by_pair():
+    rng = random.Random(6)
+    for trial in range(20):
+        parts = []
+        for _ in range(60):
+            key = "".join(rng.choice("0123456789abcdefXYZ" if rng.random() < .5 else "0123456789abcdef")
+                          for _ in range(rng.choice([20, 24, 32, 40])))
+            parts.append(rng.choice(["", "é😀 ", "password=", "token: ", "AKIA", "x-", "\n"]) + key)
+        text = rng.choice([" ", "é", "", "."]).join(parts)
+        got = dict(sc._batch(pa.array([text]))).get(0, [])
+        assert [(s, k, e) for s, k, e, _ in got] == slow_spans(text)
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+def test_a_text_of_many_keys_takes_linear_time(alphabet):
+    rng = random.Random(7)
+
+    def seconds(n):
+        text = "é " + " ".join("".join(rng.choices(alphabet, k=40)) for _ in range(n))
+        began = time.process_time()
+        found = dict(sc._batch(pa.array([text])))
+        assert len(found[0]) > 0.98 * n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.1)
+
+
 def test_redaction(docs_of):
     docs = docs_of(["token = 'abcdefgh12' ok", "clean", None, "x " + "0123456789abcdef" * 2], extra=True).selectExpr(
         "*", "length(text) as n_chars")
