@@ -1,10 +1,13 @@
 """Passages that repeat across documents, found by content-defined chunks.
 
 A gear rolling hash of the last 16 bytes decides where a text is cut, so equal passages
-are cut alike wherever they stand, whatever was inserted before them. Chunks are
-compared by digest. Runs of neighbouring chunks that another document holds too are
-repeated passages if they are long enough; the document with the smallest id keeps
-them, and they can be cut from the others.
+are cut alike wherever they stand, whatever was inserted before them. Two neighbouring
+chunks are compared by one digest: a chunk alone is a few words that any other text may
+hold by chance. A run of neighbouring chunks that another document holds too is a repeated
+passage if it can be long enough: the passage goes on into the chunks at both ends of
+the run, so their words count as well, and a passage of `LEAST_WORDS` is never too
+short for the test. The document with the smallest id keeps passages, and they can be
+cut from the others.
 
 A task cuts a batch of texts as one byte array. Digests are aggregated to their first
 and last document before they are shuffled, only repeated ones are joined back to the
@@ -15,7 +18,10 @@ Defined results: a null or empty text has one empty chunk, which never repeats;
 with equal ids are one document, so what only they share does not repeat across
 documents; rows with a null id are told apart from no other and never make a passage
 repeat; rows that repeat an id and a text each get the same result; other columns are
-ignored by `scan` and kept by `remove_repeats`. Positions are bytes of the UTF-8 text.
+ignored by `scan` and kept by `remove_repeats`. Very long texts are cut whole, a slice of
+them at a time never, so a task holds the longest one. Positions are bytes of the UTF-8
+text. Words are what stands between white space; of writing without it ten bytes count
+as one.
 """
 
 from __future__ import annotations
@@ -28,13 +34,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuswarden.llm.common import durable, whole_row
 
-RATE = 24        # a byte in so many ends a chunk
+RATE = 16        # a byte in so many ends a chunk
 LEAST = 6        # a cut this close to the cut position before is dropped
 MOST = 4096      # a chunk is cut at this length
 WINDOW = 16      # bytes the rolling hash covers, as many as it has bits
-LEAST_RUN = 130   # bytes of neighbouring repeated chunks that make a passage
+LEAST_WORDS = 51  # words that a run and the chunks at its ends must have to be a passage
+WORD_BYTES = 10   # bytes that count as a word where there are fewer words
 SLICE_BYTES = 4 << 20
-LENGTH_BITS = 20
+# A place packs the start of a chunk, its words (up to MOST_WORDS) and its length.
+LENGTH_BITS, WORD_BITS = 13, 7
+MOST_WORDS = (1 << WORD_BITS) - 1
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 # One pseudo-random number per byte value.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=42) & 0xFFFF for b in range(256)], np.uint16)
@@ -77,18 +88,47 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.searchsorted(offsets, starts, "right") - 1
 
 
+def pack(starts: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (starts << WORD_BITS | np.minimum(words, MOST_WORDS)) << LENGTH_BITS | lengths
+
+
+def unpack(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, words) of chunks."""
+    return (places >> LENGTH_BITS + WORD_BITS, places & (1 << LENGTH_BITS) - 1,
+            places >> LENGTH_BITS & MOST_WORDS)
+
+
+def pair_digests(digests: np.ndarray) -> np.ndarray:
+    """A digest of each chunk and the next one, from the digests of both."""
+    d = digests.view(np.uint64)
+    x = d[:-1] * np.uint64(0x9E3779B97F4A7C15) + d[1:]
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(31)).view(np.int64)
+
+
 def _slice(raw: bytes, offsets: np.ndarray):
-    """Per text of a slice the packed places and the digests of its chunks."""
+    """Per text of a slice the packed places and the digests of its chunks.
+
+    The digest that stands with a chunk is that of the chunk and the next; the last
+    chunk of a text has none, and 0 stands for it.
+    """
     filled = np.flatnonzero(np.diff(offsets))
     compact = np.append(offsets[filled], offsets[-1])
-    starts, owner = chunk_starts(np.frombuffer(raw, np.uint8), compact)
+    data = np.frombuffer(raw, np.uint8)
+    starts, owner = chunk_starts(data, compact)
     ends = np.append(starts[1:], compact[-1])
     digests = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(
         starts.tolist(), ends.tolist())], dtype=np.uint64).view(np.int64)
-    places = (starts - compact[owner]) << LENGTH_BITS | (ends - starts)
+    begins = ~SPACES[data]
+    begins[1:] &= SPACES[data[:-1]] | np.isin(np.arange(1, len(data)), compact)
+    words = np.append(0, np.cumsum(begins))
+    places = pack(starts - compact[owner], ends - starts, words[ends] - words[starts])
+    pairs = np.zeros(len(digests), np.int64)
+    pairs[:-1] = pair_digests(digests)
+    pairs[np.append(np.flatnonzero(np.diff(owner)), len(owner) - 1) if len(owner) else []] = 0
     counts = np.zeros(len(offsets) - 1, np.int64)
     counts[filled] = np.bincount(owner, minlength=len(filled)) if len(filled) else 0
-    return counts, places, digests
+    return counts, places, pairs
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,51 +163,68 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, f"id {kind}, doc long, n_bytes long, places array<long>, digests array<long>")
 
 
-def _runs(places: np.ndarray, least: int) -> list[dict]:
-    """Spans of neighbouring places that together have at least `least` bytes."""
-    starts, lengths = places >> LENGTH_BITS, places & (1 << LENGTH_BITS) - 1
-    ends = starts + lengths
-    first = np.flatnonzero(np.append(True, starts[1:] != ends[:-1])) if len(places) else np.zeros(0, int)
-    last = np.append(first[1:], len(places)) - 1
-    return [dict(start=int(starts[a]), end=int(ends[b])) for a, b in zip(first, last)
-            if ends[b] - starts[a] >= least]
+def _runs(places: np.ndarray, met: np.ndarray, least: int) -> tuple[int, list[dict]]:
+    """How many chunks repeat, and the passages among them.
+
+    `places` are all chunks of a text and `met` those that repeat with the next one.
+    """
+    if not len(met):
+        return 0, []
+    starts, lengths, words = unpack(np.sort(places))
+    sizes = np.maximum(words, lengths // WORD_BYTES)
+    first = np.searchsorted(starts, unpack(met)[0])
+    inside = np.zeros(len(starts) + 2, bool)  # with room at both ends
+    inside[first + 1] = inside[first + 2] = True
+    edges = np.flatnonzero(np.diff(inside))
+    total = np.concatenate([[0, 0], np.cumsum(sizes), [sizes.sum()]])
+    found = []
+    for low, high in zip(edges[::2].tolist(), edges[1::2].tolist()):  # chunks low to high - 1
+        # With the chunk before the run and the one after it. A cut in the first bytes of a
+        # passage depends on what stands before, so as many more bytes are taken to be like it.
+        size, length = total[high + 1] - total[low + 1], starts[high - 1] + lengths[high - 1] - starts[low]
+        if total[high + 2] - total[low] + -(-(WINDOW + LEAST) * size // length) >= least:
+            found.append(dict(start=int(starts[low]), end=int(starts[high - 1] + lengths[high - 1])))
+    return int(inside.sum()), found
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+FOUND = T.StructType([T.StructField("n", T.LongType()), T.StructField("spans", SPANS)])
 
 
 def passages(least: int):
-    @F.pandas_udf(SPANS)
-    def of_places(places: pd.Series) -> pd.Series:
-        return pd.Series([_runs(np.sort(np.asarray(p, dtype=np.int64)), least) for p in places])
+    @F.pandas_udf(FOUND)
+    def of_places(places: pd.Series, met: pd.Series) -> pd.DataFrame:
+        made = [_runs(np.asarray(p, np.int64), np.asarray(m, np.int64), least) for p, m in zip(places, met)]
+        return pd.DataFrame(made, columns=["n", "spans"])
     return of_places
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         least_run: int = LEAST_RUN) -> DataFrame:
+         least_words: int = LEAST_WORDS) -> DataFrame:
     """Per row of `docs`: (id, doc, n_bytes, n_chunks, n_repeated, repeated, removable).
 
     `repeated` are the passages other documents hold too, `removable` those of them
     that a document with a smaller id holds.
     """
     cut = durable(chunks(docs, id_col, text_col))
-    each = cut.select("id", "doc", F.explode(F.arrays_zip("digests", "places")).alias("c")).select(
-        "id", "doc", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
+    each = cut.select("id", "doc", F.explode(F.arrays_zip("digests", "places")).alias("c")).where(
+        "c.digests <> 0").select("id", "doc", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
     known = durable(each.groupBy("digest").agg(
         F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
-    met = each.select("doc", "digest", "place").join(known, "digest").select("doc", "place", "first")
-    of_doc = met.groupBy("doc").agg(F.collect_set(F.struct("place", "first")).alias("met"))
-    rows = cut.select("id", "doc", "n_bytes", F.size("places").cast("long").alias("n_chunks")).join(
-        of_doc, "doc", "left")
+    met = each.join(known, "digest").select("id", "doc", "place", "first")
+    of_doc = met.groupBy("id", "doc").agg(F.collect_set(F.struct("place", "first")).alias("met")).select(
+        F.col("id").alias("met_id"), F.col("doc").alias("met_doc"), "met")
+    rows = cut.select("id", "doc", "n_bytes", "places").join(
+        of_doc, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("doc") == F.col("met_doc")), "left")
     none = F.expr("cast(array() as array<bigint>)")
+    later = F.transform(F.filter("met", lambda m: m["first"] < F.col("id")), lambda m: m["place"])
+    runs = passages(least_words)
     found = rows.select(
-        "id", "doc", "n_bytes", "n_chunks",
-        F.coalesce(F.col("met.place"), none).alias("all"),
-        F.coalesce(F.transform(F.filter("met", lambda m: m["first"] < F.col("id")),
-                               lambda m: m["place"]), none).alias("later"))
-    runs = passages(least_run)
-    return found.select("id", "doc", "n_bytes", "n_chunks", F.size("all").cast("long").alias("n_repeated"),
-                        runs("all").alias("repeated"), runs("later").alias("removable"))
+        "id", "doc", "n_bytes", F.size("places").cast("long").alias("n_chunks"),
+        runs("places", F.coalesce(F.col("met.place"), none)).alias("all"),
+        runs("places", F.coalesce(later, none)).alias("later"))
+    return found.select("id", "doc", "n_bytes", "n_chunks", F.col("all.n").alias("n_repeated"),
+                        F.col("all.spans").alias("repeated"), F.col("later.spans").alias("removable"))
 
 
 @F.pandas_udf(T.StringType())
@@ -185,13 +242,13 @@ def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   least_run: int = LEAST_RUN) -> DataFrame:
+                   least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with repeated passages cut from the texts of all but their first document."""
-    found = scan(docs, id_col, text_col, least_run).where(F.size("removable") > 0).select(
-        "doc", "removable").dropDuplicates(["doc"])
-    rows = docs.select(whole_row(docs).alias("row"), F.xxhash64(
+    found = scan(docs, id_col, text_col, least_words).where(F.size("removable") > 0).select(
+        F.col("id").alias("met_id"), F.col("doc").alias("met_doc"), "removable").dropDuplicates(["met_id", "met_doc"])
+    rows = docs.select(whole_row(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(
         F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("doc"))
-    met = rows.join(found, "doc", "left")
+    met = rows.join(found, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("doc") == F.col("met_doc")), "left")
     new = met.select("row", without(F.col(f"row.`{text_col}`"), F.col("removable")).alias("new"))
     return new.select(*[(F.col("new") if c == text_col else F.col(f"row.`{c}`")).alias(c)
                         for c in docs.columns])

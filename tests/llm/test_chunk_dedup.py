@@ -26,9 +26,11 @@ def test_chunks_cover_the_text_and_cut_whole_characters(text):
     assert counts.sum() == len(places)
     at = 0
     for place in places.tolist():
-        start, size = place >> cd.LENGTH_BITS, place & (1 << cd.LENGTH_BITS) - 1
+        start, size, words = (int(x) for x in cd.unpack(np.int64(place)))
         assert start == at and 0 < size <= cd.MOST + 3
-        raw[start:start + size].decode()
+        part = raw[start:start + size].decode()
+        own = len(part.split()) - (start > 0 and not raw[start - 1:start].isspace() and not part[:1].isspace())
+        assert words == min(own, cd.MOST_WORDS)
         at += size
     assert at == len(raw)
 
@@ -74,25 +76,79 @@ def test_finds_planted_passages_and_spares_the_rest(docs_of):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
-def test_repeats_match_brute_force(docs_of):
-    rows, _, _ = planted(random.Random(6))
-    rows += [(200, rows[0][1]), (201, rows[0][1]), (202, None), (203, "")]
-    own = {}
-    for k, text in rows:
-        raw = (text or "").encode()
-        _, places, digests = cd._slice(raw, np.array([0, len(raw)]))
-        own[k] = list(zip(places.tolist(), digests.tolist()))
-    holders = {}
-    for k, cut in own.items():
-        for _, digest in cut:
-            holders.setdefault(digest, set()).add(k)
+def longest_shared(texts):
+    """Per text the most words in a row that some other text holds too."""
+    out = []
+    cut = [t.split() for t in texts]
+    for k, own in enumerate(cut):
+        grams = {n: {tuple(w[i:i + n]) for j, w in enumerate(cut) if j != k for i in range(len(w) - n + 1)}
+                 for n in (25, 51)}
+        out.append(max([n for n in (25, 51) if any(
+            tuple(own[i:i + n]) in grams[n] for i in range(len(own) - n + 1))], default=0))
+    return out
+
+
+SHORT = ("the of and a to in is you that it he was for on are as with his they I at be this have from or one had by "
+         "word but not what all were we when your can said there use an each which she do how their if will up").split()
+
+
+@pytest.mark.parametrize("made", ["short", "long", "lines"])
+def test_passages_match_true_common_substrings(docs_of, made):
+    """51 words in a row that another text holds are found, 24 or fewer never are."""
+    rng = random.Random(10)
+
+    def some(n):
+        if made == "long":
+            return " ".join("".join(rng.choice("abcdefghiklmnoprstuvwyz") for _ in range(rng.randint(8, 15))) for _ in range(n))
+        return " ".join(rng.choice(SHORT) for _ in range(n))
+
+    shared = [some(51 if k % 2 else 24 if made != "lines" else 11) for k in range(120)]
+    texts = []
+    for k in range(360):
+        text = some(rng.randint(1, 60)) + " "
+        if made == "lines":  # two common lines in a row are no passage
+            text += f"\n{shared[0]}\n{shared[2]}\n" if k % 3 else ""
+        if k % 3:
+            text += shared[rng.randrange(120)] + " "
+        texts.append(text + some(rng.randint(1, 60)))
+    truth = longest_shared(texts)
+    got = {r.doc_id: r.repeated for r in cd.report(docs_of(texts)).collect()}
+    holders = [k for k, n in enumerate(truth) if n == 51]
+    others = [k for k, n in enumerate(truth) if n == 0 or made == "lines" and n < 51]
+    assert len(holders) > 50 and len(others) > 100
+    assert sum(got[k] for k in holders) >= 0.99 * len(holders)
+    assert sum(got[k] for k in others) <= 0.02 * len(others)
+
+
+def test_spans_lie_in_shared_text(docs_of):
+    rows, _, passages = planted(random.Random(6))
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (202, None), (203, ""), (204, "x")]
+    texts = {k: (t or "").encode() for k, t in rows}
     for row in cd.scan(docs_of(rows)).collect():
-        repeated = [p for p, d in own[row.id] if len(holders[d]) > 1]
-        later = [p for p, d in own[row.id] if min(holders[d]) < row.id]
-        assert row.n_repeated == len(repeated)
-        flat = lambda spans: [(s["start"], s["end"]) for s in spans]
-        assert flat(row.repeated) == flat(cd._runs(np.array(repeated, np.int64), cd.LEAST_RUN))
-        assert flat(row.removable) == flat(cd._runs(np.array(later, np.int64), cd.LEAST_RUN))
+        raw = texts[row.id]
+        for name, others in (("repeated", lambda k: k != row.id), ("removable", lambda k: k < row.id)):
+            for span in row[name]:
+                part = raw[span["start"]:span["end"]]
+                assert part and any(part in text for k, text in texts.items() if others(k))
+
+
+def test_pairs_and_not_single_chunks_repeat(docs_of):
+    rng = random.Random(12)
+    one, two = words(rng, 300), words(rng, 300)
+    mixed = one.split()
+    mixed[1::2] = two.split()[1::2]  # every second word from elsewhere: no two chunks stay together
+    rows = cd.report(docs_of([one, " ".join(mixed)])).collect()
+    assert not any(r.repeated for r in rows)
+
+
+def test_long_texts_and_writing_without_spaces(docs_of):
+    rng = random.Random(13)
+    kanji = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(400))
+    long = words(rng, 60_000)
+    texts = [f"a {kanji}", f"b {kanji} c", long, "x" + long[100:], "y" * 200_000, "z" + "y" * 200_000]
+    got = {r.doc_id: r for r in cd.report(docs_of(texts)).collect()}
+    assert all(got[k].repeated for k in range(6))
+    assert got[3].removable_bytes >= 0.99 * len(long.encode()) and got[2].removable_bytes == 0
 
 
 def test_removal_keeps_the_first_document(docs_of):
