@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuswarden.llm.common import durable, whole_row
 
-RATE = 16        # a byte in so many ends a chunk
+RATE = 20        # a byte in so many ends a chunk
 LEAST = 6        # a cut this close to the cut position before is dropped
 MOST = 4096      # a chunk is cut at this length
 WINDOW = 16      # bytes the rolling hash covers, as many as it has bits
@@ -119,9 +119,11 @@ def _slice(raw: bytes, offsets: np.ndarray):
     ends = np.append(starts[1:], compact[-1])
     digests = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(
         starts.tolist(), ends.tolist())], dtype=np.uint64).view(np.int64)
-    begins = ~SPACES[data]
-    begins[1:] &= SPACES[data[:-1]] | np.isin(np.arange(1, len(data)), compact)
-    words = np.append(0, np.cumsum(begins))
+    spaces = SPACES[data]
+    begins = ~spaces
+    begins[1:] &= spaces[:-1]
+    begins[compact[:-1]] = ~spaces[compact[:-1]]  # a text begins a word too
+    words = np.append(np.int32(0), np.cumsum(begins, dtype=np.int32))
     places = pack(starts - compact[owner], ends - starts, words[ends] - words[starts])
     pairs = np.zeros(len(digests), np.int64)
     pairs[:-1] = pair_digests(digests)
@@ -166,15 +168,14 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _runs(places: np.ndarray, met: np.ndarray, least: int) -> tuple[int, list[dict]]:
     """How many chunks repeat, and the passages among them.
 
-    `places` are all chunks of a text and `met` those that repeat with the next one.
+    `places` are all chunks of a text and `met` the numbers of those that repeat with the next one.
     """
     if not len(met):
         return 0, []
-    starts, lengths, words = unpack(np.sort(places))
+    starts, lengths, words = unpack(places)
     sizes = np.maximum(words, lengths // WORD_BYTES)
-    first = np.searchsorted(starts, unpack(met)[0])
     inside = np.zeros(len(starts) + 2, bool)  # with room at both ends
-    inside[first + 1] = inside[first + 2] = True
+    inside[met + 1] = inside[met + 2] = True
     edges = np.flatnonzero(np.diff(inside))
     total = np.concatenate([[0, 0], np.cumsum(sizes), [sizes.sum()]])
     found = []
@@ -206,22 +207,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `repeated` are the passages other documents hold too, `removable` those of them
     that a document with a smaller id holds.
     """
-    cut = durable(chunks(docs, id_col, text_col))
-    each = cut.select("id", "doc", F.explode(F.arrays_zip("digests", "places")).alias("c")).where(
-        "c.digests <> 0").select("id", "doc", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
+    # The numbers of the rows are written with them, so they stay when a task runs again.
+    cut = durable(chunks(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    each = cut.select("row", "id", F.posexplode("digests").alias("at", "digest")).where("digest <> 0")
     known = durable(each.groupBy("digest").agg(
         F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
-    met = each.join(known, "digest").select("id", "doc", "place", "first")
-    of_doc = met.groupBy("id", "doc").agg(F.collect_set(F.struct("place", "first")).alias("met")).select(
-        F.col("id").alias("met_id"), F.col("doc").alias("met_doc"), "met")
-    rows = cut.select("id", "doc", "n_bytes", "places").join(
-        of_doc, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("doc") == F.col("met_doc")), "left")
-    none = F.expr("cast(array() as array<bigint>)")
-    later = F.transform(F.filter("met", lambda m: m["first"] < F.col("id")), lambda m: m["place"])
+    met = each.select("row", "at", "digest").join(known, "digest").select("row", "at", "first")
+    of_row = met.groupBy("row").agg(F.collect_list(F.struct("at", "first")).alias("met"))
+    rows = cut.select("row", "id", "doc", "n_bytes", "places").join(of_row, "row", "left")
+    none = F.expr("cast(array() as array<int>)")
+    later = F.transform(F.filter("met", lambda m: m["first"] < F.col("id")), lambda m: m["at"])
     runs = passages(least_words)
     found = rows.select(
         "id", "doc", "n_bytes", F.size("places").cast("long").alias("n_chunks"),
-        runs("places", F.coalesce(F.col("met.place"), none)).alias("all"),
+        runs("places", F.coalesce(F.col("met.at"), none)).alias("all"),
         runs("places", F.coalesce(later, none)).alias("later"))
     return found.select("id", "doc", "n_bytes", "n_chunks", F.col("all.n").alias("n_repeated"),
                         F.col("all.spans").alias("repeated"), F.col("later.spans").alias("removable"))
