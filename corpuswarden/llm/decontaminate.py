@@ -1,9 +1,10 @@
 """Benchmark decontamination: documents that hold word windows of benchmark items.
 
-The hash set of normalised benchmark windows is broadcast if its size allows it. The
-words of a document are hashed once, exploded in place and probed window by window
-inside generated code; equal hashes are verified on the words. Only hits and one row
-per document are shuffled.
+The hash set of normalised benchmark windows, their words and a number each, is broadcast
+if its rows and bytes allow it. The words of a document are hashed once, exploded in place
+and probed window by window inside generated code; equal hashes are verified on the words.
+Only hits and one row per document are shuffled. The items of a window, of which a phrase
+that all of them share has any number, meet the numbers found in a document afterwards.
 
 Defined results: a null or empty text has no words and is clean; an item with fewer
 words than a window is one window, an item without words none; items with equal texts
@@ -20,13 +21,13 @@ from corpuswarden.llm.common import (
     WORD_BREAKS, ascii_lower, doc_key, durable, gram_hash, same_key, split_words, whole_row)
 
 WINDOW = 10
-# Distinct windows that are broadcast at most; at 10 words of text each under 50 MB.
+# Distinct windows that are broadcast at most, and the bytes of their words.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 # The same breaks in text that still has its capitals.
 RAW_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-EMPTY_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
 
 
 def words_of(text: Column) -> Column:
@@ -35,7 +36,7 @@ def words_of(text: Column) -> Column:
 
 def windows_of(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_id",
                text_col: str = "text") -> DataFrame:
-    """Distinct windows (words, n, key, items): `items` are the sorted ids as strings."""
+    """Distinct windows (number, words, n, key, items): `items` are the sorted ids as strings."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"),
                              words_of(F.col(f"`{text_col}`")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
@@ -46,7 +47,8 @@ def windows_of(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_id"
     rows = distinct.select("words", F.size("words").alias("n"), "items", keyed.alias("h"))
     keys = [gram_hash(F.col("h"), F.lit(0), n) for n in range(1, size + 1)]
     chosen = F.coalesce(*[F.when(F.col("n") == n, key) for n, key in enumerate(keys, 1)])
-    return rows.select("words", "n", "items", chosen.alias("key"))
+    return rows.select(F.monotonically_increasing_id().alias("number"), "words", "n", "items",
+                       chosen.alias("key"))
 
 
 def _positions(docs: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -69,61 +71,72 @@ def _positions(docs: DataFrame, lengths: list[int], id_col: str, text_col: str)
     return rows.select("id", "digest", "words", "total", "pos", "g.n", "g.key")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str,
-           item_col: str, item_text_col: str) -> DataFrame:
-    """Verified hits (id, digest, total, pos, n, items) and a row with pos 0 per document."""
-    windows = durable(windows_of(benchmark, size, item_col, item_text_col))
-    sizes = windows.groupBy("n").count().collect()  # one row per window length, `size` at most
+def _found(docs: DataFrame, windows: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Verified hits (id, digest, total, pos, n, number) and a row with pos 0 per document.
+
+    `windows` is durable, so its numbers stay.
+    """
+    sizes = windows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.aggregate(
+        "words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w))).alias("bytes")
+    ).collect()  # one row per window length, `size` at most
     lengths = sorted(row["n"] for row in sizes) or [size]
     rows = _positions(docs, lengths, id_col, text_col)
-    side = windows.select("key", F.col("words").alias("window"), "items")
-    if sum(row["count"] for row in sizes) <= BROADCAST_WINDOWS:
+    side = windows.select("key", F.col("words").alias("window"), "number")
+    if (sum(row["rows"] for row in sizes) <= BROADCAST_WINDOWS
+            and sum(row["bytes"] for row in sizes) <= BROADCAST_BYTES):
         side = F.broadcast(side)
         same = (rows["key"] == side["key"]) & (
             F.slice(rows["words"], F.greatest(rows["pos"], F.lit(1)), rows["n"]) == side["window"])
-        met = rows.join(side, same, "left").where("pos = 0 or items is not null")
-        return met.select("id", "digest", "total", "pos", "n", "items")
+        met = rows.join(side, same, "left").where("pos = 0 or number is not null")
+        return met.select("id", "digest", "total", "pos", "n", "number")
     # A benchmark too large to broadcast: narrow candidates meet its windows by hash,
     # and go back to their documents for the words.
     alone = rows.where("pos = 0").select("id", "digest", "total", "pos", "n",
-                                         F.lit(None).cast("array<string>").alias("items"))
+                                         F.lit(None).cast("long").alias("number"))
     near = rows.where("key is not null").select("id", "digest", "pos", "n", "key").join(side, "key")
     texts = docs.select(*doc_key(docs, id_col, text_col), F.col(f"`{text_col}`").alias("text"))
     texts = texts.groupBy("id", "digest").agg(F.first("text").alias("text"))
     back = near.join(texts, same_key(near, texts)).select(
-        near["id"], near["digest"], "pos", "n", "items", "window", words_of(F.col("text")).alias("words"))
+        near["id"], near["digest"], "pos", "n", "number", "window", words_of(F.col("text")).alias("words"))
     sure = back.where(F.slice("words", F.col("pos"), F.col("n")) == F.col("window")).select(
-        "id", "digest", F.size("words").alias("total"), "pos", "n", "items")
+        "id", "digest", F.size("words").alias("total"), "pos", "n", "number")
     return alone.unionByName(sure)
 
 
-def _merged(hits: Column) -> Column:
-    """Sorted (start, end) spans as disjoint ones."""
-    def step(acc, hit):
-        return F.when(hit["start"] <= acc["end"], F.struct(
-            acc["done"].alias("done"), acc["start"].alias("start"),
-            F.greatest(acc["end"], hit["end"]).alias("end"))
-        ).otherwise(F.struct(
-            F.when(acc["start"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(
-                F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).alias("done"),
-            hit["start"].alias("start"), hit["end"].alias("end")))
+def _with_spans(df: DataFrame) -> DataFrame:
+    """`df` with `spans`, disjoint (start, end), for its `hits`; a hit has `size` words at most.
 
-    zero = F.struct(F.expr(EMPTY_SPANS).alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
-    return F.aggregate(hits, zero, step, lambda acc: F.when(
-        acc["start"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(
-            F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))))
+    The hit words are put in order once, and a span ends where the next one doesn't follow.
+    """
+    words = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1)))
+    marked = df.withColumn("at", F.array_sort(F.array_distinct(words)))
+    n = F.size("at")
+    firsts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (
+        F.get("at", i) > F.get("at", i - 1) + 1))
+    cut = marked.withColumn("firsts", F.when(n > 0, firsts))
+    spans = F.transform(F.sequence(F.lit(0), F.size("firsts") - 2), lambda k: F.struct(
+        F.get("at", F.get("firsts", k)).alias("start"),
+        (F.get("at", F.get("firsts", k + 1) - 1) + 1).alias("end")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    return cut.withColumn("spans", F.when(n > 0, spans).otherwise(none)).drop("at", "firsts", "hits")
 
 
 def _per_key(docs, benchmark, size, id_col, text_col, item_col, item_text_col) -> DataFrame:
-    found = _found(docs, benchmark, size, id_col, text_col, item_col, item_text_col)
+    windows = durable(windows_of(benchmark, size, item_col, item_text_col))
+    found = _found(docs, windows, size, id_col, text_col)
     hit = F.when(F.col("pos") > 0, F.struct((F.col("pos") - 1).alias("start"),
                                             (F.col("pos") - 1 + F.col("n")).alias("end")))
-    grouped = found.groupBy("id", "digest").agg(
+    grouped = durable(_with_spans(found.groupBy("id", "digest").agg(
         F.max("total").cast("long").alias("n_words"), F.sum(F.expr("int(pos = 0)")).alias("copies"),
-        F.array_sort(F.collect_set(hit)).alias("hits"), F.collect_set("items").alias("items"))
-    return grouped.select(
-        "id", "digest", "n_words", "copies", _merged(F.col("hits")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+        F.collect_set(hit).alias("hits"), F.collect_set("number").alias("numbers"))))
+    named = grouped.where(F.size("numbers") > 0).select(
+        F.col("id").alias("hit_id"), F.col("digest").alias("hit_digest"), F.explode("numbers").alias("number"))
+    items = named.join(windows.select("number", "items"), "number").groupBy("hit_id", "hit_digest").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))
+    none = F.expr("cast(array() as array<string>)")
+    return grouped.drop("numbers").join(items, same, "left").select(
+        "id", "digest", "n_words", "copies", "spans", F.coalesce("items", none).alias("items"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id",

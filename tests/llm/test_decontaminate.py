@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -93,5 +94,38 @@ def test_removal_keeps_columns(spark, docs_of, extra):
 
 def test_plan_is_native(spark, docs_of):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    plan = dc.scan(docs_of([LONG]), items)._jdf.queryExecution().toString()
+    windows = dc.durable(dc.windows_of(items))
+    plan = dc._found(docs_of([LONG]), windows, 10, "doc_id", "text")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan and "Cartesian" not in plan
+    plan = dc.scan(docs_of([LONG]), items)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_many_hits_take_time_in_proportion(spark):
+    """Disjoint hits of one text are merged without copying what was merged before."""
+    items = [(1, "aa bb cc dd ee ff gg hh ii jj")]
+
+    def seconds(n):
+        docs = [(1, " x ".join([items[0][1]] * n))]
+        began = time.monotonic()
+        assert run(spark, docs, items)[1][:2] == (11 * n - 1, 10 * n)
+        return time.monotonic() - began
+
+    seconds(100)
+    assert seconds(32_000) < 6 * max(seconds(8_000), 1.0)
+
+
+def test_spans_are_disjoint_and_whole(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f x a b a b c x"), (2, "a b"), (3, "x"), (4, "")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c"), (2, "c d e"), (3, "a b"), (4, "f")], "item_id long, text string")
+    got = {r.id: ([(s.start, s.end) for s in r.spans], list(r["items"])) for r in dc.scan(docs, items).collect()}
+    assert got == {1: ([(1, 7), (8, 13)], ["1", "2", "3", "4"]), 2: ([(0, 2)], ["3"]), 3: ([], []), 4: ([], [])}
+
+
+def test_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 10)
+    windows = dc.durable(dc.windows_of(spark.createDataFrame(ITEMS, "item_id long, text string")))
+    found = dc._found(spark.createDataFrame(DOCS, "doc_id long, text string"), windows, 10, "doc_id", "text")
+    assert "Broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert run(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
