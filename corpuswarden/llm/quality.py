@@ -7,9 +7,10 @@ the encodings gives the score.
 
 Passages are described with array operations over whole batches of texts, every passage
 of every document. The model is fitted on at most `SAMPLE` labelled documents of each
-class, whose passage features (some numbers each) are brought to the driver; no passage
-beyond `FIT_PASSAGES` of one document is used for fitting, evenly spaced. Scoring uses
-all passages, row by row, with no shuffle.
+class, and no more than have `SAMPLE_PASSAGES` passages together, in the order of their
+ids' hashes; all passages of these documents are used, some numbers each brought to the
+driver. Scoring uses all passages, row by row, with no shuffle; a very long text is
+described a slice at a time.
 
 Defined results: a null or empty text is a bag of one passage without words; ids that
 are null count as held out; without labels of both classes every score is the share of
@@ -23,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from corpuswarden.llm.common import whole_row
+from corpuswarden.llm.common import durable, whole_row
 from corpuswarden.llm.labelled import held_out, training_rows
 
 PASSAGE = 64         # words
 SAMPLE = 3000        # documents of each class that are learned from, at most
-FIT_PASSAGES = 64
+SAMPLE_PASSAGES = 500_000  # passages of all of them, at most; 72 bytes each
 HIDDEN, GATE = 16, 8
 EPOCHS, STEP, DECAY = 150, 0.02, 1e-4
 THRESHOLD = 0.3
@@ -201,15 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         out = []
         for low, high, features, owner in bags(texts):
             ends = np.searchsorted(owner, np.arange(high - low + 1))
-            for a, b in zip(ends[:-1], ends[1:]):
-                picked = np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(int))
-                out.append(features[picked].tobytes())
+            out += [features[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
         return pa.array(out, pa.binary())
 
     if len(sizes) == 2:
-        # Bounded: `per_class` documents a class, FIT_PASSAGES passages of 72 bytes each.
-        seen = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(
-            "id", "y", described("text").alias("x")).collect()
+        bags_of = durable(rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(
+            "id", "y", described("text").alias("x")))
+        # `per_class` short rows of each class; a document that doesn't fit in is left out whole.
+        order = Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id")
+        passages = F.octet_length("x") / (4 * N_FEATURES)
+        seen = bags_of.withColumn("passages", passages).where(f"passages <= {SAMPLE_PASSAGES}").withColumn(
+            "so_far", F.sum("passages").over(order)).where(f"so_far <= {SAMPLE_PASSAGES}").collect()
         seen = sorted(seen, key=lambda row: str(row["id"]))
         y = np.array([row["y"] for row in seen])
         if len(set(y.tolist())) == 2:

@@ -2,12 +2,13 @@
 
 Folding maps capitals, accents, homoglyphs and digit or sign substitutions to plain
 letters, one character for one. Entries are whole words, word stems, and exception
-phrases inside which nothing counts. The weight of matches, over the length of the
-text, gives the score through a logistic curve.
+phrases inside which nothing counts. The weights of stems and of words, each over the
+length of the text, give the score through a logistic curve.
 
 Whole words come from a short general list. Stems and weights, and the curve, are
-learned from labels: at most `SAMPLE` documents of each class, counted in Spark; the
-lexicon has at most `STEMS` stems. Documents are scored row by row with no shuffle.
+learned from labels: at most `SAMPLE` documents of each class, counted in Spark, a
+document once however many rows repeat its id; the lexicon has at most `STEMS` stems.
+Documents are scored row by row with no shuffle, very long ones whole.
 
 Defined results: a null or empty text has no matches and the least score; ids that are
 null count as held out; without labels of both classes the general list alone is used,
@@ -28,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from corpuswarden.llm.common import durable
 from corpuswarden.llm.labelled import held_out, training_rows
 
 SAMPLE = 4000       # documents of each class that are learned from, at most
@@ -37,9 +39,10 @@ LEAST_WEIGHT = 3.0  # natural logarithm of how much more frequent a stem is in t
 MOST_HITS = 10      # of a stem that count in one document
 LEAST_SHARE = 0.01  # of the toxic documents of the sample that hold a stem
 WORD_WEIGHT = 4.0
-# The curve without labels: bias, and the factors of weight a word, of the stems' weight and
-# of the whole words' weight.
-DEFAULT_CURVE = (-4.0, 1.0, 0.5, 3.0)
+LEAST_LENGTH = 10   # words that a shorter text counts as
+# The curve without labels: bias, and the factors of the stems' weight a word and of the
+# whole words' weight a word.
+DEFAULT_CURVE = (-4.0, 1.0, 3.0)
 
 # General insults, and phrases in which one of them is none.
 WORDS = (
@@ -120,13 +123,16 @@ def matches(text: str, lexicon: Lexicon) -> list[tuple[int, int, float, bool]]:
             if not any(a <= start and end <= b for a, b in spared)]
 
 
-def features(text: str, found) -> tuple[float, float, float]:
-    """Weight a word, and the weights of stems and of whole words, all damped."""
+def features(text: str, found) -> tuple[float, float]:
+    """The weights of stems and of whole words, a hundred words, damped.
+
+    Both are divided by the length, so a text has the features of any part of it that is
+    like the whole.
+    """
     stems = sum(w for _, _, w, whole in found if not whole)
     words = sum(w for _, _, w, whole in found if whole)
-    length = text.count(" ") + text.count("\n") + 1
-    return (float(np.log1p(100 * (stems + words) / (length + 20))), float(np.log1p(stems)),
-            float(np.log1p(words)))
+    length = max(len(text.split()), LEAST_LENGTH)
+    return float(np.log1p(100 * stems / length)), float(np.log1p(100 * words / length))
 
 
 def learn_stems(rows: DataFrame, n_toxic: int) -> tuple[tuple[str, float], ...]:
@@ -197,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     rows, sizes = training_rows(docs, labels, label, per_class, id_col, text_col)
     if len(sizes) < 2:
         return Model()
+    rows = durable(rows.groupBy("id", "y").agg(F.min("text").alias("text")))  # one row an id
     lexicon = Lexicon(learn_stems(rows, min(per_class, sizes[1])))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -204,9 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return pa.array([features(t, matches(t, lexicon)) for t in (x.as_py() for x in texts)],
                         pa.list_(pa.float64()))
 
-    # At most `per_class` rows of two numbers a class reach the driver, unless ids repeat.
-    seen = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(
-        "y", measured("text").alias("x")).collect()
+    # At most `per_class` rows of two numbers a class reach the driver.
+    seen = rows.select("y", measured("text").alias("x")).collect()
     if len({row["y"] for row in seen}) < 2:
         return Model(lexicon)
     x, y = np.array([row["x"] for row in seen]), np.array([row["y"] for row in seen])

@@ -133,3 +133,41 @@ def test_sample_is_bounded_and_outside_the_held_out_fold(table):
     ids = [(r.id, r.y) for r in rows.collect()]
     assert sum(y for _, y in ids) == 7 and len(ids) == 14 and not any(held(k) for k, _ in ids)
     assert sizes[0] + sizes[1] == sum(not held(k) for k in range(400))
+
+
+def test_toxicity_of_equal_density_is_equal(spark, docs_of):
+    part = "some idiot met the old grumpling river and found it calm today "
+    docs = docs_of([part * n for n in (1, 2, 10, 100, 1000)])
+    model = toxicity.Model(toxicity.Lexicon((("grumpl", 3.5),)))
+    scores = [r.score for r in toxicity.score(docs, model).orderBy("id").collect()]
+    assert max(scores) - min(scores) < 1e-9 and scores[0] > 0.5
+
+
+def test_repeated_rows_are_learned_from_once(spark, table):
+    docs, labels, _ = table
+    many = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 20"))
+    for module in (toxicity, quality):
+        one = {r.doc_id: round(r.score, 9) for r in module.report(docs, labels).collect()}
+        assert {r.doc_id: round(r.score, 9) for r in module.report(many, labels).collect()} == one
+
+
+def test_all_passages_of_sampled_documents_are_used(spark, monkeypatch):
+    """The one odd passage of a long document stands anywhere, and its label depends on it."""
+    rng, rows = random.Random(4), []
+    for k in range(240):
+        words = prose(rng, 64 * 150).split()
+        if k % 2:
+            at = rng.randrange(len(words) - 300)
+            words[at:at + 300] = [w + "%%%" for w in words[at:at + 300]]
+        rows.append((k, " ".join(words), k % 2))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, owner, y, sizes: seen.append(np.bincount(owner)) or train(x, owner, y, sizes))
+    got = {r.doc_id: r.predicted for r in quality.report(docs, labels).collect()}
+    assert (seen[0] == 150).all() and len(seen[0]) == sum(not held(k) for k in range(240))
+    assert np.mean([got[k] == y for k, _, y in rows if held(k)]) >= 0.95
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 150 * 20)
+    quality.fit(docs, labels)
+    assert (seen[1] == 150).all() and len(seen[1]) == 20  # documents are left out whole
