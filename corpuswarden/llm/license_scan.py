@@ -5,14 +5,17 @@ position p with template offset o votes for diagonal p - o. Votes are summed per
 (document, template, diagonal); neighbours in the order of diagonals that are close to
 each other are merged, so that a few added or missing words don't split a notice, nor do
 the far diagonals of grams it repeats; a merged span counts if it holds enough of its
-template. The base phrases are templates whose 2-grams must all stand on
-one diagonal.
+template. Short notices are cut into shorter grams, of which an added word breaks fewer.
+The base phrases are templates whose 2-grams must all stand on one diagonal.
 
-The templates are constants, so their k-grams (a few hundred rows) are broadcast. Only
+The templates are constants, so their k-grams (some thousand rows) are broadcast. Only
 votes and one row per document are shuffled.
 
-Defined results: a null or empty text has no words and no labels; rows that repeat an
-id and a text each get the same result; other columns are ignored.
+Defined results: a null or empty text has no words and no labels; a null id is an id like
+any other; rows that repeat an id and a text each get the same result; a place that
+several notices share counts for each of them; an empty table gives no rows; other columns
+are ignored. A very long text is one row of hashes; its votes are counted by diagonal before
+they are shuffled.
 """
 
 from __future__ import annotations
@@ -55,10 +58,63 @@ NOTICES = (
                  "with or without fee is hereby granted"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("gpl-2.0", "either version 2 of the license or at your option any later version"),
+    ("lgpl-notice", "redistribute it and or modify it under the terms of the gnu lesser general public "
+                    "license as published by the free software foundation"),
+    ("agpl-notice", "redistribute it and or modify it under the terms of the gnu affero general public "
+                    "license as published by the free software foundation"),
+    ("gpl-warranty", "this program is distributed in the hope that it will be useful but without any "
+                     "warranty without even the implied warranty of merchantability or fitness for a "
+                     "particular purpose see the gnu general public license for more details"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the "
+                "eclipse public license 2 0"),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("apache-2.0-warranty", "unless required by applicable law or agreed to in writing software distributed "
+                            "under the license is distributed on an as is basis without warranties or "
+                            "conditions of any kind either express or implied see the license for the "
+                            "specific language governing permissions and limitations under the license"),
+    ("mit-full", "permission is hereby granted free of charge to any person obtaining a copy of this software "
+                 "and associated documentation files the software to deal in the software without restriction "
+                 "including without limitation the rights to use copy modify merge publish distribute "
+                 "sublicense and or sell copies of the software and to permit persons to whom the software is "
+                 "furnished to do so subject to the following conditions the above copyright notice and this "
+                 "permission notice shall be included in all copies or substantial portions of the software "
+                 "the software is provided as is without warranty of any kind express or implied including but "
+                 "not limited to the warranties of merchantability fitness for a particular purpose and "
+                 "noninfringement in no event shall the authors or copyright holders be liable for any claim "
+                 "damages or other liability whether in an action of contract tort or otherwise arising from "
+                 "out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-full", "permission to use copy modify and or distribute this software for any purpose with or without "
+                 "fee is hereby granted provided that the above copyright notice and this permission notice "
+                 "appear in all copies the software is provided as is and the author disclaims all warranties "
+                 "with regard to this software including all implied warranties of merchantability and fitness "
+                 "in no event shall the author be liable for any special direct indirect or consequential "
+                 "damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+                 "action of contract negligence or other tortious action arising out of or in connection with "
+                 "the use or performance of this software"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are "
+                     "permitted provided that the following conditions are met 1 redistributions of source "
+                     "code must retain the above copyright notice this list of conditions and the following "
+                     "disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+                     "this list of conditions and the following disclaimer in the documentation and or other "
+                     "materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written "
+                     "permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the "
+             "authors be held liable for any damages arising from the use of this software permission is "
+             "granted to anyone to use this software for any purpose including commercial applications and to "
+             "alter it and redistribute it freely subject to the following restrictions 1 the origin of this "
+             "software must not be misrepresented you must not claim that you wrote the original software if "
+             "you use this software in a product an acknowledgment in the product documentation would be "
+             "appreciated but is not required 2 altered source versions must be plainly marked as such and "
+             "must not be misrepresented as being the original software 3 this notice may not be removed or "
+             "altered from any source distribution"),
 )
 
 PHRASE_K = 2
-NOTICE_K = 3
+NOTICE_K, SHORT_K = 3, 2
+SHORT = 12          # words below which a notice is cut into grams of SHORT_K
 MAX_SHIFT = 3       # diagonals this close are neighbours
 MAX_GAP = 6         # unmatched words between two merged parts
 MIN_COVERAGE = 0.7  # part of a notice's k-grams that must be found
@@ -67,20 +123,19 @@ MIN_COVERAGE = 0.7  # part of a notice's k-grams that must be found
 def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple[str, str, int, list[str]]]:
     """(template, label, k, words)."""
     rows = [(f"phrase {label}", label, PHRASE_K, text.split()) for label, text in phrases]
-    return rows + [(f"notice {label}", label, NOTICE_K, text.split()) for label, text in notices]
+    words = [(label, text.split()) for label, text in notices]
+    return rows + [(f"notice {label}", label, SHORT_K if len(w) < SHORT else NOTICE_K, w) for label, w in words]
 
 
 def _grams(spark, rows) -> DataFrame:
     """One row per distinct k-gram: (k, gram, places), places being (template, offset)."""
-    places: dict[tuple[int, tuple[str, ...]], list] = {}
-    for template, _, k, words in rows:
-        for offset in range(len(words) - k + 1):
-            places.setdefault((k, tuple(words[offset:offset + k])), []).append((template, offset))
-    values = [F.struct(
-        F.lit(k).alias("k"), F.array(*map(F.lit, gram)).alias("gram"),
-        F.array(*[F.struct(F.lit(t).alias("template"), F.lit(o).alias("offset")) for t, o in at]
-                ).alias("places")) for (k, gram), at in places.items()]
-    return spark.range(1).select(F.inline(F.array(*values)))
+    values = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(k).alias("k"), F.lit(" ".join(w)).alias("text"))
+                       for t, _, k, w in rows])
+    words = spark.range(1).select(F.inline(values)).withColumn("words", F.split("text", " "))
+    offsets = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("k"))).alias("offset")
+    each = words.select("template", "k", "words", offsets).select(
+        "k", F.slice("words", F.col("offset") + 1, F.col("k")).alias("gram"), F.struct("template", "offset").alias("at"))
+    return each.groupBy("k", "gram").agg(F.array_sort(F.collect_list("at")).alias("places"))
 
 
 def _votes(docs: DataFrame, rows, id_col: str, text_col: str) -> DataFrame:
@@ -181,21 +236,20 @@ d as (select doc_id, {WORDS_SQL} as w from documents),
 p as (select doc_id, k, unnest(range(len(w) - k + 1)) as pos,
              unnest(list_transform(range(len(w) - k + 1),
                     lambda s: array_to_string(list_slice(w, s + 1, s + k), ' '))) as words
-      from d cross join (values ({PHRASE_K}), ({NOTICE_K})) s(k) where len(w) >= k),
+      from d cross join (select distinct k from t) s where len(w) >= k),
 dg as (select doc_id, template, pos - o as diagonal, min(pos) as low, max(pos) as high,
               list(distinct o) as offsets
        from p join g using (k, words) group by 1, 2, 3),
-n as (select *, lag(diagonal) over x as before,
-             max(high) over (partition by doc_id, template order by low, diagonal
-                             rows between unbounded preceding and 1 preceding) as reach
-      from dg window x as (partition by doc_id, template order by low, diagonal)),
-c as (select *, sum(case when template like 'phrase %' or before is null
-                          or abs(diagonal - before) > {MAX_SHIFT} or low > reach + {MAX_GAP}
-                         then 1 else 0 end)
-                over (partition by doc_id, template order by low, diagonal) as cluster from n),
-m as (select doc_id, template, cluster, min(low) as low, max(high) as high,
+b as (select *, sum(case when template like 'phrase %' or before is null or diagonal - before > {MAX_SHIFT}
+                         then 1 else 0 end) over (partition by doc_id, template order by diagonal) as band
+      from (select *, lag(diagonal) over (partition by doc_id, template order by diagonal) as before from dg)),
+n as (select *, max(high) over (partition by doc_id, template, band order by low, diagonal
+                                rows between unbounded preceding and 1 preceding) as reach from b),
+c as (select *, sum(case when reach is null or low > reach + {MAX_GAP} then 1 else 0 end)
+                over (partition by doc_id, template, band order by low, diagonal) as cluster from n),
+m as (select doc_id, template, band, cluster, min(low) as low, max(high) as high,
              len(list_distinct(flatten(list(offsets)))) as matched
-      from c group by 1, 2, 3),
+      from c group by 1, 2, 3, 4),
 s as (select m.doc_id, m.low, tw.label, tw.base,
              cast(m.matched as double) / (len(tw.w) - tw.k + 1) as coverage
       from m join tw using (template)),
