@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuswarden.catalog import HISTORY_CHECKS, severity_of
@@ -10,7 +13,9 @@ from corpuswarden.session import sized_join, write_once
 
 SEGMENTS = ("supabase", "firebase", "nextjs", "express")
 MIN_SEGMENT = 10
-BINS = 1024  # counts a pass of the median takes per rank
+ACCURACY = 10_000  # of the sketch of quantiles: ranks are right to a ten-thousandth
+BRACKET = 5 / ACCURACY  # share of the values on each side of the middle that is kept
+SETTLE = 200_000  # different values of a column that reach the driver, at most
 
 
 def pseudonymise(repos: DataFrame) -> DataFrame:
@@ -80,42 +85,71 @@ def stack_counts(runs: DataFrame) -> DataFrame:
 def exact_medians(df: DataFrame, columns: dict[str, str]) -> dict[str, float | None]:
     """Exact medians of expressions over `df`; values that are no finite numbers do not count.
 
-    The values are written once. Every pass then counts, for each middle rank still
-    sought, the values between the bounds known so far in `BINS` equal bins, and takes
-    the bin of the rank with its least and greatest value as the new bounds. It ends
-    when these are equal. A pass is one aggregation; a few thousand counts reach the
-    driver, and no values are collected or sorted.
+    The values are written once. A mergeable sketch of quantiles brackets the middle ranks
+    between two values, and a second pass counts the few different values between them:
+    three jobs, whatever the magnitudes. Only where the bracket may hold more than `SETTLE`
+    values, beyond some hundred million rows, it is counted and sketched once more, and
+    each time a thousandth of the values is left. Nothing is sorted, and at most `SETTLE`
+    values of a column and their counts reach the driver.
     """
     kept = write_once(df.selectExpr(*[f"if(abs(cast({e} as double)) < double('inf'), cast({e} as double), null) as `{n}`"
                                       for n, e in columns.items()]))
-    stats = kept.selectExpr(*[f"struct(count(`{n}`) as n, min(`{n}`) as low, max(`{n}`) as high) as `{n}`"
-                              for n in columns]).first()
-    # One search per middle rank: its column, the rank among the values within the bounds.
-    sought = [(name, rank, stats[name]["low"], stats[name]["high"]) for name in columns if stats[name]["n"]
-              for rank in {(stats[name]["n"] + 1) // 2, stats[name]["n"] // 2 + 1}]
-    found: dict[str, list[float]] = {}
-    while sought:
-        found_now = [s for s in sought if s[2] == s[3]]
-        for name, _, low, _ in found_now:
-            found.setdefault(name, []).append(low)
-        sought = [s for s in sought if s[2] != s[3]]
-        if not sought:
-            break
-        seen = ", ".join(
-            f"if(`{name}` between double('{low!r}') and double('{high!r}'), named_struct('k', {k}, 'bin', "
-            f"least(cast((`{name}` / 2 - double('{low / 2!r}')) / double('{high / 2 - low / 2!r}') * {BINS} as int), "
-            f"{BINS - 1}), 'v', `{name}`), null)" for k, (name, _, low, high) in enumerate(sought))
-        counted = kept.selectExpr(f"explode(array_compact(array({seen}))) as s").groupBy("s.k", "s.bin").agg(
-            F.count("*").alias("n"), F.min("s.v").alias("low"), F.max("s.v").alias("high")).collect()
-        narrowed = []
-        for k, (name, rank, _, _) in enumerate(sought):
-            for row in sorted((r for r in counted if r["k"] == k), key=lambda r: r["bin"]):
-                if rank <= row["n"]:
-                    narrowed.append((name, rank, row["low"], row["high"]))
-                    break
-                rank -= row["n"]
-        sought = narrowed
-    return {name: (min(found[name]) + max(found[name])) / 2 if name in found else None for name in columns}
+    bounds = _sketched(kept, {name: (f"`{name}`", 0.5, 0.5) for name in columns})
+    ranks = {name: ((n + 1) // 2, n // 2 + 1) for name, (n, _, _) in bounds.items()}
+    wide = {name: b for name, b in bounds.items() if 2 * BRACKET * b[0] > SETTLE}
+    while wide:
+        # How many values stand below the bracket, at its lower end and between its ends.
+        counted = kept.selectExpr(*[
+            f"struct(count_if(`{c}` < double('{low!r}')) as below, count_if(`{c}` = double('{low!r}')) as low, "
+            f"count_if(`{c}` > double('{low!r}') and `{c}` < double('{high!r}')) as inside) as `{c}`"
+            for c, (_, low, high) in wide.items()]).first()
+        again = {}
+        for name, (_, low, high) in wide.items():
+            start, inside = counted[name]["below"] + counted[name]["low"], counted[name]["inside"]
+            first, last = (r - start for r in ranks[name])
+            if inside > SETTLE and last >= 1 and first <= inside:
+                again[name] = (f"if(`{name}` > double('{low!r}') and `{name}` < double('{high!r}'), `{name}`, null)",
+                               max(first, 1) / inside, min(last, inside) / inside)
+        narrower = _sketched(kept, again) if again else {}
+        # The ends stay in sight where a rank may be one of them.
+        for name, (n, low, high) in narrower.items():
+            start, inside = counted[name]["below"] + counted[name]["low"], counted[name]["inside"]
+            bounds[name] = (n, wide[name][1] if ranks[name][0] <= start else low,
+                            wide[name][2] if ranks[name][1] > start + inside else high)
+        wide = {name: bounds[name] for name in narrower if 2 * BRACKET * narrower[name][0] > SETTLE}
+    return _settled(kept, bounds, ranks)
+
+
+def _sketched(kept: DataFrame, parts: dict[str, tuple[str, float, float]]) -> dict[str, tuple[int, float, float]]:
+    """(count, lower, upper) of expressions, with the ranks from one share to another between."""
+    made = kept.selectExpr(*[
+        f"struct(count({e}) as n, percentile_approx({e}, array({max(first - BRACKET, 0.0)}D, "
+        f"{min(last + BRACKET, 1.0)}D), {ACCURACY}) as ends) as `{name}`"
+        for name, (e, first, last) in parts.items()]).first()
+    return {name: (made[name]["n"], *made[name]["ends"]) for name in parts if made[name]["n"]}
+
+
+def _settled(kept: DataFrame, bounds: dict[str, tuple[int, float, float]],
+             ranks: dict[str, tuple[int, int]]) -> dict[str, float | None]:
+    """The means of the values at the ranks, from the counts of the values within the bounds."""
+    if not bounds:
+        return dict.fromkeys(kept.columns)
+    seen = ", ".join(
+        f"if(`{name}` <= double('{high!r}'), named_struct('k', '{k}', "
+        f"'v', if(`{name}` < double('{low!r}'), null, `{name}`)), null)"
+        for k, (name, (_, low, high)) in enumerate(bounds.items()))
+    rows = kept.selectExpr(f"explode(array_compact(array({seen}))) as s").groupBy("s.k", "s.v").count().collect()
+    medians: dict[str, float | None] = dict.fromkeys(kept.columns)
+    for k, name in enumerate(bounds):
+        own = [row for row in rows if row["k"] == str(k)]
+        below = sum(row["count"] for row in own if row["v"] is None)
+        held = sorted((row["v"], row["count"]) for row in own if row["v"] is not None)
+        ends = list(accumulate((n for _, n in held), initial=below))
+        if not below < ranks[name][0] <= ranks[name][1] <= ends[-1]:
+            raise RuntimeError(f"{name}: the sketch missed the middle")
+        values = [held[bisect_left(ends, rank) - 1][0] for rank in ranks[name]]
+        medians[name] = (values[0] + values[1]) / 2
+    return medians
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:

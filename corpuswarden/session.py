@@ -24,6 +24,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **settings) ->
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
     )
     for name, value in settings.items():

@@ -416,6 +416,27 @@ def test_stream_equals_batch_and_survives_a_repeat(spark, make_files, tmp_path):
     assert drain("s2") == want
 
 
+@pytest.mark.parametrize("settle", [200_000, 2])
+def test_medians_of_any_magnitude_in_three_jobs(spark, monkeypatch, settle):
+    monkeypatch.setattr(study, "SETTLE", settle)
+    pick = random.Random(settle)
+    shapes = {
+        "far": [10.0 ** pick.uniform(-300, 300) * pick.choice([1, -1]) for _ in range(4001)],
+        "even": [pick.gauss(0, 1) for _ in range(4000)],
+        "ties": [1.0] * 1500 + [2.0] * 2000 + [pick.uniform(1, 2) for _ in range(500)],
+        "halves": [1.0] * 2000 + [7.0] * 2000,
+        "few": [3.0, 1.0], "none": [],
+    }
+    rows = [tuple(values[i] if i < len(values) else None for values in shapes.values()) for i in range(4001)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{name}` double" for name in shapes)).repartition(5)
+    jobs = []
+    first = type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: jobs.append(1) or first(self))
+    got = study.exact_medians(df, {name: f"`{name}`" for name in shapes})
+    assert got == {name: statistics.median(values) if values else None for name, values in shapes.items()}
+    assert len(jobs) == 1 if settle > 1000 else 2 <= len(jobs) <= 7  # besides writing and settling
+
+
 def test_stream_state_is_bounded(spark, make_files, tmp_path):
     """Keys older than the horizon leave the state, and a key that comes back is stored again."""
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
