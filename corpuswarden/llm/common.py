@@ -15,8 +15,9 @@ WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def durable(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the folder all executors share.
 
-    It cuts the lineage of iterative jobs and survives lost executors. The context's
-    cleaner deletes the files once nothing refers to them.
+    It cuts the lineage of iterative jobs and survives lost executors. Where the session
+    was started with `spark.cleaner.referenceTracking.cleanCheckpoints`, the context's
+    cleaner deletes the files once nothing refers to them; else they stay.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

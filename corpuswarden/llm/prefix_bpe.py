@@ -12,7 +12,8 @@ the splitting pattern; rows are independent and nothing is shuffled.
 
 Defined results: a null text is empty, an empty text has no ids and decodes to nothing;
 repeated rows give repeated results; other columns are ignored. Texts that hold a
-special token's string are encoded as plain text.
+special token's string are encoded as plain text. A very long text is encoded match by match,
+so beside it and its ids a task holds one match's table.
 """
 
 from __future__ import annotations
