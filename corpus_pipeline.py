@@ -2,7 +2,13 @@
 
 Every stage but the last returns the columns of `documents`. Its rows are written as
 Parquet to the folder all executors share and read again as the next one's input, so a
-lost executor never repeats a stage that is done.
+lost executor never repeats a stage that is done. The tables of the stages lie in the open
+workspace and go when it closes.
+
+Every stage keeps what its operator defines: null and empty texts score, compare and encode
+as texts without words, and texts without words are near-duplicates of each other, so one
+stays; of rows that repeat an id and a text one stays; null ids come after all others; very long texts pass whole; an empty table passes through; extra
+columns, clashing names included, pass unchanged until the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuswarden.llm import decontaminate, prefix_bpe, quality, secrets, simhash
-from corpuswarden.session import shared_dir
+from corpuswarden.session import workspace
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{workspace(spark).folder}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
