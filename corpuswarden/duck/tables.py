@@ -398,6 +398,7 @@ QUERIES = {
 }
 QUERIES["findings_all"] = whole_audit("true")
 QUERIES["audit_from_bytes"] = whole_audit(f"NOT {IGNORED}")
+QUERIES["stored_diff"] = QUERIES["run_diff"]
 QUERIES["own_checks"] = f"""WITH {EVERY}, {LINES}, {SCHEMA}
     SELECT repo, 'Q1' AS check_id, rel AS file, line, substr({strip('l')}, 1, 240) AS snippet,
            'SUSPECTED' AS confidence, '' AS evidence

@@ -20,7 +20,7 @@ from corpuswarden.plans.rulebook import RULE_CHECKS, Rule
 from corpuswarden.plans.scan import findings_row, rule_scan
 from corpuswarden.plans.store import FactStore, digests
 from corpuswarden.session import workspace, write_once
-from corpuswarden.sources import archives, corpora as src, findings_io as io, tree
+from corpuswarden.sources import archives, corpora as src, findings_io as io, findings_table, tree
 from corpuswarden.streaming import rescan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,6 +411,16 @@ def audit_table(spark, sf_dir):
 
 QUERIES["run_diff"] = lambda spark, sf_dir: fnd.run_diff(
     src.findings_prev(spark, sf_dir), src.findings_cur(spark, sf_dir))
+
+
+@query("stored_diff")
+def stored_diff(spark, sf_dir):
+    """The diff with a run that is kept in buckets of its key."""
+    name = f"findings_{uuid.uuid4().hex}"
+    findings_table.store(src.findings_prev(spark, sf_dir), name, f"{workspace(spark).folder}/{name}")
+    return findings_table.diff(spark.table(name), src.findings_cur(spark, sf_dir))
+
+
 QUERIES["diff_counts"] = lambda spark, sf_dir: fnd.diff_counts(
     src.findings_prev(spark, sf_dir), src.findings_cur(spark, sf_dir))
 QUERIES["recall_precision"] = lambda spark, sf_dir: fnd.recall_precision(
