@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,6 +91,22 @@ def workspace(spark: SparkSession) -> Workspace:
     return runs[-1]
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings for what is started inside; what held before holds again afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def write_once(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write `df` to the workspace's folder and read it back.
 
