@@ -90,8 +90,9 @@ def path_is_test(spark, sf_dir):
 
 @query("file_cap")
 def file_cap(spark, sf_dir):
-    return tree.file_cap(src.all_files(spark, sf_dir).unionByName(src.line_files(spark, sf_dir)),
-                         tree.USUAL_MAX_FILES)
+    """The cap over written files: they are counted, ranked and cut from one table."""
+    files = write_once(src.all_files(spark, sf_dir).unionByName(src.line_files(spark, sf_dir)))
+    return tree.file_cap(files, tree.USUAL_MAX_FILES)
 
 
 @query("cap_notes")

@@ -116,10 +116,12 @@ def later_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as short files of two large repositories each, by status and by return flag."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.explode(F.expr("array(concat('status_', l_linestatus), concat('flag_', l_returnflag))")).alias("repo"),
-        F.expr("concat('src/', l_orderkey, '/', l_partkey, '.', l_linenumber, '.ts')").alias("rel"),
-        F.expr("concat('export const n = ', l_linenumber)").alias("text")).distinct()
+    unnamed = "l_orderkey is null or l_partkey is null or l_linenumber is null"  # then the path is null
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "explode(array(concat('status_', l_linestatus), concat('flag_', l_returnflag))) as repo",
+        f"if({unnamed}, null, l_orderkey) as o", f"if({unnamed}, null, l_partkey) as p", "l_linenumber as n").distinct()
+    return lines.selectExpr("repo", "concat('src/', o, '/', p, '.', n, '.ts') as rel",
+                            "concat('export const n = ', n) as text")
 
 
 def repo_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpuswarden.functions import paths, text as tx
 from corpuswarden.plans.facts import FileColumns, fact, when
-from corpuswarden.session import sized_join
+from corpuswarden.session import sized_join, write_once
 
 # Limits a caller may ask for; without one nothing is left out.
 USUAL_MAX_BYTES = 2_000_000
 USUAL_MAX_FILES = 20_000
 USUAL_SNIFF_BYTES = 4096
 
+# Paths of a repository among which a bound for its last kept one is looked for.
+BOUND_PATHS = 200_000
+
 # Stack tags by dependency, lockfile, python marker and root entry.
 DEPENDENCY_TAGS = {
     "next": "nextjs", "react": "react", "vite": "vite", "express": "express",
@@ -72,16 +75,19 @@ def file_cap(files: DataFrame, limit: int | None = None, salts: int = 256) -> Da
     """The first `limit` paths of each repository, or all without a limit.
 
     It counts paths before any file is skipped, so it goes between `path_ignore` and
-    `ingest_files`. Only repositories over the limit are ranked, on their paths alone. Each of a
+    `ingest_files`. Only repositories over the limit are ranked, on their paths alone, written
+    once, and only up to a path that is known to have `limit` others before it. Each of a
     repository's `salts` slices keeps its own first paths, so the final ranking of
     the largest repository sees at most `salts * limit` short rows. The texts stay
     where they are: they meet only the last kept path of each ranked repository.
     """
     if limit is None:
         return files
-    counts = files.groupBy("repo").agg(F.count("*").alias("n")).where(f"n > {limit}")
-    narrow = files.select("repo", "rel").join(counts.select("repo"), "repo", "left_semi")
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("rel"), F.lit(salts)))
+    counts = write_once(files.groupBy("repo").agg(F.count("*").alias("n")).where(f"n > {limit}"))
+    narrow = write_once(files.select("repo", "rel").join(counts.select("repo"), "repo", "left_semi"))
+    near = sized_join(narrow, _bounds(narrow, counts, limit), "repo", "left").where(
+        f"bound is null or {UP_TO_BOUND}").select("repo", "rel")
+    salted = near.withColumn("salt", F.pmod(F.xxhash64("rel"), F.lit(salts)))
     in_slice = Window.partitionBy("repo", "salt").orderBy("rel")
     overall = Window.partitionBy("repo").orderBy("rel")
     cut = (
@@ -93,6 +99,32 @@ def file_cap(files: DataFrame, limit: int | None = None, salts: int = 256) -> Da
     return kept.select(*files.columns)
 
 
+# A path without a name is ranked before all others.
+UP_TO_BOUND = "(rel is null or rel <= bound)"
+
+
+def _bounds(narrow: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    """(repo, bound) of repositories far over the limit: `limit` paths or more lie up to the bound.
+
+    About `BOUND_PATHS` of a repository's paths, chosen by their hash, are ranked, and the one
+    somewhat beyond where the last kept path should lie is taken. Then all paths up to it are
+    counted. A repository where they are too few gets no bound, and is ranked whole.
+    """
+    share = f"least(1, {BOUND_PATHS} / n)"
+    guess = f"cast({limit} * {share} + 6 * sqrt({limit} * {share}) + 10 as int)"
+    large = counts.where(f"n > 4 * {limit}").selectExpr("repo", f"{share} as share", f"{guess} as guess")
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("rel"))
+    guessed = (
+        sized_join(narrow, large, "repo").where("pmod(xxhash64(rel), 1000000000) < share * 1000000000")
+        .withColumn("place", place).where("place = guess").select("repo", F.col("rel").alias("bound"))
+    )
+    return (
+        sized_join(narrow, guessed, "repo").where(UP_TO_BOUND)
+        .groupBy("repo").agg(F.count("*").alias("n"), F.first("bound").alias("bound"))
+        .where(f"n >= {limit}").select("repo", "bound")
+    )
+
+
 def cap_notes(files: DataFrame, limit: int = USUAL_MAX_FILES) -> DataFrame:
     """Coverage note of each repository over the limit."""
     return (
