@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corpuswarden.plans import audit
 from corpuswarden.plans.facts import FileColumns, extract
 from corpuswarden.schema import FACTS
-from corpuswarden.session import write_once
+from corpuswarden.session import BROADCAST_ROWS, fine_scans, settings, write_once
 
 VERSION = ["repo", "rel", "digest"]
 Load = Callable[[DataFrame], DataFrame]
@@ -76,9 +76,11 @@ class FactStore:
         listing = write_once(listing.select(VERSION).distinct())
         self.changed(listing).write.mode("overwrite").parquet(f"{self.path}/scanned/gen={gen}")
         wanted = self.spark.read.schema(T.StructType(_TEXT)).parquet(f"{self.path}/scanned/gen={gen}")
-        facts = extract(load(wanted.select("repo", "rel")), *self.probes).join(wanted, ["repo", "rel"])
-        facts.hint("rebalance", "kind").write.mode("overwrite").partitionBy("kind").parquet(
-            f"{self.path}/facts/gen={gen}")
+        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        facts = extract(load(wanted.select("repo", "rel")), *self.probes).join(known, ["repo", "rel"])
+        with settings(self.spark, fine_scans(self.spark)):
+            facts.hint("rebalance", "kind").write.mode("overwrite").partitionBy("kind").parquet(
+                f"{self.path}/facts/gen={gen}")
         listing.write.mode("overwrite").parquet(f"{self.path}/listing/gen={gen}")
         return gen
 
@@ -86,19 +88,38 @@ class FactStore:
         """(repo, rel, digest) of the last update."""
         return self._read("listing", LISTING, self.generations()[-1:]).select(VERSION)
 
+    def stale(self) -> DataFrame:
+        """Versions that were scanned and are not in the last listing: few, unless much has changed."""
+        scanned = self._read("scanned", LISTING, self.generations()).select(VERSION)
+        return scanned.join(self.listing(), VERSION, "left_anti")
+
     def facts(self) -> DataFrame:
-        """The facts of the files in the last listing."""
-        held = self._read("facts", STORED, self.generations())
-        return held.join(self.listing(), VERSION, "left_semi").select(FACTS.names)
+        """The facts of the files in the last listing; they stay where they lie."""
+        return self._held(write_once(self.stale()))[0]
+
+    def _held(self, stale: DataFrame) -> tuple[DataFrame, bool]:
+        """The facts that count, and whether they are read in place.
+
+        Every version with facts was scanned, so all count but those of stale versions.
+        """
+        few = stale.count() <= BROADCAST_ROWS
+        stored = self._read("facts", STORED, self.generations()).where("digest is not null")
+        return stored.join(F.broadcast(stale) if few else stale.hint("merge"), VERSION, "left_anti").select(
+            FACTS.names), few
 
     def findings(self, paths: DataFrame, load: Load, **tables: DataFrame) -> DataFrame:
         """The whole audit of the last listing; `tables` are those of `audit.findings_all`.
 
         `paths` is every (repo, rel), ignored files included. `load` is asked once more, for
-        the texts of the blocks that repeat most.
+        the texts of the blocks that repeat most. The checks read the stored facts, which lie
+        by kind already; only if too many versions are stale are those that count written anew.
         """
         named = audit.path_facts(paths)
-        facts = write_once(self.facts().unionByName(named), partition_by="kind")
+        facts, in_place = self._held(write_once(self.stale()))
+        if in_place:
+            facts = facts.unionByName(write_once(named, partition_by="kind"))
+        else:
+            facts = write_once(facts.unionByName(named), partition_by="kind")
         return audit.findings_all(load, paths, facts=facts, **tables)
 
     def compact(self) -> None:

@@ -19,7 +19,7 @@ from corpuswarden.plans.plugins import Check, Plugin, plugged
 from corpuswarden.plans.rulebook import RULE_CHECKS, Rule
 from corpuswarden.plans.scan import findings_row, rule_scan
 from corpuswarden.plans.store import FactStore, digests
-from corpuswarden.session import workspace, write_once
+from corpuswarden.session import sized_join, workspace, write_once
 from corpuswarden.sources import archives, corpora as src, findings_io as io, findings_table, tree
 from corpuswarden.streaming import rescan
 
@@ -335,10 +335,10 @@ def audit_of_changes(spark, sf_dir):
     """The whole audit after a second scan, which read only the files that changed since the first."""
     store = FactStore(spark, f"{workspace(spark).folder}/store-{uuid.uuid4().hex}")
     for files in (src.all_files(spark, sf_dir), src.later_files(spark, sf_dir)):
-        files = write_once(files)
-        store.update(digests(files), lambda wanted: files.join(wanted, ["repo", "rel"], "left_semi"))
+        files = write_once(files, compression="zstd")
+        store.update(digests(files), lambda wanted: sized_join(files, wanted, ["repo", "rel"], "left_semi"))
     return store.findings(
-        files.select("repo", "rel"), lambda wanted: files.join(wanted, ["repo", "rel"], "left_semi"),
+        files.select("repo", "rel"), lambda wanted: sized_join(files, wanted, ["repo", "rel"], "left_semi"),
         commits=src.audit_commits(spark, sf_dir), added_paths=src.audit_added_paths(spark, sf_dir),
         registry=src.audit_registry(spark, sf_dir))
 

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A side counted below this many rows is sent to every executor. The rows joined
 # through `sized_join` are narrow (keys and a few numbers), so this stays near 100 MB.
 BROADCAST_ROWS = 1_000_000
+# Splits of a scan per core where patterns run on what is read: texts of equal size take very
+# different times.
+TASKS_PER_CORE = 3
 # Keeps the state of streams on disk rather than in executors' memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -107,21 +110,26 @@ def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def write_once(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def fine_scans(spark: SparkSession) -> dict[str, object]:
+    """Settings under which a scan has several splits per core."""
+    return {"spark.sql.files.minPartitionNum": TASKS_PER_CORE * spark.sparkContext.defaultParallelism}
+
+
+def write_once(df: DataFrame, partition_by: str | None = None, **options: str) -> DataFrame:
     """Write `df` to the workspace's folder and read it back.
 
     The result is read many times by the relational checks. A written table keeps
     the costly text pass from running again, survives lost executors, and gives
     Catalyst true sizes for its join choices. Before a partitioned write the rows are
     rebalanced on the partition column: AQE sizes the files and splits a hot value, so
-    there are not as many files as tasks times values.
+    there are not as many files as tasks times values. `options` go to the writer.
     """
     spark = df.sparkSession
     path = f"{workspace(spark).folder}/{uuid.uuid4().hex}"
     if partition_by:
-        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+        df.hint("rebalance", partition_by).write.options(**options).partitionBy(partition_by).parquet(path)
     else:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,10 @@ import zipfile
 
 import pytest
 
-from corpuswarden.plans import audit
+from corpuswarden.plans import audit, store as stores
 from corpuswarden.plans.rulebook import RULES
 from corpuswarden.plans.store import FactStore, digests
+from corpuswarden.session import settings
 from corpuswarden.sources import archives, tree
 
 
@@ -138,3 +139,33 @@ def test_archives_tell_what_changed_without_being_read(spark, tmp_path):
     pack()
     assert update() == ["src/f3.ts", "src/new.ts"]
     assert {r.rel for r in store.facts().where("kind = 'rule'").collect()} == set(files)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_stored_facts_stay_where_they_lie(spark, make_files, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(stores, "BROADCAST_ROWS", most)
+    now, store = tree_of(30), FactStore(spark, str(tmp_path / "store"))
+    written = []
+    monkeypatch.setattr(stores, "write_once", lambda df, partition_by=None, write=stores.write_once: (
+        written.append(df.count()) if partition_by else None) or write(df, partition_by))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):  # as with large tables
+        for _ in range(2):
+            files = make_files(now).unionByName(spark.createDataFrame(
+                [("r0", "src/none.ts", None), (None, "src/x.ts", "fetch(u)")], "repo string, rel string, text string"))
+
+            def load(wanted):
+                return files.join(wanted, ["repo", "rel"], "left_semi")
+
+            store.update(digests(files), load)
+            now["r2"][next(iter(now["r2"]))] = "fetch(a)"
+            del now["r0"][next(iter(now["r0"]))]
+        facts = store.facts()
+        named = files.where("repo is not null")
+        assert rows(facts) == rows(audit.extract(named, *audit.PROBES))
+        plan = facts._jdf.queryExecution().sparkPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most == 0) and ("BroadcastHashJoin" in plan) == (most > 0)
+        found = store.findings(
+            named.select("repo", "rel"), lambda wanted: files.join(wanted, ["repo", "rel"], "left_semi"))
+        assert rows(found) == rows(audit.findings_all(named, named.select("repo", "rel")))
+    paths = audit.path_facts(named.select("repo", "rel")).count()
+    assert written == [paths if most else paths + facts.count()]
